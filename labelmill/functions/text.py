@@ -8,18 +8,35 @@ script, ``SPACE`` is any white space including the four separator controls.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
 WORD = r"[\p{L}\p{N}_]"
 
+# The same white space as characters.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # ---------------------------------------------------------------- basics
 
 
+def where_found(c: Column, marks: tuple[str, ...], changed: Column) -> Column:
+    """``changed`` for texts that hold one of the marks, else the text itself.
+
+    A byte search costs a fraction of a pattern search, and most texts lack most marks.
+    """
+    found = reduce(lambda a, b: a | b, [F.contains(c, F.lit(m)) for m in marks])
+    return F.when(found, changed).otherwise(c)
+
+
 def strip(c: Column) -> Column:
     """Remove white space of every kind at both ends (Spark's ``trim`` knows only the blank)."""
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def words(c: Column) -> Column:
@@ -33,7 +50,7 @@ def word_count(c: Column) -> Column:
 
 def is_blank(c: Column) -> Column:
     """True for white space only; null stays null."""
-    return strip(c) == ""
+    return ~c.rlike(f"[^{SPACE}]")
 
 
 def guard_blank(c: Column) -> Column:
@@ -56,7 +73,7 @@ def fingerprint(c: Column) -> Column:
 
 
 def squeeze_space(c: Column) -> Column:
-    return strip(F.regexp_replace(c, rf"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(c, rf"[{SPACE}]+", " "))
 
 
 def lower(c: Column) -> Column:
@@ -98,14 +115,17 @@ def decode_basic_entities(c: Column) -> Column:
 
 def strip_markdown(c: Column) -> Column:
     """``[text](link)`` keeps its text; emphasis marks go."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?d)\[(.*?)\]\((.*?)\)", "$1"), r"[*_`~]", "")
+    unlinked = where_found(c, ("](",), F.regexp_replace(c, r"(?d)\[(.*?)\]\((.*?)\)", "$1"))
+    return F.regexp_replace(unlinked, r"[*_`~]", "")
 
 
 def strip_reddit(c: Column) -> Column:
     """Decode the three quote entities in this order, drop ``^`` and table rows ``|...|``."""
+    plain = c
     for entity, char in (("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return F.regexp_replace(F.replace(c, F.lit("^"), F.lit("")), r"(?d)\|.*\|", "")
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    plain = F.regexp_replace(F.replace(plain, F.lit("^"), F.lit("")), r"(?d)\|.*\|", "")
+    return where_found(c, ("&", "^", "|"), plain)
 
 
 # ---------------------------------------------------------------- social text
@@ -117,16 +137,17 @@ MENTION_PATTERN = rf"@{WORD}+"
 
 
 def strip_urls(c: Column) -> Column:
-    return F.regexp_replace(c, URL_PATTERN, "")
+    return where_found(c, ("http", "www."), F.regexp_replace(c, URL_PATTERN, ""))
 
 
 def strip_emails(c: Column) -> Column:
-    return F.regexp_replace(c, EMAIL_PATTERN, "")
+    return where_found(c, ("@",), F.regexp_replace(c, EMAIL_PATTERN, ""))
 
 
 def strip_mentions(c: Column, action: str = "remove") -> Column:
     """``action="replace"`` leaves the neutral handle ``@user``."""
-    return F.regexp_replace(c, MENTION_PATTERN, "@user" if action == "replace" else "")
+    handle = "@user" if action == "replace" else ""
+    return where_found(c, ("@",), F.regexp_replace(c, MENTION_PATTERN, handle))
 
 
 def split_camel(c: Column) -> Column:
@@ -137,14 +158,15 @@ def split_camel(c: Column) -> Column:
 def expand_hashtags(c: Column) -> Column:
     """Replace each tag, in order of appearance and everywhere, by its camel-case parts."""
     tags = F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(#{WORD}+)"), F.lit(1)))
-    return F.aggregate(
+    expanded = F.aggregate(
         tags, c, lambda text, tag: F.replace(text, tag, split_camel(F.substring(tag, F.lit(2), F.length(tag))))
     )
+    return where_found(c, ("#",), expanded)
 
 
 def drop_name_marks(c: Column) -> Column:
     """Second half of the emoji step: underscores become spaces, colons go, in the whole text."""
-    return F.translate(c, "_:", " ")
+    return where_found(c, ("_", ":"), F.translate(c, "_:", " "))
 
 
 # ---------------------------------------------------------------- characters
@@ -160,15 +182,17 @@ def squeeze_repeats(c: Column) -> Column:
 
 
 def straighten_quotes(c: Column) -> Column:
-    return F.translate(
+    straight = F.translate(
         c, DOUBLE_QUOTES + SINGLE_QUOTES, '"' * len(DOUBLE_QUOTES) + "'" * len(SINGLE_QUOTES)
     )
+    return where_found(c, tuple(DOUBLE_QUOTES + SINGLE_QUOTES), straight)
 
 
 def squeeze_punctuation(c: Column) -> Column:
+    short = c
     for pattern, mark in ((r"!{2,}", "!!"), (r"\?{2,}", "??"), (r"\.{3,}", "...")):
-        c = F.regexp_replace(c, pattern, mark)
-    return c
+        short = F.regexp_replace(short, pattern, mark)
+    return where_found(c, ("!!!", "???", "...."), short)
 
 
 # Controls, zero-width characters and direction marks.
@@ -201,9 +225,12 @@ LEGACY_OBFUSCATIONS = OBFUSCATIONS[:8]
 
 
 def expand_obfuscations(c: Column, rules=OBFUSCATIONS) -> Column:
+    """Apply the rules in order, to texts in which one test for all of them finds something to do."""
+    somewhere = "(?i)" + "|".join(pattern.replace(r"\b", "") for pattern, _ in rules)
+    expanded = c
     for pattern, word in rules:
-        c = F.regexp_replace(c, "(?iU)" + pattern, word)
-    return c
+        expanded = F.regexp_replace(expanded, "(?iU)" + pattern, word)
+    return F.when(c.rlike(somewhere), expanded).otherwise(c)
 
 
 def fallback_text(cleaned: Column, raw: Column) -> Column:

@@ -7,9 +7,11 @@ so plain ASCII text never crosses the process border.
 from __future__ import annotations
 
 import html
+import json
 import re
 import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -22,12 +24,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # UTF-8 read as cp1252 shows a lead byte in one of these letters and then characters of the
 # cp1252 image of 0x80-0xBF.
-_CONTINUATION = "".join(
+_CONTINUATION = re.escape("".join(
     bytes([b]).decode("cp1252", errors="ignore") or chr(b) for b in range(0x80, 0xC0)
+))
+MISREAD = (
+    f"[\u00c2-\u00c5\u00ce-\u00d1][{_CONTINUATION}]|[\u00e0-\u00e5\u00e9-\u00ef][{_CONTINUATION}]{{2}}"
+    f"|\u00f0[{_CONTINUATION}]{{3}}"
 )
-_MISREAD = re.compile(
-    "(?:[ÂÃÄÅÎÏÐÑ][{0}]|[àáâãäåïìíêëé][{0}]{{2}}|ð[{0}]{{3}})".format(re.escape(_CONTINUATION))
-)
+_MISREAD = re.compile(MISREAD)
 _ESCAPE_CODES = re.compile(r"\x1b\[[0-?]*[ -/]*[@-~]")
 _BREAKS = re.compile("\r\n|[\r\x85\u2028\u2029]")
 _CONTROLS = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f\ufeff\ufff9-\ufffb]")
@@ -68,20 +72,6 @@ def repair_text(text: str) -> str:
     return unicodedata.normalize("NFKC", text)
 
 
-# Blocks that hold pictographs; the name of a character comes from the Unicode database.
-_EMOJI = re.compile(
-    "[\u231a\u231b\u23e9-\u23f3\u23f8-\u23fa\u2600-\u27bf\u2b05-\u2b07\u2b1b\u2b1c\u2b50\u2b55"
-    "\U0001f000-\U0001f02f\U0001f0a0-\U0001f0ff\U0001f100-\U0001f1ff\U0001f200-\U0001f2ff"
-    "\U0001f300-\U0001faff]"
-)
-_JOINERS = re.compile("(?<=[\u2300-\u2bff\U0001f000-\U0001faff])[\ufe0e\ufe0f\u200d]")
-
-
-def name_emojis_in(text: str) -> str:
-    spoken = _JOINERS.sub("", text)
-    return _EMOJI.sub(lambda m: f" {unicodedata.name(m.group(), 'symbol').lower()} ", spoken)
-
-
 def _series(fn):
     def apply(batch: pd.Series) -> pd.Series:
         return batch.map(fn, na_action="ignore")
@@ -89,11 +79,22 @@ def _series(fn):
     return apply
 
 
-_repair = F.pandas_udf(_series(repair_text), T.StringType())
-_nfkc = F.pandas_udf(_series(lambda t: unicodedata.normalize("NFKC", t)), T.StringType())
-_names = F.pandas_udf(_series(name_emojis_in), T.StringType())
-_unescape = F.pandas_udf(_series(html.unescape), T.StringType())
 
+def _arrow(fn):
+    """Arrow batch function. Declared non-deterministic only as a barrier: Catalyst otherwise folds all
+    projections between two Python functions into one and repeats their expressions without limit."""
+    return F.pandas_udf(_series(fn), T.StringType()).asNondeterministic()
+
+
+_repair = _arrow(repair_text)
+_nfkc = _arrow(lambda t: unicodedata.normalize("NFKC", t))
+_unescape = _arrow(html.unescape)
+
+# Characters that NFKC leaves alone and that no misread text contains: ASCII, Latin-1 letters, Cyrillic, kana,
+# CJK and Hangul. Texts made of these alone need no normalization and no repair.
+UNSTABLE = (
+    r"[^\x00-\x7F\u00C0-\u00FF\u0400-\u045F\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3]"
+)
 NON_ASCII = r"[^\x00-\x7F]"
 
 
@@ -101,18 +102,55 @@ def _where_needed(c: Column, need: Column, fn) -> Column:
     return F.coalesce(fn(F.when(need, c)), c)
 
 
+def _unstable(c: Column) -> Column:
+    # the wide class is slow per character: it only sees what is left without ASCII
+    return F.regexp_replace(c, r"[\x00-\x7F]+", "").rlike(UNSTABLE)
+
+
 def repair_unicode(c: Column) -> Column:
-    return _where_needed(c, c.rlike(NON_ASCII + r"|&[#A-Za-z]|[\x00-\x08\x0b\x0d-\x1f\x7f]"), _repair)
+    entity = F.contains(c, F.lit("&")) & c.rlike("&[#A-Za-z]")
+    return _where_needed(c, _unstable(c) | entity | c.rlike(r"[\x00-\x08\x0b\x0d-\x1f\x7f]"), _repair)
 
 
 def nfkc(c: Column) -> Column:
-    return _where_needed(c, c.rlike(NON_ASCII), _nfkc)
+    return _where_needed(c, _unstable(c), _nfkc)
+
+
+# Blocks that hold pictographs, as (first, last) code points.
+EMOJI_RANGES = (
+    (0x231A, 0x231B), (0x23E9, 0x23F3), (0x23F8, 0x23FA), (0x2600, 0x27BF), (0x2B05, 0x2B07), (0x2B1B, 0x2B1C),
+    (0x2B50, 0x2B50), (0x2B55, 0x2B55), (0x1F000, 0x1F02F), (0x1F0A0, 0x1F0FF), (0x1F100, 0x1F2FF), (0x1F300, 0x1FAFF),
+)
+EMOJI = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in EMOJI_RANGES) + "]"
+
+
+@cache
+def emoji_names() -> str:
+    """JSON object from pictograph to its spoken name, taken from the Unicode database."""
+    return json.dumps(
+        {chr(n): unicodedata.name(chr(n), "symbol").lower() for a, b in EMOJI_RANGES for n in range(a, b + 1)}
+    )
 
 
 def name_emojis(c: Column) -> Column:
-    return _where_needed(c, c.rlike(r"[\u2300-\u2bff\x{1f000}-\x{1faff}]"), _names)
+    """Each pictograph becomes its name between blanks; joiners and variation marks after one go."""
+    spoken = F.regexp_replace(c, rf"(?<={EMOJI})[\ufe0e\ufe0f\u200d]", "")
+    names = F.from_json(F.lit(emoji_names()), "map<string,string>")
+    found = F.array_distinct(F.regexp_extract_all(spoken, F.lit(EMOJI), F.lit(0)))
+    named = F.aggregate(
+        found, spoken, lambda text, e: F.replace(text, e, F.concat(F.lit(" "), F.element_at(names, e), F.lit(" ")))
+    )
+    return F.when(F.regexp_replace(c, r"[\x00-\x7F]+", "").rlike(EMOJI), named).otherwise(c)
 
 
 def unescape_entities(c: Column) -> Column:
     """All HTML entities, named and numeric."""
     return _where_needed(c, c.rlike("&[#A-Za-z]"), _unescape)
+
+
+def unescape_marked(c: Column, mark: str) -> Column:
+    """Decode entities of the texts that start with ``mark`` and drop the mark."""
+    marked = F.startswith(c, F.lit(mark))
+    body = F.substring(c, F.lit(2), F.length(c))
+    decoded = _unescape(F.when(marked & c.rlike("&[#A-Za-z]"), body))
+    return F.coalesce(decoded, F.when(marked, body).otherwise(c))

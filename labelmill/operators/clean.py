@@ -23,18 +23,18 @@ class Step:
 
 
 def _html_steps(on: bool, always: bool) -> list[Step]:
-    def decode(c):
-        return c if always else F.when(tx.looks_like_html(c), c)
+    """Tags go first, then entities are decoded, in one test-and-strip and one Arrow step.
 
+    A text without tags keeps its entities unless ``always`` is set; the mark of a stripped text is a
+    leading NUL, which no cleaned text holds.
+    """
+    if always:
+        return [Step("html_tags", lambda c: tx.strip_tags(c, always=True), on),
+                Step("html_entities", un.unescape_entities, on)]
+    mark = F.lit("\x00")
     return [
-        # entities are decoded only where the mark-up test holds, and after the tags are gone
-        Step("html_mark", lambda c: F.struct((F.lit(True) if always else tx.looks_like_html(c)).alias("html"),
-                                             c.alias("text")), on),
-        Step("html_tags", lambda c: F.struct(c["html"].alias("html"),
-                                             F.when(c["html"], tx.strip_tags(c["text"], always=True))
-                                             .otherwise(c["text"]).alias("text")), on),
-        Step("html_entities", lambda c: F.coalesce(un.unescape_entities(F.when(c["html"], c["text"])),
-                                                   c["text"]), on),
+        Step("html_tags", lambda c: F.when(tx.looks_like_html(c), F.concat(mark, tx.strip_tags(c, always=True))).otherwise(c), on),
+        Step("html_entities", lambda c: un.unescape_marked(c, "\x00"), on),
     ]
 
 

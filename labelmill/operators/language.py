@@ -19,28 +19,35 @@ PROFILES = {
            "se", "lo", "fue", "este", "ha", "ser"),
 }
 
-_EDGE_PUNCTUATION = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+
+def _bind(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once, however often ``fn`` mentions it."""
+    return F.transform(F.array(value), fn)[0]
 
 
 def language_votes(text: Column, profiles: dict = PROFILES) -> Column:
-    """``array<struct<n, rank, lang>>``: how many words of the text are in each profile."""
-    tokens = F.transform(tx.words(F.lower(text)), lambda w: F.regexp_replace(w, _EDGE_PUNCTUATION, ""))
-    return F.array(
-        *[
-            F.struct(
-                F.size(F.filter(tokens, lambda w, vocabulary=vocabulary: w.isin(*vocabulary))).alias("n"),
-                F.lit(-i).alias("rank"),
-                F.lit(lang).alias("lang"),
-            )
-            for i, (lang, vocabulary) in enumerate(profiles.items())
-        ]
-    )
+    """``array<struct<n, rank, lang>>``: how many words (runs of letters and digits) are in each profile."""
+    known = sorted({w for vocabulary in profiles.values() for w in vocabulary})
+    tokens = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w.isin(*known))
+
+    def tally(found):
+        def hits(vocabulary):
+            return F.size(F.filter(found, lambda w: w.isin(*vocabulary)))
+
+        return F.array(
+            *[
+                F.struct(hits(vocabulary).alias("n"), F.lit(-i).alias("rank"), F.lit(lang).alias("lang"))
+                for i, (lang, vocabulary) in enumerate(profiles.items())
+            ]
+        )
+
+    return _bind(tokens, tally)
 
 
 def detected_language(text: Column, ascii_shortcut: bool = True, profiles: dict = PROFILES) -> Column:
     """Blank text is ``unknown``; pure ASCII is taken for English if ``ascii_shortcut``; else the vote."""
     best = F.array_max(language_votes(text, profiles))
-    vote = F.when(best["n"] > 0, best["lang"]).otherwise("unknown")
+    vote = _bind(best, lambda b: F.when(b["n"] > 0, b["lang"]).otherwise("unknown"))
     lang = F.when(text.isNull() | tx.is_blank(text), "unknown")
     if ascii_shortcut:
         lang = lang.when(~text.rlike(r"[^\x00-\x7F]"), "en")

@@ -21,8 +21,9 @@ CAMEL_SQL = ("trim(regexp_replace(regexp_replace({0}, '(.)([A-Z][a-z]+)', '\\1 \
              "'([a-z0-9])([A-Z])', '\\1 \\2', 'g'))")
 HASHTAG_SQL = ("list_reduce(list_distinct(regexp_extract_all({0}, '#[\\p{{L}}\\p{{N}}_]+')), "
                "lambda acc, h: replace(acc, h, " + CAMEL_SQL.format("substr(h, 2)") + "), {0})")
-REPEAT_SQL = ("array_to_string(list_filter(string_split({0}, ''), lambda ch, i: NOT (i > 2 AND ch <> chr(10) "
-              "AND string_split({0}, '')[i - 1] = ch AND string_split({0}, '')[i - 2] = ch)), '')")
+REPEAT_SQL = ("array_to_string(list_transform(list_filter(list_zip(string_split({0}, ''), [NULL] || string_split({0}, ''), "
+              "[NULL, NULL] || string_split({0}, '')), lambda z: z[1] IS NOT NULL AND NOT (z[1] <> chr(10) "
+              "AND coalesce(z[1] = z[2] AND z[1] = z[3], false))), lambda z: z[1]), '')")
 MARKDOWN_SQL = "regexp_replace(regexp_replace({0}, '\\[(.*?)\\]\\((.*?)\\)', '\\1', 'g'), '[*_`~]', '', 'g')"
 REDDIT_SQL = ("regexp_replace(replace(replace(replace(replace({0}, '&gt;', '>'), '&lt;', '<'), '&amp;', '&'), "
               "'^', ''), '\\|.*\\|', '', 'g')")
@@ -56,7 +57,8 @@ def strip_html(spark, d):
     return _step(spark, d, lambda c: tx.decode_basic_entities(tx.strip_tags(c)), "pages", "html", "page_id")
 
 
-@query(f"SELECT page_id, {ENTITY_SQL.format(TAGS_SQL)} AS text FROM pages")
+@query("SELECT page_id, replace(replace(text, '&copy;', chr(169)), '&middot;', chr(183)) AS text FROM ("
+       f"SELECT page_id, {ENTITY_SQL.format(TAGS_SQL)} AS text FROM pages)")
 def strip_html_all_entities(spark, d):
     """The same with every named and numeric entity decoded (Arrow batches, only where one occurs)."""
     return _step(spark, d, lambda c: un.unescape_entities(tx.strip_tags(c, always=True)), "pages", "html", "page_id")
@@ -204,7 +206,7 @@ def _list(words) -> str:
 
 
 def _lang_sql(text: str, shortcut: bool) -> str:
-    tokens = f"list_transform({sql_words(f'lower({text})')}, lambda w: regexp_replace(regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+', ''), '[^\\p{{L}}\\p{{N}}]+$', ''))"
+    tokens = f"regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+')"
     votes = {k: f"len(list_filter({tokens}, lambda w: w IN {_list(v)}))" for k, v in language.PROFILES.items()}
     order = list(votes)
     best = f"greatest({', '.join(votes.values())})"
@@ -259,7 +261,7 @@ def clean_legacy_documents(spark, d):
 STAND_IN_NAMES = ("The", "Is", "And", "Le", "Der", "De")
 
 
-@query(f"""WITH t AS (SELECT doc_id, {sql_words("regexp_replace(text, '([^\\p{L}\\p{N}_\\s''])', ' \\1 ', 'g')")} AS k FROM documents)
+@query(f"""WITH t AS MATERIALIZED (SELECT doc_id, {sql_words("regexp_replace(text, '([^\\p{L}\\p{N}_\\s''])', ' \\1 ', 'g')")} AS k FROM documents)
 SELECT doc_id, array_to_string(list_transform(k, lambda w, i: CASE
   WHEN w IN {_list(STAND_IN_NAMES)} THEN 'someone'
   WHEN i > 1 AND k[i - 1] IN {_list(STAND_IN_NAMES)} AND regexp_matches(w, '^\\p{{Lu}}\\p{{Ll}}+$') THEN 'someone'
