@@ -34,6 +34,11 @@ def where_found(c: Column, marks: tuple[str, ...], changed: Column) -> Column:
     return F.when(found, changed).otherwise(c)
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once, however often ``fn`` mentions it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def strip(c: Column) -> Column:
     """Remove white space of every kind at both ends (Spark's ``trim`` knows only the blank)."""
     return F.btrim(c, F.lit(SPACE_CHARS))

@@ -20,11 +20,6 @@ PROFILES = {
 }
 
 
-def _bind(value: Column, fn) -> Column:
-    """``fn(value)`` with ``value`` evaluated once, however often ``fn`` mentions it."""
-    return F.transform(F.array(value), fn)[0]
-
-
 def language_votes(text: Column, profiles: dict = PROFILES) -> Column:
     """``array<struct<n, rank, lang>>``: how many words (runs of letters and digits) are in each profile."""
     known = sorted({w for vocabulary in profiles.values() for w in vocabulary})
@@ -41,13 +36,13 @@ def language_votes(text: Column, profiles: dict = PROFILES) -> Column:
             ]
         )
 
-    return _bind(tokens, tally)
+    return tx.bind(tokens, tally)
 
 
 def detected_language(text: Column, ascii_shortcut: bool = True, profiles: dict = PROFILES) -> Column:
     """Blank text is ``unknown``; pure ASCII is taken for English if ``ascii_shortcut``; else the vote."""
     best = F.array_max(language_votes(text, profiles))
-    vote = _bind(best, lambda b: F.when(b["n"] > 0, b["lang"]).otherwise("unknown"))
+    vote = tx.bind(best, lambda b: F.when(b["n"] > 0, b["lang"]).otherwise("unknown"))
     lang = F.when(text.isNull() | tx.is_blank(text), "unknown")
     if ascii_shortcut:
         lang = lang.when(~text.rlike(r"[^\x00-\x7F]"), "en")

@@ -34,12 +34,14 @@ def is_title(token: Column) -> Column:
 
 def mask_names(text: Column, names=GIVEN_NAMES) -> Column:
     """Mask listed names and the title-case word that follows one; tokens are rejoined by blanks."""
-    tokens = word_tokens(text)
 
-    def masked(token, i):
-        before = F.get(tokens, i - 1)
-        listed = token.isin(*names)
+    def masked(token, before):
         surname = F.coalesce(before.isin(*names), F.lit(False)) & is_title(token)
-        return F.when(listed | surname, MASK).otherwise(token)
+        return F.when(token.isin(*names) | surname, MASK).otherwise(token)
 
-    return F.array_join(F.transform(tokens, masked), " ")
+    def sentence(tokens):
+        # each token next to the one before it; the pair past the end has no token and is skipped
+        pairs = F.zip_with(tokens, F.concat(F.array(F.lit("")), tokens), masked)
+        return F.array_join(F.slice(pairs, 1, F.size(tokens)), " ")
+
+    return tx.bind(word_tokens(text), sentence)

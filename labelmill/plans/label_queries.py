@@ -167,7 +167,7 @@ def threshold_severity(spark, d):
 
 
 VOTE_SQL = """votes AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'N' THEN 0 WHEN 'A' THEN 1 WHEN 'R' THEN 2 END AS v FROM lineitem),
-tally AS (SELECT l_orderkey, v, count(*) AS n, min(l_linenumber) AS at FROM votes WHERE v IS NOT NULL GROUP BY ALL)"""
+tally AS (SELECT l_orderkey, v, count(*) AS n, min(l_linenumber) AS seen_at FROM votes WHERE v IS NOT NULL GROUP BY ALL)"""
 FLAG_MAP = {"N": 0, "A": 1, "R": 2}
 
 
@@ -183,7 +183,7 @@ def annotator_vote(spark, d):
 
 
 @query(f"""WITH {VOTE_SQL} SELECT l_orderkey, v AS label, n AS votes FROM (
-  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, at, v DESC) AS r FROM tally) WHERE r = 1""")
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, seen_at, v DESC) AS r FROM tally) WHERE r = 1""")
 def vote_first_seen(spark, d):
     lines, vote = _votes(spark, d)
     return normalize.vote_by_key(lines, "l_orderkey", vote, order_by="l_linenumber")
