@@ -78,7 +78,6 @@ def history_export(spark, d):
 
 WINDOW_SQL = f"SELECT {TS} AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL"
 CLASS_SQL = f"SELECT {TS} AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"
-TYPES = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
 @query(WINDOW_SQL)
@@ -88,8 +87,8 @@ def log_windows(spark, d):
 
 
 def _events(spark, d):
-    schema = table(spark, d, "events").schema  # timestamp flavour as written
-    return jobs.read_stream(spark, f"{d}/events*.parquet", schema)
+    events = jobs.read_stream(spark, f"{d}/events*.parquet", table(spark, d, "events").schema)
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs the zoned type
 
 
 def _latest(spark, stream, name, mode="complete"):
