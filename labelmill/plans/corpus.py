@@ -17,7 +17,7 @@ from labelmill.functions import text as tx
 from labelmill.operators import clean, merge, neardup, noise, normalize, qa, sampling, stats, validate
 from labelmill.operators.dedup import keep_first
 from labelmill.sources.writers import write_json, write_splits_csv, write_stage
-from labelmill.storage import materialize
+from labelmill.storage import materialize, spread
 
 CODE_COLUMNS = ["class"]
 FLAG_LABELS = ["toxic", "severe_toxic", "obscene", "threat", "insult", "identity_hate"]
@@ -65,7 +65,7 @@ def unify_sources(raws: dict[str, DataFrame]) -> DataFrame:
 
 def build_corpus(unified: DataFrame, out: str, cfg: CorpusConfig = CorpusConfig(), gate: bool = True) -> dict[str, DataFrame]:
     """``(row_id, text, label, source)`` in; cleaned, merged and split tables, reports and checks out."""
-    tagged = write_stage(clean.tag_cleaned(unified, "text", cfg.clean), f"{out}/cleaned")
+    tagged = write_stage(clean.tag_cleaned(spread(unified, "row_id"), "text", cfg.clean), f"{out}/cleaned")
     united = clean.kept(tagged)
     usable = noise.remove_noise(united, "text", cfg.min_text_length)
     keyed = usable.withColumn("canonical_text", tx.canonical(F.col("text")))
