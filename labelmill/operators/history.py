@@ -15,8 +15,8 @@ def search(df: DataFrame, query: str = "", prediction: str = "all", text: str =
 
 def mean_latency(df: DataFrame, ms: str = "processing_time_ms", default: str = "~12ms") -> DataFrame:
     """Mean with one decimal as text, or the default for an empty history."""
-    return df.agg(F.coalesce(F.format_string("%.1fms", F.avg(ms)), F.lit(default)).alias("latency")) if default else \
-        df.agg(F.round(F.avg(ms), 1).alias("latency"))
+    mean = F.avg(ms)
+    return df.agg(F.when(mean.isNull(), default).otherwise(F.format_string("%.1fms", mean)).alias("latency"))
 
 
 def newest_first(df: DataFrame, ts: str = "timestamp", id_col: str = "id", top: int | None = None) -> DataFrame:

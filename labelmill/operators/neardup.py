@@ -149,9 +149,10 @@ def _similar(heads: DataFrame, entries: DataFrame, sets: DataFrame, threshold: f
         .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
         .distinct()
     )
+    candidates = materialize(candidates, "candidates")
     # the first row of a big cluster meets many partners: its word set is copied and the pairs are salted
     salted = candidates.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)).cast("int"))
-    leaders = sets.join(heads.select("id").distinct(), "id", "left_semi").select(
+    leaders = sets.join(candidates.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(
         F.col("id").alias("a"), F.col("words").alias("words_a"),
         F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"),
     )
