@@ -96,11 +96,7 @@ def report_text(df: DataFrame, label: str = "label", predicted: str = "predicted
     overall = metrics(df, label, predicted).select(F.format_string(
         "Accuracy: %.4f\nPrecision (Macro): %.4f\nRecall (Macro): %.4f\nF1 (Macro): %.4f",
         "accuracy", "precision_macro", "recall_macro", "f1_macro").alias("overall"))
-    one = F.lit(1)
-    return (
-        body.withColumn("_one", one).join(overall.withColumn("_one", one), "_one")
-        .select(F.concat_ws("\n\n", "body", "overall").alias("text"))
-    )
+    return body.select(F.concat_ws("\n\n", "body", overall.scalar()).alias("text"))
 
 
 # ---------------------------------------------------------------- curves

@@ -168,7 +168,6 @@ def merge_statistics(df: DataFrame, near_duplicates: DataFrame, text: str = "tex
         F.count_if(F.col("_lo") < F.col("_hi")).alias("conflicts_detected"),
         F.count_if(clean > 0).alias("_distinct"),
     )
-    # two one-row aggregates side by side
-    near = near_duplicates.agg(F.count(F.lit(1)).alias("near_duplicates_removed"))
-    joined = totals.withColumn("_one", F.lit(1)).join(near.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    return joined.withColumn("total_output_rows", F.col("_distinct") - F.col("near_duplicates_removed")).drop("_distinct")
+    near = near_duplicates.agg(F.count(F.lit(1))).scalar()
+    counted = totals.withColumn("near_duplicates_removed", near)
+    return counted.withColumn("total_output_rows", F.col("_distinct") - F.col("near_duplicates_removed")).drop("_distinct")

@@ -57,7 +57,15 @@ def cut_points(df: DataFrame, by: Column, id_col: str, seed: int, targets: dict[
 def _with_cuts(df: DataFrame, by: Column, id_col: str, seed: int, targets: dict[str, Column]) -> DataFrame:
     cuts = cut_points(df, by, id_col, seed, targets)
     tagged = df.withColumns({"_by": by, "_h": draw_key(id_col, seed)})
-    return tagged.join(F.broadcast(cuts), "_by", "left")
+    return tagged.join(F.broadcast(cuts), "_by", "left")  # one row per class
+
+
+def _with_global_cuts(df: DataFrame, id_col: str, seed: int, targets: dict[str, Column]) -> DataFrame:
+    """The same over the whole table: each cut is one number, read by a scalar subquery."""
+    cuts = cut_points(df, F.lit(0), id_col, seed, targets)
+    return df.withColumn("_h", draw_key(id_col, seed)).withColumns(
+        {f"_cut_{name}": cuts.agg(F.max(f"_cut_{name}")).scalar() for name in targets}
+    )
 
 
 def _in_domain(label: str, labels) -> Column:
@@ -81,7 +89,7 @@ def presample(df: DataFrame, n: int, factor: int = 3, **kw) -> DataFrame:
 
 def random_subset(df: DataFrame, n: int, id_col: str = "row_id", seed: int = 42) -> DataFrame:
     """``min(n, rows)`` rows."""
-    out = _with_cuts(df, F.lit(0), id_col, seed, {"n": F.lit(n)})
+    out = _with_global_cuts(df, id_col, seed, {"n": F.lit(n)})
     return out.filter(F.col("_h") <= F.col("_cut_n")).select(*df.columns)
 
 
@@ -153,7 +161,7 @@ def shuffle_split(df: DataFrame, cfg: SplitConfig = SplitConfig(), id_col: str =
     total = F.col("_total").cast("double")
     train = F.floor(total * cfg.train_ratio)
     targets = {"train": train, "val": train + F.floor(total * cfg.val_ratio)}
-    out = _with_cuts(df, F.lit(0), id_col, cfg.seed, targets)
+    out = _with_global_cuts(df, id_col, cfg.seed, targets)
     return out.withColumn("split", _split_name()).select(*df.columns, "split")
 
 

@@ -71,18 +71,15 @@ def stage_funnel(merge_stats: DataFrame) -> DataFrame:
 
 def statistics_document(df: DataFrame, merge_stats: DataFrame, split_meta: DataFrame, text: str = "text",
                         label: str = "label") -> DataFrame:
-    """One row that nests all statistics, ready for a JSON sink. Each part is a small aggregate."""
-    def one(part: DataFrame, column: F.Column) -> DataFrame:
-        return part.agg(column).withColumn("_one", F.lit(1))
-
-    classes = one(class_names(df, label), F.map_from_entries(F.collect_list(F.struct("class_name", "n"))).alias("class_distribution"))
-    lengths = one(length_stats(df, text), F.first(F.struct("average_words", "max_words", "average_characters", "max_characters")).alias("sentence_length"))
-    total = one(df.agg(F.count(F.lit(1)).alias("n")), F.first("n").alias("total_samples"))
-    vocabulary = one(vocabulary_size(df, text), F.first("vocabulary_size").alias("vocabulary_size"))
-    frequent = one(top_words(df, 20, text), F.sort_array(F.collect_list(F.struct("n", "word")), asc=False).alias("top_frequent_words"))
-    merged = one(merge_stats, F.first(F.struct(*merge_stats.columns)).alias("merge_statistics"))
-    splits = one(split_meta, F.sort_array(F.collect_list(F.struct(*split_meta.columns))).alias("split_statistics"))
-    out = total
-    for part in (classes, lengths, vocabulary, frequent, merged, splits):
-        out = out.join(part, "_one")
-    return out.drop("_one")
+    """One row that nests all statistics, ready for a JSON sink; each part is a small aggregate."""
+    parts = {
+        "class_distribution": class_names(df, label).agg(F.map_from_entries(F.collect_list(F.struct("class_name", "n")))),
+        "sentence_length": length_stats(df, text).select(
+            F.struct("average_words", "max_words", "average_characters", "max_characters")),
+        "vocabulary_size": vocabulary_size(df, text),
+        "top_frequent_words": top_words(df, 20, text).agg(F.sort_array(F.collect_list(F.struct("n", "word")), asc=False)),
+        "merge_statistics": merge_stats.select(F.struct(*merge_stats.columns)),
+        "split_statistics": split_meta.agg(F.sort_array(F.collect_list(F.struct(*split_meta.columns)))),
+    }
+    total = df.agg(F.count(F.lit(1)).alias("total_samples"))
+    return total.select("total_samples", *[part.scalar().alias(name) for name, part in parts.items()])

@@ -37,14 +37,12 @@ def validate_profile(spark, d):
 FROM documents LEFT JOIN labels USING (doc_id)""")
 def null_blank_missing(spark, d):
     """The single checks, side by side."""
-    df, one = _with_labels(spark, d), F.lit(1).alias("one")
-    missing = validate.missing_labels(df, ["quality", "toxic"]).withColumnsRenamed(
-        {"quality": "missing_quality", "toxic": "missing_toxic"})
-    parts = [validate.null_text_count(df, "text"), validate.blank_text_count(df, "text"), missing]
-    first, *rest = [p.select("*", one) for p in parts]
-    for p in rest:  # one-row tables
-        first = first.join(p, "one")
-    return first.drop("one")
+    df = _with_labels(spark, d)
+    missing = validate.missing_labels(df, ["quality", "toxic"])
+    return missing.select(
+        validate.null_text_count(df, "text").scalar().alias("null_text_samples"),
+        validate.blank_text_count(df, "text").scalar().alias("empty_text_samples"),
+        F.col("quality").alias("missing_quality"), F.col("toxic").alias("missing_toxic"))
 
 
 @query("""SELECT (count(*) - count(DISTINCT text))::BIGINT AS duplicate_texts FROM documents""")
