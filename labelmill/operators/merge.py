@@ -138,7 +138,7 @@ def conflict_report(audit: DataFrame, top: int = 20, width: int = 60) -> DataFra
 
 def canonical_dedup(df: DataFrame, text: str = "text", order_by: str = "row_id") -> DataFrame:
     """First row of every canonical text."""
-    return keep_first(df, tx.canonical(F.col(text)), order_by)
+    return keep_first(df, tx.fingerprint(tx.canonical(F.col(text))), order_by)
 
 
 def merge_statistics(df: DataFrame, near_duplicates: DataFrame, text: str = "text", min_length: int = 5,

@@ -271,23 +271,3 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", id_col: str = "row_i
     """Rows that survive the greedy rule."""
     gone = removed_by(df, text, id_col, threshold, group_limit).select(F.col("id").alias(id_col))
     return df.join(gone, id_col, "left_anti")
-
-
-def approximate_candidates(df: DataFrame, text: str = "text", id_col: str = "row_id", threshold: float = 0.9,
-                           hash_tables: int = 8, features: int = 1 << 20) -> DataFrame:
-    """MinHash variant for a quick look: verified pairs of distinct word sets, some may be missed."""
-    from pyspark.ml.feature import HashingTF, MinHashLSH
-
-    sets = df.select(F.col(id_col).alias("id"), word_set(F.col(text)).alias("words")).filter(F.size("words") > 0)
-    sets = keep_first(sets, tx.fingerprint(F.array_join("words", " ")), "id")
-    vectors = HashingTF(inputCol="words", outputCol="vector", numFeatures=features, binary=True).transform(sets)
-    model = MinHashLSH(inputCol="vector", outputCol="hashes", numHashTables=hash_tables, seed=42).fit(vectors)
-    near = model.approxSimilarityJoin(vectors, vectors, 1 - threshold + 0.05, "distance")
-    a, b = F.col("datasetA"), F.col("datasetB")
-    shared = F.size(F.array_intersect(a["words"], b["words"]))
-    similarity = shared / (F.size(a["words"]) + F.size(b["words"]) - shared)
-    return (
-        near.filter(a["id"] < b["id"])
-        .select(a["id"].alias("a"), b["id"].alias("b"), similarity.alias("similarity"))
-        .filter(F.col("similarity") >= threshold)
-    )

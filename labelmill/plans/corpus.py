@@ -108,7 +108,7 @@ def build_legacy(unified: DataFrame, cfg: CleanConfig = CleanConfig(mask_names=T
     if split.sample_size_per_class > 0:
         raw = sampling.presample(raw, split.sample_size_per_class, seed=split.seed)
     cleaned = materialize(clean.clean_legacy(raw, "text", cfg).filter(F.col("clean_text") != ""), "legacy-clean")
-    single = keep_first(merge.drop_conflicts(cleaned, "clean_text"), F.col("clean_text"))
+    single = keep_first(merge.drop_conflicts(cleaned, "clean_text"), tx.fingerprint(F.col("clean_text")))
     n = split.sample_size_per_class
     balanced = sampling.undersample(single, n, seed=split.seed)
     parts = materialize(sampling.shuffle_split(balanced, split), "legacy-splits")

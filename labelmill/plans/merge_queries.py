@@ -199,12 +199,6 @@ def near_dup_survivors(spark, d):
     return neardup.drop_near_duplicates(_distinct(spark, d), threshold=0.9).select("row_id")
 
 
-@query()
-def near_dup_approximate(spark, d):
-    """MinHash candidates with exact verification."""
-    return neardup.approximate_candidates(_distinct(spark, d), threshold=0.9)
-
-
 def _merge_statistics(spark, d):
     rows = labelled(spark, d)
     keyed = noise.remove_noise(rows).withColumn("canonical_text", tx.canonical(F.col("text")))

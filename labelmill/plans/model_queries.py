@@ -59,13 +59,3 @@ def hyperparameter_search(spark, d):
     fitted = model.train(rows.filter("split = 'train'"), best)
     scored = model.score(rows, fitted, prepared=True)
     return evaluate.metrics(scored).withColumn("search_f1", F.lit(f1))
-
-
-@query()
-def flagged_words(spark, d):
-    """Words that push texts most towards their predicted class."""
-    fitted = _trained(_prepared(spark, d))
-    parts = model.token_importance(labelled(spark, d), fitted).filter(~F.col("is_special"))
-    weight = F.round(F.sum("importance_score"), 4)
-    return parts.groupBy("token").agg(weight.alias("weight")).orderBy(F.desc("weight"), "token").limit(50)
-

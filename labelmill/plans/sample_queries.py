@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelmill.config import SplitConfig
 from labelmill.operators import merge, neardup, noise, qa, sampling, stats
 from labelmill.functions import labels as lb
 from labelmill.functions import text as tx

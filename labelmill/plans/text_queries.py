@@ -16,7 +16,6 @@ def _step(spark, d, step, name="documents", column="text", key="doc_id"):
     return t.select(key, step(F.col(column)).alias("text"))
 
 
-WS = r"[\s\x0b]+"
 CAMEL_SQL = ("trim(regexp_replace(regexp_replace({0}, '(.)([A-Z][a-z]+)', '\\1 \\2', 'g'), "
              "'([a-z0-9])([A-Z])', '\\1 \\2', 'g'))")
 HASHTAG_SQL = ("list_reduce(list_distinct(regexp_extract_all({0}, '#[\\p{{L}}\\p{{N}}_]+')), "
@@ -172,7 +171,6 @@ def token_join(spark, d):
     return _step(spark, d, lambda c: tx.join_tokens(tx.words(c)))
 
 
-MASKED_SQL = MENTION_SQL.format("regexp_replace(text, '[a-zA-Z]+', '', 'g')", "")
 
 
 @query(f"""SELECT doc_id, CASE WHEN trim(cleaned) <> '' THEN cleaned

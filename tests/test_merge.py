@@ -142,15 +142,6 @@ def test_edge_cases(spark):
     assert sorted(r["row_id"] for r in neardup.drop_near_duplicates(chain_df, threshold=0.93).collect()) == [1, 3]
 
 
-def test_approximate_pairs_are_true_pairs(spark):
-    rows = corpus(5, 120, 300, (20, 30))
-    df = spark.createDataFrame(rows, "row_id long, text string")
-    texts = dict(rows)
-    for r in neardup.approximate_candidates(df, threshold=0.8).collect():
-        a, b = set(texts[r["a"]].split()), set(texts[r["b"]].split())
-        assert len(a & b) / len(a | b) >= 0.8
-
-
 def test_merge_statistics(spark):
     rows = [(1, "One good text", 0), (2, "one good text ", 1), (3, "bad", 0), (4, "another fine text", 2), (5, None, 1)]
     df = spark.createDataFrame(rows, "row_id long, text string, label int")
