@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import decontam, line_dedup, mixing, near_dedup, pii, quality, substring_dedup
+from labelmill.llm import decontam, html_text, language_model, line_dedup, mixing, near_dedup, pii, quality, substring_dedup, url_filter
 from labelmill.llm.common import docs_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,19 @@ FROM d LEFT JOIN joined j USING (doc_id) LEFT JOIN counts USING (doc_id)""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.drop_repeated_substrings(docs_table(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@query("op1_lm_scoring")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(docs_table(spark, sf_dir).select("doc_id", "text"))
+
+
+@query("op3_html_extraction")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(docs_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op7_url_filters")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge_urls(docs_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")

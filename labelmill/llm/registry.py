@@ -1,5 +1,8 @@
-"""All queries of this subpackage."""
+"""All queries of this subpackage, the pipeline among them."""
 
+import corpus_pipeline
 from labelmill.llm.queries import QUERIES, SQL
 
-LLM_QUERIES, LLM_SQL = dict(QUERIES), dict(SQL)
+LLM_QUERIES, LLM_SQL = {**QUERIES, "pipeline": corpus_pipeline.run}, dict(SQL)
+if corpus_pipeline.ORACLE_SQL:
+    LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
