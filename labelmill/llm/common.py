@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelmill.storage import materialize, shared_dir
 
-__all__ = ["SPACE", "ascii_lower", "count_words", "docs_table", "materialize", "shared_dir", "small", "whole", "without"]
+__all__ = ["SPACE", "ascii_lower", "count_words", "docs_table", "materialize", "shared_dir", "small", "whole", "Carried"]
 
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -21,17 +21,32 @@ def ascii_lower(text: Column) -> Column:
 
 def whole(text: str = "text") -> Column:
     """The whole text, a null one as an empty one."""
-    return F.coalesce(F.col(text), F.lit(""))
+    return F.coalesce(F.col(quoted(text)), F.lit(""))
 
 
 def count_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(NOT_SPACE)).cast("long")
 
 
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """``df`` without columns of these names, in whatever case; made for outputs that would clash."""
-    taken = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+class Carried:
+    """The columns of a table on their way through an operator, under names that clash with nothing.
+
+    ``replaced``: names of result columns; columns of these names, in whatever case, are left behind.
+    """
+
+    def __init__(self, df: DataFrame, *replaced: str):
+        taken = {n.lower() for n in replaced}
+        self.names = [c for c in df.columns if c.lower() not in taken]
+        self.cols = [F.col(quoted(c)).alias(f"_in{i}") for i, c in enumerate(self.names)]
+        self.fields = ", ".join(f"_in{i} {f.dataType.simpleString()}" for i, f in enumerate(df.select(*[F.col(quoted(c)) for c in self.names]).schema.fields))
+
+    def back(self, **instead: Column) -> list[Column]:
+        """The columns under their own names; ``instead`` puts others in the place of some."""
+        return [instead[c].alias(c) if c in instead else F.col(f"_in{i}").alias(c) for i, c in enumerate(self.names)]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def small(df: DataFrame, rows: int) -> bool:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import ascii_lower, materialize, small, whole, without
+from labelmill.llm.common import ascii_lower, materialize, small, whole, Carried
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
@@ -56,7 +56,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     """
     windows = materialize(benchmark_windows(items, item_col, item_text_col, span), "bench-windows")
     lengths = sorted(r[0] for r in windows.select(F.size("words").alias("n")).distinct().collect())  # span values at most
-    rest = without(docs, "n_words", "n_hit", "n_items", "items", "contaminated")
+    rest = Carried(docs, "n_words", "n_hit", "n_items", "items", "contaminated")
     key = [F.col(id_col).alias("_id"), F.xxhash64(whole(text_col)).alias("_version")]
     hits = None
     for n in lengths:
@@ -68,10 +68,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
         met = prints.join(_hinted(materialize(bench, "bench-prints")), "_h").groupBy("_id", "_version").agg(F.collect_set("_h").alias("_met"))
         found = _extend(docs, materialize(met, "bench-met"), windows.where(F.size("words") == n), key, id_col, text_col, n, size)
         hits = found if hits is None else hits.unionByName(found)
-    base = rest.select(*[F.col(f"`{c}`") for c in rest.columns], F.xxhash64(whole(text_col)).alias("_version"),
+    base = docs.select(*rest.cols, F.col(id_col).alias("_own"), F.xxhash64(whole(text_col)).alias("_version"),
                        F.regexp_count(whole(text_col), F.lit(WORD)).cast("long").alias("n_words"))
     if hits is None:
-        judged = base.select(*[F.col(f"`{c}`") for c in rest.columns], "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        judged = base.select(*rest.back(), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     else:
         hits = materialize(hits, "bench-hits")
         cover = (hits.select("_id", "_version", "_at", "_n").distinct()
@@ -79,8 +79,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
         named = hits.select("_id", "_version", "item").distinct().groupBy("_id", "_version").agg(F.array_sort(F.collect_list("item")).alias("items"))
         both = cover.alias("c").join(named.alias("i"), F.col("c._id").eqNullSafe(F.col("i._id")) & (F.col("c._version") == F.col("i._version"))).select(
             F.col("c._id").alias("_id"), F.col("c._version").alias("_hit_version"), "n_hit", "items")
-        joined = base.join(both, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_hit_version")), "left")
-        judged = joined.select(*[F.col(f"`{c}`") for c in rest.columns], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        joined = base.join(both, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_hit_version")), "left")
+        judged = joined.select(*rest.back(), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                                F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     share = F.lit(round(1 / least_share)) * F.col("n_hit") >= F.col("n_words")
     return judged.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & share)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import whole, without
+from labelmill.llm.common import Carried, whole
 from labelmill.llm.quality import COMMON_WORDS
 
 STOP_WORDS = frozenset(COMMON_WORDS)
@@ -174,7 +174,7 @@ def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     Null or empty html, or a page without main text: empty text. Columns named ``text`` or ``n_chars`` are replaced. Repeated rows are
     judged each. No rows: no rows. Pages cut off in the middle are read as far as they go.
     """
-    rest = without(pages, "text", "n_chars", html_col)
-    plain = pages.select(*[F.col(f"`{c}`") for c in rest.columns], whole(html_col).alias("_html"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    return plain.mapInArrow(_extract, f"{fields}, text string, n_chars bigint" if fields else "text string, n_chars bigint")
+    rest = Carried(pages, "text", "n_chars", html_col)
+    plain = pages.select(*rest.cols, whole(html_col).alias("_html"))
+    made = plain.mapInArrow(_extract, ", ".join(x for x in (rest.fields, "text string, n_chars bigint") if x))
+    return made.select(*rest.back(), "text", "n_chars")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import ascii_lower, materialize, whole, without
+from labelmill.llm.common import ascii_lower, materialize, whole, Carried
 
 STRIPPED = " \t\n\x0b\f\r"
 
@@ -31,7 +31,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     that at least ``min_docs`` different documents hold lose all their lines, except those in the smallest id that holds
     the key. Null text: one empty line. Null ids: passed through unchanged and not counted as holders. Rows that repeat an
     id count as one document. All lines dropped: empty text. No rows: no rows. Columns named ``n_lines`` or ``n_dropped``
-    are replaced; all others come back as they are.
+    are replaced; all others come back as they are, before the text.
     """
     lines = materialize(line_keys(docs, id_col, text_col, min_chars), "line-keys")
     if min_docs <= 2:
@@ -41,13 +41,12 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         holders = once.groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where(F.col("_n") >= min_docs)
     drops = (lines.join(holders.select("_h1", "_h2", "_first"), ["_h1", "_h2"]).where("_id > _first")
              .groupBy("_id", "_version").agg(F.collect_set("_pos").alias("_drop")))
-    rest = without(docs, "n_lines", "n_dropped")
-    split = rest.select(*[F.col(f"`{c}`") for c in rest.columns if c != text_col],
-                        F.split(whole(text_col), "\n", -1).alias("_lines"), F.xxhash64(whole(text_col)).alias("_version"))
-    joined = split.join(drops, (F.col(id_col) == F.col("_id")) & (split["_version"] == drops["_version"]), "left")
+    drops = drops.select(F.col("_id").alias("_drop_id"), F.col("_version").alias("_drop_version"), "_drop")
+    rest = Carried(docs, "n_lines", "n_dropped", text_col)
+    split = docs.select(*rest.cols, F.col(id_col).alias("_id"), F.split(whole(text_col), "\n", -1).alias("_lines"), F.xxhash64(whole(text_col)).alias("_version"))
+    joined = split.join(drops, (F.col("_id") == F.col("_drop_id")) & (F.col("_version") == F.col("_drop_version")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
     text = F.when(F.col("_drop").isNull(), F.array_join("_lines", "\n")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.col("_lines")[i]), "\n"))
-    return joined.select(*[(text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in rest.columns],
-                         F.size("_lines").cast("long").alias("n_lines"),
+    return joined.select(*rest.back(), text.alias(text_col), F.size("_lines").cast("long").alias("n_lines"),
                          F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import count_words, materialize, whole, without
+from labelmill.llm.common import count_words, materialize, Carried, whole
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BLOCKS = 256
@@ -178,10 +178,9 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     plan = draws(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
     turns = F.filter(F.array(F.struct(F.col("t1").alias("n"), F.col("shard1").alias("shard")), F.struct(F.col("t2").alias("n"), F.col("shard2").alias("shard"))), lambda t: t["n"] > 0)
     plan = plan.select(F.col("source").alias("_source"), F.col("order").alias("_order"), "size", F.explode(turns).alias("_turn"))
-    rest = without(docs, "shard", "position").withColumn("_mine", F.xxhash64(F.lit(seed), F.col(id_col), whole(text_col)))
-    rest = rest.dropDuplicates([source_col, "_mine"])
-    joined = rest.join(plan, (F.col("_mine") == F.col("_order")) & rest[source_col].eqNullSafe(plan["_source"]))
-    cut = F.array_join(F.slice(F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("_turn.n").cast("int")), "")
-    text = F.when(F.col("_turn.n") < F.col("size"), cut).otherwise(F.col(text_col))
-    return joined.select(*[(text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in rest.columns if c != "_mine"],
-                         F.col("_turn.shard").alias("shard"), F.xxhash64(F.lit(1), "_order", "_turn.shard").alias("position"))
+    rest = Carried(docs, "shard", "position", text_col)
+    held = docs.select(*rest.cols, F.col(source_col).alias("_own"), F.col(text_col).alias("_text"), F.xxhash64(F.lit(seed), F.col(id_col), whole(text_col)).alias("_mine"))
+    joined = held.dropDuplicates(["_own", "_mine"]).join(plan, (F.col("_mine") == F.col("_order")) & F.col("_own").eqNullSafe(F.col("_source")))
+    cut = F.array_join(F.slice(F.split("_text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("_turn.n").cast("int")), "")
+    text = F.when(F.col("_turn.n") < F.col("size"), cut).otherwise(F.col("_text"))
+    return joined.select(*rest.back(), text.alias(text_col), F.col("_turn.shard").alias("shard"), F.xxhash64(F.lit(1), "_order", "_turn.shard").alias("position"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.llm.bytesops import hash_words, shingles
-from labelmill.llm.common import materialize, small, whole, without
+from labelmill.llm.common import materialize, small, whole, Carried
 from labelmill.llm.graph import components
 
 K = 32           # retained values of a set
@@ -161,4 +161,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; rows that repeat its id all stay."""
     gone = near_duplicates(docs, id_col, text_col, width, percent).where(~F.col("kept")).select(F.col("id").alias("_gone")).distinct()
-    return without(docs, "_gone").join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    rest = Carried(docs)
+    held = docs.select(*rest.cols, F.col(id_col).cast("long").alias("_id"))
+    return held.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select(*rest.back())

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import whole, without
+from labelmill.llm.common import whole, Carried
 
 
 def luhn(value: Column) -> Column:
@@ -94,9 +94,9 @@ def find_pii(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] =
     four base kinds don't depend on context; account numbers must pass mod 97, secrets need a context word such as
     ``token`` before them. Null or empty text: no spans. A column named ``pii`` is replaced, all others stay.
     """
-    rest = without(docs, "pii")
-    each = rest.select(*[F.col(f"`{c}`") for c in rest.columns], *[spans_of(whole(text_col), k).alias(f"_pii_{k.name}") for k in kinds])
-    return each.select(*[F.col(f"`{c}`") for c in rest.columns], F.concat(*[F.col(f"_pii_{k.name}") for k in kinds]).alias("pii"))
+    rest = Carried(docs, "pii")
+    each = docs.select(*rest.cols, *[spans_of(whole(text_col), k).alias(f"_pii_{k.name}") for k in kinds])
+    return each.select(*rest.back(), F.concat(*[F.col(f"_pii_{k.name}") for k in kinds]).alias("pii"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:

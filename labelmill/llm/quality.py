@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.llm.bytesops import hash_words, shingles
-from labelmill.llm.common import materialize, whole
+from labelmill.llm.common import Carried, materialize, quoted, whole
 
 # Frequent function words of the languages at hand; what counts is how often each language uses them, learnt from the corpus.
 COMMON_WORDS = tuple(
@@ -103,27 +103,28 @@ def shares(hist: Column) -> Column:
 
 
 def judge_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_class: float = MAX_CLASS_DISTANCE,
-                  max_word: float = MAX_WORD_DISTANCE, words: tuple[str, ...] = COMMON_WORDS, keep_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep_columns`` of each row with base counts, ``class_distance``, ``word_distance``, ``base_failed`` and ``kept``.
+                  max_word: float = MAX_WORD_DISTANCE, words: tuple[str, ...] = COMMON_WORDS) -> DataFrame:
+    """``docs`` with base counts, ``class_distance``, ``word_distance``, ``base_failed`` and ``kept``.
 
     Base rules: fewer than 50 words, or more than half of the words in 3-word windows found twice or more in the text. Texts of
     50 words and 200 characters or more are also rejected when one of their distances from the reference of their language is
-    too large. Null language: a language of its own. Null or empty text: no words, so rejected. Repeated rows are
-    judged each. No rows: no rows. Counts replace columns of the same name among ``keep_columns``.
+    too large. Null language: a language of its own. Null or empty text: no words, so rejected. Repeated rows are judged
+    each. No rows: no rows. Columns with the names of the results are replaced.
     """
-    kept = [c for c in keep_columns if c not in BASE_COUNTS]
-    plain = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(lang_col).alias("_lang"), whole(text_col).alias("_text"))
-    schema = [*plain.drop("_text").schema.fields]
-    ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in schema], *[f"{c} bigint" for c in BASE_COUNTS], "_classes array<bigint>, _common array<bigint>"])
+    rest = Carried(docs, *BASE_COUNTS, "class_distance", "word_distance", "base_failed", "kept")
+    held = [f"_in{i}" for i in range(len(rest.names))]
+    plain = docs.select(*rest.cols, F.col(quoted(lang_col)).alias("_lang"), whole(text_col).alias("_text"))
+    lang = plain.schema["_lang"].dataType.simpleString()
+    ddl = ", ".join([*([rest.fields] if held else []), f"_lang {lang}", *[f"{c} bigint" for c in BASE_COUNTS], "_classes array<bigint>, _common array<bigint>"])
     counted = materialize(plain.mapInArrow(_measure(words), ddl), "quality-counts")
     n_words = len(dict.fromkeys(words)) + 1
     adding = lambda col, n: F.array(*[F.sum(F.col(col)[i]) for i in range(n)])
     refs = counted.groupBy("_lang").agg(adding("_classes", len(CLASSES)).alias("c"), adding("_common", n_words).alias("w"))
     refs = refs.select(F.col("_lang").alias("_ref"), shares(F.col("c")).alias("_ref_classes"), shares(F.col("w")).alias("_ref_common"))
-    rows = counted.select(*kept, *BASE_COUNTS, "_lang", F.aggregate("_classes", F.lit(0).cast("long"), lambda a, x: a + x).alias("_chars"),
+    rows = counted.select(*held, *BASE_COUNTS, "_lang", F.aggregate("_classes", F.lit(0).cast("long"), lambda a, x: a + x).alias("_chars"),
                           shares(F.col("_classes")).alias("_c"), shares(F.col("_common")).alias("_w"))
     joined = rows.join(refs, F.col("_lang").eqNullSafe(F.col("_ref")))
-    measured = joined.select(*kept, *BASE_COUNTS, "_chars", shannon_distance(F.col("_c"), F.col("_ref_classes")).alias("class_distance"),
+    measured = joined.select(*rest.back(), *BASE_COUNTS, "_chars", shannon_distance(F.col("_c"), F.col("_ref_classes")).alias("class_distance"),
                              shannon_distance(F.col("_w"), F.col("_ref_common")).alias("word_distance"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     strange = (F.col("_chars") >= LEAST_CHARS) & ((F.col("class_distance") > max_class) | (F.col("word_distance") > max_word))
@@ -132,6 +133,6 @@ def judge_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """The rows of ``docs`` that :func:`judge_quality` keeps, with their columns."""
-    held = docs.select(*[F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(docs.columns)], F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
-    judged = judge_quality(held, "_t", "_l", keep_columns=tuple(f"_in_{i}" for i in range(len(docs.columns))), **options)
-    return judged.where("kept").select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    held = docs.select(*[F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col(quoted(text_col)).alias("_t"), F.col(quoted(lang_col)).alias("_l"))
+    judged = judge_quality(held, "_t", "_l", **options)
+    return judged.where("kept").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.llm.bytesops import mix64, power_tables
-from labelmill.llm.common import materialize, small, whole
+from labelmill.llm.common import Carried, materialize, small, whole
 from labelmill.llm.runlength_index import RunLengthIndex
 
 ANCHOR = 24
@@ -210,14 +210,14 @@ def _remove(names: list[str], counts: tuple[str, ...]):
     return run
 
 
-def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 100, k: int = ANCHOR,
-                             keep_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep_columns`` of each row with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_bytes`` (what remains, joined).
+def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 100, k: int = ANCHOR) -> DataFrame:
+    """``docs`` without ``text_col`` but with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_bytes`` (what remains, joined).
 
     A byte of a text's UTF-8 form goes when a string of ``span`` bytes that covers it also starts earlier: in a document with a
     smaller id, or earlier in the same one. Judged on the input as it stands. Null text: empty. A null id counts as the
     smallest. Rows that repeat an id and its text are one document (each gets its result); other texts with the same id
-    come in the order of a hash of the text. Texts shorter than ``span`` stay. No rows: no rows.
+    come in the order of a hash of the text. Texts shorter than ``span`` stay. No rows: no rows. Columns
+    with the names of the results are replaced.
     """
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(whole(text_col)).alias("_version"), whole(text_col).alias("_text")]
     texts = docs.select(*key)
@@ -245,11 +245,11 @@ def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col:
     marks = again.unionByName(indexed).unionByName(counted_out).groupBy("_id", "_version").agg(F.collect_set(F.struct("_from", "_to")).alias("_spans"))
     marks = materialize(marks, "byte-marks")
     counts = ("n_bytes", "n_removed", "n_spans")
-    kept = [c for c in keep_columns if c not in (*counts, "kept_bytes")]
-    rest = docs.select(*[F.col(f"`{c}`") for c in kept], *key)
-    joined = _with_texts(rest, marks, "left")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema.fields)
-    return joined.select(*kept, "_text", "_spans").mapInArrow(_remove(kept, counts), f"{fields}, " + ", ".join(f"{c} bigint" for c in counts) + ", kept_bytes binary")
+    rest = Carried(docs, *counts, "kept_bytes", text_col)
+    held = [f"_in{i}" for i in range(len(rest.names))]
+    joined = _with_texts(docs.select(*rest.cols, *key), marks, "left")
+    schema = ", ".join([*([rest.fields] if held else []), *[f"{c} bigint" for c in counts], "kept_bytes binary"])
+    return joined.select(*held, "_text", "_spans").mapInArrow(_remove(held, counts), schema).select(*rest.back(), *counts, "kept_bytes")
 
 
 def _with_texts(texts: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:

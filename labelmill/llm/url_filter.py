@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import ascii_lower, materialize, whole, without
+from labelmill.llm.common import Carried, ascii_lower, materialize, whole
 
 # Fixed values: (host, path) and verdict; a rule also fits all subdomains and all paths that begin with its path.
 RULES = (
@@ -95,8 +95,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     are judged like others. No rows: no rows. Columns with the names of the results are replaced.
     """
     names = ("host", "path", "rule", "verdict", "score", "host_words")
-    rest = without(pages, *names, html_col)
-    parsed = pages.select(*[F.col(f"`{c}`") for c in rest.columns], F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.coalesce(path_of(F.col(url_col)), F.lit("")).alias("path"))
+    rest = Carried(pages, *names, html_col)
+    parsed = pages.select(*rest.cols, F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.coalesce(path_of(F.col(url_col)), F.lit("")).alias("path"))
     # Equal (host, path shape) pairs are judged once; most pages share few hosts.
     tokens_of_path = F.filter(F.split(ascii_lower(F.regexp_replace("path", "[0-9]+", "0")), "[^a-z0-9\\x{80}-\\x{10FFFF}]+"), lambda t: t != "")
     shaped = parsed.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("_shape", F.array_join(tokens_of_path, "/"))
@@ -126,4 +126,4 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         F.col("host").alias("_host"), F.col("_shape").alias("_shape2"), F.coalesce("host_words", F.array().cast("array<string>")).alias("host_words"), (F.lit(prior) + F.coalesce("gain", F.lit(0.0))).alias("score"))
     joined = shaped.join(materialize(scores, "url-scores"), (F.col("host") == F.col("_host")) & (F.col("_shape") == F.col("_shape2")))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("score") >= 0, "allow").otherwise("block"))
-    return joined.select(*[F.col(f"`{c}`") for c in rest.columns], "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "score", "host_words")
+    return joined.select(*rest.back(), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "score", "host_words")
