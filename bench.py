@@ -29,7 +29,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("labelmill-bench")
-        .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", cpus).config("spark.labelmill.dealOut", cpus).config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

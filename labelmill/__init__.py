@@ -1,9 +1,5 @@
-"""labelmill: Spark operators for building and judging labelled text corpora.
+"""Spark operators for building and judging labelled text corpora."""
 
-Every operator is a ``DataFrame -> DataFrame`` function (or a column
-expression) over the public DataFrame, ML and Structured Streaming APIs.
-"""
+from labelmill.config import Split
 
-from labelmill.config import CleanConfig, CorpusConfig, SplitConfig
-
-__all__ = ["CleanConfig", "CorpusConfig", "SplitConfig"]
+__all__ = ["Split"]

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.config import CleanConfig
 from labelmill.functions import text as tx
 from labelmill.functions import unicode as un
 from labelmill.operators.language import detected_language
@@ -19,102 +18,106 @@ from labelmill.operators.names import mask_names
 class Step:
     name: str
     apply: Callable[[Column], Column]
-    enabled: bool = True
 
 
-def _html_steps(on: bool, always: bool) -> list[Step]:
+def _html_steps(always: bool) -> tuple[Step, Step]:
     """Tags go first, then entities are decoded, in one test-and-strip and one Arrow step.
 
     A text without tags keeps its entities unless ``always`` is set; the mark of a stripped text is a
     leading NUL, which no cleaned text holds.
     """
     if always:
-        return [Step("html_tags", lambda c: tx.strip_tags(c, always=True), on),
-                Step("html_entities", un.unescape_entities, on)]
-    mark = F.lit("\x00")
-    return [
-        Step("html_tags", lambda c: F.when(tx.looks_like_html(c), F.concat(mark, tx.strip_tags(c, always=True))).otherwise(c), on),
-        Step("html_entities", lambda c: un.unescape_marked(c, "\x00"), on),
-    ]
-
-
-def modular_steps(cfg: CleanConfig) -> list[Step]:
-    """Default order. Reorder or drop entries to get another cleaner."""
-    return [
-        Step("blank", tx.guard_blank),
-        Step("unicode", un.repair_unicode if cfg.remove_corrupted_unicode else un.nfkc),
-        *_html_steps(cfg.remove_html, always=False),
-        Step("markdown", tx.strip_markdown, cfg.handle_markdown_formatting),
-        Step("reddit", tx.strip_reddit, cfg.handle_reddit_formatting),
-        Step("urls", tx.strip_urls, cfg.remove_urls),
-        Step("emails", tx.strip_emails, cfg.remove_emails),
-        Step("mentions", tx.strip_mentions, cfg.remove_mentions),
-        Step("hashtags", tx.expand_hashtags, cfg.handle_hashtags),
-        Step("emojis", un.name_emojis, cfg.normalize_emojis),
-        Step("emoji_marks", tx.drop_name_marks, cfg.normalize_emojis),
-        Step("repeats", tx.squeeze_repeats, cfg.normalize_repeated_chars),
-        Step("quotes", tx.straighten_quotes, cfg.normalize_quotes),
-        Step("punctuation", tx.squeeze_punctuation, cfg.normalize_punctuation),
-        Step("invisible", lambda c: tx.strip_invisible(c, cfg.control_chars), cfg.remove_invisible_chars),
-        Step("obfuscation", tx.expand_obfuscations, cfg.expand_obfuscations),
-        Step("lower", tx.lower, cfg.lowercase),
-        Step("space", tx.squeeze_space if cfg.normalize_whitespace else tx.strip),
-    ]
-
-
-def legacy_steps(cfg: CleanConfig) -> list[Step]:
-    """The older cleaner: fewer steps, HTML first, optional name masking."""
-    return [
-        Step("blank", tx.guard_blank),
-        *_html_steps(cfg.remove_html, always=True),
-        Step("unicode", un.nfkc, cfg.remove_corrupted_unicode),
-        Step("urls", tx.strip_urls, cfg.remove_urls),
-        Step("mentions", tx.strip_mentions, cfg.remove_mentions),
-        Step("hashtags", tx.expand_hashtags, cfg.handle_hashtags),
-        Step("emojis", un.name_emojis, cfg.normalize_emojis),
-        Step("emoji_marks", tx.drop_name_marks, cfg.normalize_emojis),
-        Step("repeats", tx.squeeze_repeats, cfg.normalize_repeated_chars),
-        Step("obfuscation", lambda c: tx.expand_obfuscations(c, tx.LEGACY_OBFUSCATIONS), cfg.expand_obfuscations),
-        Step("names", mask_names, cfg.mask_names),
-        Step("lower", tx.lower, cfg.lowercase),
-        Step("space", tx.squeeze_space),
-    ]
-
-
-def clean_text(
-    df: DataFrame, text: str = "text", cfg: CleanConfig = CleanConfig(), out: str | None = None,
-    steps: list[Step] | None = None,
-) -> DataFrame:
-    """Run the enabled steps over ``text`` into ``out`` (default: in place).
+        return Step("html_tags", lambda c: tx.strip_tags(c, always=True)), Step("html_entities", un.unescape_entities)
+    mark = "\x00"
+    return (
+        Step("html_tags", lambda c: F.when(tx.looks_like_html(c), F.concat(F.lit(mark), tx.strip_tags(c, always=True))).otherwise(c)),
+        Step("html_entities", lambda c: un.unescape_marked(c, mark)),
+    )
+
+
+# The default cleaner. A caller's cleaner is a list of steps: these, some of them, or others in between.
+STEPS = (
+    Step("blank", tx.guard_blank),
+    Step("unicode", un.repair_unicode),
+    *_html_steps(always=False),
+    Step("markdown", tx.strip_markdown),
+    Step("reddit", tx.strip_reddit),
+    Step("urls", tx.strip_urls),
+    Step("emails", tx.strip_emails),
+    Step("mentions", tx.strip_mentions),
+    Step("hashtags", tx.expand_hashtags),
+    Step("emojis", un.name_emojis),
+    Step("emoji_marks", tx.drop_name_marks),
+    Step("repeats", tx.squeeze_repeats),
+    Step("quotes", tx.straighten_quotes),
+    Step("punctuation", tx.squeeze_punctuation),
+    Step("invisible", tx.strip_invisible),
+    Step("obfuscation", tx.expand_obfuscations),
+    Step("lower", tx.lower),
+    Step("space", tx.squeeze_space),
+)
+
+# The older cleaner: fewer steps, HTML first, names masked.
+OLDER_STEPS = (
+    Step("blank", tx.guard_blank),
+    *_html_steps(always=True),
+    Step("unicode", un.nfkc),
+    Step("urls", tx.strip_urls),
+    Step("mentions", tx.strip_mentions),
+    Step("hashtags", tx.expand_hashtags),
+    Step("emojis", un.name_emojis),
+    Step("emoji_marks", tx.drop_name_marks),
+    Step("repeats", tx.squeeze_repeats),
+    Step("obfuscation", lambda c: tx.expand_obfuscations(c, tx.LEGACY_OBFUSCATIONS)),
+    Step("names", mask_names),
+    Step("lower", tx.lower),
+    Step("space", tx.squeeze_space),
+)
+
+
+def leave_out(steps: tuple[Step, ...], *names: str) -> tuple[Step, ...]:
+    """The steps but for those named; an unknown name is an error."""
+    unknown = set(names) - {s.name for s in steps}
+    if unknown:
+        raise ValueError(f"no such steps: {sorted(unknown)}")
+    return tuple(s for s in steps if s.name not in names)
+
+
+def replace_step(steps: tuple[Step, ...], name: str, apply: Callable[[Column], Column]) -> tuple[Step, ...]:
+    """The steps with another function in the place of one."""
+    leave_out(steps, name)
+    return tuple(Step(name, apply) if s.name == name else s for s in steps)
+
+
+def clean_text(df: DataFrame, text: str = "text", steps: tuple[Step, ...] = STEPS, out: str | None = None) -> DataFrame:
+    """Run ``steps`` over ``text`` into ``out`` (default: in place).
 
     One ``withColumn`` per step: Catalyst merges the projections where that repeats no work.
     """
     out = out or text
     df = df.withColumn(out, F.col(text))
-    for step in steps if steps is not None else modular_steps(cfg):
-        if step.enabled:
-            df = df.withColumn(out, step.apply(F.col(out)))
+    for step in steps:
+        df = df.withColumn(out, step.apply(F.col(out)))
     return df
 
 
-def clean_legacy(df: DataFrame, text: str = "text", cfg: CleanConfig = CleanConfig(mask_names=True),
+def clean_legacy(df: DataFrame, text: str = "text", steps: tuple[Step, ...] = OLDER_STEPS, language: str | None = "en",
                  out: str = "clean_text") -> DataFrame:
-    """The older cleaner; a text in another language comes out empty."""
-    df = clean_text(df, text, cfg, out, legacy_steps(cfg))
-    if cfg.language_filter:
+    """The older cleaner; a text in another ``language`` comes out empty."""
+    df = clean_text(df, text, steps, out)
+    if language:
         lang = detected_language(F.col(out), ascii_shortcut=False)
-        df = df.withColumn(out, F.when(lang.isin(cfg.language_filter, "unknown"), F.col(out)).otherwise(""))
+        df = df.withColumn(out, F.when(lang.isin(language, "unknown"), F.col(out)).otherwise(""))
     return df
 
 
-def tag_cleaned(df: DataFrame, text: str = "text", cfg: CleanConfig = CleanConfig(),
-                steps: list[Step] | None = None) -> DataFrame:
+def tag_cleaned(df: DataFrame, text: str = "text", steps: tuple[Step, ...] = STEPS, language: str | None = "en") -> DataFrame:
     """Clean and add ``drop_reason``: ``empty``, ``language`` or null for rows to keep."""
-    df = clean_text(df, text, cfg, steps=steps)
+    df = clean_text(df, text, steps)
     reason = F.when(F.col(text) == "", "empty")
-    if cfg.language_filter:
+    if language:
         lang = detected_language(F.col(text))
-        reason = reason.when(~lang.isin(cfg.language_filter, "unknown"), "language")
+        reason = reason.when(~lang.isin(language, "unknown"), "language")
     return df.withColumn("drop_reason", reason)
 
 

@@ -11,38 +11,49 @@ from labelmill.config import LABELS
 from labelmill.functions import text as tx
 from labelmill.operators.dedup import keep_first
 
-SOURCE_BITS = 40
+SOURCE_BITS = 56  # leaves room for ids of 8 million partitions (bits 33 and up) and 128 sources
 
 
 def unite(tables: list[DataFrame], row_id: str = "row_id") -> DataFrame:
-    """Stack the corpora in the given order; ids are shifted so that they order the whole stack."""
+    """Stack the corpora in the given order; ids are shifted so that they order the whole stack.
+
+    An id that would reach into the next corpus is an error, never a clash.
+    """
+    if len(tables) > 128:
+        raise ValueError("at most 128 corpora")
+    fits = F.col(row_id).between(0, (1 << SOURCE_BITS) - 1)
+    wide = F.raise_error(F.lit(f"{row_id} must be below 2**{SOURCE_BITS}")).cast("bigint")
     shifted = [
-        t.withColumn(row_id, F.shiftleft(F.lit(i).cast("bigint"), SOURCE_BITS) + F.col(row_id))
+        t.withColumn(row_id, F.when(fits, F.shiftleft(F.lit(i).cast("bigint"), SOURCE_BITS) + F.col(row_id)).otherwise(wide))
         for i, t in enumerate(tables)
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shifted)
 
 
 def label_groups(df: DataFrame, key: str, label: str = "label", source: str = "source",
-                 order_by: str = "row_id", labels=LABELS, carry: list[str] | None = None) -> DataFrame:
-    """One row per key: a counter per class, the sources and the first row, in a single shuffle.
+                 order_by: str = "row_id", labels=LABELS) -> DataFrame:
+    """One row per key: a counter per class, the sources and the id of the first row, in a single shuffle of digests.
 
     Everything is combined on the map side; the state per key is bounded by the number of classes and
-    of sources, however many rows the key has.
+    of sources, however many rows the key has. ``first_rows`` brings the texts back.
     """
-    first = [
-        F.min_by(F.struct(*[F.col(c) for c in (carry or [])], F.col(label).alias("_label")),
-                 F.col(order_by)).alias("_first"),
-        F.min(order_by).alias(order_by),
-    ]
-    return df.groupBy(key).agg(
+    return df.groupBy(_digest(key).alias("_digest")).agg(
         *[F.count_if(F.col(label) == k).alias(f"_n{k}") for k in labels],
         F.max(label).alias("_max"),
         F.array_sort(F.collect_set(source)).alias("sources"),
-        *first,
+        F.min(order_by).alias(order_by),
     )
 
 
+def first_rows(groups: DataFrame, df: DataFrame, key: str, columns: dict[str, str], order_by: str = "row_id") -> DataFrame:
+    """Join each group with columns (old name to new) of its first row; ids are unique, so no group is hot.
+
+    Should rows share an id after all, one of them stands for the group.
+    """
+    firsts = df.select(order_by, _digest(key).alias("_digest"), *[F.col(c).alias(new) for c, new in columns.items()])
+    return groups.join(firsts, [order_by, "_digest"]).dropDuplicates(["_digest"])
+
+
 def _counts(labels=LABELS):
     return [F.col(f"_n{k}") for k in labels]
 
@@ -67,22 +78,31 @@ def resolved_label(strategy: str, labels=LABELS):
     return F.when(shared, F.col("_max")).otherwise(winner).cast("int")
 
 
-def conflict_keys(df: DataFrame, key: str, label: str = "label") -> DataFrame:
+def _digest(key: str):
+    return tx.fingerprint(F.col(key).cast("string"))
+
+
+def conflict_groups(df: DataFrame, key: str, label: str = "label", order_by: str = "row_id") -> DataFrame:
+    """Keys with more than one label, as digests, with the id of their first row."""
+    groups = df.groupBy(_digest(key).alias("_digest")).agg(F.min(label).alias("_lo"), F.max(label).alias("_hi"), F.min(order_by).alias(order_by))
+    return groups.filter("_lo <> _hi").select("_digest", order_by)
+
+
+def conflict_keys(df: DataFrame, key: str, label: str = "label", order_by: str = "row_id") -> DataFrame:
     """Keys with more than one label."""
-    return (
-        df.groupBy(key).agg(F.min(label).alias("_lo"), F.max(label).alias("_hi")).filter("_lo <> _hi").select(key)
-    )
+    return first_rows(conflict_groups(df, key, label, order_by), df, key, {key: key}, order_by).select(key)
 
 
-def split_conflicts(df: DataFrame, key: str, label: str = "label") -> tuple[DataFrame, DataFrame]:
+def split_conflicts(df: DataFrame, key: str, label: str = "label", order_by: str = "row_id") -> tuple[DataFrame, DataFrame]:
     """Rows whose key has one label, and rows whose key has several (anti and semi join)."""
-    keys = conflict_keys(df, key, label)
-    return df.join(keys, key, "left_anti"), df.join(keys, key, "left_semi")
+    keys = conflict_groups(df, key, label, order_by).select("_digest")
+    tagged = df.withColumn("_digest", _digest(key))
+    return tagged.join(keys, "_digest", "left_anti").drop("_digest"), tagged.join(keys, "_digest", "left_semi").drop("_digest")
 
 
-def drop_conflicts(df: DataFrame, key: str, label: str = "label") -> DataFrame:
+def drop_conflicts(df: DataFrame, key: str, label: str = "label", order_by: str = "row_id") -> DataFrame:
     """Remove all rows of conflicting keys; to be run before deduplication."""
-    return split_conflicts(df, key, label)[0]
+    return split_conflicts(df, key, label, order_by)[0]
 
 
 def resolve_and_dedup(
@@ -94,13 +114,13 @@ def resolve_and_dedup(
     Keys with one label keep their first row; conflicting keys get the resolved label and all their
     sources joined by ``|``. ``text`` is the key itself. With ``remove`` conflicting keys vanish.
     """
-    groups = label_groups(df, key, label, source, order_by, labels, carry=[source])
+    groups = first_rows(label_groups(df, key, label, source, order_by, labels), df, key, {key: "_text", label: "_label", source: "_source"}, order_by)
     conflict = is_conflict(labels)
     out = groups.select(
         order_by,
-        F.col(key).alias("text"),
-        F.when(conflict, resolved_label(strategy, labels)).otherwise(F.col("_first._label")).alias(label),
-        F.when(conflict, F.array_join("sources", "|")).otherwise(F.col(f"_first.{source}")).alias(source),
+        F.col("_text").alias("text"),
+        F.when(conflict, resolved_label(strategy, labels)).otherwise(F.col("_label")).alias(label),
+        F.when(conflict, F.array_join("sources", "|")).otherwise(F.col("_source")).alias(source),
         conflict.alias("_conflict"),
     )
     if strategy == "remove":
@@ -114,9 +134,10 @@ def conflict_audit(
 ) -> DataFrame:
     """Label histogram, sources and outcome of every conflicting key."""
     groups = label_groups(df, key, label, source, order_by, labels).filter(is_conflict(labels))
+    groups = first_rows(groups, df, key, {key: "_text"}, order_by)
     histogram = F.map_from_arrays(F.array(*[F.lit(k) for k in labels]), F.array(*_counts(labels)))
     return groups.select(
-        F.col(key).alias("text"),
+        F.col("_text").alias("text"),
         F.map_filter(histogram, lambda k, v: v > 0).alias("original_labels"),
         "sources",
         resolved_label(strategy, labels).alias("resolved_label"),

@@ -20,6 +20,12 @@ def invalid_labels(df: DataFrame, label: str = "label", labels=LABELS) -> DataFr
     return df.filter(bad).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
+def label_check(rejected: DataFrame, subject: str) -> DataFrame:
+    """The row of the gate for labels outside the domain that a table before the splits holds."""
+    count = rejected.agg(F.count(F.lit(1)).alias("violations"))
+    return count.select(F.lit("invalid_label").alias("check"), F.lit(subject).alias("subject"), "violations", (F.col("violations") == 0).alias("passed"))
+
+
 def quality_checks(df: DataFrame, text: str = "text", label: str = "label", split: str = "split",
                    labels=LABELS, splits=SPLITS) -> DataFrame:
     """``(check, subject, violations, passed)`` for every split and every pair of splits."""

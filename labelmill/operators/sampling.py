@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelmill.config import LABELS, SplitConfig
+from labelmill.config import LABELS, Split
 from labelmill.functions import text as tx
 
 HEX_DIGITS = 4  # 16 ** 4 buckets
@@ -73,9 +73,17 @@ def _in_domain(label: str, labels) -> Column:
     return F.when(F.col(label).isin(*labels), F.col(label))
 
 
+def rejected_labels(df: DataFrame, label: str = "label", labels=LABELS) -> DataFrame:
+    """The rows that balancing and splitting leave out: label null or outside the domain."""
+    return df.filter(~F.coalesce(F.col(label).isin(*labels), F.lit(False)))
+
+
 def undersample(df: DataFrame, n: int, label: str = "label", id_col: str = "row_id", seed: int = 42,
                 labels=LABELS) -> DataFrame:
-    """Exactly ``n`` rows of each larger class and all rows of the others; ``n <= 0`` keeps everything."""
+    """Exactly ``n`` rows of each larger class and all rows of the others; ``n <= 0`` keeps everything.
+
+    Rows whose label is outside ``labels`` are in no class and not in the result: see :func:`rejected_labels`.
+    """
     if n <= 0:
         return df
     out = _with_cuts(df, _in_domain(label, labels), id_col, seed, {"n": F.lit(n)})
@@ -135,32 +143,34 @@ def oversample(df: DataFrame, n: int, label: str = "label", id_col: str = "row_i
     )
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "_by", "draw")), 1, 8), 16, 10).cast("bigint")
     draws = draws.join(F.broadcast(small), "_by").select("_by", "draw", (F.pmod(pick, F.col("_size")) + 1).alias("position"))
-    numbered = with_rank(df.filter(by.isNotNull()), id_col, seed, F.col(label)).withColumn("_by", F.col(label))
+    drawn_from = df.join(F.broadcast(small.select(F.col("_by").alias(label))), label, "left_semi")
+    numbered = with_rank(drawn_from, id_col, seed, F.col(label)).withColumn("_by", F.col(label))
     drawn = numbered.join(draws, ["_by", "position"]).select(*df.columns, "draw")
     return cut.select(*df.columns, "draw").unionByName(drawn)
 
 
-def stratified_split(df: DataFrame, cfg: SplitConfig = SplitConfig(), label: str = "label",
+def stratified_split(df: DataFrame, cfg: Split = Split(), label: str = "label",
                      id_col: str = "row_id", labels=LABELS) -> DataFrame:
     """Add ``split`` (train, validation, test) with the same proportions in every class.
 
-    Ratios are scaled to sum to one; the cuts of a class of n rows are ``round(n * ratio)``.
+    Shares are scaled to sum to one; the cuts of a class of n rows are ``round(n * share)``. Rows whose label is outside
+    ``labels`` get no split: see :func:`rejected_labels`.
     """
-    whole = cfg.train_ratio + cfg.val_ratio + cfg.test_ratio
-    train, upto_val = cfg.train_ratio / whole, (cfg.train_ratio + cfg.val_ratio) / whole
+    whole = sum(cfg.shares)
+    train, upto_val = cfg.shares[0] / whole, (cfg.shares[0] + cfg.shares[1]) / whole
     total = F.col("_total").cast("double")
     targets = {"train": F.round(total * train), "val": F.round(total * upto_val)}
     out = _with_cuts(df, _in_domain(label, labels), id_col, cfg.seed, targets)
     return out.filter(F.col("_by").isNotNull()).withColumn("split", _split_name()).select(*df.columns, "split")
 
 
-def shuffle_split(df: DataFrame, cfg: SplitConfig = SplitConfig(), id_col: str = "row_id") -> DataFrame:
+def shuffle_split(df: DataFrame, cfg: Split = Split(), id_col: str = "row_id") -> DataFrame:
     """Cut the hashed order of the whole table: ``int(n * ratio)`` rows each, the last part takes the rest."""
-    if abs(cfg.train_ratio + cfg.val_ratio + cfg.test_ratio - 1.0) >= 1e-9:
+    if abs(sum(cfg.shares) - 1.0) >= 1e-9:
         raise ValueError("split ratios must sum to 1")
     total = F.col("_total").cast("double")
-    train = F.floor(total * cfg.train_ratio)
-    targets = {"train": train, "val": train + F.floor(total * cfg.val_ratio)}
+    train = F.floor(total * cfg.shares[0])
+    targets = {"train": train, "val": train + F.floor(total * cfg.shares[1])}
     out = _with_global_cuts(df, id_col, cfg.seed, targets)
     return out.withColumn("split", _split_name()).select(*df.columns, "split")
 

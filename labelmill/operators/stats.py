@@ -73,7 +73,7 @@ def statistics_document(df: DataFrame, merge_stats: DataFrame, split_meta: DataF
                         label: str = "label") -> DataFrame:
     """One row that nests all statistics, ready for a JSON sink; each part is a small aggregate."""
     parts = {
-        "class_distribution": class_names(df, label).agg(F.map_from_entries(F.collect_list(F.struct("class_name", "n")))),
+        "class_distribution": class_names(df, label).agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("class_name", F.lit("none")).alias("class_name"), "n")))),
         "sentence_length": length_stats(df, text).select(
             F.struct("average_words", "max_words", "average_characters", "max_characters")),
         "vocabulary_size": vocabulary_size(df, text),

@@ -12,16 +12,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.config import SOURCE_ORDER, CleanConfig, CorpusConfig, SplitConfig
+from labelmill.config import NEAR_COPY, SHORTEST, SOURCE_ORDER, Split
 from labelmill.functions import text as tx
 from labelmill.operators import clean, merge, neardup, noise, normalize, qa, sampling, stats, validate
 from labelmill.operators.dedup import keep_first
+from labelmill.schemas import FLAG_COLUMNS, SCORE_COLUMNS
 from labelmill.sources.writers import write_json, write_splits_csv, write_stage
-from labelmill.storage import materialize, spread
+from labelmill.storage import materialize
 
 CODE_COLUMNS = ["class"]
-FLAG_LABELS = ["toxic", "severe_toxic", "obscene", "threat", "insult", "identity_hate"]
-SCORE_LABELS = ["toxicity", "severe_toxicity", "obscene", "threat", "insult", "identity_attack"]
+# Validation asks for all flags, and for all scores but the last, which not every export carries.
+FLAG_LABELS, SCORE_LABELS = list(FLAG_COLUMNS), list(SCORE_COLUMNS[:-1])
 
 
 @dataclass(frozen=True)
@@ -63,33 +64,41 @@ def unify_sources(raws: dict[str, DataFrame]) -> DataFrame:
     return merge.unite([unify_source(n, raws[n]) for n in SOURCE_ORDER if n in raws])
 
 
-def build_corpus(unified: DataFrame, out: str, cfg: CorpusConfig = CorpusConfig(), gate: bool = True) -> dict[str, DataFrame]:
-    """``(row_id, text, label, source)`` in; cleaned, merged and split tables, reports and checks out."""
-    tagged = write_stage(clean.tag_cleaned(spread(unified, "row_id"), "text", cfg.clean), f"{out}/cleaned")
+def build_corpus(unified: DataFrame, out: str, steps: tuple[clean.Step, ...] = clean.STEPS, language: str | None = "en",
+                 split: Split = Split(), conflicts: str = "majority_vote", shortest: int = SHORTEST, near_copy: float = NEAR_COPY,
+                 gate: bool = True) -> dict[str, DataFrame]:
+    """``(row_id, text, label, source)`` in; cleaned, merged and split tables, reports and checks out.
+
+    ``conflicts``: ``majority_vote``, ``severity_priority`` or ``remove``. Merged rows with a label outside the domain are written
+    to ``rejected`` and fail the gate; they never vanish unseen.
+    """
+    tagged = write_stage(clean.tag_cleaned(unified, "text", steps, language), f"{out}/cleaned")
     united = clean.kept(tagged)
-    usable = noise.remove_noise(united, "text", cfg.min_text_length)
+    usable = noise.remove_noise(united, "text", shortest)
     keyed = usable.withColumn("canonical_text", tx.canonical(F.col("text")))
-    resolved = write_stage(merge.resolve_and_dedup(keyed, cfg.conflict_resolution), f"{out}/resolved")
-    near = write_stage(neardup.removed_by(resolved, threshold=cfg.near_duplicate_threshold), f"{out}/near_duplicates")
+    resolved = write_stage(merge.resolve_and_dedup(keyed, conflicts), f"{out}/resolved")
+    near = write_stage(neardup.removed_by(resolved, threshold=near_copy), f"{out}/near_duplicates")
     merged = write_stage(
         resolved.join(near.select(F.col("id").alias("row_id")), "row_id", "left_anti"), f"{out}/merged"
     )
-    sampled = sampling.undersample(merged, cfg.split.sample_size_per_class, seed=cfg.split.seed)
-    splits = write_stage(sampling.stratified_split(sampled, cfg.split), f"{out}/splits", ["split"])
+    rejected = write_stage(sampling.rejected_labels(merged), f"{out}/rejected")
+    sampled = sampling.undersample(merged, split.per_class, seed=split.seed)
+    splits = write_stage(sampling.stratified_split(sampled, split), f"{out}/splits", ["split"])
     write_splits_csv(splits.select("text", "label", "source", "split"), f"{out}/splits_csv")
 
-    merge_stats = write_stage(merge.merge_statistics(united, near, min_length=cfg.min_text_length), f"{out}/merge_statistics")
+    merge_stats = write_stage(merge.merge_statistics(united, near, min_length=shortest), f"{out}/merge_statistics")
     split_meta = sampling.split_metadata(splits)
     write_json(stats.statistics_document(merged, merge_stats, split_meta), f"{out}/dataset_statistics")
-    checks = write_stage(qa.quality_checks(splits), f"{out}/checks")
+    checks = write_stage(qa.quality_checks(splits).unionByName(qa.label_check(rejected, "merged")), f"{out}/checks")
     if gate:
         qa.require_quality(checks)
     return {
         "cleaned": tagged,
         "cleaning_stats": clean.cleaning_stats(tagged),
-        "conflicts": merge.conflict_audit(keyed, cfg.conflict_resolution),
+        "conflicts": merge.conflict_audit(keyed, conflicts),
         "near_duplicates": near,
         "merged": merged,
+        "rejected": rejected,
         "splits": splits,
         "merge_statistics": merge_stats,
         "class_weights": sampling.class_weights(merged),
@@ -97,23 +106,21 @@ def build_corpus(unified: DataFrame, out: str, cfg: CorpusConfig = CorpusConfig(
     }
 
 
-def build_legacy(unified: DataFrame, cfg: CleanConfig = CleanConfig(mask_names=True),
-                 split: SplitConfig = SplitConfig(), oversample_train: bool = True) -> DataFrame:
-    """The older flow: candidate pool, older cleaner, conflicting texts dropped, shuffle split.
+def build_legacy(unified: DataFrame, steps: tuple[clean.Step, ...] = clean.OLDER_STEPS, language: str | None = "en",
+                 split: Split = Split(), oversample_train: bool = True) -> DataFrame:
+    """The older flow: older cleaner over all rows, conflicting texts dropped, shuffle split.
 
     Conflicts are found before duplicates fall away, and the training part is oversampled only after the
     split, so that no text is on both sides. Adds ``clean_text`` and ``split``.
     """
     raw = keep_first(unified.filter(~tx.is_blank(F.col("text"))), tx.fingerprint(F.col("text")))
-    if split.sample_size_per_class > 0:
-        raw = sampling.presample(raw, split.sample_size_per_class, seed=split.seed)
-    cleaned = materialize(clean.clean_legacy(raw, "text", cfg).filter(F.col("clean_text") != ""), "legacy-clean")
+    cleaned = materialize(clean.clean_legacy(raw, "text", steps, language).filter(F.col("clean_text") != ""), "legacy-clean")
     single = keep_first(merge.drop_conflicts(cleaned, "clean_text"), tx.fingerprint(F.col("clean_text")))
-    n = split.sample_size_per_class
+    n = split.per_class
     balanced = sampling.undersample(single, n, seed=split.seed)
     parts = materialize(sampling.shuffle_split(balanced, split), "legacy-splits")
     if n <= 0 or not oversample_train:
         return parts
-    target = int(n * split.train_ratio)
+    target = int(n * split.shares[0])
     train = sampling.oversample(parts.filter("split = 'train'"), target, seed=split.seed).drop("draw")
     return parts.filter("split <> 'train'").unionByName(train)

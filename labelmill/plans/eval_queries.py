@@ -147,16 +147,16 @@ def hard_errors(spark, d):
     return wrong.select(*SHOWN, "l_partkey", "l_suppkey", "l_extendedprice")
 
 
-@query("""WITH z AS (SELECT vec_id, list_transform(embedding[1:3], lambda x: x::DOUBLE) AS l FROM embeddings),
-e AS (SELECT vec_id, l, exp(l[1] - list_max(l)) AS a, exp(l[2] - list_max(l)) AS b, exp(l[3] - list_max(l)) AS c FROM z)
-SELECT vec_id, (list_position(l, list_max(l)) - 1)::INT AS class, round(a / (a + b + c), 6) AS p0, round(b / (a + b + c), 6) AS p1,
-  round(c / (a + b + c), 6) AS p2, round(greatest(a, b, c) / (a + b + c) * 100, 2) AS confidence FROM e""")
+@query("""WITH z AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS l FROM embeddings),
+e AS (SELECT vec_id, l, list_transform(l, lambda x: exp(x - list_max(l))) AS a FROM z)
+SELECT vec_id, (list_position(l, list_max(l)) - 1)::INT AS class, round(a[1] / list_sum(a), 6) AS first, round(a[-1] / list_sum(a), 6) AS last,
+  round(1.0 / list_sum(a) * 100, 2) AS confidence FROM e""")
 def softmax_argmax(spark, d):
-    logits = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    """All 64 values of a vector as the scores of 64 classes."""
+    logits = F.transform("embedding", lambda x: x.cast("double"))
     rows = table(spark, d, "embeddings").select("vec_id", pr.softmax(logits).alias("p"))
-    return rows.select("vec_id", pr.argmax(F.col("p")).alias("class"),
-                       *[F.round(F.col("p")[i], 6).alias(f"p{i}") for i in range(3)],
-                       pr.percent(F.array_max("p")).alias("confidence"))
+    return rows.select("vec_id", pr.argmax(F.col("p")).alias("class"), F.round(F.element_at("p", 1), 6).alias("first"),
+                       F.round(F.element_at("p", -1), 6).alias("last"), pr.percent(F.array_max("p")).alias("confidence"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'Unknown' ELSE o_orderstatus END AS prediction,

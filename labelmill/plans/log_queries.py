@@ -45,11 +45,6 @@ def delete_by_id(spark, d):
     return history.delete_by_id(events, gone, "event_id").select("event_id", "user_id")
 
 
-@query("SELECT event_id, user_id FROM events WHERE false")
-def clear_history(spark, d):
-    return history.clear(table(spark, d, "events").select("event_id", "user_id"))
-
-
 @query("""SELECT event_id, event_type AS path, round(value, 1) AS duration_ms, CAST(json_extract(props, '$.k') AS INT) AS status_code
 FROM events WHERE event_type <> 'signup'""")
 def request_log(spark, d):
@@ -91,30 +86,30 @@ def _events(spark, d):
     return events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs the zoned type
 
 
-def _latest(spark, stream, name, mode="complete"):
-    path = new_path(spark, name)
-    jobs.start_latest(stream, path, path + "-checkpoint", mode).awaitTermination()
-    return jobs.read_latest(spark, path)
-
-
-@query(WINDOW_SQL)
+@query(WINDOW_SQL.replace("FROM events GROUP BY ALL", "FROM events GROUP BY ALL HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"))
 def stream_log_windows(spark, d):
-    """The same result from a stream that is run to its end."""
-    out = _latest(spark, jobs.log_stats_stream(_events(spark, d), "ts", "value", by=["event_type"]), "log-windows")
-    return _text_ts(out).withColumn("mean", F.round("mean", 6))
+    """From a stream that is run to its end: the windows that the watermark has closed, each written once."""
+    stream = jobs.log_stats_stream(_events(spark, d), "ts", "value", by=["event_type"])
+    path = new_path(spark, "log-windows")
+    jobs.start_append(stream, path, path + "-checkpoint").awaitTermination()
+    return _text_ts(spark.read.schema(stream.schema).parquet(path)).withColumn("mean", F.round("mean", 6))
 
 
 @query(CLASS_SQL)
 def stream_class_counts(spark, d):
-    return _text_ts(_latest(spark, jobs.class_counts_stream(_events(spark, d), "ts", "event_type"), "class-counts"))
+    path = new_path(spark, "class-counts")
+    jobs.start_update(jobs.class_counts_stream(_events(spark, d), "ts", "event_type"), path, path + "-checkpoint").awaitTermination()
+    return _text_ts(jobs.read_current(spark, path, ["window_start", "event_type"]))
 
 
 @query(f"SELECT DISTINCT {sql_strip('lower(text)')} AS text FROM documents")
 def stream_dedup(spark, d):
+    """Documents arrive one a second; a text is forgotten 30 days after it was seen."""
     docs = jobs.read_stream(spark, f"{d}/documents*.parquet", table(spark, d, "documents").schema)
+    timed = docs.withColumn("ts", F.timestamp_seconds("doc_id"))
     path = new_path(spark, "stream-dedup")
-    jobs.start_append(jobs.dedup_stream(docs), path, path + "-checkpoint").awaitTermination()
-    return spark.read.schema(docs.schema).parquet(path).select(tx.canonical(F.col("text")).alias("text"))
+    jobs.start_append(jobs.dedup_stream(timed, ts="ts", within="30 days"), path, path + "-checkpoint").awaitTermination()
+    return spark.read.schema(timed.schema).parquet(path).select(tx.canonical(F.col("text")).alias("text"))
 
 
 @query("SELECT c_custkey FROM customer WHERE lower(trim(c_mktsegment)) NOT IN ('household', 'machinery')")

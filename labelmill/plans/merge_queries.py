@@ -15,7 +15,7 @@ from labelmill.storage import materialize
 
 
 @query("""SELECT doc_id AS row_id, text, source FROM documents
-UNION ALL SELECT (1::BIGINT << 40) + conv_id * 1000 + turn AS row_id, text, role AS source FROM conversations""")
+UNION ALL SELECT (1::BIGINT << 56) + conv_id * 1000 + turn AS row_id, text, role AS source FROM conversations""")
 def union_sources(spark, d):
     talk = table(spark, d, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text", F.col("role").alias("source"))
@@ -121,7 +121,8 @@ def drop_conflicts(spark, d):
 
 @query(f"WITH {PARTS_SQL} SELECT k AS canonical_text, sources AS source FROM facts")
 def provenance(spark, d):
-    groups = merge.label_groups(_parts(spark, d), "canonical_text")
+    parts = _parts(spark, d)
+    groups = merge.first_rows(merge.label_groups(parts, "canonical_text"), parts, "canonical_text", {"canonical_text": "canonical_text"})
     return groups.select("canonical_text", F.array_join("sources", "|").alias("source"))
 
 

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelmill.config import SplitConfig
+from labelmill.config import Split
 from labelmill.operators import evaluate, model, sampling
 from labelmill.plans.registry import documents, labelled, query
 from labelmill.storage import materialize
 
 # Small, because the queries run on small scale factors as well.
-SETTING = model.Hyperparameters(max_iter=15, vocabulary=1 << 13)
+SETTING = model.Hyperparameters(max_iter=15, buckets=1 << 16)
 
 
 def _prepared(spark, d):
     rows = model.prepare_for_scoring(labelled(spark, d))
-    return materialize(sampling.stratified_split(rows, SplitConfig()), "prepared")
+    return materialize(sampling.stratified_split(rows, Split()), "prepared")
 
 
 def _trained(rows):
@@ -24,9 +24,11 @@ def _trained(rows):
 
 @query()
 def batch_score(spark, d):
-    """Train on labelled documents, score all documents."""
-    fitted = _trained(_prepared(spark, d))
-    out = model.score(documents(spark, d).select("row_id", "text"), fitted)
+    """Clean all documents once, train on the labelled ones, score all."""
+    ready = materialize(model.prepare_for_scoring(documents(spark, d).select("row_id", "text")), "prepared-all")
+    rows = ready.join(labelled(spark, d).select("row_id", "label"), "row_id")
+    fitted = _trained(materialize(sampling.stratified_split(rows, Split()), "prepared"))
+    out = model.score(ready, fitted, prepared=True)
     return out.select("row_id", "prediction_name", "confidence", "probabilities")
 
 
@@ -54,7 +56,7 @@ def token_importance(spark, d):
 @query()
 def hyperparameter_search(spark, d):
     rows = _prepared(spark, d)
-    best, f1 = model.tune(rows.filter("split = 'train'"), rows.filter("split = 'validation'"), trials=2)
+    best, f1 = model.tune(rows.filter("split = 'train'"), rows.filter("split = 'validation'"), trials=2, start=SETTING)
     # the whole table is then scored with the setting found
     fitted = model.train(rows.filter("split = 'train'"), best)
     scored = model.score(rows, fitted, prepared=True)

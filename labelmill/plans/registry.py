@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.functions import labels as lb
-from labelmill.storage import spread
+from labelmill.storage import deal_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -30,9 +30,10 @@ TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_i
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; the text tables, whose rows are costly, are spread over the cores if they are small."""
+    """A driver table. On a small single file the caller may ask for more tasks by ``spark.labelmill.dealOut``."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows, TEXT_KEYS[name]) if name in TEXT_KEYS else rows
+    wanted = int(spark.conf.get("spark.labelmill.dealOut", "0"))
+    return deal_out(rows, wanted, TEXT_KEYS[name]) if name in TEXT_KEYS else rows
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

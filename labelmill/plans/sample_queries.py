@@ -193,3 +193,22 @@ def qa_gate(spark, d):
 @query(f"WITH {QA_SQL} SELECT label, count(*) AS n FROM splits WHERE label NOT IN (0, 1, 2) GROUP BY label")
 def invalid_labels(spark, d):
     return qa.invalid_labels(_splits_with_faults(spark, d))
+
+
+@query("""SELECT p_size AS label, count(*) AS n FROM part WHERE p_size NOT IN (0, 1, 2) OR p_size IS NULL GROUP BY p_size""")
+def rejected_rows(spark, d):
+    """Rows that balancing would leave out, by label: part sizes as labels, three of them valid."""
+    parts = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("label"))
+    return sampling.rejected_labels(parts).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT CASE WHEN p_size IN (0, 1, 2) THEN 'train' END AS split, count(*) AS n FROM part WHERE p_size IN (0, 1, 2) GROUP BY 1
+UNION ALL SELECT 'rejected', count(*) FROM part WHERE p_size NOT IN (0, 1, 2) OR p_size IS NULL""")
+def flow_accounts_for_all(spark, d):
+    """Rows split and rows rejected add up to the table."""
+    from labelmill.config import Split
+
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_size").alias("label"))
+    good = sampling.stratified_split(parts, Split(shares=(1, 0, 0))).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    bad = sampling.rejected_labels(parts).agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected").alias("split"), "n")
+    return good.unionByName(bad)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelmill.config import CleanConfig
 from labelmill.functions import text as tx
 from labelmill.functions import unicode as un
 from labelmill.operators import clean, language, model, names, noise
@@ -252,7 +251,7 @@ def clean_pages(spark, d):
 
 @query()
 def clean_legacy_documents(spark, d):
-    return clean.clean_legacy(table(spark, d, "documents").select("doc_id", "text"), cfg=CleanConfig(mask_names=True))
+    return clean.clean_legacy(table(spark, d, "documents").select("doc_id", "text"))
 
 
 # Words that do occur in the tables stand in for given names.

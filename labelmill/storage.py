@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}  # folders made for local sessions, by application
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only a local-mode session without that setting, as in tests, gets a temporary one.
+    Only a local-mode session without that setting, as in tests, gets one of its own, which goes when Python ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
@@ -20,13 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="labelmill-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    application = spark.sparkContext.applicationId
+    if application not in _own:
+        _own[application] = tempfile.mkdtemp(prefix="labelmill-")
+        atexit.register(shutil.rmtree, _own[application], ignore_errors=True)
+    return _own[application]
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder below the shared one that holds all tables of this application."""
+    return f"{shared_dir(spark)}/labelmill-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -37,14 +49,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal out a table that is too small to fill the cores, before costly per-row work.
+def clear_work(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; call it when its results have been written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
-    A table of many input splits comes back as it is, without a shuffle; only when its estimated size is
-    below one full split per core are the rows hashed over the cores (deterministic on retries).
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * split else df
+
+def deal_out(df: DataFrame, partitions: int, key: str) -> DataFrame:
+    """Hash the rows of a small table over ``partitions`` before costly per-row work; 0 leaves the table as it is read."""
+    return df.repartition(partitions, key) if partitions > 0 else df

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -47,12 +47,15 @@ def dedup_stream(stream: DataFrame, text: str = "text", ts: str | None = None, w
 
 def log_stats_stream(stream: DataFrame, ts: str, value: str, width: str = "1 hour", late: str = "2 hours",
                      by: list[str] | None = None) -> DataFrame:
-    """Count and mean per tumbling window; rows later than the watermark are left out."""
+    """Count and mean per tumbling window (use ``append`` mode).
+
+    A window comes out once, when the watermark has passed its end, and its state goes; rows later than that are left out.
+    """
     return windowed_stats(stream.withWatermark(ts, late), ts, value, width, by)
 
 
 def class_counts_stream(stream: DataFrame, ts: str, label: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Rows per window and class (use ``update`` mode)."""
+    """Rows per window and class (use ``update`` mode): changed counts come out at once, state goes with the watermark."""
     counts = stream.withWatermark(ts, late).groupBy(F.window(ts, width).alias("window"), label)
     return counts.agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), label, "n")
 
@@ -63,18 +66,17 @@ def start_append(stream: DataFrame, path: str, checkpoint: str, available_now: b
     return (writer.trigger(availableNow=True) if available_now else writer).start(path)
 
 
-def start_latest(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete",
-                 available_now: bool = True) -> StreamingQuery:
-    """Keep the latest full aggregate under ``path/batch=<n>``; the highest batch is the current result."""
+def start_update(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Write the rows that each batch changed under ``path/batch=<n>``; a batch that is run again replaces its own folder."""
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    writer = stream.writeStream.outputMode(mode).foreachBatch(publish).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The result of the last batch written by ``start_latest``."""
-    batches = spark.read.parquet(path)
-    return batches.filter(F.col("batch") == batches.agg(F.max("batch")).scalar()).drop("batch")
+def read_current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest row of each key among the batches written by ``start_update``."""
+    newest = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
+    return spark.read.parquet(path).withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n", "batch")

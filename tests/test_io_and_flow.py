@@ -1,14 +1,15 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from labelmill import schemas
-from labelmill.config import CleanConfig, CorpusConfig, SplitConfig
-from labelmill.operators import history, model, sampling
+from labelmill.config import Split
+from labelmill.operators import history, model, qa, sampling
 from labelmill.plans import corpus
 from labelmill.sources import readers, writers
-from labelmill.storage import materialize, shared_dir, spread
+from labelmill.storage import clear_work, deal_out, materialize, new_path, shared_dir, work_dir
 from labelmill.streaming import jobs
 
 WORDS = {0: ("sunny garden tea friend music", 0), 1: ("noisy silly rude clown nonsense", 1), 2: ("vile enemy horde banish scum", 2)}
@@ -73,7 +74,16 @@ def test_requests(spark):
 def test_storage(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert materialize(spark.range(5), "five").count() == 5
-    assert spread(spark.range(10), "id").rdd.getNumPartitions() >= 1
+    assert deal_out(spark.range(10), 3, "id").rdd.getNumPartitions() == 3 and deal_out(spark.range(10), 0, "id").count() == 10
+    assert new_path(spark, "x").startswith(work_dir(spark))
+
+
+def test_clear_work(spark, monkeypatch, tmp_path):
+    five = materialize(spark.range(5), "five")
+    monkeypatch.setattr("labelmill.storage.shared_dir", lambda spark: str(tmp_path))
+    assert materialize(five, "six").count() == 5 and os.path.exists(work_dir(spark))
+    clear_work(spark)
+    assert not os.path.exists(work_dir(spark)) and five.count() == 5
 
 
 @pytest.fixture(scope="module")
@@ -86,8 +96,16 @@ def built(spark, tmp_path_factory):
     posts = spark.createDataFrame([("p", ["some", "plain", "words"], [("normal",), ("normal",)]), ("q", [], [])], schemas.SRC_ANNOTATED)
     raws = {"davidson": code, "olid": binary, "hatexplain": posts, "jigsaw": flags, "civil_comments": scores}
     out = str(tmp_path_factory.mktemp("corpus"))
-    cfg = CorpusConfig(split=SplitConfig(sample_size_per_class=60))
-    return corpus.build_corpus(corpus.unify_sources(raws), out, cfg), out
+    return corpus.build_corpus(corpus.unify_sources(raws), out, split=Split(per_class=60)), out
+
+
+def test_bad_label_fails_the_gate(spark, tmp_path):
+    rows = [(i, t, k, "s") for i, (t, k) in enumerate(sentences(60))] + [(900 + i, f"{t} and more of it", None if i else 7, "s") for i, (t, _) in enumerate(sentences(4))]
+    unified = spark.createDataFrame(rows, schemas.UNIFIED)
+    with pytest.raises(qa.QualityError, match="invalid_label merged: 4"):
+        corpus.build_corpus(unified, str(tmp_path / "a"), language=None, split=Split(per_class=0))
+    tables = corpus.build_corpus(unified, str(tmp_path / "b"), language=None, split=Split(per_class=0), gate=False)
+    assert tables["rejected"].count() == 4 and tables["splits"].count() + 4 == tables["merged"].count()
 
 
 def test_corpus_flow(spark, built):
@@ -107,7 +125,7 @@ def test_corpus_flow(spark, built):
 def test_legacy_flow(spark):
     rows = [(i, t, k, "s") for i, (t, k) in enumerate(sentences(120))] + [(900, "One disputed text of two labels", 0, "s"), (901, "one disputed text of two labels!!", 1, "s")]
     unified = spark.createDataFrame(rows, schemas.UNIFIED)
-    out = corpus.build_legacy(unified, CleanConfig(language_filter=None), SplitConfig(sample_size_per_class=50))
+    out = corpus.build_legacy(unified, language=None, split=Split(per_class=50))
     counts = {(r["split"], r["label"]): r["count"] for r in out.groupBy("split", "label").count().collect()}
     assert all(counts["train", k] == 40 for k in range(3))
     assert [r["overlap"] for r in sampling.leakage(out, "clean_text").collect()] == [0, 0, 0]
@@ -116,7 +134,7 @@ def test_legacy_flow(spark):
 def test_model(spark, tmp_path):
     rows = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(sentences(240))], "row_id long, text string, label int")
     prepared = materialize(model.prepare_for_scoring(rows), "prepared")
-    fitted = model.train(prepared, model.Hyperparameters(max_iter=20, vocabulary=500))
+    fitted = model.train(prepared, model.Hyperparameters(max_iter=20, buckets=4096))
     model.save(fitted, str(tmp_path / "model"))
     fitted = model.load(str(tmp_path / "model"))
     fresh = spark.createDataFrame([(1, "a vile scum horde"), (2, "sunny tea in the garden"), (3, "   ")], "row_id long, text string")
@@ -162,7 +180,38 @@ def test_streams(spark, tmp_path):
     assert run() == [0, 1, 2]
 
     counts = jobs.class_counts_stream(jobs.read_stream(spark, source, schema), "ts", "label")
-    jobs.start_latest(counts, sink + "-counts", check + "-counts").awaitTermination()
-    got = {(r["window_start"].hour, r["label"]): r["n"] for r in jobs.read_latest(spark, sink + "-counts").collect()}
+    jobs.start_update(counts, sink + "-counts", check + "-counts").awaitTermination()
+    got = {(r["window_start"].hour, r["label"]): r["n"] for r in jobs.read_current(spark, sink + "-counts", ["window_start", "label"]).collect()}
     batch = spark.read.parquet(source).groupBy(F.hour("ts").alias("h"), "label").count().collect()
     assert got == {(r["h"], r["label"]): r["count"] for r in batch}
+
+
+def test_late_rows(spark, tmp_path):
+    """A row that comes after its window was closed is dropped; counts that change come out again under the newest batch."""
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "ts timestamp, value double, label int"
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), "ts string, value double, label int").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        read = lambda: jobs.read_stream(spark, source, schema)
+        jobs.start_append(jobs.log_stats_stream(read(), "ts", "value"), sink + "-a", sink + "-ac").awaitTermination()
+        jobs.start_update(jobs.class_counts_stream(read(), "ts", "label"), sink + "-u", sink + "-uc").awaitTermination()
+
+    arrive(("2024-01-01 00:10:00", 1.0, 0), ("2024-01-01 09:00:00", 5.0, 0))
+    run()
+    arrive(("2024-01-01 00:20:00", 99.0, 0), ("2024-01-01 09:30:00", 7.0, 0), ("2024-01-01 20:00:00", 1.0, 0))
+    run()
+    windows = {r["window_start"].hour: (r["n"], r["mean"]) for r in spark.read.parquet(sink + "-a").collect()}
+    assert windows == {0: (1, 1.0), 9: (2, 6.0)}  # the hour 20 is still open, the late row of hour 0 is gone
+    counts = {r["window_start"].hour: r["n"] for r in jobs.read_current(spark, sink + "-u", ["window_start", "label"]).collect()}
+    assert counts == {0: 1, 9: 2, 20: 1}
+
+
+def test_batches_of_texts(spark):
+    rows = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(sentences(60))], "row_id long, text string, label int")
+    fitted = model.train(materialize(model.prepare_for_scoring(rows), "prepared"), model.Hyperparameters(max_iter=10, buckets=1024))
+    asked = spark.createDataFrame([(1, ["a vile scum horde", "sunny tea in the garden"]), (2, []), (3, None)], "request_id long, texts array<string>")
+    got = {r["request_id"]: [p["prediction_name"] for p in r["predictions"]] for r in model.score_batches(asked, fitted).collect()}
+    assert got == {1: ["Hate Speech", "Safe"], 2: [], 3: []}

@@ -71,6 +71,17 @@ def test_union_keeps_source_order(spark):
     assert [r["text"] for r in merge.unite([a, b]).orderBy("row_id").collect()] == ["a", "b"]
 
 
+def test_union_of_many_partitions(spark):
+    """Ids of two sources of 200 partitions each stay apart, and an id out of range is an error."""
+    one = spark.range(0, 1000, 1, 200).select(F.monotonically_increasing_id().alias("row_id"), F.col("id").cast("string").alias("text"))
+    both = merge.unite([one, one])
+    assert both.select("row_id").distinct().count() == both.count() == 2000
+    gone = both.filter(F.col("row_id") >= 1 << 56).limit(5).select("row_id")
+    assert both.join(gone, "row_id", "left_anti").count() == 1995
+    with pytest.raises(Exception, match="must be below"):
+        merge.unite([one.withColumn("row_id", F.lit(1 << 56))]).collect()
+
+
 # ---------------------------------------------------------------- near-duplicates
 
 

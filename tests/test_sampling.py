@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from labelmill.config import SplitConfig
+from labelmill.config import Split
 from labelmill.operators import qa, sampling, stats
 
 
@@ -37,7 +37,7 @@ def test_rank_and_subset(rows):
 
 
 def test_stratified_split(rows):
-    out = sampling.stratified_split(rows, SplitConfig(train_ratio=8, val_ratio=1, test_ratio=1))
+    out = sampling.stratified_split(rows, Split(shares=(8, 1, 1)))
     meta = {r["split"]: r.asDict() for r in sampling.split_metadata(out).collect()}
     assert {s: (m["label_0"], m["label_1"], m["label_2"]) for s, m in meta.items()} == {
         "train": (800, 794, 6), "validation": (100, 100, 0), "test": (100, 99, 1)}
@@ -48,7 +48,7 @@ def test_shuffle_split(rows):
     out = sampling.shuffle_split(rows.filter("row_id < 1999"))
     assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 1599, "validation": 199, "test": 201}
     with pytest.raises(ValueError):
-        sampling.shuffle_split(rows, SplitConfig(train_ratio=0.5))
+        sampling.shuffle_split(rows, Split(shares=(0.5, 0.1, 0.1)))
 
 
 def test_oversample(rows):

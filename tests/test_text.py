@@ -5,7 +5,6 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from labelmill.config import CleanConfig
 from labelmill.functions import text as tx
 from labelmill.functions import unicode as un
 from labelmill.operators import clean, language, names
@@ -69,9 +68,15 @@ def test_composed_cleaner(spark):
 
 
 def test_cleaner_switches(spark):
-    cfg = CleanConfig(lowercase=False, remove_urls=False, normalize_punctuation=False, normalize_repeated_chars=False)
+    steps = clean.leave_out(clean.STEPS, "lower", "urls", "punctuation", "repeats")
     rows = spark.createDataFrame([("Go http://a.b !!!!",)], "text string")
-    assert clean.clean_text(rows, cfg=cfg).first()["text"] == "Go http//a.b !!!!"
+    assert clean.clean_text(rows, steps=steps).first()["text"] == "Go http//a.b !!!!"
+
+
+    deleting = clean.replace_step(clean.STEPS, "invisible", lambda c: tx.strip_invisible(c, "delete"))
+    assert clean.clean_text(spark.createDataFrame([("a\nb",)], "text string"), steps=deleting).first()["text"] == "ab"
+    with pytest.raises(ValueError):
+        clean.leave_out(clean.STEPS, "nothing")
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
