@@ -130,9 +130,12 @@ CANON = sql_strip("lower(text)")
 
 
 @query(f"""SELECT row_id, text, source FROM (SELECT doc_id AS row_id, text, source,
-  row_number() OVER (PARTITION BY {CANON} ORDER BY doc_id) AS r FROM documents) WHERE r = 1""")
+  row_number() OVER (PARTITION BY {CANON} ORDER BY doc_id) AS r
+  FROM (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || ' ' ELSE text END AS text FROM documents)) WHERE r = 1""")
 def canonical_dedup(spark, d):
-    return merge.canonical_dedup(documents(spark, d).select("row_id", "text", "source"))
+    """Every third text is in capitals, so that copies differ in case."""
+    text = F.when(F.col("row_id") % 3 == 0, F.concat(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit(" "))).otherwise(F.col("text"))
+    return merge.canonical_dedup(documents(spark, d).select("row_id", text.alias("text"), "source"))
 
 
 @query(f"""SELECT row_id, text FROM (SELECT doc_id AS row_id, text,

@@ -15,6 +15,20 @@ def _step(spark, d, step, name="documents", column="text", key="doc_id"):
     return t.select(key, step(F.col(column)).alias("text"))
 
 
+# What the tables lack, put around every text in both engines: tags, curly quotes, runs of marks, emoji names
+# and an emoji, a ligature, and blank texts.
+DRESSED_SQL = """(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN ' ' || chr(10) || chr(9) ELSE '#StopTheNoise #ab ' || chr(8220) || left(text, 40) || ' ' || chr(8221)
+  || ' ' || chr(171) || ' ' || chr(187) || ' ' || chr(8217) || substr(text, 41) || ' End!!!! well??? so..... :red_heart: ' || chr(128512) || ' ' || chr(64257) || chr(8230) END AS text
+  FROM documents)"""
+
+
+def _dressed(spark, d, step):
+    text = F.concat(F.lit("#StopTheNoise #ab \u201c"), F.substring("text", 1, 40), F.lit(" \u201d \u00ab \u00bb \u2019"), F.expr("substring(text, 41)"),
+                    F.lit(" End!!!! well??? so..... :red_heart: \U0001f600 \ufb01\u2026"))
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.lit(" \n\t")).otherwise(text).alias("text"))
+    return rows.select("doc_id", step(F.col("text")).alias("text"))
+
+
 CAMEL_SQL = ("trim(regexp_replace(regexp_replace({0}, '(.)([A-Z][a-z]+)', '\\1 \\2', 'g'), "
              "'([a-z0-9])([A-Z])', '\\1 \\2', 'g'))")
 HASHTAG_SQL = ("list_reduce(list_distinct(regexp_extract_all({0}, '#[\\p{{L}}\\p{{N}}_]+')), "
@@ -90,9 +104,9 @@ def strip_reddit(spark, d):
     return _step(spark, d, tx.strip_reddit, "pages", "html", "page_id")
 
 
-@query(f"SELECT doc_id, {HASHTAG_SQL.format('text')} AS text FROM documents")
+@query(f"SELECT doc_id, {HASHTAG_SQL.format('text')} AS text FROM {DRESSED_SQL}")
 def expand_hashtags(spark, d):
-    return _step(spark, d, tx.expand_hashtags)
+    return _dressed(spark, d, tx.expand_hashtags)
 
 
 @query("SELECT c_custkey, " + CAMEL_SQL.format("c_name || c_mktsegment || 'NextPart'") + " AS text FROM customer")
@@ -106,14 +120,14 @@ def squeeze_repeats(spark, d):
     return _step(spark, d, tx.squeeze_repeats)
 
 
-@query(f"SELECT page_id, {QUOTE_SQL.format('html')} AS text FROM pages")
+@query(f"SELECT doc_id, {QUOTE_SQL.format('text')} AS text FROM {DRESSED_SQL}")
 def norm_quotes(spark, d):
-    return _step(spark, d, tx.straighten_quotes, "pages", "html", "page_id")
+    return _dressed(spark, d, tx.straighten_quotes)
 
 
-@query(f"SELECT doc_id, {PUNCT_SQL.format('text')} AS text FROM documents")
+@query(f"SELECT doc_id, {PUNCT_SQL.format('text')} AS text FROM {DRESSED_SQL}")
 def norm_punct(spark, d):
-    return _step(spark, d, tx.squeeze_punctuation)
+    return _dressed(spark, d, tx.squeeze_punctuation)
 
 
 @query(f"SELECT doc_id, {CONTROL_SQL.format('text')} AS spaced, replace(text, chr(10), '') AS deleted FROM documents")
@@ -123,20 +137,20 @@ def strip_controls(spark, d):
         tx.strip_invisible(F.col("text"), "delete").alias("deleted"))
 
 
-@query("SELECT doc_id, replace(replace(text, '_', ' '), ':', '') AS text FROM documents")
+@query(f"SELECT doc_id, replace(replace(text, '_', ' '), ':', '') AS text FROM {DRESSED_SQL}")
 def drop_name_marks(spark, d):
-    return _step(spark, d, tx.drop_name_marks)
+    return _dressed(spark, d, tx.drop_name_marks)
 
 
-@query()
+@query(f"SELECT doc_id, replace(text, chr(128512), ' grinning face ') AS text FROM {DRESSED_SQL}")
 def name_emojis(spark, d):
-    return _step(spark, d, un.name_emojis)
+    return _dressed(spark, d, un.name_emojis)
 
 
-@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
+@query(f"SELECT doc_id, replace(replace(nfc_normalize(text), chr(64257), 'fi'), chr(8230), '...') AS text FROM {DRESSED_SQL}")
 def normalize_unicode(spark, d):
-    """Repair and NFKC; the twin's NFC agrees as long as the table holds no compatibility characters."""
-    return _step(spark, d, un.repair_unicode)
+    """Repair and NFKC; the twin spells out the two compatibility characters that the texts hold."""
+    return _dressed(spark, d, un.repair_unicode)
 
 
 # Neutral rules that occur in the tables; the shipped rule table is covered by unit tests and the composed cleaner.
@@ -160,9 +174,9 @@ def canonical_key(spark, d):
     return _step(spark, d, tx.canonical)
 
 
-@query(f"SELECT doc_id, CASE WHEN text IS NULL OR {sql_strip('text')} = '' THEN '' ELSE text END AS text FROM documents")
+@query(f"SELECT doc_id, CASE WHEN text IS NULL OR {sql_strip('text')} = '' THEN '' ELSE text END AS text FROM {DRESSED_SQL}")
 def blank_guard(spark, d):
-    return _step(spark, d, tx.guard_blank)
+    return _dressed(spark, d, tx.guard_blank)
 
 
 @query(f"SELECT doc_id, array_to_string({sql_words('text')}, ' ') AS text FROM documents")
