@@ -1,6 +1,6 @@
 """Scoring texts with a weighted backoff automaton.
 
-States are words seen at least ``STATE_COUNT`` times in training, the text boundary, and the empty history. A state's arcs are
+States are words that make up ``STATE_SHARE`` of the training tokens or more, the text boundary, and the empty history. A state's arcs are
 the smoothed pairs that start with it; any other word takes the state's failure arc to the empty history, whose arcs are
 the smoothed single words. A text is read once from left to right.
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from labelmill.llm.bytesops import hash_words
 from labelmill.llm.common import materialize, whole
 
-BLOCK_TOKENS = 4_000_000
-STATE_COUNT = 1000   # training occurrences from which a word is a state and can end an arc
+BLOCK_TOKENS = 1_000_000
+STATE_SHARE = 1e-4   # share of all training tokens from which a word is a state and can end an arc: 10,000 states at most
 ARC_COUNT = 2        # training occurrences from which a pair is an arc
 DISCOUNT = 0.75
 END = -7046029254386353131  # stands for the end of a text among the word hashes
@@ -44,6 +44,11 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def _flat(table: pa.Table, column: str) -> np.ndarray:
+    """The list in the first row of a column."""
+    return table.column(column)[0].values.to_numpy()
+
+
 def _rows(schema: str, values: list) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
     names, arrays = [], []
@@ -93,21 +98,21 @@ def _blocks(block_tokens: int):
     return run
 
 
-def _single_words(total: int, distinct: int, state_count: int):
+def _single_words(total: int, distinct: int, least: float):
     """Per block: base scores, and each text's moves through the automaton as numbers of the block's pairs."""
     below = total + 0.5 * (distinct + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        counts = np.zeros(len(row["words"]), np.int64)
+        words, lengths, held = _flat(left, "words"), _flat(left, "lengths").astype(np.int64), left.column("held")[0].values
+        counts = np.zeros(len(words), np.int64)
         counts[right.column("place").to_numpy()] = right.column("c").to_numpy()
-        ids, lengths, words = _unpack(row["ids"]), np.array(row["lengths"], np.int64), np.array(row["words"], np.int64)
+        ids = _unpack(left.column("ids")[0].as_py())
         ends = np.cumsum(lengths)
         starts = ends - lengths
         log_single = np.log10((counts + 0.5) / below)
         base = np.add.reduceat(log_single[ids], starts)
         known = np.add.reduceat((counts[ids] > 0).astype(np.int64), starts)
-        state = (counts >= state_count) | (words == END)
+        state = (counts >= least) | (words == END)
         end_id = int(np.flatnonzero(words == END)[0])
         before = np.empty_like(ids)
         before[1:] = ids[:-1]
@@ -118,14 +123,14 @@ def _single_words(total: int, distinct: int, state_count: int):
         pairs, moves = np.unique(pair, return_inverse=True)
         a, b = pairs // (len(words) + 1), pairs % (len(words) + 1) - 1
         owner = np.repeat(np.arange(len(lengths)), lengths)[moving]
-        training = ~np.array(row["held"], bool)[owner]
+        training = ~held.to_numpy(zero_copy_only=False)[owner]
         times = np.bincount(moves[training], minlength=len(pairs))
         busiest = np.argsort(-np.bincount(moves, minlength=len(pairs)), kind="stable")
         rank = np.empty(len(pairs), np.int64)
         rank[busiest] = np.arange(len(pairs))
         a, b, times = a[busiest], b[busiest], times[busiest]
         return pa.Table.from_batches([_rows(PAIRS, [
-            row["block"], row["doc"], row["held"], lengths, known, base, _pack(rank[moves]), np.bincount(owner, minlength=len(lengths)),
+            left.column("block")[0].as_py(), left.column("doc")[0].values, held, lengths, known, base, _pack(rank[moves]), np.bincount(owner, minlength=len(lengths)),
             words[a], np.where(b >= 0, words[b], OTHER), times, counts[a], np.where(b >= 0, counts[b], 0)])])
 
     return run
@@ -133,19 +138,18 @@ def _single_words(total: int, distinct: int, state_count: int):
 
 def _traverse(left: pa.Table, right: pa.Table) -> pa.Table:
     """Per block: what each move adds to the base score, summed along each text."""
-    row = left.to_pylist()[0]
-    n_moves = np.array(row["n_moves"], np.int64)
+    n_moves = _flat(left, "n_moves").astype(np.int64)
     adds = np.zeros(len(right))
     adds[right.column("place").to_numpy()] = right.column("adds").to_numpy()
     # Every text has its first move, from the boundary state.
     starts = np.cumsum(n_moves) - n_moves
-    gained = np.add.reduceat(adds[_unpack(row["moves"])], starts)
-    base = np.array(row["base"])
-    return pa.table({"doc": pa.array(row["doc"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(row["n_tokens"], pa.int64()),
-                     "n_known": pa.array(row["n_known"], pa.int64()), "base_score": pa.array(base), "score": pa.array(base + gained)})
+    gained = np.add.reduceat(adds[_unpack(left.column("moves")[0].as_py())], starts)
+    base = _flat(left, "base")
+    return pa.table({"doc": left.column("doc")[0].values, "held_out": left.column("held")[0].values, "n_tokens": left.column("n_tokens")[0].values,
+                     "n_known": left.column("n_known")[0].values, "base_score": pa.array(base), "score": pa.array(base + gained)})
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_count: int = STATE_COUNT, arc_count: int = ARC_COUNT,
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_share: float = STATE_SHARE, arc_count: int = ARC_COUNT,
                 discount: float = DISCOUNT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row.
 
@@ -164,7 +168,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("once") & (F.col("c") > 0), 1))).first()
     # One task takes one block and its counts; a block's size is bounded by ``block_tokens`` and one text.
     pairs = (blocks.groupBy("block").cogroup(counted.select("block", "place", "c").groupBy("block"))
-             .applyInArrow(_single_words(total, distinct, state_count), PAIRS))
+             .applyInArrow(_single_words(total, distinct, max(1.0, state_share * total)), PAIRS))
     pairs = materialize(pairs, "lm-pairs")
     fields = ("first", "second", "times", "n_first", "n_second")
     moves = (pairs.select("block", F.posexplode(F.arrays_zip(*fields)).alias("place", "x"))

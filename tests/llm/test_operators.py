@@ -365,7 +365,7 @@ def test_split_quotas(spark):
 
 
 def test_language_model(docs, rows):
-    got = language_model.score_texts(docs, state_count=20, block_tokens=500).collect()
+    got = language_model.score_texts(docs, state_share=0.005, block_tokens=500).collect()
     assert len(got) == len(rows)
     texts = [(i, tokens(t) + [None]) for i, t, *_ in rows]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
@@ -376,7 +376,7 @@ def test_language_model(docs, rows):
             pairs.update(zip([None] + w, w))
     total, kinds = sum(c.values()), len(c)
     single = lambda w: (c[w] + 0.5) / (total + 0.5 * (kinds + 1))
-    state = lambda w: w is None or c[w] >= 20
+    state = lambda w: w is None or c[w] >= max(1, 0.005 * total)
     arcs = {k: (n - 0.75) / c[k[0]] for k, n in pairs.items() if n >= 2 and state(k[0]) and state(k[1])}
     failure = {h: (1 - sum(p for (a, _), p in arcs.items() if a == h)) / (1 - sum(single(w) for a, w in arcs if a == h)) for h in c if state(h)}
     want = collections.Counter()
@@ -405,7 +405,7 @@ def test_language_model_likes_its_language(spark):
         return " ".join(w)
 
     df = spark.createDataFrame([(i, text()) for i in range(400)], "doc_id long, text string")
-    r = language_model.score_texts(df, state_count=50).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    r = language_model.score_texts(df, state_share=0.002).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > 0.6 * r[1]  # held-out texts are far more probable with pairs
 
 
