@@ -12,6 +12,12 @@ import numpy as np
 _PACK = 7
 
 
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """For each place in a sorted array the first place with the same value."""
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return np.repeat(starts, np.diff(np.append(starts, len(values))))
+
+
 class RunLengthIndex:
     """Index of ``strings``; ``span`` is the length from which a match counts as long."""
 
@@ -34,7 +40,10 @@ class RunLengthIndex:
         self.size = len(text)
 
     def _suffix_order(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows in suffix order, and whether a row shares ``span`` characters with the one above; separators differ by place."""
+        """Rows in suffix order, and whether a row shares ``span`` characters with the one above; separators differ by place.
+
+        A rank is the first row of all suffixes that are still equal; each round doubles the depth and sorts only those.
+        """
         n = len(text)
         padded = np.concatenate([text, np.zeros(_PACK, np.int64)])
         key, alive = np.zeros(n, np.int64), np.ones(n, bool)
@@ -42,28 +51,32 @@ class RunLengthIndex:
             symbol = padded[i : n + i] * alive
             alive &= padded[i : n + i] > 0
             key = key * 257 + symbol
-        order = np.argsort(key, kind="stable")
-        sorted_key, whole = key[order], alive[order]
-        new = np.ones(n, bool)
-        new[1:] = (sorted_key[1:] != sorted_key[:-1]) | ~whole[1:] | ~whole[:-1]
+        order = np.argsort(key)
+        first = _firsts(key[order])
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        depth, longest = _PACK, int(self.lengths.max()) + 1
-        half = None
+        rank[order] = first
+        cut = np.flatnonzero(~alive)  # these hold a separator: equal ones are told apart by their place
+        by_place = cut[np.lexsort([cut, rank[cut]])]
+        rank[by_place] += np.arange(len(cut)) - _firsts(rank[by_place])
+        open_ = np.flatnonzero(alive)
+        open_ = open_[np.bincount(rank, minlength=n)[rank[open_]] > 1]
+        depth, half, shift = _PACK, None, 0
         while True:
             if half is None and 2 * depth >= self.span:
                 # Two ranks of ``depth`` characters, laid over each other, say whether ``span`` characters are equal.
                 half, shift = rank.copy(), self.span - depth
-            if depth >= longest or new.all():
+            if not len(open_):
                 break
-            later = np.zeros(n, np.int64)
-            later[: n - depth] = rank[depth:] + 1
-            key = rank * (n + 1) + later
-            order = np.argsort(key, kind="stable")
-            sorted_key = key[order]
-            new[1:] = sorted_key[1:] != sorted_key[:-1]
-            rank[order] = np.cumsum(new) - 1
+            key = rank[open_] * (n + 1) + rank[open_ + depth]  # open suffixes are longer than ``depth``
+            by_key = np.argsort(key)
+            open_, key = open_[by_key], key[by_key]
+            old = rank[open_]
+            first = _firsts(key)
+            rank[open_] = old + first - _firsts(old)
+            open_ = open_[np.bincount(first, minlength=len(first))[first] > 1]
             depth *= 2
+        order = np.empty(n, np.int64)
+        order[rank] = np.arange(n)
         if half is None:  # all suffixes differ within fewer characters
             return order, np.zeros(n, bool)
         half = np.concatenate([half, np.full(max(shift, 1), -1)])

@@ -22,7 +22,7 @@ from labelmill.llm.common import Carried, materialize, small, whole
 from labelmill.llm.runlength_index import RunLengthIndex
 
 ANCHOR = 24
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BOUND = 8192
 PIECE = 1 << 18
 BROADCAST_ROWS = 1_000_000
@@ -103,18 +103,24 @@ def _list_anchors(span: int, k: int):
 
 
 def _cut_regions(span: int, k: int):
-    names = ["_id", "_version", "_h", "_at", "_many", "_bytes"]
+    """The regions around given places, with the anchors' hashes made again from the text."""
 
     def run(batches):
         for batch in batches:
-            out = {c: [] for c in names}
-            for row, text in zip(batch.select(["_id", "_version", "_spots"]).to_pylist(), batch.column("_text")):
-                raw = _raw(text)
-                for spot in row["_spots"]:
-                    at = spot["_at"]
-                    for name, value in zip(names, (row["_id"], row["_version"], spot["_h"], at, spot["_many"], raw[max(0, at - (span - k)) : at + span])):
-                        out[name].append(value)
-            yield pa.record_batch([pa.array(out[c], pa.binary() if c == "_bytes" else pa.bool_() if c == "_many" else pa.int64()) for c in names], names=names)
+            for i in range(batch.num_rows):
+                raw = _raw(batch.column("_text")[i])
+                data = np.frombuffer(raw, np.uint8)
+                for many in (False, True):
+                    at = batch.column("_many" if many else "_few")[i].values
+                    if at is None or not len(at):
+                        continue
+                    at = at.to_numpy().astype(np.int64)
+                    powers, _ = power_tables(k)
+                    h = mix64((_SEED[data[at[:, None] + np.arange(k)]] * powers[:k]).sum(axis=1, dtype=np.uint64) + np.uint64(k))
+                    cut = [raw[max(0, a - (span - k)) : a + span] for a in at.tolist()]
+                    same = lambda c: pa.array(np.full(len(at), batch.column(c)[i].as_py(), np.int64))  # noqa: E731, B023
+                    yield pa.record_batch([same("_id"), same("_version"), pa.array(h.view(np.int64)), pa.array(at), pa.array(np.full(len(at), many)), pa.array(cut, pa.binary())],
+                                          names=["_id", "_version", "_h", "_at", "_many", "_bytes"])
 
     return run
 
@@ -183,24 +189,35 @@ def _windows(span: int, k: int):
     return run
 
 
-def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """Maximal runs of the union of ``spans``, cut to ``n`` bytes."""
-    out: list[tuple[int, int]] = []
-    for start, end in sorted((max(0, s), min(n, e)) for s, e in spans):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        elif start < end:
-            out.append((start, end))
-    return out
+def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of the union of spans."""
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order]) if len(ends) else ends
+    new = np.ones(len(starts), bool)
+    new[1:] = starts[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    return starts[first], reach[np.append(first[1:], len(starts)) - 1] if len(starts) else reach
+
+
+def _merge(batches):
+    """The spans of each document as maximal runs."""
+    for batch in batches:
+        spans = batch.column("_all")
+        offsets, values = spans.offsets.to_numpy(), spans.values
+        starts, ends = values.field("_from").to_numpy(), values.field("_to").to_numpy()
+        runs = [merged(starts[a:b], ends[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+        cut = pa.array(np.concatenate([[0], np.cumsum([len(r[0]) for r in runs])]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate([r[i] for r in runs] or [np.zeros(0, np.int64)]))) for i in (0, 1)]
+        yield pa.record_batch([batch.column("_id"), batch.column("_version"), *lists], names=["_id", "_version", "_starts", "_ends"])
 
 
 def _remove(names: list[str], counts: tuple[str, ...]):
     def run(batches):
         for batch in batches:
             kept, numbers = [], []
-            for text, spans in zip(batch.column("_text"), batch.column("_spans").to_pylist()):
+            for text, starts, ends in zip(batch.column("_text"), batch.column("_starts").to_pylist(), batch.column("_ends").to_pylist()):
                 raw = _raw(text)
-                gone = merged([(s["_from"], s["_to"]) for s in spans or []], len(raw))
+                gone = [(max(0, a), min(len(raw), b)) for a, b in zip(starts or [], ends or [])]
                 edges = [0, *[x for run_ in gone for x in run_], len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 numbers.append((len(raw), sum(b - a for a, b in gone), len(gone)))
@@ -231,10 +248,10 @@ def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col:
              .where("_id <> i OR _version <> v OR _at <> p").select("_id", "_version", (F.col("_at") - (span - k)).alias("_from"), (F.col("_at") + span).alias("_to")))
     several = first.groupBy("_h").agg(F.count("*").alias("regions")).where("regions > 1").select("_h", (F.col("regions") > BOUND).alias("_many"))
     spots = (first.join(several, "_h").groupBy(F.col("i").alias("_id"), F.col("v").alias("_version"))
-             .agg(F.collect_set(F.struct("_h", F.col("p").alias("_at"), "_many")).alias("_spots")))
+             .agg(F.collect_set(F.when(~F.col("_many"), F.col("p").cast("int"))).alias("_few"), F.collect_set(F.when(F.col("_many"), F.col("p").cast("int"))).alias("_many")))
     spots = materialize(spots, "region-spots")
     cut = _with_texts(texts, spots)
-    regions = materialize(cut.mapInArrow(_cut_regions(span, k), f"{ROW}, _h bigint, _at bigint, _many boolean, _bytes binary").distinct(), "region-bytes")
+    regions = materialize(cut.mapInArrow(_cut_regions(span, k), f"{ROW}, _h bigint, _at bigint, _many boolean, _bytes binary"), "region-bytes")
     indexed = (regions.where("NOT _many").repartition("_h").sortWithinPartitions("_h", "_id", "_version", "_at")
                .mapInArrow(_index_chunks(span, k), f"{ROW}, _from bigint, _to bigint"))
     windows = regions.where("_many").mapInArrow(_windows(span, k), f"{ROW}, _w1 bigint, _w2 bigint, _from bigint")
@@ -242,14 +259,14 @@ def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col:
     earliest = windows.groupBy("_w1", "_w2").agg(F.min(F.struct("_id", "_version", "_from")).alias("e"), F.count("*").alias("n")).where("n > 1")
     counted_out = (windows.join(earliest, ["_w1", "_w2"]).where(F.struct("_id", "_version", "_from") > F.col("e"))
                    .select("_id", "_version", "_from", (F.col("_from") + span).alias("_to")))
-    marks = again.unionByName(indexed).unionByName(counted_out).groupBy("_id", "_version").agg(F.collect_set(F.struct("_from", "_to")).alias("_spans"))
-    marks = materialize(marks, "byte-marks")
+    marks = again.unionByName(indexed).unionByName(counted_out).groupBy("_id", "_version").agg(F.collect_list(F.struct("_from", "_to")).alias("_all"))
+    marks = materialize(marks.mapInArrow(_merge, f"{ROW}, _starts array<bigint>, _ends array<bigint>"), "byte-marks")
     counts = ("n_bytes", "n_removed", "n_spans")
     rest = Carried(docs, *counts, "kept_bytes", text_col)
     held = [f"_in{i}" for i in range(len(rest.names))]
     joined = _with_texts(docs.select(*rest.cols, *key), marks, "left")
     schema = ", ".join([*([rest.fields] if held else []), *[f"{c} bigint" for c in counts], "kept_bytes binary"])
-    return joined.select(*held, "_text", "_spans").mapInArrow(_remove(held, counts), schema).select(*rest.back(), *counts, "kept_bytes")
+    return joined.select(*held, "_text", "_starts", "_ends").mapInArrow(_remove(held, counts), schema).select(*rest.back(), *counts, "kept_bytes")
 
 
 def _with_texts(texts: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
