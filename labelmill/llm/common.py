@@ -5,12 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.storage import materialize, shared_dir
+from labelmill import storage
+from labelmill.storage import shared_dir
 
 __all__ = ["SPACE", "ascii_lower", "count_words", "docs_table", "materialize", "shared_dir", "small", "whole", "Carried"]
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH = 1000  # texts in one Arrow batch: bounds what a Python worker and the JVM's buffers for it hold at once
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``storage.materialize`` with small Arrow batches while it runs; the session's own setting comes back after it."""
+    conf = df.sparkSession.conf
+    before = conf.get(ARROW_ROWS)
+    conf.set(ARROW_ROWS, str(BATCH))
+    try:
+        return storage.materialize(df, name)
+    finally:
+        conf.set(ARROW_ROWS, before)
+
+
 SPACE = r"[\x20\x09-\x0D]"
-NOT_SPACE = r"[^\x20\x09-\x0D]+"
+NOT_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH = 1000  # texts in one Arrow batch: bounds what a Python worker and the JVM's buffers for it hold at once
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``storage.materialize`` with small Arrow batches while it runs; the session's own setting comes back after it."""
+    conf = df.sparkSession.conf
+    before = conf.get(ARROW_ROWS)
+    conf.set(ARROW_ROWS, str(BATCH))
+    try:
+        return storage.materialize(df, name)
+    finally:
+        conf.set(ARROW_ROWS, before)
+
+
+SPACE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -2,7 +2,7 @@
 
 1. Each text becomes the set of hashes of its shingles; equal sets fold into the smallest id (exact copies cost no pairs).
    A set's sketch is its ``K`` smallest hashes: both a uniform sample of the set and a prefix of it in one global order.
-2. Inverted lists of retained values. First each list is compared with its smallest id only (a star): that is linear and
+2. Inverted lists of retained values. First each list is compared with a few heads only (stars): that is linear and
    gathers large groups of copies, whose further pairs are then superfluous. Lists that are still held by many groups are
    common shingles: they go to the end of the order and are met only by sets that have too few other values.
 3. Pairs of different groups that share two values or more (by the prefix argument no pair of similarity 0.8 shares fewer,
@@ -16,7 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmill.llm.bytesops import hash_words, shingles
@@ -25,7 +25,9 @@ from labelmill.llm.graph import components
 
 K = 32           # retained values of a set
 PREFIX = 16      # of them, as many make candidates at most
-HOT_GROUPS = 24  # a value held by more groups is a common shingle
+LEAST = 10 / K   # share of the union sketch below which a pair is not compared in full
+HOT_GROUPS = 16  # a value held by more groups is a common shingle
+HEADS, ROUNDS = 4, 2
 BROADCAST_ROWS = 2_000_000
 
 
@@ -98,6 +100,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return materialize(joined.mapInArrow(_compare(width, percent), "a long, b long"), "near-links")
 
 
+def _stars(lists: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of a set with heads of its lists: those tested, and those that are links.
+
+    A list's heads are its most central set, its smallest id and the ids with the smallest hashes by several hashes, so that
+    the lists of one group of copies agree on them. Sets that only come near a head try others in further rounds. Rounds
+    only save work: pairs left are found later.
+    """
+    tested = links = None
+    near = lists
+    for turn in range(ROUNDS):
+        heads = near.groupBy("v").agg(F.max(F.struct("central", "id"))["id"].alias("h0"), F.min("id").alias("h1"),
+                                      *[F.min(F.struct(F.xxhash64(F.lit(turn * HEADS + i), "id"), "id"))["id"].alias(f"h{i}") for i in range(2, HEADS)])
+        heads = heads.select("v", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HEADS)]))).alias("head"))
+        trying = near if turn == 0 else near.where("open")
+        pairs = trying.join(heads, "v").where("id <> head").groupBy("id", "head").agg(F.count("*").alias("shared")).where("shared >= 4")
+        best = (pairs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("shared", "head")), asc=False).alias("all"))
+                .select("id", F.explode(F.slice("all", 1, HEADS)).alias("h")).select(F.least("id", "h.head").alias("a"), F.greatest("id", "h.head").alias("b"), F.col("id").alias("own")))
+        best = materialize(best, "near-stars")
+        fresh = best.select("a", "b").distinct()
+        fresh = fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti")
+        fresh = materialize(_similar(fresh, sets, percent, LEAST), "near-stars")
+        found = _verified(fresh, texts, width, percent)
+        tested = fresh if tested is None else materialize(tested.union(fresh), "near-tested")
+        links = found if links is None else materialize(links.union(found), "near-links")
+        if turn == ROUNDS - 1:
+            break
+        ends = lambda df: df.select(F.col("a").alias("id")).union(df.select("b"))
+        # Open: came near a head by its sketch, but is an end of no link.
+        close = ends(tested).distinct().join(ends(links).distinct(), "id", "left_anti")
+        close = materialize(close, "near-open")
+        if small(close, HOT_GROUPS):
+            break
+        of_open = lists.join(close, "id", "left_semi").select("v").distinct()
+        near = materialize(lists.join(of_open, "v", "left_semi").join(close.withColumn("open", F.lit(True)), "id", "left").withColumn("open", F.coalesce("open", F.lit(False))), "near-lists")
+    return tested, links
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` for each row: the components of texts whose shingle sets are similar.
 
@@ -116,15 +155,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .groupBy("id").agg(F.min(F.struct("d1", "d2", "n", "sketch")).alias("s")).select("id", "s.n", "s.sketch"))
     reps = materialize(reps, "near-reps")
     rows = reps.select("id", "n", F.posexplode("sketch").alias("pos", "v"))
-    heads = rows.groupBy("v").agg(F.count("*").alias("held"), F.min("id").alias("head")).where("held > 1")
-    lists = materialize(rows.join(heads.select("v", "head"), "v"), "near-lists")
-    # Stars: the head with which a set shares most values.
-    stars = (lists.where("id > head").groupBy("id", "head").agg(F.count("*").alias("shared")).where("shared >= 4")
-             .groupBy("id").agg(F.max(F.struct("shared", (-F.col("head")).alias("head"))).alias("best"))
-             .select((-F.col("best.head")).alias("a"), F.col("id").alias("b")))
-    stars = materialize(_similar(stars, reps, percent, 0.6), "near-stars")
-    star_links = _verified(stars, texts, width, percent)
-    groups = star_links.select(F.col("b").alias("id"), F.col("a").alias("g"))
+    held_twice = rows.groupBy("v").agg(F.count("*").alias("held")).where("held > 1")
+    # Central: a text others were copied from shares all its values with them, a copy has some of its own.
+    lists = rows.join(held_twice, "v").withColumn("central", F.sum("held").over(Window.partitionBy("id"))).drop("held")
+    lists = materialize(lists, "near-lists")
+    tested, star_links = _stars(lists, reps, texts, width, percent)
+    groups = components(star_links).select("id", F.col("label").alias("g"))
+    groups = materialize(groups, "near-groups")
     grouped = materialize(lists.join(groups, "id", "left").select("v", "id", "n", "pos", F.coalesce("g", "id").alias("g")), "near-grouped")
     many = grouped.select("v", "g").distinct().groupBy("v").agg(F.count("*").alias("groups"))
     marked = grouped.join(many.where(F.col("groups") > 1), "v").select("v", "id", "n", "pos", "g", (F.col("groups") > HOT_GROUPS).alias("hot"))
@@ -138,18 +175,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     short = (per_set.withColumn("hot", hot).select("id", "g", F.explode(F.filter(ranked, lambda r: r["rank"] < reach)).alias("r"))
              .select("id", "g", F.col("r.v").alias("v")))
     short = materialize(short, "near-short")
-    held = short.select("v", "g").distinct()
-    meet = (held.join(held.withColumnRenamed("g", "h"), "v").where("g < h").groupBy("g", "h").agg(F.count("*").alias("shared"))
-            .where("shared >= 2").select("g", "h"))
-    meet = materialize(meet, "near-meet")
-    ways = meet.union(meet.select("h", "g"))
-    side = (short.join(ways, "g").join(held.withColumnRenamed("g", "h"), ["v", "h"]).groupBy("id", "g", "h").agg(F.count("*").alias("shared"))
-            .where("shared >= 2").select("id", "g", "h"))
+    # A set meets the groups of its values; a pair of sets is a candidate when each shares two values with the other's group.
+    held = short.select("v", F.col("g").alias("h")).distinct()
+    side = (short.join(held, "v").where("g <> h").groupBy("id", "g", "h").agg(F.count("*").alias("shared")).where("shared >= 2").select("id", "g", "h"))
     side = materialize(side, "near-sides")
     cross = (side.where("g < h").select(F.col("id").alias("x"), "g", "h")
              .join(side.where("g > h").select(F.col("id").alias("y"), F.col("g").alias("h"), F.col("h").alias("g")), ["g", "h"])
              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    cross = materialize(_similar(cross, reps, percent, 10 / K).join(stars, ["a", "b"], "left_anti"), "near-cross")
+    cross = materialize(_similar(cross, reps, percent, LEAST).join(tested, ["a", "b"], "left_anti"), "near-cross")
     links = star_links.union(_verified(cross, texts, width, percent))
     labels = components(links)
     folded = (filled.select("id", "d1", "d2").distinct().join(first, ["d1", "d2"]).groupBy("id").agg(F.min("rep").alias("rep")))
