@@ -1,12 +1,13 @@
 """Scoring texts with a weighted backoff automaton.
 
-States are words that make up ``STATE_SHARE`` of the training tokens or more, the text boundary, and the empty history. A state's arcs are
-the smoothed pairs that start with it; any other word takes the state's failure arc to the empty history, whose arcs are
-the smoothed single words. A text is read once from left to right.
+States are the training words, the text boundary, and the empty history. A state's arcs are the smoothed pairs that start with it;
+any other word takes the state's failure arc to the empty history, whose arcs are the smoothed single words. A text is read
+once from left to right. Words seen less often than an arc needs have no arcs, and a failure arc without weight: their pairs
+are never counted, which changes no score.
 
 Texts travel as blocks: one row holds the word numbers of some thousand texts and the block's own dictionary. Blocks ask
-for what they need (counts of their words, weights of their pairs) by a join on the word or pair, so that no task
-or driver ever holds the whole model, and a frequent word costs one row for each block.
+for what they need (counts and failure arcs of their words, weights of their pairs) by a join on the word or pair, so that no
+task or driver ever holds the whole model, and a frequent word costs one row for each block.
 """
 
 from __future__ import annotations
@@ -21,15 +22,14 @@ from labelmill.llm.bytesops import hash_words
 from labelmill.llm.common import materialize, whole
 
 BLOCK_TOKENS = 1_000_000
-STATE_SHARE = 1e-4   # share of all training tokens from which a word is a state and can end an arc: 10,000 states at most
 ARC_COUNT = 2        # training occurrences from which a pair is an arc
 DISCOUNT = 0.75
 END = -7046029254386353131  # stands for the end of a text among the word hashes
-OTHER = -1                  # the arc to any word that is no state
+ROWS = 100_000                              # pairs of a block that go out at once
 
 BLOCK = ("block long, ids binary, doc array<long>, held array<boolean>, lengths array<int>, words array<long>, times array<long>")
-PAIRS = ("block long, doc array<long>, held array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, moves binary, "
-         "n_moves array<int>, first array<long>, second array<long>, times array<long>, n_first array<long>, n_second array<long>")
+COUNTED = "block long, ids binary, doc array<long>, held array<boolean>, lengths array<int>, words array<long>, counts binary, n_known array<long>, base array<double>"
+MOVES = "block long, place int, first long, second long, times int, n_first long, n_second long"
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -98,58 +98,78 @@ def _blocks(block_tokens: int):
     return run
 
 
-def _single_words(total: int, distinct: int, least: float):
-    """Per block: base scores, and each text's moves through the automaton as numbers of the block's pairs."""
+def _single_words(total: int, distinct: int):
+    """Per block: the training counts of its words, and each text's base score."""
     below = total + 0.5 * (distinct + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, lengths, held = _flat(left, "words"), _flat(left, "lengths").astype(np.int64), left.column("held")[0].values
+        words, lengths = _flat(left, "words"), _flat(left, "lengths").astype(np.int64)
         counts = np.zeros(len(words), np.int64)
         counts[right.column("place").to_numpy()] = right.column("c").to_numpy()
-        ids = _unpack(left.column("ids")[0].as_py())
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
-        log_single = np.log10((counts + 0.5) / below)
-        base = np.add.reduceat(log_single[ids], starts)
+        data = left.column("ids")[0].as_py()
+        ids = _unpack(data)
+        starts = np.cumsum(lengths) - lengths
+        base = np.add.reduceat(np.log10((counts + 0.5) / below)[ids], starts)
         known = np.add.reduceat((counts[ids] > 0).astype(np.int64), starts)
-        state = (counts >= least) | (words == END)
-        end_id = int(np.flatnonzero(words == END)[0])
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[starts] = end_id  # a text starts where another ends
-        moving = state[before]
-        second = np.where(state[ids], ids, -1)[moving]
-        pair = before[moving] * (len(words) + 1) + second + 1
-        pairs, moves = np.unique(pair, return_inverse=True)
-        a, b = pairs // (len(words) + 1), pairs % (len(words) + 1) - 1
-        owner = np.repeat(np.arange(len(lengths)), lengths)[moving]
-        training = ~held.to_numpy(zero_copy_only=False)[owner]
-        times = np.bincount(moves[training], minlength=len(pairs))
-        busiest = np.argsort(-np.bincount(moves, minlength=len(pairs)), kind="stable")
-        rank = np.empty(len(pairs), np.int64)
-        rank[busiest] = np.arange(len(pairs))
-        a, b, times = a[busiest], b[busiest], times[busiest]
-        return pa.Table.from_batches([_rows(PAIRS, [
-            left.column("block")[0].as_py(), left.column("doc")[0].values, held, lengths, known, base, _pack(rank[moves]), np.bincount(owner, minlength=len(lengths)),
-            words[a], np.where(b >= 0, words[b], OTHER), times, counts[a], np.where(b >= 0, counts[b], 0)])])
+        return pa.Table.from_batches([_rows(COUNTED, [
+            left.column("block")[0].as_py(), data, left.column("doc")[0].values, left.column("held")[0].values, lengths, words, counts.tobytes(), known, base])])
 
     return run
 
 
-def _traverse(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Per block: what each move adds to the base score, summed along each text."""
-    n_moves = _flat(left, "n_moves").astype(np.int64)
-    adds = np.zeros(len(right))
-    adds[right.column("place").to_numpy()] = right.column("adds").to_numpy()
-    # Every text has its first move, from the boundary state.
-    starts = np.cumsum(n_moves) - n_moves
-    gained = np.add.reduceat(adds[_unpack(left.column("moves")[0].as_py())], starts)
-    base = _flat(left, "base")
-    return pa.table({"doc": left.column("doc")[0].values, "held_out": left.column("held")[0].values, "n_tokens": left.column("n_tokens")[0].values,
-                     "n_known": left.column("n_known")[0].values, "base_score": pa.array(base), "score": pa.array(base + gained)})
+def _pairs(block, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's pairs that can be arcs, by the places of their words; the tokens that end one and which, and the word before each token."""
+    words, lengths = _flat(block, "words"), _flat(block, "lengths").astype(np.int64)
+    ids, counts = _unpack(block.column("ids")[0].as_py()), np.frombuffer(block.column("counts")[0].as_py(), np.int64)
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[np.cumsum(lengths) - lengths] = int(np.flatnonzero(words == END)[0])  # a text starts where another ends
+    state = (counts >= least) | (words == END)
+    at = np.flatnonzero(state[before] & state[ids])
+    pairs, moves = np.unique(before[at] * len(words) + ids[at], return_inverse=True)
+    return pairs // len(words), pairs % len(words), at, moves, before
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_share: float = STATE_SHARE, arc_count: int = ARC_COUNT,
+def _moves(least: float):
+    """A block's pairs as rows, with what the block's training texts count of them."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                block = batch.slice(i, 1)
+                a, b, at, moves, _ = _pairs(block, least)
+                words, counts = _flat(block, "words"), np.frombuffer(block.column("counts")[0].as_py(), np.int64)
+                training = np.repeat(~block.column("held")[0].values.to_numpy(zero_copy_only=False), _flat(block, "lengths"))[at]
+                times = np.bincount(moves[training], minlength=len(a))
+                for j in range(0, len(a), ROWS):
+                    x, y = a[j : j + ROWS], b[j : j + ROWS]
+                    yield pa.record_batch([pa.array(np.full(len(x), block.column("block")[0].as_py(), np.int64)), pa.array(np.arange(j, j + len(x), dtype=np.int32)), pa.array(words[x]), pa.array(words[y]),
+                                           pa.array(times[j : j + ROWS].astype(np.int32)), pa.array(counts[x]), pa.array(counts[y])], names=[f.split(" ")[0] for f in MOVES.split(", ")])
+
+    return run
+
+
+def _traverse(least: float):
+    """Per block: what arcs and failure arcs add to the base score, summed along each text."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lengths = _flat(left, "lengths").astype(np.int64)
+        a, _, at, moves, before = _pairs(left, least)
+        place, adds = right.column("place").to_numpy(), right.column("adds").to_numpy()
+        failure = np.zeros(len(_flat(left, "words")))
+        failure[-1 - place[place < 0]] = adds[place < 0]
+        on_arc = failure[a]
+        on_arc[place[place >= 0]] = adds[place >= 0]
+        gained = failure[before]
+        gained[at] = on_arc[moves]
+        base = _flat(left, "base")
+        return pa.table({"doc": left.column("doc")[0].values, "held_out": left.column("held")[0].values, "n_tokens": pa.array(lengths), "n_known": left.column("n_known")[0].values,
+                         "base_score": pa.array(base), "score": pa.array(base + np.add.reduceat(gained, np.cumsum(lengths) - lengths))})
+
+    return run
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_share: float = 0.0, arc_count: int = ARC_COUNT,
                 discount: float = DISCOUNT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row.
 
@@ -157,31 +177,32 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     train. ``base_score`` uses single words, ``(c + 0.5) / (N + 0.5 (V + 1))``; ``score`` is the automaton's log10 probability: an arc
     has ``(c(h, w) - discount) / c(h)``, a failure arc the mass that is left over that of the words not on arcs. Null text:
     the end only. A null id trains. Repeated rows count as often as they stand. No rows: no rows. If nothing trains, all counts are 0.
-    Words are told apart by 64-bit hashes.
+    Words are told apart by 64-bit hashes. ``state_share``: the share of all training tokens from which a word is a state; 0: every word is.
     """
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), held.alias("held"), whole(text_col).alias("text"))
     blocks = materialize(texts.mapInArrow(_blocks(block_tokens), BLOCK), "lm-blocks")
     words = blocks.select("block", F.posexplode(F.arrays_zip("words", "times")).alias("place", "x")).select("block", "place", F.col("x.words").alias("w"), F.col("x.times").alias("n"))
     of_word = Window.partitionBy("w")
-    counted = materialize(words.select("block", "place", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("block")) == 1).alias("once"), "n"), "lm-words")
+    counted = materialize(words.select("block", "place", "w", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("block")) == 1).alias("once"), "n"), "lm-words")
     total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("once") & (F.col("c") > 0), 1))).first()
+    least = max(1.0, arc_count, state_share * total)
     # One task takes one block and its counts; a block's size is bounded by ``block_tokens`` and one text.
-    pairs = (blocks.groupBy("block").cogroup(counted.select("block", "place", "c").groupBy("block"))
-             .applyInArrow(_single_words(total, distinct, max(1.0, state_share * total)), PAIRS))
-    pairs = materialize(pairs, "lm-pairs")
-    fields = ("first", "second", "times", "n_first", "n_second")
-    moves = (pairs.select("block", F.posexplode(F.arrays_zip(*fields)).alias("place", "x"))
-             .select("block", "place", *[F.col(f"x.{f}").alias(f) for f in fields]))
+    known = (blocks.groupBy("block").cogroup(counted.select("block", "place", "c").groupBy("block"))
+             .applyInArrow(_single_words(total, distinct), COUNTED))
+    known = materialize(known, "lm-counted")
+    moves = known.select("block", "ids", "held", "lengths", "words", "counts").mapInArrow(_moves(least), MOVES)
     of_pair = Window.partitionBy("first", "second")
-    weighed = materialize(moves.select("block", "place", "first", "second", "n_first", "n_second", F.sum("times").over(of_pair).alias("c"),
-                                       (F.row_number().over(of_pair.orderBy("block")) == 1).alias("once")), "lm-moves")
-    is_arc = (F.col("second") != OTHER) & (F.col("c") >= arc_count)
+    weighed = moves.select("block", "place", "first", "n_first", "n_second", F.sum("times").over(of_pair).alias("c"),
+                           (F.row_number().over(of_pair.orderBy("block")) == 1).alias("once")).where(F.col("c") >= arc_count)
+    arcs = materialize(weighed.select("block", "place", "c", "n_first", "n_second", F.when(F.col("once"), F.col("first")).alias("first")), "lm-arcs")
     arc = (F.col("c") - discount) / F.col("n_first")
     single = (F.col("n_second") + 0.5) / (total + 0.5 * (distinct + 1))
-    fail = (weighed.where("once").groupBy("first").agg(F.coalesce(F.sum(F.when(is_arc, arc)), F.lit(0.0)).alias("on_arcs"), F.coalesce(F.sum(F.when(is_arc, single)), F.lit(0.0)).alias("singles"))
-            .select("first", F.log10((1 - F.col("on_arcs")) / (1 - F.col("singles"))).alias("failure")))
-    adds = weighed.join(fail, "first").select("block", "place", F.when(is_arc, F.log10(arc) - F.log10(single)).otherwise(F.col("failure")).alias("adds"))
-    scored = pairs.select("block", "doc", "held", "n_tokens", "n_known", "base", "moves", "n_moves").groupBy("block").cogroup(adds.groupBy("block")).applyInArrow(
-        _traverse, "doc long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    fail = (arcs.where("first IS NOT NULL").groupBy("first").agg(F.sum(arc).alias("on_arcs"), F.sum(single).alias("singles"))
+            .select(F.col("first").alias("w"), F.log10((1 - F.col("on_arcs")) / (1 - F.col("singles"))).alias("adds")))
+    # Failure arcs come to a block by word (places below 0), arcs by pair.
+    of_words = counted.select("block", "place", "w").join(fail, "w").select("block", (-1 - F.col("place")).alias("place"), "adds")
+    adds = arcs.select("block", "place", (F.log10(arc) - F.log10(single)).alias("adds")).union(of_words)
+    scored = known.groupBy("block").cogroup(adds.groupBy("block")).applyInArrow(
+        _traverse(least), "doc long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("doc").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -409,6 +409,23 @@ def test_language_model_likes_its_language(spark):
     assert r[0] > 0.6 * r[1]  # held-out texts are far more probable with pairs
 
 
+def test_language_model_rare_pairs(spark):
+    """A pair of rare words (far below 1/10,000 of all tokens) is an arc as soon as it was seen twice."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    train, out = [i for i in range(200) if not held(i)], [i for i in range(200) if held(i)]
+    texts = {i: "the " * 600 for i in range(200)}
+    texts |= {train[0]: "salt quartz", train[1]: "salt quartz", out[0]: "salt quartz", out[1]: "quartz salt"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_model.score_texts(df).collect()}
+    gain = lambda i: got[i]["score"] - got[i]["base_score"]
+    assert got[out[0]]["train_tokens"] > 20_000 * 4 and gain(out[0]) > gain(out[1]) + 6
+    # Three arcs: boundary to salt, salt to quartz, quartz to boundary.
+    n, c = len(train), got[out[0]]["train_tokens"]
+    single = lambda k: (k + 0.5) / (c + 0.5 * 5)  # noqa: E731 - four kinds: the, salt, quartz, the end
+    want = math.log10(1.25 / n / single(2)) + math.log10(1.25 / 2 / single(2)) + math.log10(1.25 / 2 / single(n))
+    assert math.isclose(gain(out[0]), want, abs_tol=1e-6)
+
+
 def test_html():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header>
     <nav><ul><li><a href="/a">Home of all things</a></li></ul></nav><div class="cookie-notice">We use cookies and more.</div><!-- <p>no</p> -->
