@@ -2,7 +2,9 @@
 
 One pass over the texts gives counts and two histograms for each document: characters by class, and frequent function
 words. The histograms of all documents of a language add up to its reference. A document whose Jensen-Shannon distance from
-the reference is too large is rejected; short texts are too noisy for that and are only judged by the base rules.
+the reference is too large is rejected; short texts are too noisy for that and are only judged by the base rules. Texts that hardly
+use function words go as well, in languages that do: what counts is the distance between the shares of function words as a
+part of the largest such distance, that of a text without any. Tables (cells between bars) need no function words.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ COMMON_WORDS = tuple(
 CLASSES = ("lower", "upper", "digit", "white", "sentence", "symbol", "beyond_ascii")
 MAX_CLASS_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.42
+MAX_ABSENCE = 0.80  # of the distance of a text without function words; about a tenth of the language's share
+LEAST_SHARE = 0.10  # a language whose texts use the listed words less is not listed, and lacks none
+TABLE_BARS = 0.10   # bars for each word from which a text is a table
 LEAST_WORDS = 50    # below: base rules only
 LEAST_CHARS = 200
 
@@ -45,8 +50,8 @@ def _word_table(words: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.array([hashes[int(k)] for k in keys])
 
 
-def text_counts(text: str | None, table: tuple[np.ndarray, np.ndarray]) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Base counts, characters by class, and function words (the last place: all other words)."""
+def text_counts(text: str | None, table: tuple[np.ndarray, np.ndarray]) -> tuple[list[int], np.ndarray, np.ndarray, int]:
+    """Base counts, characters by class, function words (the last place: all other words), and bars."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     data = np.frombuffer(raw, np.uint8)
     classes = np.bincount(_CLASS[data], minlength=8)[:7]
@@ -66,14 +71,14 @@ def text_counts(text: str | None, table: tuple[np.ndarray, np.ndarray]) -> tuple
     known = keys[at] == words
     size = int(owner.max()) + 1
     hist = np.append(np.bincount(owner[at[known]], minlength=size), n - int(known.sum()))
-    return [n, int(classes.sum() - classes[3]), int(_SYMBOL[data].sum()), len(lines) - len(set(lines)), repeated], classes, hist
+    return [n, int(classes.sum() - classes[3]), int(_SYMBOL[data].sum()), len(lines) - len(set(lines)), repeated], classes, hist, int((data == ord("|")).sum())
 
 
 BASE_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _measure(words: tuple[str, ...]):
-    fields = [pa.field("_row", pa.int64()), *[pa.field(c, pa.int64()) for c in BASE_COUNTS], pa.field("_classes", pa.list_(pa.int64())), pa.field("_common", pa.list_(pa.int64()))]
+    fields = [pa.field("_row", pa.int64()), *[pa.field(c, pa.int64()) for c in BASE_COUNTS], pa.field("_classes", pa.list_(pa.int64())), pa.field("_common", pa.list_(pa.int64())), pa.field("_bars", pa.int64())]
 
     def run(batches):
         table = _word_table(words)
@@ -83,7 +88,7 @@ def _measure(words: tuple[str, ...]):
             lists = [pa.array([r[i].tolist() for r in rows], pa.list_(pa.int64())) for i in (1, 2)]
             kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "_text"]
             names = [name for name in batch.schema.names if name != "_text"]
-            yield pa.record_batch([*kept, *made, *lists], names=[*names, *[f.name for f in fields[1:]]])
+            yield pa.record_batch([*kept, *made, *lists, pa.array([r[3] for r in rows], pa.int64())], names=[*names, *[f.name for f in fields[1:]]])
 
     return run
 
@@ -108,27 +113,31 @@ def judge_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
     Base rules: fewer than 50 words, or more than half of the words in 3-word windows found twice or more in the text. Texts of
     50 words and 200 characters or more are also rejected when one of their distances from the reference of their language is
-    too large. Null language: a language of its own. Null or empty text: no words, so rejected. Repeated rows are judged
+    too large, or when their share of function words is as far from the language's as ``MAX_ABSENCE`` of what a text without any is;
+    tables and languages that use few of the listed words are spared that. Null language: a language of its own. Null or empty text: no words, so rejected. Repeated rows are judged
     each. No rows: no rows. Columns with the names of the results are replaced.
     """
     rest = Carried(docs, *BASE_COUNTS, "class_distance", "word_distance", "base_failed", "kept")
     held = [f"_in{i}" for i in range(len(rest.names))]
     plain = docs.select(*rest.cols, F.col(quoted(lang_col)).alias("_lang"), whole(text_col).alias("_text"))
     lang = plain.schema["_lang"].dataType.simpleString()
-    ddl = ", ".join([*([rest.fields] if held else []), f"_lang {lang}", *[f"{c} bigint" for c in BASE_COUNTS], "_classes array<bigint>, _common array<bigint>"])
+    ddl = ", ".join([*([rest.fields] if held else []), f"_lang {lang}", *[f"{c} bigint" for c in BASE_COUNTS], "_classes array<bigint>, _common array<bigint>, _bars bigint"])
     counted = materialize(plain.mapInArrow(_measure(words), ddl), "quality-counts")
     n_words = len(dict.fromkeys(words)) + 1
     adding = lambda col, n: F.array(*[F.sum(F.col(col)[i]) for i in range(n)])
     refs = counted.groupBy("_lang").agg(adding("_classes", len(CLASSES)).alias("c"), adding("_common", n_words).alias("w"))
     refs = refs.select(F.col("_lang").alias("_ref"), shares(F.col("c")).alias("_ref_classes"), shares(F.col("w")).alias("_ref_common"))
-    rows = counted.select(*held, *BASE_COUNTS, "_lang", F.aggregate("_classes", F.lit(0).cast("long"), lambda a, x: a + x).alias("_chars"),
+    rows = counted.select(*held, *BASE_COUNTS, "_bars", "_lang", F.aggregate("_classes", F.lit(0).cast("long"), lambda a, x: a + x).alias("_chars"),
                           shares(F.col("_classes")).alias("_c"), shares(F.col("_common")).alias("_w"))
     joined = rows.join(refs, F.col("_lang").eqNullSafe(F.col("_ref")))
-    measured = joined.select(*rest.back(), *BASE_COUNTS, "_chars", shannon_distance(F.col("_c"), F.col("_ref_classes")).alias("class_distance"),
+    two = lambda h: F.array(1 - F.element_at(h, -1), F.element_at(h, -1))  # noqa: E731 - listed words and others
+    absent = shannon_distance(two(F.col("_w")), two(F.col("_ref_common"))) > MAX_ABSENCE * shannon_distance(F.array(F.lit(0.0), F.lit(1.0)), two(F.col("_ref_common")))
+    few = (F.element_at("_w", -1) > F.element_at("_ref_common", -1)) & (1 - F.element_at("_ref_common", -1) >= LEAST_SHARE) & (F.col("_bars") < TABLE_BARS * F.col("n_words"))
+    measured = joined.select(*rest.back(), *BASE_COUNTS, "_chars", (few & absent).alias("_absent"), shannon_distance(F.col("_c"), F.col("_ref_classes")).alias("class_distance"),
                              shannon_distance(F.col("_w"), F.col("_ref_common")).alias("word_distance"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    strange = (F.col("_chars") >= LEAST_CHARS) & ((F.col("class_distance") > max_class) | (F.col("word_distance") > max_word))
-    return measured.withColumn("base_failed", failed).withColumn("kept", ~(failed | strange)).drop("_chars")
+    strange = (F.col("_chars") >= LEAST_CHARS) & ((F.col("class_distance") > max_class) | (F.col("word_distance") > max_word) | F.col("_absent"))
+    return measured.withColumn("base_failed", failed).withColumn("kept", ~(failed | strange)).drop("_chars", "_absent")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:

@@ -189,6 +189,18 @@ def test_quality_divergence(spark):
     assert kept.columns == ["doc_id", "text", "lang"] and kept.count() == 60
 
 
+def test_quality_without_function_words(spark):
+    """In a language with a share of 0.22, plain words without function words go; clean texts, tables and languages without a list stay."""
+    rng = random.Random(4)
+    plain = lambda n: [rng.choice("rain stone cloud basket meadow".split()) + "".join(rng.choices("abcdefgh", k=4)) for _ in range(n)]
+    prose = lambda n: " ".join(rng.choice("the of and to in a is that".split()) if rng.random() < 0.22 else w for w in plain(n)) + "."
+    rows = [(i, prose(rng.choice([60, 90, 300])), "en") for i in range(200)] + [(1000 + i, " ".join(plain(90)), "pl") for i in range(20)]
+    rows += [(300 + i, " ".join(plain(60 + 40 * i)) + ".", "en") for i in range(5)] + [(400 + i, " | ".join(plain(60 + 40 * i)), "en") for i in range(5)]
+    got = by_id(quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert not any(r["base_failed"] for r in got.values()) and max(r["word_distance"] for r in got.values()) < quality.MAX_WORD_DISTANCE
+    assert [i for i, r in got.items() if not r["kept"]] == [300, 301, 302, 303, 304]
+
+
 def repeated_bytes(texts, span):
     seen, out = set(), {}
     for i in sorted(texts):
