@@ -1,18 +1,22 @@
 """URL filters: rules first, then naive Bayes over the words of host and path.
 
-Host names write words together. The words and their counts are learnt from page titles; each distinct host label is split by the
+Host names write words together. The words and their counts are learnt from the text of all pages, titles and bodies; each distinct host label is split by the
 most probable sequence of words (Viterbi over single-word probabilities). URLs that a rule decides train the classifier.
 """
 
 from __future__ import annotations
 
+import html
 import math
+import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.llm.common import Carried, ascii_lower, materialize, whole
+from labelmill.llm.html_text import blocks_of
 
 # Fixed values: (host, path) and verdict; a rule also fits all subdomains and all paths that begin with its path.
 RULES = (
@@ -23,6 +27,8 @@ RULES = (
     ("com", "/de/", "block"),
 )
 LONGEST_WORD = 24
+WORD = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+")  # letters of any script, with combining accents
+TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
 
 
 def host_of(url: Column) -> Column:
@@ -42,11 +48,21 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def title_words(pages: DataFrame, html_col: str) -> DataFrame:
-    """``(word, n)`` over the titles of all pages."""
-    title = F.regexp_extract(F.lower(whole(html_col)), r"(?s)<title[^>]*>(.*?)</title", 1)
-    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"([a-z]{2,24})"), F.lit(1))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n"))
+def _page_words(batches):
+    """Words and their counts, folded for each batch. A piece of a label has 2 to ``LONGEST_WORD`` letters; no other words can be met."""
+    for batch in batches:
+        counts = Counter()
+        for page in batch.column(0):
+            page = page.as_py()
+            texts = [html.unescape(t) for t in TITLE.findall(page)] + [block.text() for block in blocks_of(page)]
+            for text in texts:
+                counts.update(w for w in WORD.findall(text.lower()) if 2 <= len(w) <= LONGEST_WORD)
+        yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+
+def page_words(pages: DataFrame, html_col: str) -> DataFrame:
+    """``(word, n)`` over the titles and bodies of all pages; markup, scripts and styles are no text."""
+    return pages.select(whole(html_col).alias("html")).mapInArrow(_page_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def viterbi(label: str, known: dict[tuple[int, int], int], total: int) -> list[str]:
@@ -102,7 +118,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     shaped = parsed.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("_shape", F.array_join(tokens_of_path, "/"))
     shapes = materialize(shaped.groupBy("host", "_shape", "_rule").agg(F.count("*").alias("n")), "url-shapes")
     labels = shapes.select(F.explode(F.split("host", "[.]")).alias("label")).where("label <> ''").distinct()
-    split = segment_labels(labels, materialize(title_words(pages, html_col), "title-words"))
+    split = segment_labels(labels, materialize(page_words(pages, html_col), "page-words"))
     hosts = (shapes.select("host").distinct().select("host", F.posexplode(F.split("host", "[.]")).alias("i", "label")).join(materialize(split, "host-labels"), "label")
              .groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x["words"])).alias("host_words")))
     hosts = materialize(hosts, "host-words")

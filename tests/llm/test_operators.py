@@ -486,6 +486,16 @@ def test_viterbi_and_bayes(spark):
     assert got[100]["verdict"] == "allow" and got[101]["verdict"] == "block" and got[100]["host_words"][:2] == ["sunny", "house"]
 
 
+def test_url_words_of_bodies(spark):
+    """Host words are learnt from whole pages, in all letters: bodies count, scripts and tags do not."""
+    html = "<html><head><title>Start</title><script>var moonlight = 1</script></head><body><p class='lantern'>Gr\u00f6\u00dfe gl\u00fcck &amp; S\u00fcden.</p><p>forest <b>canyon</b></p></body></html>"
+    df = spark.createDataFrame([(i, f"http://{h}.net/", html) for i, h in enumerate(["forestcanyon", "gr\u00f6\u00dfegl\u00fcck"])] + [(9, None, None)], "page_id long, url string, html string")
+    counts = {r["word"]: r["n"] for r in url_filter.page_words(df, "html").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    assert counts == {w: 2 for w in ("start", "gr\u00f6\u00dfe", "gl\u00fcck", "s\u00fcden", "forest", "canyon")}
+    got = {r["page_id"]: r["host_words"] for r in url_filter.judge_urls(df).collect()}
+    assert got[0][:2] == ["forest", "canyon"] and got[1][:2] == ["gr\u00f6\u00dfe", "gl\u00fcck"]
+
+
 def test_word_hashes():
     text = "\x1c a\u00a0b \x85 ÀB\x0bc\r\n" + "w" * 700000 + " end"
     assert len(hash_words(text.encode())) == len(text.encode().split())
