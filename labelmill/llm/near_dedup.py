@@ -4,15 +4,18 @@
    A set's sketch is its ``K`` smallest hashes: both a uniform sample of the set and a prefix of it in one global order.
 2. Inverted lists of retained values. First each list is compared with a few heads only (stars): that is linear and
    gathers large groups of copies, whose further pairs are then superfluous. Lists that are still held by many groups are
-   common shingles: they go to the end of the order and are met only by sets that have too few other values.
-3. Pairs of different groups that share two values or more (by the prefix argument no pair of similarity 0.8 shares fewer,
-   for small sets certainly, for large ones but for a chance below 1e-9) are filtered by the union sketch, far below 0.8.
+   common shingles: they go to the end of the order, rarest first, and are met only by sets that have too few other values.
+3. Pairs of different groups that share two values or more are filtered by the union sketch, far below the similarity asked for. By the
+   prefix argument no similar pair shares fewer: sets whose partners have no more than ``K`` values certainly, larger ones but for a
+   chance below ``CHANCE``. In hash order that is so from ``prefix`` values on (:func:`bounds`). Where common values were moved back, the sketches of a pair
+   that passes the filter share ``least`` values, so at most ``K - least`` others stand before the second shared one: ``K - least + 2`` values.
 4. The full sets of what is left are compared; links become components.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +27,22 @@ from labelmill.llm.common import materialize, small, whole, Carried
 from labelmill.llm.graph import components
 
 K = 32           # retained values of a set
-PREFIX = 16      # of them, as many make candidates at most
-LEAST = 10 / K   # share of the union sketch below which a pair is not compared in full
+CHANCE = 1e-9    # with which a bound may fail for a pair
 HOT_GROUPS = 16  # a value held by more groups is a common shingle
 HEADS, ROUNDS = 4, 2
 BROADCAST_ROWS = 2_000_000
 
 
+def bounds(percent: int) -> tuple[int, int]:
+    """``(prefix, least)``: values of a random order of which similar sets share two, and values of the union sketch that they share."""
+    p = percent / 100
+    below = lambda n, m: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(m))
+    least = max(m for m in range(K + 1) if below(K, m) < CHANCE)
+    if least < 2:
+        raise ValueError(f"sketches of {K} values are too small for a similarity of {percent} percent")
+    return min(n for n in range(2, K + 1) if below(n, 2) < CHANCE), least
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
     return np.unique(shingles(hash_words((text or "").encode("utf-8", "surrogatepass").lower()), width).view(np.int64))
@@ -81,13 +93,13 @@ def estimate(x: Column, y: Column, k: int) -> Column:
     return F.size(F.array_intersect(union, F.array_intersect(x, y))) / F.size(union)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int, least: float) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs (a, b)`` whose sizes and union sketch allow the similarity."""
     one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     joined = pairs.join(one, "a").join(two, "b")
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return joined.where(fits & (estimate(F.col("sa"), F.col("sb"), K) >= least)).select("a", "b")
+    return joined.where(fits & (estimate(F.col("sa"), F.col("sb"), K) >= bounds(percent)[1] / K)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -120,7 +132,7 @@ def _stars(lists: DataFrame, sets: DataFrame, texts: DataFrame, width: int, perc
         best = materialize(best, "near-stars")
         fresh = best.select("a", "b").distinct()
         fresh = fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti")
-        fresh = materialize(_similar(fresh, sets, percent, LEAST), "near-stars")
+        fresh = materialize(_similar(fresh, sets, percent), "near-stars")
         found = _verified(fresh, texts, width, percent)
         tested = fresh if tested is None else materialize(tested.union(fresh), "near-tested")
         links = found if links is None else materialize(links.union(found), "near-links")
@@ -164,14 +176,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = materialize(groups, "near-groups")
     grouped = materialize(lists.join(groups, "id", "left").select("v", "id", "n", "pos", F.coalesce("g", "id").alias("g")), "near-grouped")
     many = grouped.select("v", "g").distinct().groupBy("v").agg(F.count("*").alias("groups"))
-    marked = grouped.join(many.where(F.col("groups") > 1), "v").select("v", "id", "n", "pos", "g", (F.col("groups") > HOT_GROUPS).alias("hot"))
-    # A set's order: other values by hash, then common ones by hash. Values with one holder are not in the lists but count.
-    per_set = marked.groupBy("id", "n", "g").agg(F.collect_list(F.struct("hot", "pos", "v")).alias("all"))
-    hot = F.array_sort(F.transform(F.filter("all", lambda r: r["hot"]), lambda r: r["pos"]))
+    marked = grouped.join(many.where(F.col("groups") > 1), "v").select("v", "id", "n", "pos", "g", (F.col("groups") > HOT_GROUPS).alias("hot"), "groups")
+    # A set's order: other values by hash, then common ones, rarest first. Values with one holder are not in the lists but count.
+    per_set = marked.groupBy("id", "n", "g").agg(F.collect_list(F.struct("hot", "pos", "v", "groups")).alias("all"))
+    hot = F.array_sort(F.transform(F.filter("all", lambda r: r["hot"]), lambda r: F.struct(r["groups"], r["pos"])))
     ranked = F.transform("all", lambda r: F.struct(
-        F.when(r["hot"], F.least("n", F.lit(K)) - F.size("hot") + F.array_position("hot", r["pos"]) - 1)
-        .otherwise(r["pos"] - F.size(F.filter("hot", lambda p: p < r["pos"]))).alias("rank"), r["v"].alias("v")))
-    reach = F.least(F.floor(F.col("n") * (100 - percent) / 100) + 2, F.lit(PREFIX))
+        F.when(r["hot"], F.least("n", F.lit(K)) - F.size("hot") + F.array_position("hot", F.struct(r["groups"], r["pos"])) - 1)
+        .otherwise(r["pos"] - F.size(F.filter("hot", lambda h: h["pos"] < r["pos"]))).alias("rank"), r["v"].alias("v")))
+    prefix, least = bounds(percent)
+    exact = F.floor(F.col("n") * (100 - percent) / 100) + 2
+    moved = (F.size("hot") > 0) & (100 * F.col("n") > K * percent)  # and partners may have more values than are retained
+    reach = F.when(moved, F.lit(K - least + 2)).otherwise(F.least(exact, F.lit(prefix)))
     short = (per_set.withColumn("hot", hot).select("id", "g", F.explode(F.filter(ranked, lambda r: r["rank"] < reach)).alias("r"))
              .select("id", "g", F.col("r.v").alias("v")))
     short = materialize(short, "near-short")
@@ -182,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cross = (side.where("g < h").select(F.col("id").alias("x"), "g", "h")
              .join(side.where("g > h").select(F.col("id").alias("y"), F.col("g").alias("h"), F.col("h").alias("g")), ["g", "h"])
              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    cross = materialize(_similar(cross, reps, percent, LEAST).join(tested, ["a", "b"], "left_anti"), "near-cross")
+    cross = materialize(_similar(cross, reps, percent).join(tested, ["a", "b"], "left_anti"), "near-cross")
     links = star_links.union(_verified(cross, texts, width, percent))
     labels = components(links)
     folded = (filled.select("id", "d1", "d2").distinct().join(first, ["d1", "d2"]).groupBy("id").agg(F.min("rep").alias("rep")))

@@ -162,6 +162,49 @@ def test_near_duplicates_hot_groups(spark):
     assert got == want
 
 
+def test_near_duplicates_common_values(spark):
+    """B is A without its new fifth, half of A's retained values are new, and all values they share are common."""
+    def sketch(text):
+        return set(near_dedup.shingle_set(text, 1)[: near_dedup.K].tolist())
+
+    old = [f"o{i}" for i in range(160)]
+    for seed in range(10**6):  # a rare draw: 15 retained values or more are new
+        new = [f"n{seed}x{i}" for i in range(40)]
+        values = sorted(hash_words(" ".join(old + new).encode()).view("int64").tolist())
+        mine = set(hash_words(" ".join(new).encode()).view("int64").tolist())
+        if sum(v in mine for v in values[: near_dedup.K]) >= 15:
+            break
+    a, b = " ".join(old + new), " ".join(old)
+    rng, held = random.Random(1), sorted(sketch(b))
+    word = {int(hash_words(w.encode()).view("int64")[0]): w for w in old}
+    texts = {0: a, 1: b}
+    for i in range(2, 122):  # holders of the common values, like nothing else
+        texts[i] = " ".join([word[v] for v in rng.sample(held, 10)] + [f"z{i}y{j}" for j in range(30)])
+    hidden = {"tested": 0}
+    real = near_dedup._stars
+
+    def blind(lists, sets, docs, width, percent):
+        tested, links = real(lists, sets, docs, width, percent)
+        hidden["tested"] += 1
+        return tested.where("false"), links.where("false")  # stars only save work
+
+    near_dedup._stars = blind
+    try:
+        got = {r["id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=1).collect()}
+    finally:
+        near_dedup._stars = real
+    assert hidden["tested"] == 1 and got == {i: c for i, (_, c) in link(texts, 1, 80).items()} and got[1] == 0
+
+
+def test_near_duplicates_bounds():
+    tail = lambda n, m, p: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(m))
+    for percent in (70, 80, 90):
+        prefix, least = near_dedup.bounds(percent)
+        assert tail(prefix, 2, percent / 100) < 1e-9 and tail(near_dedup.K, least, percent / 100) < 1e-9 and least >= 2
+    with pytest.raises(ValueError):
+        near_dedup.bounds(20)
+
+
 def test_quality(docs, rows):
     got = by_id(quality.judge_quality(docs))
     for i, t, *_ in rows:
