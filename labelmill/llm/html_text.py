@@ -31,8 +31,8 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 LONG, SHORT = 200, 70
-HIGH_STOPS, LOW_STOPS = 0.30, 0.15
-MANY_LINKS = 0.5
+HIGH_STOPS, LOW_STOPS, NO_STOPS = 0.30, 0.15, 0.05  # below the last: a language without a word list, or no sentences
+MANY_LINKS, SOME_LINKS = 0.5, 0.2
 
 
 class Block:
@@ -125,34 +125,61 @@ def stop_share(text: str) -> float:
     return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(len(words), 1)
 
 
+def link_share(block: Block, text: str) -> float:
+    return len(" ".join("".join(block.linked).split())) / max(len(text), 1)
+
+
 def first_label(block: Block, text: str, inside: bool) -> bool | None:
     """True: main text, False: not, None: open. ``inside``: the block stands in the page's article."""
-    linked = len(" ".join("".join(block.linked).split()))
-    if linked > MANY_LINKS * len(text) or not inside and ("\N{COPYRIGHT SIGN}" in text or linked > 0.2 * len(text)):
+    links, stops = link_share(block, text), stop_share(text)
+    prose = len(text) >= LONG and stops >= LOW_STOPS  # may hold links
+    if links > MANY_LINKS or not inside and ("\N{COPYRIGHT SIGN}" in text or links > SOME_LINKS and not prose):
         return False
-    stops = stop_share(text)
     if len(text) < SHORT:
         return None
     if stops >= HIGH_STOPS or inside and stops >= LOW_STOPS:
         return True if inside or len(text) >= LONG else None
-    if stops >= LOW_STOPS or inside:
+    if stops >= LOW_STOPS or stops < NO_STOPS or inside:
         return None
     return False
 
 
+def home_of(found: list[tuple[Block, str]]) -> tuple[str, ...]:
+    """Where the main text stands: the article, else also the main element, else the whole body.
+
+    The first of them that holds half of the running text is it. Blocks of ``LONG`` characters count, on pages without such ones those of
+    ``SHORT``, else all; links count nowhere.
+    """
+    lengths = [(b.where, len(t)) for b, t in found if b.where != "out" and link_share(b, t) <= MANY_LINKS]
+    for least in (LONG, SHORT, 1):
+        total = sum(n for _, n in lengths if n >= least)
+        for home in (("article",), ("article", "main")):
+            if total and 2 * sum(n for w, n in lengths if n >= least and w in home) >= total:
+                return home
+        if total:
+            break
+    return ("article", "main", "body")
+
+
 def main_text(page: str | None) -> str:
     """The main text: blocks joined by line feeds, white space in a block as one space; empty if there is none."""
     found = [(b, t) for b in blocks_of(page or "") if (t := b.text())]
-    # An article, else a main element, holds all that counts; without either the rules judge the whole body.
-    home = next((w for w in ("article", "main") if any(b.where == w for b, _ in found)), "body")
-    labels: list[bool | None] = [False if b.where != home else first_label(b, t, home != "body") for b, t in found]
-    decided = [i for i, x in enumerate(labels) if x is not None and found[i][0].where == home]
+    home = home_of(found)
+    body = "body" in home
+    labels: list[bool | None] = [False if b.where not in home else first_label(b, t, not body) for b, t in found]
+    if body and True not in labels:
+        # No block of a known language stands out: length and links alone decide for blocks without function words.
+        open_ = [i for i, x in enumerate(labels) if x is None and len(found[i][1]) >= SHORT and stop_share(found[i][1]) < NO_STOPS]
+        least = LONG if any(len(found[i][1]) >= LONG for i in open_) else SHORT
+        for i in open_:
+            labels[i] = True if len(found[i][1]) >= least else None
+    decided = [i for i, x in enumerate(labels) if x is not None and found[i][0].where in home]
     result = []
     for i, label in enumerate(labels):
         if label is None:
             before = next((labels[j] for j in reversed(decided) if j < i), None) if decided else None
             after = next((labels[j] for j in decided if j > i), None) if decided else None
-            if home == "body":
+            if body:
                 label = bool(before and after) or bool(after and found[i][0].heading) or bool(before and after is None)
             else:  # in an article, an open block is dropped only between blocks that are
                 label = not (before is False and after is False) if decided else True

@@ -495,6 +495,21 @@ def test_html():
         == "\n".join(["Story", prose.strip(), "The end.", prose.strip()])
 
 
+def test_html_home_by_text():
+    """The element that holds the text is its home, not a card; languages without a word list have a main text too."""
+    prose = "This is the story of a house by the river and of the people that lived in it for a long time, as it was told to me. " * 3
+    cards = "".join(f"<article><h3>Card {i}</h3><p>More of this in our next issue.</p></article>" for i in range(4))
+    for name in ("main", "div"):
+        for page in (f"<{name}><h2>Story</h2><p>{prose}</p><p>{prose}</p></{name}>{cards}", f"<{name}><h2>Story</h2><p>{prose}</p><p>{prose}</p>{cards}</{name}>"):
+            assert html_text.main_text(page).startswith("\n".join(["Story", prose.strip(), prose.strip()])), page
+    other = "Pewnego dnia stary rybak znalaz\u0142 nad brzegiem jeziora kamie\u0144, kt\u00f3ry \u015bwieci\u0142 w ciemno\u015bci jak ma\u0142a gwiazda. "
+    assert html_text.main_text(f"<p>{other * 3}</p><ul><li><a href=a>{other}</a></li></ul><p>{other * 2}</p>") == (other * 3).strip() + "\n" + (other * 2).strip()
+    assert html_text.main_text(f"<div><p>{other}</p><p>{other}</p></div>") == "\n".join([other.strip()] * 2)
+    assert html_text.main_text(f"<p>{prose}</p><p>{other * 2}</p><p>{prose}</p>").count("rybak") == 2
+    linked = "It is said in <a href=a>the book of the long river and of the old house</a> that this was on the way to the town of the king. "
+    assert html_text.main_text(f"<p>{linked * 3}</p>").count("book") == 3
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>" + "the of and to in a is that it was for on are as with. " * 9 + "</p>", "x", 3), (None, None, None, None, None), (1, "u", "<a>" * 5000, "x", 3)],
                                "page_id long, url string, html string, text string, n_chars int")
