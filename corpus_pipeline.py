@@ -48,7 +48,7 @@ STAGES = [
     ("mixing", source_mixing),
 ]
 
-# The quality verdict and the permuted blocks of the mix are beyond SQL; tests compare the stages with brute force.
+# The quality verdict and the permuted blocks of the mix are beyond SQL; tests compare the stages with the operators, and the operators with brute force.
 ORACLE_SQL = None
 
 
