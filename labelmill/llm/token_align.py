@@ -31,7 +31,8 @@ from labelmill.llm.common import materialize
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
 STRETCH = 50_000  # characters tokenized by one call
-BLOCK_CHARS = 16_000_000  # texts that share one dictionary; a longer text is a block of its own
+RUN_WORDS = 200_000  # words whose links are spread out at a time
+BLOCK_CHARS = 4_000_000  # texts that share one dictionary; a longer text is a block of its own
 CUT = re.compile(r"(?<=[^\s\u180e])(?= )")
 
 _LISTS = ("id", "n_a", "n_b", "n_groups", "n_links")
@@ -127,6 +128,15 @@ def _stretches(words: list[str]):
         yield run
 
 
+def _runs(word_at: np.ndarray):
+    """Stretches of whole documents with about ``RUN_WORDS`` words each."""
+    start = 0
+    while start < len(word_at) - 1:
+        end = max(start + 1, int(np.searchsorted(word_at, word_at[start] + RUN_WORDS, side="right")) - 1)
+        yield slice(word_at[start], word_at[end])
+        start = end
+
+
 class _Words:
     """The distinct words of a block with their tokens, groups and links."""
 
@@ -178,11 +188,13 @@ def _block(ids: list, rows: list[np.ndarray], words: list[str], use: Pair, numbe
     links = np.empty(len(identity), np.int64)
     links[identity], links[~identity] = of_same, of_pair + len(same)
     link_at = _offsets(w.n_links)
-    held = _distinct(doc * np.int64(len(words) + 1) + flat)  # each word of a document once, then each of its entries once
-    held_doc, held_word = held // (len(words) + 1), held % (len(words) + 1)
-    entry = links[_expand(link_at, held_word)]
     size = np.int64(len(same) + len(pairs) + 1)
-    in_docs = np.bincount(_distinct(np.repeat(held_doc, w.n_links[held_word]) * size + entry) % size, minlength=size)
+    in_docs = np.zeros(size, np.int64)
+    for some in _runs(word_at):  # each word of a document once, then each of its entries once
+        held = _distinct(doc[some] * np.int64(len(words) + 1) + flat[some])
+        held_doc, held_word = held // (len(words) + 1), held % (len(words) + 1)
+        entry = links[_expand(link_at, held_word)]
+        in_docs += np.bincount(_distinct(np.repeat(held_doc, w.n_links[held_word]) * size + entry) % size, minlength=size)
     one = lambda values, kind: pa.array([values], pa.list_(kind))
     return pa.record_batch([
         pa.array([number], pa.int64()), one(ids, pa.int64()), *[one(total(n), pa.int64()) for n in (w.n_a, w.n_b, w.n_groups, w.n_links)], one(digest, pa.string()),
