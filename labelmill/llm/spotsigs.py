@@ -20,7 +20,7 @@ from labelmill.llm.common import materialize, whole
 ANCHOR_SHARE = 1000
 CHAIN = 2      # content words of a signature
 DISTANCE = 1   # content words from one of them to the next
-BUCKET_BYTES = 64 << 20  # text of neighbouring documents that one task sorts
+BUCKET_BYTES = 16 << 20  # text of neighbouring documents that one task sorts
 
 
 def words(text: Column) -> Column:
