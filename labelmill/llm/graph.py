@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import materialize
+from labelmill.llm.common import materialize, small
+
+MOVES = 200_000  # labels of two longs each that may be sent to all tasks
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,7 +21,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        target = lower.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        lower = materialize(lower, "lower")
+        # A large component's rows all have one label: the labels that move are few, so they go to the rows.
+        target = lower.where("label < id").select(F.col("id").alias("label"), F.col("label").alias("next"))
+        target = materialize(target.join(lower.select("label").distinct(), "label", "left_semi"), "moves")
+        target = F.broadcast(target) if small(target, MOVES) else target
         new = materialize(lower.join(target, "label", "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
         labels = new.select("id", "label")
         if new.where("label < old").isEmpty():

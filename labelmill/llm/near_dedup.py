@@ -5,7 +5,9 @@
 2. Inverted lists of retained values. First each list is compared with a few heads only (stars): that is linear and
    gathers large groups of copies, whose further pairs are then superfluous. Lists that are still held by many groups are
    common shingles: they go to the end of the order, rarest first, and are met only by sets that have too few other values.
-3. Pairs of different groups that share two values or more are filtered by the union sketch, far below the similarity asked for. By the
+3. Lists that many sets keep in their prefixes are families. The sets of a family, and two groups with many candidates between them, are dealt into
+   blocks and compared block against block in one task each, which returns only links that join groups: rows grow with the blocks, not
+   with the pairs. Everywhere else, pairs of different groups that share two values or more are filtered by the union sketch, far below the similarity asked for. By the
    prefix argument no similar pair shares fewer: sets whose partners have no more than ``K`` values certainly, larger ones but for a
    chance below ``CHANCE``. In hash order that is so from ``prefix`` values on (:func:`bounds`). Where common values were moved back, the sketches of a pair
    that passes the filter share ``least`` values, so at most ``K - least`` others stand before the second shared one: ``K - least + 2`` values.
@@ -30,6 +32,10 @@ K = 32           # retained values of a set
 CHANCE = 1e-9    # with which a bound may fail for a pair
 HOT_GROUPS = 16  # a value held by more groups is a common shingle
 HEADS, ROUNDS = 4, 2
+FAMILY = 64      # sets that keep a value in their prefixes and so are compared in blocks
+FAMILIES = 3     # of these values, how many a set is dealt by
+BLOCK_SETS, BLOCK_VALUES = 512, 500_000
+PAIR_ROWS = 64   # candidates between two groups that are listed one by one; more are compared in blocks
 BROADCAST_ROWS = 2_000_000
 
 
@@ -149,6 +155,89 @@ def _stars(lists: DataFrame, sets: DataFrame, texts: DataFrame, width: int, perc
     return tested, links
 
 
+def _parts(sized: DataFrame, by: list[str]) -> DataFrame:
+    """``sized (*by, id, n)`` with ``part`` and ``parts``: each group dealt into blocks of a bounded number of sets and values."""
+    count = sized.groupBy(*by).agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_VALUES)).cast("int").alias("parts"))
+    return sized.join(count, by).withColumn("part", F.pmod(F.xxhash64(F.lit(7), "id"), "parts").cast("int"))
+
+
+def _in_families(family: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(task, right, id, g)``: each block of a family on the left of a task with itself and with each later block on the right."""
+    members = family.select("id", F.explode("family").alias("f")).join(sets.select("id", "n"), "id").join(groups, "id", "left").select("f", "id", "n", F.coalesce("g", "id").alias("g"))
+    dealt = _parts(members, ["f"])
+    upto = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(
+        F.least("part", i).alias("x"), F.greatest("part", i).alias("y"), (i < F.col("part")).cast("int").alias("right")))
+    return dealt.withColumn("t", F.explode(upto)).select(F.struct(F.col("f").alias("k1"), F.lit(-1).cast("long").alias("k2"), "t.x", "t.y").alias("task"), "t.right", "id", "g")
+
+
+def _between_groups(marked: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(task, right, id, g)``: blocks of the one group's candidates against blocks of the other's."""
+    dealt = _parts(marked.select("g", "h", "right", "id").join(sets.select("id", "n"), "id"), ["g", "h", "right"])
+    other = dealt.select("g", "h", (1 - F.col("right")).alias("right"), F.col("parts").alias("others")).distinct()
+    each = dealt.join(other, ["g", "h", "right"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    left = F.col("right") == 0
+    return each.select(F.struct(F.col("g").alias("k1"), F.col("h").alias("k2"), F.when(left, F.col("part")).otherwise(F.col("i")).alias("x"),
+                                F.when(left, F.col("i")).otherwise(F.col("part")).alias("y")).alias("task"), "right", "id", F.when(left, F.col("g")).otherwise(F.col("h")).alias("g"))
+
+
+def _values(width: int):
+    schema = pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([shingle_set(t.as_py(), width) for t in batch.column(1)], pa.list_(pa.int64()))], schema=schema)
+
+    return run
+
+
+def _joining_links(percent: int):
+    """Links between the sets of two blocks that join groups not joined yet in this task."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.rename_columns(["task", "id", "g", "set"]) if right.num_rows else left  # without right sets a block against itself
+        lists = right.column("set").combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        known, codes = np.unique(flat, return_inverse=True)
+        by = np.argsort(codes, kind="stable")
+        start = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(known)))])
+        owner = np.repeat(np.arange(right.num_rows), np.diff(ends))[by]
+        size, ids, labels = np.diff(ends), right.column("id").to_numpy(), right.column("g").to_numpy()
+        root = {}
+
+        def top(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        found = []
+        for i, (a, g, values) in enumerate(zip(left.column("id").to_pylist(), left.column("g").to_pylist(), left.column("set"))):
+            values = values.values.to_numpy()
+            at = np.searchsorted(known, values)
+            at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == values)]
+            both = np.bincount(np.concatenate([owner[start[j]: start[j + 1]] for j in at]), minlength=len(ids)) if len(at) else np.zeros(len(ids), np.int64)
+            near = (100 * both >= percent * (len(values) + size - both)) & (labels != g)
+            for j in np.flatnonzero(near):
+                x, y = top(g), top(int(labels[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    found.append((min(a, int(ids[j])), max(a, int(ids[j]))))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return run
+
+
+def _blocks_compared(tasks: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that join the groups of ``tasks (task, right, id, g)``; a task compares its left sets with its right ones, or, without these, with themselves."""
+    tasks = materialize(tasks, "near-tasks")
+    ids = materialize(tasks.select("id").distinct(), "near-ids")
+    ids = F.broadcast(ids) if small(ids, BROADCAST_ROWS) else ids
+    some = texts.join(ids, "id").groupBy("id").agg(F.min("text").alias("text"))
+    sets = materialize(some.mapInArrow(_values(width), "id long, set array<long>"), "near-values")
+    told = tasks.join(sets, "id")
+    right = told.where("right = 1").select(*[F.col(c).alias(f"{c}_") for c in ("task", "id", "g", "set")])
+    made = told.where("right = 0").select("task", "id", "g", "set").groupBy("task").cogroup(right.groupBy("task_")).applyInArrow(_joining_links(percent), "a long, b long")
+    return materialize(made, "near-links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` for each row: the components of texts whose shingle sets are similar.
 
@@ -162,8 +251,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(texts.mapInArrow(_sketches(width, K), "id long, n long, d1 long, d2 long, sketch array<long>"), "near-sets")
     filled = sets.where("n > 0 AND id IS NOT NULL")
     first = materialize(filled.groupBy("d1", "d2").agg(F.min("id").alias("rep")), "near-equal")
-    # Sets of fewer than 4 values can only be equal, which folding has settled.
-    reps = (filled.where("n >= 4").join(first.select(F.col("rep").alias("id")).distinct(), "id")
+    # The most similar different sets hold n and n + 1 values, n of them shared: smaller ones can only be equal, which folding has settled.
+    reps = (filled.where(100 * F.col("n") >= percent * (F.col("n") + 1)).join(first.select(F.col("rep").alias("id")).distinct(), "id")
             .groupBy("id").agg(F.min(F.struct("d1", "d2", "n", "sketch")).alias("s")).select("id", "s.n", "s.sketch"))
     reps = materialize(reps, "near-reps")
     rows = reps.select("id", "n", F.posexplode("sketch").alias("pos", "v"))
@@ -191,14 +280,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select("id", "g", F.col("r.v").alias("v")))
     short = materialize(short, "near-short")
     # A set meets the groups of its values; a pair of sets is a candidate when each shares two values with the other's group.
-    held = short.select("v", F.col("g").alias("h")).distinct()
-    side = (short.join(held, "v").where("g <> h").groupBy("id", "g", "h").agg(F.count("*").alias("shared")).where("shared >= 2").select("id", "g", "h"))
+    # Pairs of one family are compared in blocks, so they don't meet here.
+    wide = short.groupBy("v").agg(F.count("*").alias("held")).where(F.col("held") >= FAMILY)
+    family = short.join(wide, "v").groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("held", "v")), asc=False), 1, FAMILIES)["v"].alias("family"))
+    family = materialize(family, "near-family")
+    short = materialize(short.join(family, "id", "left").select("id", "g", "v", F.coalesce("family", F.array().cast("array<long>")).alias("family")), "near-short")
+    held = short.select(F.col("v").alias("w"), F.col("g").alias("h"), F.col("family").alias("others")).distinct()
+    side = (short.join(held, (F.col("v") == F.col("w")) & (F.col("g") != F.col("h")) & ~F.arrays_overlap("family", "others"))
+            .groupBy("id", "g", "h").agg(F.count_distinct("v").alias("shared")).where("shared >= 2").select("id", "g", "h"))
     side = materialize(side, "near-sides")
-    cross = (side.where("g < h").select(F.col("id").alias("x"), "g", "h")
-             .join(side.where("g > h").select(F.col("id").alias("y"), F.col("g").alias("h"), F.col("h").alias("g")), ["g", "h"])
+    ways = side.groupBy(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).agg(
+        F.count_if(F.col("g") < F.col("h")).alias("xs"), F.count_if(F.col("g") > F.col("h")).alias("ys"))
+    ways = ways.withColumn("many", F.col("xs") * F.col("ys") > PAIR_ROWS)
+    marked = (side.select("id", F.col("g").alias("own"), F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).join(ways, ["g", "h"])
+              .where("xs > 0 AND ys > 0").withColumn("right", (F.col("own") == F.col("h")).cast("int")))
+    marked = materialize(marked, "near-marked")
+    few = marked.where("NOT many")
+    cross = (few.where("right = 0").select(F.col("id").alias("x"), "g", "h").join(few.where("right = 1").select(F.col("id").alias("y"), "g", "h"), ["g", "h"])
              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     cross = materialize(_similar(cross, reps, percent).join(tested, ["a", "b"], "left_anti"), "near-cross")
-    links = star_links.union(_verified(cross, texts, width, percent))
+    tasks = _between_groups(marked.where("many"), reps).union(_in_families(family, reps, groups))
+    dense = _blocks_compared(tasks, texts, width, percent)
+    links = star_links.union(_verified(cross, texts, width, percent)).union(dense)
     labels = components(links)
     folded = (filled.select("id", "d1", "d2").distinct().join(first, ["d1", "d2"]).groupBy("id").agg(F.min("rep").alias("rep")))
     named = folded.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("component"))
