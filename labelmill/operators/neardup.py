@@ -7,15 +7,21 @@ nothing is estimated. Three measures keep the work linear in the presence of hot
 * rows with equal word sets fold to their first row before any pairing;
 * a prefix word shared by more than ``group_limit`` rows is replaced by ordered word *pairs*, then
   triples, of a suitably longer prefix (two similar rows share those too), which splits the group;
-* what is still large is worked off in rounds: only the first ``heads`` undecided rows of a group are
-  compared with its members, so a round emits at most ``heads`` candidates per entry. A cluster of near
-  copies collapses on its first row in the first round.
+* in groups that are still large, rows with the same smallest word hash are likely copies: the first row of
+  each such family (a leader) is compared with all members of its groups, which settles clusters of near copies;
+* large groups of what is left are dealt into blocks and joined block against block. The join condition
+  holds the sizes, the places of the shared word and a bitmap bound, so that hardly a dissimilar pair becomes a row.
+
+Words are told apart by 64-bit hashes. A set's bitmap has one bit for each of 128 hash classes: whether an odd number of its words
+falls into it. Two sets differ in at least as many words as their bitmaps do in bits.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +32,11 @@ from labelmill.storage import materialize
 EPS = 1e-9
 SALT = 16
 COMMON_WORDS = 4096
+LEADER_ROUNDS = 3
+FAMILY = 8           # rows of a large group with one smallest hash that are worth a leader
+BLOCK = 256          # members of a large group in a block
+SETTLE_PAIRS = 500_000  # pairs, of two longs and a double, that one task may settle
+BITMAP = ("m0", "m1")
 
 
 def word_set(text: Column) -> Column:
@@ -68,7 +79,7 @@ def rare_prefix(sets: DataFrame, threshold: float, extra: int = 0, min_df: int =
     With ``min_df=2`` words that no other row has are left out and only counted (``skipped``): they come
     first in the order but can match nothing.
     """
-    freq = document_frequency(sets).filter(F.col("df") >= min_df)
+    freq = materialize(document_frequency(sets).filter(F.col("df") >= min_df), "frequency")
     tokens = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
     ranked = (
         _with_frequency(tokens, freq)
@@ -88,7 +99,7 @@ def _entries(prefixes: DataFrame, threshold: float) -> DataFrame:
     own = F.greatest(prefix_length(F.col("n"), threshold) - F.col("skipped"), F.lit(0))
     return prefixes.select(
         "id", "n", "skipped", "prefix", F.posexplode(F.slice("prefix", 1, own)).alias("at", "key")
-    ).withColumn("pos", F.col("skipped") + F.col("at"))
+    ).withColumn("pos", F.col("skipped") + F.col("at")).withColumn("key", F.col("key").cast("string"))
 
 
 def _split_hot(entries: DataFrame, threshold: float, level: int, group_limit: int) -> DataFrame:
@@ -132,25 +143,46 @@ def candidate_entries(sets: DataFrame, threshold: float, group_limit: int, level
     return entries.select("key", "id", "n", "pos"), largest
 
 
-def _similar(heads: DataFrame, entries: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Verified pairs ``(a, b, similarity)`` with ``a`` among the heads of a group ``b`` belongs to."""
+def bitmap(hashes: Column) -> list[Column]:
+    """Two longs: the parity of the number of hashes in each of 128 classes."""
+    def part(k: int) -> Column:
+        mine = F.filter(hashes, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(1)) == k)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(_bit(h)))
+
+    return [part(k).alias(m) for k, m in enumerate(BITMAP)]
+
+
+def _bit(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _dealt(entries: DataFrame, group_limit: int) -> DataFrame:
+    """Entries with ``task``: one for each group; in a large group one for each pair of its blocks that holds the entry."""
+    large = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > group_limit)
+    marked = entries.join(large.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "key", "left")
+    block = F.pmod(F.xxhash64(F.lit(3), "id"), "blocks").cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(block, i).alias("x"), F.greatest(block, i).alias("y")))
+    alone = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
+    return (marked.withColumn("task", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(pairs)))
+            .withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(block)).drop("blocks"))
+
+
+def _similar(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: float, on: Column) -> DataFrame:
+    """Verified pairs ``(a, b, similarity)``, ``a < b``, among the rows of ``left AS x`` and ``right AS y`` that meet ``on``."""
     t = F.lit(float(threshold))
-    a, b = heads.alias("a"), entries.alias("b")
-    small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    needed = F.ceil((F.col("a.n") + F.col("b.n")) * t / (t + 1) - EPS)
+    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    total = F.col("x.n") + F.col("y.n")
+    needed = F.ceil(total * t / (t + 1) - EPS)
     # words before the shared one, itself, and words after it
-    reachable = F.least("a.pos", "b.pos") + 1 + F.least(F.col("a.n") - F.col("a.pos") - 1, F.col("b.n") - F.col("b.pos") - 1)
+    reachable = F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1)
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in BITMAP])
     candidates = (
-        a.join(
-            b,
-            (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))
-            & (small >= large * t - EPS) & (reachable >= needed),
-        )
-        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+        left.alias("x").join(right.alias("y"), on & (small >= large * t - EPS) & (reachable >= needed) & (apart <= total - 2 * needed))
+        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .distinct()
     )
     candidates = materialize(candidates, "candidates")
-    # the first row of a big cluster meets many partners: its word set is copied and the pairs are salted
+    # a row may meet many partners: its word set is copied and the pairs are salted
     salted = candidates.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)).cast("int"))
     leaders = sets.join(candidates.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(
         F.col("id").alias("a"), F.col("words").alias("words_a"),
@@ -166,6 +198,19 @@ def _similar(heads: DataFrame, entries: DataFrame, sets: DataFrame, threshold: f
     )
 
 
+def _with_bitmaps(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    return materialize(entries.join(sets.select("id", *BITMAP), "id"), "entries")
+
+
+def _leaders(entries: DataFrame, sets: DataFrame, group_limit: int) -> DataFrame:
+    """The first row of each large group, and of each family in it: ``(id)``."""
+    large = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > group_limit)
+    least = sets.select("id", F.get("words", F.lit(0)).alias("least"))  # word hashes are sorted
+    families = entries.join(large, "key", "left_semi").join(least, "id").groupBy("key", "least").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    first = entries.join(large, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
+    return families.filter(F.col("n") >= FAMILY).select("id").unionByName(first.select("id")).distinct()
+
+
 def _settle(pairs: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Apply the keep-first rule to verified pairs.
 
@@ -200,51 +245,105 @@ def _settle(pairs: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataF
     return reduce(DataFrame.unionByName, removed, empty), open_pairs
 
 
+def _settle_clusters(entries: DataFrame, sets: DataFrame, threshold: float, group_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rows removed by kept leaders, and the ids that are settled by it.
+
+    A leader that an earlier row comes before waits for that row, which leads in the next round. Rounds only save work.
+    """
+    new = materialize(_leaders(entries, sets, group_limit), "leaders")
+    leaders = pairs = None
+    for turn in range(LEADER_ROUNDS):
+        heads = entries.join(new, "id", "left_semi")
+        # a leader meets all rows of its groups, so all its partners are known
+        met = materialize(_similar(heads, entries, sets, threshold, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id"))), "pairs")
+        leaders = new if leaders is None else materialize(leaders.unionByName(new), "leaders")
+        pairs = met if pairs is None else materialize(pairs.unionByName(met).dropDuplicates(["a", "b"]), "pairs")
+        gone, open_pairs = _settle(pairs, leaders)
+        waiting = open_pairs.join(leaders.withColumnRenamed("id", "b"), "b").groupBy("b").agg(F.min("a").alias("id"))
+        new = materialize(waiting.select("id").distinct().join(leaders, "id", "left_anti"), "leaders")
+        if turn == LEADER_ROUNDS - 1 or new.isEmpty():
+            break
+    # leaders with no open earlier partner are kept and have met all their later partners
+    open_rows = open_pairs.select(F.col("b").alias("id")).distinct()
+    return gone, materialize(leaders.join(open_rows, "id", "left_anti").unionByName(gone.select("id")), "settled")
+
+
+GONE = "id long, kept long, similarity double"
+
+
+def _greedy(table: pa.Table) -> pa.Table:
+    """The keep-first rule over all pairs of some components."""
+    a, b, similarity = (table.column(c).to_numpy() for c in ("a", "b", "similarity"))
+    order = np.lexsort((a, b))  # when a row's turn comes all earlier ones are decided
+    removed, out = set(), []
+    for i in order:
+        x, y = int(a[i]), int(b[i])
+        if y not in removed and x not in removed:
+            removed.add(y)
+            out.append((y, x, float(similarity[i])))
+    ids, kept, how = zip(*out) if out else ((), (), ())
+    return pa.table({"id": pa.array(ids, pa.int64()), "kept": pa.array(kept, pa.int64()), "similarity": pa.array(how, pa.float64())})
+
+
+def _component_labels(pairs: DataFrame) -> DataFrame:
+    """``(id, label)``: the smallest id reachable; labels of labels make the rounds grow with the logarithm of a chain's length."""
+    both = materialize(pairs.select("a", "b").union(pairs.select("b", "a")), "edges")
+    labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label"))
+    while True:
+        labels = materialize(labels, "labels")
+        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        lower = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        far = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
+        new = lower.join(far, "label").select("id", "old", F.least("label", "far").alias("label"))
+        if new.filter("label < old").isEmpty():
+            return labels
+        labels = new.select("id", "label")
+
+
+def settle(pairs: DataFrame, most: int = SETTLE_PAIRS) -> DataFrame:
+    """Rows that the keep-first rule removes, ``(id, kept, similarity)``, given all similar pairs ``(a, b, similarity)`` with ``a < b``.
+
+    ``kept`` is the first kept row that is similar. Components of at most ``most`` pairs are dealt into tasks of about as many and settled there;
+    larger ones in rounds. No pairs: no rows.
+    """
+    total = pairs.count()
+    if total <= most:
+        return pairs.withColumn("part", F.lit(0)).groupBy("part").applyInArrow(_greedy, GONE)
+    labelled = pairs.join(_component_labels(pairs).withColumnRenamed("id", "a"), "a")
+    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    large = materialize(sizes.filter(F.col("size") > most).select("label"), "large")  # fewer than total / most
+    parts = F.pmod(F.xxhash64("label"), F.lit(-(-total // most))).cast("int").alias("part")
+    done = labelled.join(F.broadcast(large), "label", "left_anti").select("a", "b", "similarity", parts).groupBy("part").applyInArrow(_greedy, GONE)
+    rest = materialize(labelled.join(F.broadcast(large), "label", "left_semi").select("a", "b", "similarity"), "rest")
+    return done if rest.isEmpty() else done.unionByName(_settle(rest, None)[0])
+
+
 def removed_by(df: DataFrame, text: str = "text", id_col: str = "row_id", threshold: float = 0.9,
                group_limit: int = 64) -> DataFrame:
     """Rows to drop: ``(id, kept, similarity)``, each with a kept row that it repeats.
 
     Runs jobs: the number of rounds depends on the data. Intermediate tables go to the shared folder.
     """
-    sets_all = materialize(
-        df.select(F.col(id_col).alias("id"), word_set(F.col(text)).alias("words")).filter(F.size("words") > 0)
-        .withColumn("digest", tx.fingerprint(F.array_join("words", " "))),
-        "sets",
-    )
+    words = word_set(F.col(text))
+    hashed = df.select(F.col(id_col).alias("id"), words.alias("text_words")).filter(F.size("text_words") > 0).select(
+        "id", F.array_sort(F.array_distinct(F.transform("text_words", lambda w: F.xxhash64(w)))).alias("words"),
+        tx.fingerprint(F.array_join("text_words", " ")).alias("digest"))
+    sets_all = materialize(hashed.select("id", "words", "digest", *bitmap(F.col("words"))), "sets")
     first = materialize(keep_first(sets_all, F.col("digest"), "id"), "first_sets")
-    sets = first.select("id", "words")
+    sets = first.select("id", "words", *BITMAP)
     entries, largest = candidate_entries(sets, threshold, group_limit)
+    entries = _with_bitmaps(entries, sets)
 
-    removed, heads_per_group = [], group_limit
-    while True:
-        if largest <= heads_per_group:  # every group is compared in full: all partners are known
-            pairs = materialize(_similar(entries, entries, sets, threshold), "pairs")
-            removed.append(_settle(pairs, None)[0])
-            break
-        order = Window.partitionBy("key").orderBy("id")
-        heads = materialize(
-            entries.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= heads_per_group).drop("rank"),
-            "heads",
-        )
-        pairs = materialize(_similar(heads, entries, sets, threshold), "pairs")
-        # a row is known when it is a head in all of its groups
-        known = (
-            entries.select("id", F.lit(1).alias("all"), F.lit(0).alias("head"))
-            .unionByName(heads.select("id", F.lit(0).alias("all"), F.lit(1).alias("head")))
-            .groupBy("id").agg(F.sum("all").alias("all"), F.sum("head").alias("head"))
-            .filter(F.col("all") == F.col("head")).select("id")
-        )
-        known = materialize(known, "known")
-        gone, open_pairs = _settle(pairs, known)
+    removed = []
+    if largest > group_limit:
+        gone, settled = _settle_clusters(entries, sets, threshold, group_limit)
         removed.append(gone)
-        # known rows with no open earlier partner are kept and have met all their later partners
-        waiting = open_pairs.select(F.col("b").alias("id")).distinct()
-        settled = known.join(waiting, "id", "left_anti").unionByName(gone.select("id"))
         entries = materialize(entries.join(settled, "id", "left_anti"), "entries")
-        largest = _largest_group(entries)
-        if largest == 0:
-            break
-        heads_per_group *= 4
+    dealt = _dealt(entries, group_limit)
+    one, two = dealt.filter(F.col("block") == F.col("task.x")), dealt.filter(F.col("block") == F.col("task.y"))
+    # of two blocks the one row is on the left, the other on the right; within a block the earlier row is on the left
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.task") == F.col("y.task")) & ((F.col("x.block") < F.col("y.block")) | (F.col("x.id") < F.col("y.id")))
+    removed.append(settle(materialize(_similar(one, two, sets, threshold, meet), "pairs")))
     dropped = materialize(reduce(DataFrame.unionByName, removed), "dropped")
 
     # later rows with the very same word set share the fate of the first one or repeat it

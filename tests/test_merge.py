@@ -160,3 +160,66 @@ def test_merge_statistics(spark):
     got = merge.merge_statistics(df, none).first().asDict()
     assert got["total_merged_input"] == 5 and got["total_removed"] == 2 and got["exact_and_canonical_duplicates_removed"] == 1
     assert got["conflicts_detected"] == 1 and got["total_output_rows"] == 2
+
+
+@pytest.mark.parametrize("most", [neardup.SETTLE_PAIRS, 40, 3])
+def test_settling_equals_the_rule(spark, most):
+    """All pairs in one task, components dealt into tasks, and rounds for components that are too large for one."""
+    rng = random.Random(most)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(70)} | {(100 + i, 101 + i) for i in range(30)} | {(200, 201), (200, 202), (201, 202)}
+    kept, gone = set(), {}
+    for i in range(300):
+        partners = sorted(a for a, b in pairs if b == i and a in kept)
+        if partners:
+            gone[i] = partners[0]
+        else:
+            kept.add(i)
+    df = spark.createDataFrame([(a, b, a / 100) for a, b in sorted(pairs)], "a long, b long, similarity double")
+    got = {r["id"]: (r["kept"], r["similarity"]) for r in neardup.settle(df, most).collect()}
+    assert got == {b: (a, a / 100) for b, a in gone.items()}
+    assert neardup.settle(df.limit(0), most).count() == 0
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """The rows of each intermediate table, by name."""
+    tables, real = [], neardup.materialize
+
+    def watched(df, name):
+        made = real(df, name)
+        tables.append((name, made.count()))
+        return made
+
+    monkeypatch.setattr(neardup, "materialize", watched)
+    return tables
+
+
+def test_chain_needs_few_writes(spark, written):
+    chain = spark.createDataFrame([(i, i + 1, 0.95) for i in range(200)], "a long, b long, similarity double")
+    assert sorted(r["id"] for r in neardup.settle(chain).collect()) == list(range(1, 201, 2))
+    assert len(written) == 0
+    two = chain.union(chain.selectExpr("a + 1000", "b + 1000", "similarity"))
+    assert neardup.settle(two, 250).count() == 200 and len(written) <= 12
+
+
+def test_clusters_and_dissimilar_rows_that_share_words(spark, written):
+    """Near copies and unlike texts with three words in common: large groups, but the pairs written grow with the rows."""
+    def made(n, threshold, own):
+        rows = [(i, "u v w " + " ".join(f"x{i}y{j}" for j in range(own[i % len(own)]))) for i in range(n)]
+        out = neardup.removed_by(spark.createDataFrame(rows, "row_id long, text string"), threshold=threshold, group_limit=16).collect()
+        assert {r["id"] for r in out} == {i for i in range(1, n) if own[i % len(own)] == 1}  # near copies of row 0
+        total = sum(rows for name, rows in written if name in ("candidates", "pairs"))
+        assert max(rows for _, rows in written) <= 40 * n
+        written.clear()
+        return total
+
+    assert made(1200, 0.5, (1, 9)) <= 5 * made(300, 0.5, (1, 9))
+    assert made(4000, 0.8, (17,)) <= 4000
+
+
+def test_bitmaps_bound_the_difference(spark):
+    rng = random.Random(9)
+    rows = [(sorted(rng.sample(range(-10**6, 10**6), rng.randint(0, 90))), sorted(rng.sample(range(-10**6, 10**6), rng.randint(0, 90)))) for _ in range(50)]
+    df = spark.createDataFrame(rows, "x array<long>, y array<long>").select("x", "y", F.array(*neardup.bitmap(F.col("x"))).alias("p"), F.array(*neardup.bitmap(F.col("y"))).alias("q"))
+    for r in df.collect():
+        assert sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(r["p"], r["q"])) <= len(set(r["x"]) ^ set(r["y"]))
