@@ -1,4 +1,4 @@
-"""Language vote by function words, inside the row: no shuffle, no model files."""
+"""Language by function words (inside the row, no shuffle), or by letter trigrams learnt from labelled texts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.functions import text as tx
+from labelmill.storage import materialize
 
 # Frequent function words per language; ties go to the language listed first.
 PROFILES = {
@@ -52,3 +53,73 @@ def detected_language(text: Column, ascii_shortcut: bool = True, profiles: dict
 def filter_language(df: DataFrame, text: str, wanted: str, ascii_shortcut: bool = True) -> DataFrame:
     """Drop a row only if its language is known and not the wanted one."""
     return df.filter(detected_language(F.col(text), ascii_shortcut).isin(wanted, "unknown"))
+
+
+# Scripts that settle the question without any profile.
+SCRIPTS = {
+    "cyrillic": r"\p{IsCyrillic}", "arabic": r"\p{IsArabic}", "cjk": r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]", "hangul": r"\p{IsHangul}",
+    "greek": r"\p{IsGreek}", "hebrew": r"\p{IsHebrew}", "devanagari": r"\p{IsDevanagari}", "thai": r"\p{IsThai}",
+}
+GRAM_SHARE = 2000  # a trigram counts if it makes up one in so many of a language's: at most so many for each language
+UNKNOWN = "unknown"
+
+
+def foreign_script(text: Column) -> Column:
+    """The script most letters of a text are in, if that is not the Latin one; else null. Ties go to the Latin one, then to the script listed first."""
+    counts = F.array(*[F.struct(F.regexp_count(text, F.lit(p)).alias("n"), F.lit(-i).alias("rank"), F.lit(name).alias("script"))
+                       for i, (name, p) in enumerate(SCRIPTS.items())])
+    latin = F.regexp_count(text, F.lit(r"\p{IsLatin}"))
+    return tx.bind(F.array_max(counts), lambda best: F.when(best["n"] > latin, best["script"]))
+
+
+def trigrams(text: Column) -> Column:
+    """Trigrams of the lower-cased runs of letters, with a mark at both ends of a run."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+    marked = F.transform(words, lambda w: F.concat(F.lit("_"), w, F.lit("_")))
+    return F.flatten(F.transform(marked, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))))
+
+
+class GramProfiles:
+    """Weights of trigrams: ``table (gram, <one column for each of langs>)``, whole thousandths of a logarithm.
+
+    A weight is ``ln((n + 0.5) / (N + 0.5 * V))``: ``n`` times the gram among the ``N`` of the language, ``V`` grams in the table.
+    """
+
+    def __init__(self, table: DataFrame, langs: list[str]):
+        self.table, self.langs = table, langs
+
+
+def learn_profiles(df: DataFrame, text: str = "text", lang: str = "lang", share: int = GRAM_SHARE) -> GramProfiles:
+    """Profiles of the languages of ``df``. Rows without a language or a text teach nothing."""
+    counts = (df.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram"))
+              .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
+    counts = materialize(counts, "grams")
+    totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}  # one row for each language
+    langs = sorted(totals)
+    total = F.create_map(*[F.lit(x) for name in langs for x in (name, totals[name])]) if langs else F.create_map().cast("map<string,bigint>")
+    vocabulary = counts.filter(F.col("n") * share >= total[F.col("lang")]).select("gram").distinct()
+    held = counts.join(F.broadcast(vocabulary), "gram")  # at most `share` grams for each language
+    wide = materialize(held.groupBy("gram").agg(F.count(F.lit(1)).alias("langs"), *[F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{i}") for i, name in enumerate(langs)]), "profiles")
+    size = wide.count()
+    weights = [F.round(1000 * F.log((F.col(f"n{i}") + 0.5) / (totals[name] + 0.5 * size))).cast("long").alias(f"w{i}") for i, name in enumerate(langs)]
+    return GramProfiles(wide.select("gram", *weights), langs)
+
+
+def detect_language(df: DataFrame, profiles: GramProfiles, text: str = "text", key: str = "row_id") -> DataFrame:
+    """``(key, detected)`` for each ``key``: the script if it is not Latin, else the language under which the trigrams are likeliest.
+
+    Ties go to the language first in the alphabet; texts without a known trigram, null and empty ones are ``unknown``.
+    """
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    grams = rows.filter(foreign_script(F.col("_text")).isNull()).select("_key", F.explode(trigrams(F.col("_text"))).alias("gram"))
+    sums = grams.join(F.broadcast(profiles.table), "gram").groupBy("_key").agg(F.count(F.lit(1)), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(profiles.langs))])
+    each = F.array(*[F.struct(F.col(f"w{i}").alias("w"), F.lit(-i).alias("rank"), F.lit(name).alias("lang")) for i, name in enumerate(profiles.langs)])
+    best = sums.select("_key", F.array_max(each)["lang"].alias("_best")) if profiles.langs else sums.select("_key", F.lit(None).cast("string").alias("_best"))
+    named = rows.select("_key", foreign_script(F.col("_text")).alias("_script")).join(best, "_key", "left")
+    return named.select(F.col("_key").alias(key), F.coalesce("_script", "_best", F.lit(UNKNOWN)).alias("detected"))
+
+
+def keep_language(df: DataFrame, profiles: GramProfiles, wanted: str, text: str = "text", key: str = "row_id") -> DataFrame:
+    """Drop a row only if its language or script is known and not the wanted one. ``key`` is unique."""
+    other = detect_language(df, profiles, text, key).filter(~F.col("detected").isin(wanted, UNKNOWN)).select(key)
+    return df.join(other, key, "left_anti")

@@ -240,6 +240,45 @@ def language_filter(spark, d):
     return language.filter_language(table(spark, d, "documents"), "text", "fr", ascii_shortcut=False).select("doc_id", "lang")
 
 
+# Every eleventh text is put into a script that the tables lack.
+SCRIPTED_SQL = """scripted AS (SELECT doc_id, lang, CASE doc_id % 11 WHEN 0 THEN 'Съешь ещё этих мягких булок, ok?' WHEN 1 THEN 'هذا نص قصير' WHEN 2 THEN '短い文です 2024' WHEN 3 THEN '12 !!' ELSE text END AS text FROM documents)"""
+GRAMS_SQL = """unnest(flatten(list_transform(regexp_extract_all(lower(text), '\\p{L}+'),
+  lambda w: list_transform(generate_series(1, length(w)), lambda i: substr('_' || w || '_', i, 3)))))"""
+LANGUAGE_SQL = f"""{SCRIPTED_SQL},
+seen AS (SELECT lang, {GRAMS_SQL} AS gram FROM documents WHERE lang IS NOT NULL),
+counts AS (SELECT lang, gram, count(*) AS n, sum(count(*)) OVER (PARTITION BY lang) AS total FROM seen GROUP BY lang, gram),
+vocabulary AS (SELECT DISTINCT gram FROM counts WHERE n * {language.GRAM_SHARE} >= total),
+weights AS (
+  SELECT l.lang, v.gram, CAST(round(1000 * ln((coalesce(c.n, 0) + 0.5::DOUBLE) / (l.total + 0.5::DOUBLE * (SELECT count(*) FROM vocabulary)))) AS BIGINT) AS w
+  FROM vocabulary v CROSS JOIN (SELECT DISTINCT lang, total FROM counts) l LEFT JOIN counts c ON c.lang = l.lang AND c.gram = v.gram),
+judged AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'cyrillic' WHEN doc_id % 11 = 1 THEN 'arabic' WHEN doc_id % 11 = 2 THEN 'cjk' END AS script FROM scripted),
+sums AS (SELECT doc_id, w.lang, sum(w.w) AS w FROM (SELECT doc_id, {GRAMS_SQL} AS gram FROM judged WHERE script IS NULL) g JOIN weights w USING (gram) GROUP BY 1, 2),
+best AS (SELECT doc_id, lang AS best FROM sums QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, lang) = 1),
+named AS (SELECT doc_id, lang, coalesce(script, best, 'unknown') AS detected FROM judged LEFT JOIN best USING (doc_id))"""
+SCRIPT_TEXTS = ("Съешь ещё этих мягких булок, ok?", "هذا نص قصير", "短い文です 2024", "12 !!")
+
+
+def _scripted(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "lang", "text")
+    text = F.col("text")
+    for i, other in enumerate(SCRIPT_TEXTS):
+        text = F.when(F.col("doc_id") % 11 == i, other).otherwise(text)
+    return rows.withColumn("text", text), language.learn_profiles(rows)
+
+
+@query(f"WITH {LANGUAGE_SQL} SELECT * FROM named")
+def language_ngrams(spark, d):
+    """Language by learnt trigram profiles and scripts."""
+    rows, profiles = _scripted(spark, d)
+    return rows.select("doc_id", "lang").join(language.detect_language(rows, profiles, key="doc_id"), "doc_id")
+
+
+@query(f"WITH {LANGUAGE_SQL} SELECT doc_id, lang FROM named WHERE detected IN ('en', 'unknown')")
+def language_filter_learnt(spark, d):
+    rows, profiles = _scripted(spark, d)
+    return language.keep_language(rows, profiles, "en", key="doc_id").select("doc_id", "lang")
+
+
 @query(f"WITH {CLEANED_SQL} SELECT doc_id, text FROM cleaned")
 def clean_documents(spark, d):
     return clean.clean_text(table(spark, d, "documents").select("doc_id", "text"))
