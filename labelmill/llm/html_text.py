@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,43 +28,52 @@ CLOSES_P = BLOCKS - {"option", "caption", "tbody", "td", "tfoot", "th", "thead",
 FURNITURE = re.compile(r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|masthead|menu|modal|nav\w*|newsletter|notices?|overlay|"
                        r"pagination|popup|promo\w*|related|repl(?:y|ies)|respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|tags?|toolbar|widget)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu".split())
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
+REPLIES = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|repl(?:y|ies)|respond)(?:$|[\s_-])", re.I)
+# A tag ends before the next "<" outside quotes, so that one that is never closed costs no more than its own length.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^<>]*>""", re.S)
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 LONG, SHORT = 200, 70
 HIGH_STOPS, LOW_STOPS, NO_STOPS = 0.30, 0.15, 0.05  # below the last: a language without a word list, or no sentences
 MANY_LINKS, SOME_LINKS = 0.5, 0.2
+ZONES = 8  # of nested elements with such names, how many innermost ones are looked at
 
 
 class Block:
-    __slots__ = ("parts", "linked", "where", "heading")
+    __slots__ = ("parts", "linked", "where", "heading", "zones")
 
-    def __init__(self, where: str, heading: bool):
+    def __init__(self, where: str, heading: bool, zones: tuple[int, ...] = ()):
         self.parts: list[str] = []
         self.linked: list[str] = []
-        self.where, self.heading = where, heading  # where: out, body, article
+        self.where, self.heading = where, heading  # where: out, body, main, article
+        self.zones = zones  # elements round it whose names speak against it; below 0 the comments of readers
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
 
-def _is_furniture(name: str, attributes: str) -> bool:
+def _furniture(name: str, attributes: str) -> str | None:
+    """``out``: never main text; ``replies`` and ``named``: a class or id speaks against it."""
     if name in SKIPPED:
-        return True
+        return "out"
     if not attributes or name in ("html", "body", "main", "article"):
-        return False
+        return None
+    named = None
     for key, value in NAMED.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and FURNITURE.search(value) or key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-    return False
+        if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
+            return "out"
+        if key in ("class", "id") and FURNITURE.search(value):
+            named = "replies" if REPLIES.search(value) or named == "replies" else "named"
+    return named
 
 
 def blocks_of(page: str) -> Iterator[Block]:
-    """The page's blocks in order, each with where it stands: ``out`` is inside page furniture."""
-    stack: list[tuple[str, str, bool]] = []  # element, where, inside a link
-    where, in_link, heading, at = "body", False, False, 0
-    block = Block(where, heading)
+    """The page's blocks in order, each with where it stands: ``out`` is inside page furniture. Time grows with the page's length."""
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # element, and what holds again after it: where, inside a link, zones
+    opened: Counter[str] = Counter()
+    where, in_link, zones, made, at = "body", False, (), 0, 0
+    block = Block(where, False)
     n = len(page)
     while at < n:
         tag = TAG.search(page, at)
@@ -81,45 +91,67 @@ def blocks_of(page: str) -> Iterator[Block]:
         if name == "br":
             block.parts.append(" ")
             continue
+        shut = None
         if not tag[1]:
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
                 continue
-            if name in CLOSES_P and any(e[0] == "p" for e in stack[-4:]) or name == "li" and stack and stack[-1][0] == "li":
-                shut = "li" if name == "li" and stack[-1][0] == "li" else "p"
-                while stack and any(e[0] == shut for e in stack):
-                    gone = stack.pop()
-                    where, in_link = gone[1], gone[2]
-                    if gone[0] == shut:
-                        break
-            if name not in EMPTY:
-                stack.append((name, where, in_link))
-                if where != "out":
-                    if _is_furniture(name, tag[3]) or name == "header" and where == "body":
-                        where = "out"
-                    elif name in ("article", "main"):
-                        where = "article" if name == "article" or where == "article" else "main"
-                in_link = in_link or name == "a"
+            if name == "li" and stack and stack[-1][0] == "li":
+                shut = "li"
+            elif name in CLOSES_P and any(e[0] == "p" for e in stack[-4:]):
+                shut = "p"
         else:
-            if not any(e[0] == name for e in stack):
+            shut = name
+            if not opened[name]:
                 if name in BLOCKS and block.parts:
                     yield block
-                    block = Block(where, False)
+                    block = Block(where, False, zones)
                 continue
-            while stack:
-                gone = stack.pop()
-                where, in_link = gone[1], gone[2]
-                if gone[0] == name:
-                    break
+        while shut and opened[shut]:
+            last, where, in_link, zones = stack.pop()
+            opened[last] -= 1
+            if last == shut:
+                break
+        if not tag[1] and name not in EMPTY:
+            stack.append((name, where, in_link, zones))
+            opened[name] += 1
+            if where != "out":
+                kind = _furniture(name, tag[3])
+                if kind == "out" or name == "header" and where == "body":
+                    where = "out"
+                elif kind:
+                    made += 1
+                    zones = (*zones, -made if kind == "replies" else made)[-ZONES:]
+                elif name in ("article", "main"):
+                    where = "article" if name == "article" or where == "article" else "main"
+            in_link = in_link or name == "a"
         if name in BLOCKS:
             if block.parts:
                 yield block
-            block = Block(where, not tag[1] and re.fullmatch("h[1-6]", name) is not None)
+            block = Block(where, not tag[1] and re.fullmatch("h[1-6]", name) is not None, zones)
     if block.parts:
         yield block
 
 
+def _judge_zones(found: list[tuple[Block, str]]) -> None:
+    """Blocks in elements whose names speak against them go ``out``, unless such an element holds most of the page's running text.
+
+    That is so if none of it stands in an article or main element outside such names, and more than half of it, reader comments aside, is in the element.
+    """
+    running = [(b, len(t)) for b, t in found if b.where != "out" and len(t) >= SHORT and link_share(b, t) <= MANY_LINKS and not any(z < 0 for z in b.zones)]
+    spared: set[int] = set()
+    if not any(not b.zones and b.where != "body" for b, _ in running):
+        held: Counter[int] = Counter()
+        for b, size in running:
+            held.update(dict.fromkeys(b.zones, size))
+        total = sum(size for _, size in running)
+        spared = {z for z, size in held.items() if 2 * size > total}
+    for b, _ in found:
+        if any(z not in spared for z in b.zones):
+            b.where = "out"
+
+
 def stop_share(text: str) -> float:
     words = text.lower().split()
     return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(len(words), 1)
@@ -164,6 +196,7 @@ def home_of(found: list[tuple[Block, str]]) -> tuple[str, ...]:
 def main_text(page: str | None) -> str:
     """The main text: blocks joined by line feeds, white space in a block as one space; empty if there is none."""
     found = [(b, t) for b in blocks_of(page or "") if (t := b.text())]
+    _judge_zones(found)
     home = home_of(found)
     body = "body" in home
     labels: list[bool | None] = [False if b.where not in home else first_label(b, t, not body) for b, t in found]
@@ -173,16 +206,19 @@ def main_text(page: str | None) -> str:
         least = LONG if any(len(found[i][1]) >= LONG for i in open_) else SHORT
         for i in open_:
             labels[i] = True if len(found[i][1]) >= least else None
-    decided = [i for i, x in enumerate(labels) if x is not None and found[i][0].where in home]
+    decided = [x if b.where in home else None for x, (b, _) in zip(labels, found)]
+    earlier, later = list(decided), list(decided)  # the nearest decided neighbours, for open blocks
+    for i in range(1, len(found)):
+        earlier[i] = decided[i] if decided[i] is not None else earlier[i - 1]
+        later[-1 - i] = decided[-1 - i] if decided[-1 - i] is not None else later[-i]
     result = []
     for i, label in enumerate(labels):
         if label is None:
-            before = next((labels[j] for j in reversed(decided) if j < i), None) if decided else None
-            after = next((labels[j] for j in decided if j > i), None) if decided else None
+            before, after = earlier[i], later[i]
             if body:
                 label = bool(before and after) or bool(after and found[i][0].heading) or bool(before and after is None)
             else:  # in an article, an open block is dropped only between blocks that are
-                label = not (before is False and after is False) if decided else True
+                label = not (before is False and after is False)
         if label:
             result.append(found[i][1])
     return "\n".join(result)
