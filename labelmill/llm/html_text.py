@@ -137,11 +137,11 @@ def blocks_of(page: str) -> Iterator[Block]:
 def _judge_zones(found: list[tuple[Block, str]]) -> None:
     """Blocks in elements whose names speak against them go ``out``, unless such an element holds most of the page's running text.
 
-    That is so if none of it stands in an article or main element outside such names, and more than half of it, reader comments aside, is in the element.
+    That is so if no text stands in an article or main element outside such names, and more than half of the running text, reader comments aside, is in the element.
     """
     running = [(b, len(t)) for b, t in found if b.where != "out" and len(t) >= SHORT and link_share(b, t) <= MANY_LINKS and not any(z < 0 for z in b.zones)]
     spared: set[int] = set()
-    if not any(not b.zones and b.where != "body" for b, _ in running):
+    if not any(not b.zones and b.where in ("article", "main") and link_share(b, t) <= MANY_LINKS for b, t in found):
         held: Counter[int] = Counter()
         for b, size in running:
             held.update(dict.fromkeys(b.zones, size))

@@ -25,6 +25,7 @@ def test_names_still_count():
     article = f"<article><p>{PROSE * 2}</p></article>"
     for name in ("sidebar", "related-posts", "comments", "newsletter"):
         assert html_text.main_text(f'{article}<div class="{name}"><p>{PROSE * 6}</p></div>') == (PROSE * 2).strip()
+    assert html_text.main_text(f'<div class="ad">{PROSE}</div><article><h1>Short title.</h1><p>Short text.</p></article>') == "Short title.\nShort text."
     page = f'<div class="no-sidebar"><p>{PROSE * 2}</p><div class="comments"><p>{COMMENT * 9}</p></div></div>'
     assert html_text.main_text(page) == (PROSE * 2).strip()
     assert html_text.main_text(f'<div class="comments"><p>{COMMENT * 9}</p></div>') == ""
