@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelmill import storage
 from labelmill.storage import shared_dir
@@ -53,7 +54,8 @@ class Carried:
         taken = {n.lower() for n in replaced}
         self.names = [c for c in df.columns if c.lower() not in taken]
         self.cols = [F.col(quoted(c)).alias(f"_in{i}") for i, c in enumerate(self.names)]
-        self.fields = ", ".join(f"_in{i} {f.dataType.simpleString()}" for i, f in enumerate(df.select(*[F.col(quoted(c)) for c in self.names]).schema.fields))
+        held = df.select(*[F.col(quoted(c)) for c in self.names]).schema.fields
+        self.fields = T.StructType([T.StructField(f"_in{i}", f.dataType) for i, f in enumerate(held)]).toDDL()  # quotes names inside structs
 
     def back(self, **instead: Column) -> list[Column]:
         """The columns under their own names; ``instead`` puts others in the place of some."""
