@@ -170,17 +170,23 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, **options) -> DataFrame:
-    """The mixed corpus: rows of ``docs``, one for each time they are drawn, with ``shard`` and ``position`` in it.
+    """The mixed corpus: rows of ``docs``, one for each time they are drawn.
 
-    The document at a target's edge ends behind its last word taken. Rows with equal id, text and source are drawn from one of
-    them. Columns named ``shard`` or ``position`` are replaced.
+    Further columns: ``size`` (words of the whole text), ``target`` (its source's), ``taken`` (words of this draw), ``shard`` and
+    ``position`` in it; columns of these names are replaced. The document at a target's edge ends behind its last word taken. Rows
+    with equal id, text and source are drawn from one of them. Null and empty texts are never drawn; a null source is a source of
+    its own, null ids are ids like others. No rows: no rows.
     """
     plan = draws(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
     turns = F.filter(F.array(F.struct(F.col("t1").alias("n"), F.col("shard1").alias("shard")), F.struct(F.col("t2").alias("n"), F.col("shard2").alias("shard"))), lambda t: t["n"] > 0)
-    plan = plan.select(F.col("source").alias("_source"), F.col("order").alias("_order"), "size", F.explode(turns).alias("_turn"))
-    rest = Carried(docs, "shard", "position", text_col)
-    held = docs.select(*rest.cols, F.col(source_col).alias("_own"), F.col(text_col).alias("_text"), F.xxhash64(F.lit(seed), F.col(id_col), whole(text_col)).alias("_mine"))
-    joined = held.dropDuplicates(["_own", "_mine"]).join(plan, (F.col("_mine") == F.col("_order")) & F.col("_own").eqNullSafe(F.col("_source")))
+    # One key for the first of equal rows and for the join, so that texts are shuffled once; nulls within a struct are equal.
+    plan = plan.select(F.struct(F.col("source").alias("s"), F.col("order").alias("o")).alias("_drawn"), F.col("size").alias("_size"), F.col("target").alias("_target"),
+                       F.explode(turns).alias("_turn"))
+    rest = Carried(docs, "shard", "position", "size", "target", "taken", text_col)
+    mine = F.struct(F.col(source_col).alias("s"), F.xxhash64(F.lit(seed), F.col(id_col), whole(text_col)).alias("o"))
+    held = docs.select(*rest.cols, F.col(text_col).alias("_text"), mine.alias("_mine"))
+    joined = held.dropDuplicates(["_mine"]).join(plan, F.col("_mine") == F.col("_drawn"))
     cut = F.array_join(F.slice(F.split("_text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("_turn.n").cast("int")), "")
-    text = F.when(F.col("_turn.n") < F.col("size"), cut).otherwise(F.col("_text"))
-    return joined.select(*rest.back(), text.alias(text_col), F.col("_turn.shard").alias("shard"), F.xxhash64(F.lit(1), "_order", "_turn.shard").alias("position"))
+    text = F.when(F.col("_turn.n") < F.col("_size"), cut).otherwise(F.col("_text"))
+    return joined.select(*rest.back(), text.alias(text_col), F.col("_size").alias("size"), F.col("_target").alias("target"), F.col("_turn.n").alias("taken"),
+                         F.col("_turn.shard").alias("shard"), F.xxhash64(F.lit(1), "_mine.o", "_turn.shard").alias("position"))

@@ -1,5 +1,7 @@
 """Each stage of the pipeline on its own input, against a plain version of its rule."""
 
+import re
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
@@ -54,10 +56,22 @@ def test_decontamination_stage(spark, stages):
 
 
 def test_mixing_stage(stages):
+    """Rows as drawn: whole texts or, at a target's edge, their first words; sums meet the targets; nothing above twice its size."""
     _, docs, out = stages[4]
-    sums = out.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
-    assert out.count() == docs.count() and all(abs(r["taken"] - r["target"]) <= 1 for r in sums)
-    assert sorted(map(str, out.collect())) == sorted(map(str, mixing.mix(docs).collect()))
+    before = {r["doc_id"]: r for r in docs.collect()}
+    rows, words, drawn = out.collect(), re.compile(r"[^\x20\x09-\x0D]+"), {}
+    size = {i: len(words.findall(r["text"] or "")) for i, r in before.items()}
+    for r in rows:
+        was = before[r["doc_id"]]
+        assert r["size"] == size[r["doc_id"]] and len(words.findall(r["text"])) == r["taken"] > 0 and r["source"] == was["source"]
+        assert r["text"] == was["text"] if r["taken"] == r["size"] else was["text"].startswith(r["text"])
+        drawn.setdefault(r["doc_id"], []).append(r["taken"])
+    assert all(sum(n) <= 2 * size[i] for i, n in drawn.items())
+    for source in {r["source"] for r in rows}:
+        of = [r for r in rows if r["source"] == source]
+        assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= 1 and sum(r["taken"] < r["size"] for r in of) <= 2
+    assert {r["shard"] for r in rows} <= set(range(16))
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.take(docs).collect()))
 
 
 def test_run(spark, stages):
