@@ -1,7 +1,7 @@
 """From raw documents to a mixed training corpus: quality, line dedup, near-dedup, decontamination, mixing.
 
 Each stage works on the Parquet table that the one before has written. All but the last return the columns of ``documents``; the
-last returns what the mix takes of each document.
+last returns the mixed corpus: a row, with its text, for each time a document is drawn.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
-    return mixing.mix(docs)
+    """The rows that the mix draws, once for each time, with ``size``, ``target``, words ``taken``, ``shard`` and ``position``."""
+    return mixing.take(docs)
 
 
 STAGES = [
