@@ -6,14 +6,17 @@ once from left to right. Words seen less often than an arc needs have no arcs, a
 are never counted, which changes no score.
 
 Texts travel as blocks: one row holds the word numbers of some thousand texts and the block's own dictionary. Blocks ask
-for what they need (counts and failure arcs of their words, weights of their pairs) by a join on the word or pair, so that no
-task or driver ever holds the whole model, and a frequent word costs one row for each block.
+for what they need (counts and failure arcs of their words) by a join on the word, so that no task or driver ever holds the
+whole model, and a frequent word costs one row for each block. Counts of pairs are asked for in bulk: the pairs' hashes are
+cut into even ranges, a block sends each range one row with its sorted hashes and counts, packed, and gets one row back that
+tells which of them are arcs and how often they were seen. One block, the first that holds it, adds an arc to its state's sums.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,23 +28,27 @@ BLOCK_TOKENS = 1_000_000
 ARC_COUNT = 2        # training occurrences from which a pair is an arc
 DISCOUNT = 0.75
 END = -7046029254386353131  # stands for the end of a text among the word hashes
-ROWS = 100_000                              # pairs of a block that go out at once
+RANGE_TOKENS = 2_000_000  # tokens of the corpus for each range of pair hashes
 
 BLOCK = ("block long, ids binary, doc array<long>, held array<boolean>, lengths array<int>, words array<long>, times array<long>")
 COUNTED = "block long, ids binary, doc array<long>, held array<boolean>, lengths array<int>, words array<long>, counts binary, n_known array<long>, base array<double>"
-MOVES = "block long, place int, first long, second long, times int, n_first long, n_second long"
+ASKED = "part int, block long, hashes binary, times binary"
+TOLD = "block long, part int, n int, arcs binary, seen binary"
+SUMS = "w long, on_arcs double, singles double"
 
 
-def _pack(numbers: np.ndarray) -> bytes:
-    """Small numbers, byte plane by byte plane, compressed."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _pack(numbers: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers, byte plane by byte plane, compressed."""
+    width = np.dtype(kind).itemsize
+    planes = np.ascontiguousarray(numbers.astype(kind).view(np.uint8).reshape(-1, width).T).tobytes()
     return np.uint64(len(planes)).tobytes() + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    size = int(np.frombuffer(data[:8], np.uint64)[0])
+def _unpack(data: bytes, kind: str = "<u4") -> np.ndarray:
+    size, width = int(np.frombuffer(data[:8], np.uint64)[0]), np.dtype(kind).itemsize
     planes = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    numbers = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    return numbers.astype(np.int64) if width == 4 else numbers
 
 
 def _flat(table: pa.Table, column: str) -> np.ndarray:
@@ -130,36 +137,116 @@ def _pairs(block, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return pairs // len(words), pairs % len(words), at, moves, before
 
 
-def _moves(least: float):
-    """A block's pairs as rows, with what the block's training texts count of them."""
+def _ranged(block, a: np.ndarray, b: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of a block's pairs in rising order, the pairs' places, and where each of ``parts`` even ranges starts."""
+    words = _flat(block, "words").view(np.uint64)
+    mixed = words[a] * np.uint64(0x9E3779B97F4A7C15) + words[b]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    mixed ^= mixed >> np.uint64(31)
+    order = np.argsort(mixed, kind="stable")
+    starts = np.array([(i << 64) // parts for i in range(parts)], np.uint64)
+    return mixed[order], order, np.append(np.searchsorted(mixed, starts, sorter=order), len(order))
+
+
+def _asked(least: float, parts: int):
+    """A block's pairs, one row for each range of hashes, with what the block's training texts count of them."""
 
     def run(batches):
         for batch in batches:
             for i in range(len(batch)):
                 block = batch.slice(i, 1)
                 a, b, at, moves, _ = _pairs(block, least)
-                words, counts = _flat(block, "words"), np.frombuffer(block.column("counts")[0].as_py(), np.int64)
                 training = np.repeat(~block.column("held")[0].values.to_numpy(zero_copy_only=False), _flat(block, "lengths"))[at]
                 times = np.bincount(moves[training], minlength=len(a))
-                for j in range(0, len(a), ROWS):
-                    x, y = a[j : j + ROWS], b[j : j + ROWS]
-                    yield pa.record_batch([pa.array(np.full(len(x), block.column("block")[0].as_py(), np.int64)), pa.array(np.arange(j, j + len(x), dtype=np.int32)), pa.array(words[x]), pa.array(words[y]),
-                                           pa.array(times[j : j + ROWS].astype(np.int32)), pa.array(counts[x]), pa.array(counts[y])], names=[f.split(" ")[0] for f in MOVES.split(", ")])
+                hashes, order, starts = _ranged(block, a, b, parts)
+                rows = []
+                for part in np.flatnonzero(np.diff(starts)):
+                    here = slice(starts[part], starts[part + 1])
+                    steps = np.diff(hashes[here], prepend=np.uint64(0))
+                    rows.append((part, block.column("block")[0].as_py(), _pack(steps, "<u8"), _pack(times[order[here]])))
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                columns = zip(*rows) if rows else ([], [], [], [])
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "block", "hashes", "times"])
+
+    return run
+
+
+def _told(arc_count: int):
+    """Per range: to each block, which of its pairs are arcs, how often they were seen, and which of them it is the first to hold."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        blocks = asked.column("block").to_numpy()
+        rows = np.argsort(blocks, kind="stable")
+        hashes = [np.cumsum(_unpack(asked.column("hashes")[int(i)].as_py(), "<u8"), dtype=np.uint64) for i in rows]
+        sizes = [len(h) for h in hashes]
+        every = np.concatenate(hashes)
+        del hashes
+        order = np.argsort(every, kind="stable")  # of equal hashes, the first block's stands first
+        every = every[order]
+        first = np.append(True, every[1:] != every[:-1])
+        group = np.cumsum(first) - 1
+        times = np.concatenate([_unpack(asked.column("times")[int(i)].as_py()) for i in rows])
+        counts = np.add.reduceat(times[order], np.flatnonzero(first))
+        seen = np.empty(len(order), np.int64)
+        seen[order] = counts[group]
+        owned = np.empty(len(order), bool)
+        owned[order] = first
+        arcs, told, at = seen >= arc_count, [], 0
+        for size in sizes:
+            here = slice(at, at + size)
+            hits = arcs[here]
+            told.append((size, np.packbits(hits).tobytes(), _pack(seen[here][hits], "<u8") + np.packbits(owned[here][hits]).tobytes()))
+            at += size
+        n, bits, counted = zip(*told)
+        part = asked.column("part")[0].as_py()
+        return pa.table([pa.array(blocks[rows]), pa.array([part] * len(rows), pa.int32()), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(counted, pa.binary())],
+                        names=["block", "part", "n", "arcs", "seen"])
+
+    return run
+
+
+def _arcs(block, told: pa.Table, a: np.ndarray, b: np.ndarray, total: int, distinct: int, parts: int, discount: float):
+    """Of a block's pairs: the places of those that are arcs, their weights, their second words' own weights, and which the block is first to hold."""
+    _, order, starts = _ranged(block, a, b, parts)
+    seen, owned = np.zeros(len(a), np.int64), np.zeros(len(a), bool)
+    for part, n, bits, counted in zip(*[told.column(c).to_pylist() for c in ("part", "n", "arcs", "seen")]):
+        places = order[starts[part] : starts[part + 1]][np.unpackbits(np.frombuffer(bits, np.uint8), count=n).view(bool)]
+        flags = (len(places) + 7) // 8
+        seen[places] = _unpack(counted[: len(counted) - flags], "<u8").astype(np.int64)
+        owned[places] = np.unpackbits(np.frombuffer(counted[len(counted) - flags :], np.uint8), count=len(places)).view(bool)
+    counts = np.frombuffer(block.column("counts")[0].as_py(), np.int64)
+    at = np.flatnonzero(seen)
+    return at, (seen[at] - discount) / counts[a[at]], (counts[b[at]] + 0.5) / (total + 0.5 * (distinct + 1)), owned[at]
+
+
+def _state_sums(least: float, *model):
+    """Per block: for each first word, the summed weights of the arcs that this block is the first to hold."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        words = _flat(left, "words")
+        a, b, *_ = _pairs(left, least)
+        at, arc, single, owned = _arcs(left, right, a, b, *model)
+        firsts = a[at[owned]]
+        used = np.unique(firsts)
+        sums = [np.bincount(firsts, weights=x[owned], minlength=len(words))[used] for x in (arc, single)]
+        return pa.table({"w": pa.array(words[used]), "on_arcs": pa.array(sums[0], pa.float64()), "singles": pa.array(sums[1], pa.float64())})
 
     return run
 
 
-def _traverse(least: float):
+def _traverse(least: float, *model):
     """Per block: what arcs and failure arcs add to the base score, summed along each text."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         lengths = _flat(left, "lengths").astype(np.int64)
-        a, _, at, moves, before = _pairs(left, least)
-        place, adds = right.column("place").to_numpy(), right.column("adds").to_numpy()
+        a, b, at, moves, before = _pairs(left, least)
+        fails = right.filter(pa.compute.is_valid(right.column("place")))
         failure = np.zeros(len(_flat(left, "words")))
-        failure[-1 - place[place < 0]] = adds[place < 0]
+        failure[fails.column("place").to_numpy()] = fails.column("adds").to_numpy()
         on_arc = failure[a]
-        on_arc[place[place >= 0]] = adds[place >= 0]
+        arcs, arc, single, _ = _arcs(left, right.filter(pa.compute.is_valid(right.column("part"))), a, b, *model)
+        on_arc[arcs] = np.log10(arc) - np.log10(single)
         gained = failure[before]
         gained[at] = on_arc[moves]
         base = _flat(left, "base")
@@ -170,14 +257,15 @@ def _traverse(least: float):
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_share: float = 0.0, arc_count: int = ARC_COUNT,
-                discount: float = DISCOUNT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+                discount: float = DISCOUNT, block_tokens: int = BLOCK_TOKENS, range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row.
 
     Tokens: words (runs without ASCII white space, A-Z lower-cased) and one end. Rows with ``crc32(id) % 5 = 1`` are held out; the others
     train. ``base_score`` uses single words, ``(c + 0.5) / (N + 0.5 (V + 1))``; ``score`` is the automaton's log10 probability: an arc
     has ``(c(h, w) - discount) / c(h)``, a failure arc the mass that is left over that of the words not on arcs. Null text:
     the end only. A null id trains. Repeated rows count as often as they stand. No rows: no rows. If nothing trains, all counts are 0.
-    Words are told apart by 64-bit hashes. ``state_share``: the share of all training tokens from which a word is a state; 0: every word is.
+    Words and pairs are told apart by 64-bit hashes. One task takes one range of pair hashes: ``range_tokens`` hashes on average, and
+    one for each block of a pair that is in all of them. ``state_share``: the share of all training tokens from which a word is a state; 0: every word is.
     """
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), held.alias("held"), whole(text_col).alias("text"))
@@ -191,18 +279,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = (blocks.groupBy("block").cogroup(counted.select("block", "place", "c").groupBy("block"))
              .applyInArrow(_single_words(total, distinct), COUNTED))
     known = materialize(known, "lm-counted")
-    moves = known.select("block", "ids", "held", "lengths", "words", "counts").mapInArrow(_moves(least), MOVES)
-    of_pair = Window.partitionBy("first", "second")
-    weighed = moves.select("block", "place", "first", "n_first", "n_second", F.sum("times").over(of_pair).alias("c"),
-                           (F.row_number().over(of_pair.orderBy("block")) == 1).alias("once")).where(F.col("c") >= arc_count)
-    arcs = materialize(weighed.select("block", "place", "c", "n_first", "n_second", F.when(F.col("once"), F.col("first")).alias("first")), "lm-arcs")
-    arc = (F.col("c") - discount) / F.col("n_first")
-    single = (F.col("n_second") + 0.5) / (total + 0.5 * (distinct + 1))
-    fail = (arcs.where("first IS NOT NULL").groupBy("first").agg(F.sum(arc).alias("on_arcs"), F.sum(single).alias("singles"))
-            .select(F.col("first").alias("w"), F.log10((1 - F.col("on_arcs")) / (1 - F.col("singles"))).alias("adds")))
-    # Failure arcs come to a block by word (places below 0), arcs by pair.
-    of_words = counted.select("block", "place", "w").join(fail, "w").select("block", (-1 - F.col("place")).alias("place"), "adds")
-    adds = arcs.select("block", "place", (F.log10(arc) - F.log10(single)).alias("adds")).union(of_words)
-    scored = known.groupBy("block").cogroup(adds.groupBy("block")).applyInArrow(
-        _traverse(least), "doc long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    tokens = known.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    parts = max(1, -(-tokens // range_tokens))
+    model = (total, distinct, parts, discount)
+    asked = known.select("block", "ids", "held", "lengths", "words", "counts").mapInArrow(_asked(least, parts), ASKED)
+    told = materialize(asked.groupBy("part").applyInArrow(_told(arc_count), TOLD), "lm-arcs")
+    sums = known.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_state_sums(least, *model), SUMS)
+    fail = (sums.groupBy("w").agg(F.sum("on_arcs").alias("on_arcs"), F.sum("singles").alias("singles"))
+            .select("w", F.log10((1 - F.col("on_arcs")) / (1 - F.col("singles"))).alias("adds")))
+    # A block gets one row for each of its words with a failure arc, and one for each range of its pairs.
+    of_words = counted.select("block", "place", "w").join(fail, "w").select("block", "place", "adds")
+    answers = of_words.unionByName(told, allowMissingColumns=True)
+    scored = known.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        _traverse(least, *model), "doc long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("doc").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

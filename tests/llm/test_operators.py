@@ -420,7 +420,7 @@ def test_split_quotas(spark):
 
 
 def test_language_model(docs, rows):
-    got = language_model.score_texts(docs, state_share=0.005, block_tokens=500).collect()
+    got = language_model.score_texts(docs, state_share=0.005, block_tokens=500, range_tokens=300).collect()
     assert len(got) == len(rows)
     texts = [(i, tokens(t) + [None]) for i, t, *_ in rows]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
