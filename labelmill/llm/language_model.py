@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from labelmill.llm.bytesops import hash_words
 from labelmill.llm.common import materialize, whole
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 2_000_000
 ARC_COUNT = 2        # training occurrences from which a pair is an arc
 DISCOUNT = 0.75
 END = -7046029254386353131  # stands for the end of a text among the word hashes
@@ -119,7 +119,7 @@ def _single_words(total: int, distinct: int):
         base = np.add.reduceat(np.log10((counts + 0.5) / below)[ids], starts)
         known = np.add.reduceat((counts[ids] > 0).astype(np.int64), starts)
         return pa.Table.from_batches([_rows(COUNTED, [
-            left.column("block")[0].as_py(), data, left.column("doc")[0].values, left.column("held")[0].values, lengths, words, counts.tobytes(), known, base])])
+            left.column("block")[0].as_py(), data, left.column("doc")[0].values, left.column("held")[0].values, lengths, words, _pack(counts, "<u8"), known, base])])
 
     return run
 
@@ -127,7 +127,7 @@ def _single_words(total: int, distinct: int):
 def _pairs(block, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A block's pairs that can be arcs, by the places of their words; the tokens that end one and which, and the word before each token."""
     words, lengths = _flat(block, "words"), _flat(block, "lengths").astype(np.int64)
-    ids, counts = _unpack(block.column("ids")[0].as_py()), np.frombuffer(block.column("counts")[0].as_py(), np.int64)
+    ids, counts = _unpack(block.column("ids")[0].as_py()), _unpack(block.column("counts")[0].as_py(), "<u8").astype(np.int64)
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     before[np.cumsum(lengths) - lengths] = int(np.flatnonzero(words == END)[0])  # a text starts where another ends
@@ -215,7 +215,7 @@ def _arcs(block, told: pa.Table, a: np.ndarray, b: np.ndarray, total: int, disti
         flags = (len(places) + 7) // 8
         seen[places] = _unpack(counted[: len(counted) - flags], "<u8").astype(np.int64)
         owned[places] = np.unpackbits(np.frombuffer(counted[len(counted) - flags :], np.uint8), count=len(places)).view(bool)
-    counts = np.frombuffer(block.column("counts")[0].as_py(), np.int64)
+    counts = _unpack(block.column("counts")[0].as_py(), "<u8").astype(np.int64)
     at = np.flatnonzero(seen)
     return at, (seen[at] - discount) / counts[a[at]], (counts[b[at]] + 0.5) / (total + 0.5 * (distinct + 1)), owned[at]
 
@@ -270,10 +270,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), held.alias("held"), whole(text_col).alias("text"))
     blocks = materialize(texts.mapInArrow(_blocks(block_tokens), BLOCK), "lm-blocks")
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "times")).alias("place", "x")).select("block", "place", F.col("x.words").alias("w"), F.col("x.times").alias("n"))
+    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "times")).alias("place", "x")).select("block", "place", F.col("x.words").alias("w"), F.col("x.times").cast("int").alias("n"))
     of_word = Window.partitionBy("w")
-    counted = materialize(words.select("block", "place", "w", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("block")) == 1).alias("once"), "n"), "lm-words")
-    total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("once") & (F.col("c") > 0), 1))).first()
+    counted = materialize(words.select("block", "place", "w", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("block")) == 1).alias("once")), "lm-words")
+    total, distinct = counted.where("once AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = max(1.0, arc_count, state_share * total)
     # One task takes one block and its counts; a block's size is bounded by ``block_tokens`` and one text.
     known = (blocks.groupBy("block").cogroup(counted.select("block", "place", "c").groupBy("block"))
@@ -284,7 +284,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     model = (total, distinct, parts, discount)
     asked = known.select("block", "ids", "held", "lengths", "words", "counts").mapInArrow(_asked(least, parts), ASKED)
     told = materialize(asked.groupBy("part").applyInArrow(_told(arc_count), TOLD), "lm-arcs")
-    sums = known.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_state_sums(least, *model), SUMS)
+    sums = known.select("block", "ids", "lengths", "words", "counts").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_state_sums(least, *model), SUMS)
     fail = (sums.groupBy("w").agg(F.sum("on_arcs").alias("on_arcs"), F.sum("singles").alias("singles"))
             .select("w", F.log10((1 - F.col("on_arcs")) / (1 - F.col("singles"))).alias("adds")))
     # A block gets one row for each of its words with a failure arc, and one for each range of its pairs.
