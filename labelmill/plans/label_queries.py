@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from labelmill.functions import labels as lb
 from labelmill.functions import text as tx
 from labelmill.operators import normalize, validate
+from labelmill.storage import new_path
 from labelmill.plans.registry import LABELLED_SQL, documents, labelled, query, sql_strip, sql_words, table
 from labelmill.sources import readers
 
@@ -117,6 +118,19 @@ def nested_json(spark, d):
         F.col("annotators")[0]["label"].alias("label"))
 
 
+@query("SELECT doc_id AS post_id, text, lang AS label FROM documents WHERE text IS NOT NULL")
+def keyed_json_files(spark, d):
+    """Files of one JSON object each, 1,000 documents in each, written and read again in byte ranges."""
+    path = new_path(spark, "keyed-json")
+    docs = table(spark, d, "documents").filter("text IS NOT NULL")
+    post = F.to_json(F.struct(F.array("text").alias("post_tokens"), F.array(F.struct(F.col("lang").alias("label"))).alias("annotators")))
+    entry = F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit('": '), post)
+    objects = docs.groupBy(F.floor(F.col("doc_id") / 1000)).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ", "), F.lit("}")).alias("value"))
+    objects.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return readers.read_annotated(spark, path).select(
+        F.col("post_id").cast("bigint").alias("post_id"), F.col("post_tokens")[0].alias("text"), F.col("annotators")[0]["label"].alias("label"))
+
+
 @query("""SELECT o_orderkey, code, CASE code WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 END AS label,
   CASE code WHEN 0 THEN 'Hate Speech' WHEN 1 THEN 'Offensive' WHEN 2 THEN 'Safe' END AS name
 FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 END AS code FROM orders)""")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from labelmill.schemas import SRC_ANNOTATED_MAP
+from labelmill.schemas import SRC_ANNOTATED, SRC_ANNOTATED_MAP
+from labelmill.storage import materialize
 
 
 def file_encodings(spark: SparkSession, path: str) -> DataFrame:
@@ -43,9 +44,74 @@ def explode_posts(documents: DataFrame, json: str = "value", key: str = "post_id
     return documents.select(F.explode(records).alias(key, "_post")).select(key, "_post.*")
 
 
+def _json_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The files cut at every comma: ``(_file, _block, _at, _piece)``, and what a piece does to the state of a JSON scan.
+
+    ``_quotes``: whether it holds an odd number of quotes; ``_outer`` and ``_inner``: how much deeper it goes if it starts outside
+    and inside a string. An escape never reaches over a comma.
+    """
+    bare = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"')
+    depth = lambda x: F.regexp_count(x, F.lit(r"[{\[]")) - F.regexp_count(x, F.lit(r"[}\]]"))
+    runs = F.transform(F.col("_bare"), lambda x, i: F.struct((i % 2).alias("odd"), depth(x).cast("long").alias("d")))
+    total = lambda odd: F.aggregate(F.filter("_runs", lambda r: r["odd"] == odd), F.lit(0).cast("long"), lambda n, r: n + r["d"])
+    read = spark.read.option("lineSep", ",").text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"), F.col("value").alias("_piece"), bare.alias("_bare"))
+    return read.withColumn("_runs", runs).select(
+        "_file", "_block", "_at", "_piece", ((F.size("_bare") - 1) % 2).cast("long").alias("_quotes"), total(0).alias("_outer"), total(1).alias("_inner"))
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, record, value)``: the entries of files that hold one JSON object each, every entry as an object of its own.
+
+    Files are read in byte ranges, so one object of any size is read by many tasks. Within a range, pieces between commas are
+    numbered by how the scan would go on if the range began outside or inside a string; one row for each range then tells
+    its true state, and with it which commas part entries. ``record`` counts a file's entries from 0. Blank files: none.
+    """
+    here, files = Window.partitionBy("_file", "_block").orderBy("_at"), Window.partitionBy("_file").orderBy("_block")
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, w: F.coalesce(F.sum(c).over(earlier(w)), F.lit(0))
+    # ``_deep0``, ``_deep1``: the step in depth of a piece if its range starts outside, inside a string.
+    tagged = _json_pieces(spark, path).withColumn("_odd", before("_quotes", here) % 2)
+    tagged = tagged.withColumns({"_deep0": F.when(F.col("_odd") == 0, F.col("_outer")).otherwise(F.col("_inner")),
+                                 "_deep1": F.when(F.col("_odd") == 0, F.col("_inner")).otherwise(F.col("_outer"))})
+    tagged = tagged.withColumns({"_up0": before("_deep0", here), "_up1": before("_deep1", here)})
+    tagged = materialize(tagged.select("_file", "_block", "_at", "_piece", "_quotes", "_odd", "_deep0", "_deep1", "_up0", "_up1"), "json-pieces")
+    ranges = tagged.groupBy("_file", "_block").agg(F.sum("_quotes").alias("_quotes"), F.sum("_deep0").alias("_deep0"), F.sum("_deep1").alias("_deep1"))
+    ranges = ranges.withColumn("_inside", before("_quotes", files) % 2)
+    ranges = ranges.withColumn("_deep", F.when(F.col("_inside") == 0, F.col("_deep0")).otherwise(F.col("_deep1")))
+    ranges = ranges.select("_file", "_block", "_inside", before("_deep", files).alias("_from"))
+    # The comma before a piece parts two entries if it stands outside strings at depth 1.
+    outside = (F.col("_inside") + F.col("_odd")) % 2 == 0
+    depth = F.col("_from") + F.when(F.col("_inside") == 0, F.col("_up0")).otherwise(F.col("_up1"))
+    parted = tagged.join(ranges, ["_file", "_block"]).select("_file", "_block", "_at", "_piece", (outside & (depth == 1)).cast("long").alias("_new"))
+    parted = parted.withColumn("_nth", F.sum("_new").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    firsts = parted.groupBy("_file", "_block").agg(F.sum("_new").alias("_of")).select("_file", "_block", before("_of", files).alias("_start"),
+                                                                                           F.sum("_of").over(Window.partitionBy("_file")).alias("_last"))
+    entries = parted.join(firsts, ["_file", "_block"]).groupBy(F.col("_file").alias("path"), (F.col("_start") + F.col("_nth")).alias("record"), "_last").agg(
+        F.array_sort(F.collect_list(F.struct("_block", "_at", "_piece"))).alias("_pieces"))
+    body = F.array_join(F.transform("_pieces", lambda x: x["_piece"]), ",")
+    opened = F.when(F.col("record") == 0, F.regexp_replace("_body", r"^[\s\x{FEFF}]*\{", "")).otherwise(F.col("_body"))
+    # The last entry of a file brings the object's closing brace; any other is closed by one brace less than it opens.
+    value = F.concat(F.lit("{"), opened, F.when(F.col("record") == F.col("_last"), "").otherwise("}"))
+    whole = entries.select("path", "record", "_last", body.alias("_body")).select("path", "record", value.alias("value"))
+    return whole.filter(~F.col("value").rlike(r"^[\s{}]*$"))
+
+
 def read_annotated(spark: SparkSession, path: str) -> DataFrame:
-    """A keyed JSON object per file. One object cannot be split: store large corpora as JSON lines of records."""
-    return explode_posts(spark.read.text(path, wholetext=True))
+    """Files with one keyed JSON object each, read by as many tasks as they have byte ranges."""
+    return explode_posts(read_records(spark, path))
+
+
+def read_annotated_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same posts as JSON lines: on each line either one record with its ``post_id``, or an object keyed by it."""
+    lines = spark.read.text(path)
+    record = F.from_json("value", SRC_ANNOTATED)
+    keyed = F.map_entries(F.from_json("value", SRC_ANNOTATED_MAP))
+    posts = [F.col(f"_one.{f}") for f in SRC_ANNOTATED.fieldNames()[1:]]
+    alone = F.array(F.struct(F.col("_one.post_id").alias("key"), F.struct(*posts).alias("value")))
+    each = lines.withColumn("_one", record).select(F.explode(F.when(F.col("_one.post_id").isNotNull(), alone).otherwise(keyed)).alias("_post"))
+    return each.select(F.col("_post.key").alias("post_id"), "_post.value.*")
 
 
 def read_splits(tables: list[DataFrame]) -> DataFrame:

@@ -215,3 +215,35 @@ def test_batches_of_texts(spark):
     asked = spark.createDataFrame([(1, ["a vile scum horde", "sunny tea in the garden"]), (2, []), (3, None)], "request_id long, texts array<string>")
     got = {r["request_id"]: [p["prediction_name"] for p in r["predictions"]] for r in model.score_batches(asked, fitted).collect()}
     assert got == {1: ["Hate Speech", "Safe"], 2: [], 3: []}
+
+
+def test_keyed_json_in_byte_ranges(spark, tmp_path):
+    """One object, pretty or not, read by many tasks: entries with commas, braces, quotes and line breaks inside strings."""
+    def post(i):
+        return {"post_tokens": [f"w{i}", "a, b", '{"x": [1, 2]}', 'say \\"hi\\", ok', "}]", "\\", "line\nbreak, é"], "annotators": [{"label": f"l, {i % 3}"}], "rationales": []}
+
+    want = {}
+    for name, ids, indent in (("a", range(0, 60), None), ("b", range(100, 160), 2), ("c", range(200, 201), None), ("d", range(0), None)):
+        posts = {f"id,{i}": post(i) for i in ids}
+        (tmp_path / f"{name}.json").write_text(json.dumps(posts, indent=indent, ensure_ascii=name == "b"), encoding="utf-8")
+        want |= {k: (v["post_tokens"], v["annotators"][0]["label"]) for k, v in posts.items()}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("97", "700", "134217728"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            rows = readers.read_annotated(spark, str(tmp_path)).collect()
+            assert len(rows) == len(want) and {r["post_id"]: (r["post_tokens"], r["annotators"][0]["label"]) for r in rows} == want, size
+            tasks = spark.read.option("lineSep", ",").text(str(tmp_path / "a.json")).rdd.getNumPartitions()
+            assert size != "97" or tasks > 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_annotated_lines(spark, tmp_path):
+    lines = [json.dumps({"post_id": "p1", "post_tokens": ["a", "b"], "annotators": [{"label": "x"}]}),
+             json.dumps({"p2": {"post_tokens": ["c"], "annotators": [{"label": "y"}]}, "p3": {"post_tokens": [], "annotators": []}}), "", "{}"]
+    (tmp_path / "posts.jsonl").write_text("\n".join(lines))
+    got = {r["post_id"]: r["post_tokens"] for r in readers.read_annotated_lines(spark, str(tmp_path)).collect()}
+    assert got == {"p1": ["a", "b"], "p2": ["c"], "p3": []}
