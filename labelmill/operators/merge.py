@@ -48,10 +48,10 @@ def label_groups(df: DataFrame, key: str, label: str = "label", source: str = "s
 def first_rows(groups: DataFrame, df: DataFrame, key: str, columns: dict[str, str], order_by: str = "row_id") -> DataFrame:
     """Join each group with columns (old name to new) of its first row; ids are unique, so no group is hot.
 
-    Should rows share an id after all, one of them stands for the group.
+    Should rows share an id after all, one of them stands for the group; a group has one id, so the rows lie as the join left them.
     """
     firsts = df.select(order_by, _digest(key).alias("_digest"), *[F.col(c).alias(new) for c, new in columns.items()])
-    return groups.join(firsts, [order_by, "_digest"]).dropDuplicates(["_digest"])
+    return groups.join(firsts, [order_by, "_digest"]).dropDuplicates([order_by, "_digest"])
 
 
 def _counts(labels=LABELS):
