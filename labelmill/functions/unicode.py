@@ -132,15 +132,31 @@ def emoji_names() -> str:
     )
 
 
+# What reads as one sign: a flag of two letters, a keycap, or pictographs with their skin tones, joined.
+FLAG = r"[\x{1F1E6}-\x{1F1FF}]{2}"
+KEYCAP = r"[0-9#*]\x{FE0F}?\x{20E3}"
+PICTURE = EMOJI + r"[\x{FE0E}\x{FE0F}]?(?:[\x{1F3FB}-\x{1F3FF}]\x{FE0F}?)?"
+SIGN = rf"{FLAG}|{KEYCAP}|{PICTURE}(?:\x{{200D}}{PICTURE})*\x{{200D}}?"
+
+
 def name_emojis(c: Column) -> Column:
-    """Each pictograph becomes its name between blanks; joiners and variation marks after one go."""
-    spoken = F.regexp_replace(c, rf"(?<={EMOJI})[\ufe0e\ufe0f\u200d]", "")
+    """Each pictograph, flag, keycap or joined sequence, the longest that fits, becomes one name between blanks.
+
+    A sequence is named by its parts; joiners and variation marks go.
+    """
     names = F.from_json(F.lit(emoji_names()), "map<string,string>")
-    found = F.array_distinct(F.regexp_extract_all(spoken, F.lit(EMOJI), F.lit(0)))
-    named = F.aggregate(
-        found, spoken, lambda text, e: F.replace(text, e, F.concat(F.lit(" "), F.element_at(names, e), F.lit(" ")))
-    )
-    return F.when(F.regexp_replace(c, r"[\x00-\x7F]+", "").rlike(EMOJI), named).otherwise(c)
+    letters = "".join(chr(0x1F1E6 + i) for i in range(26))
+
+    def named(sign: Column) -> Column:
+        parts = F.transform(F.regexp_extract_all(sign, F.lit(EMOJI), F.lit(0)), lambda e: F.element_at(names, e))
+        return (F.when(sign.rlike(f"^{FLAG}$"), F.concat(F.lit("flag "), F.translate(sign, letters, "abcdefghijklmnopqrstuvwxyz")))
+                .when(sign.rlike("^[0-9#*]"), F.concat(F.lit("keycap "), F.left(sign, F.lit(1)))).otherwise(F.array_join(parts, " ")))
+
+    gaps, signs = F.split(c, SIGN, -1), F.regexp_extract_all(c, F.lit(SIGN), F.lit(0))
+    pairs = F.arrays_zip(gaps.alias("gap"), signs.alias("sign"))
+    spoken = F.array_join(F.transform(pairs, lambda p: F.concat(
+        p["gap"], F.when(p["sign"].isNull(), "").otherwise(F.concat(F.lit(" "), named(p["sign"]), F.lit(" "))))), "")
+    return F.when(F.regexp_replace(c, r"[\x00-\x7F]+", "").rlike(rf"{EMOJI}|\x{{20E3}}"), spoken).otherwise(c)
 
 
 def unescape_entities(c: Column) -> Column:

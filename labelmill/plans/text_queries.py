@@ -147,6 +147,17 @@ def name_emojis(spark, d):
     return _dressed(spark, d, un.name_emojis)
 
 
+# A flag, a keycap, a skin tone and a joined family, by turns.
+SIGNS = ("\U0001F1E9\U0001F1EA", "7\uFE0F\u20E3", "\U0001F44D\U0001F3FD", "\U0001F468\u200D\U0001F469\u200D\U0001F467")
+
+
+@query("""SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' flag de ' WHEN 1 THEN ' keycap 7 '
+  WHEN 2 THEN ' thumbs up sign emoji modifier fitzpatrick type-4 ' ELSE ' man woman girl ' END || '!' AS text FROM documents""")
+def emoji_sequences(spark, d):
+    sign = F.get(F.array(*[F.lit(x) for x in SIGNS]), (F.col("doc_id") % 4).cast("int"))
+    return table(spark, d, "documents").select("doc_id", un.name_emojis(F.concat("text", sign, F.lit("!"))).alias("text"))
+
+
 @query(f"SELECT doc_id, replace(replace(nfc_normalize(text), chr(64257), 'fi'), chr(8230), '...') AS text FROM {DRESSED_SQL}")
 def normalize_unicode(spark, d):
     """Repair and NFKC; the twin spells out the two compatibility characters that the texts hold."""

@@ -126,3 +126,12 @@ def test_legacy_cleaner_drops_other_languages(spark):
     rows = spark.createDataFrame([("Le chien est dans la maison",), ("The dog is in the house of Mary",)], "text string")
     got = [r["clean_text"] for r in clean.clean_legacy(rows).collect()]
     assert got == ["", "the dog is in the house of someone"]
+
+
+def test_emoji_sequences(one):
+    """A flag, keycap, skin tone or joined family is one name; half a flag and a joiner at the end are no sequence."""
+    texts = ["\U0001F1E9\U0001F1EA\U0001F1EB\U0001F1F7", "press 1\uFE0F\u20E3 or #\u20E3", "ok\U0001F44D\U0001F3FD\U0001F44D", "\U0001F468\u200D\U0001F469\u200D\U0001F467!",
+             "\U0001F1E9 x", "a\u2764\uFE0F\u200Db", "plain 1 # *", None]
+    assert one(un.name_emojis, *texts) == [
+        " flag de  flag fr ", "press  keycap 1  or  keycap # ", "ok thumbs up sign emoji modifier fitzpatrick type-4  thumbs up sign ", " man woman girl !",
+        " regional indicator symbol letter d  x", "a heavy black heart b", "plain 1 # *", None]
