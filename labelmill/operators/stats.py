@@ -37,6 +37,21 @@ def vocabulary_size(df: DataFrame, text: str = "text", approximate: bool = False
     return word_frequencies(df, text).agg(F.count(F.lit(1)).alias("vocabulary_size"))
 
 
+SKETCH_BITS = 14  # 16,384 registers: a standard error of 0.8 %
+
+
+def vocabulary_sketches(df: DataFrame, by: list[str], text: str = "text", bits: int = SKETCH_BITS) -> DataFrame:
+    """A mergeable sketch of the distinct words for each group ``by``, made in one pass; to be stored and united later."""
+    words = df.select(*by, F.explode(tx.words(F.col(text))).alias("word"))
+    return words.groupBy(*by).agg(F.hll_sketch_agg("word", bits).alias("sketch"))
+
+
+def vocabulary_estimates(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Distinct words of each group ``by`` (none: of all sketches together), off by 2.5 % at most in 99.8 of 100 cases."""
+    united = sketches.groupBy(*(by or [])).agg(F.hll_union_agg("sketch").alias("sketch"))
+    return united.select(*(by or []), F.hll_sketch_estimate("sketch").alias("vocabulary_size"))
+
+
 def top_words(df: DataFrame, k: int = 20, text: str = "text") -> DataFrame:
     """The ``k`` most frequent words; ties in word order, so the result does not depend on row order."""
     return word_frequencies(df, text).orderBy(F.desc("n"), "word").limit(k)

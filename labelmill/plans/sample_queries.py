@@ -133,6 +133,21 @@ def length_stats(spark, d):
     return stats.length_stats(documents(spark, d))
 
 
+@query(f"""WITH w AS (SELECT source, unnest({sql_words('text')}) AS w FROM documents)
+SELECT source, count(DISTINCT w) AS exact, TRUE AS within_bound FROM w GROUP BY source
+UNION ALL SELECT '(all)', count(DISTINCT w), TRUE FROM w""")
+def vocab_sketches(spark, d):
+    """Sketches for each source, united for the whole, next to the exact counts."""
+    docs = documents(spark, d)
+    sketches = materialize(stats.vocabulary_sketches(docs, ["source"]), "vocabulary-sketches")
+    near = stats.vocabulary_estimates(sketches, ["source"]).unionByName(stats.vocabulary_estimates(sketches).withColumn("source", F.lit("(all)")))
+    words = docs.select("source", F.explode(tx.words(F.col("text"))).alias("word")).dropDuplicates()
+    exact = words.groupBy("source").agg(F.count("*").alias("exact")).unionByName(
+        words.agg(F.count_distinct("word").alias("exact")).withColumn("source", F.lit("(all)")))
+    same = exact["source"].eqNullSafe(near["source"])
+    return exact.join(near, same).select(exact["source"], "exact", (F.abs(F.col("vocabulary_size") - F.col("exact")) <= 0.025 * F.col("exact")).alias("within_bound"))
+
+
 @query(f"SELECT count(DISTINCT w) AS vocabulary_size FROM (SELECT unnest({sql_words('text')}) AS w FROM documents)")
 def vocab_size(spark, d):
     return stats.vocabulary_size(documents(spark, d))
