@@ -119,26 +119,39 @@ def read_splits(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def first_rows(df: DataFrame, n: int, key: str = "row_id") -> DataFrame:
-    """The first ``n`` rows in the order of a unique integer key.
+BUCKETS = 1 << 16
 
-    A histogram over the key range finds where the cut falls; only rows of that one bucket are ranked,
-    and the table itself is just filtered.
+
+def first_rows(df: DataFrame, n: int, key: str = "row_id", ranked: int = 100_000) -> DataFrame:
+    """The first ``n`` rows in the order of a unique integer key; rows without a key are never among them.
+
+    A histogram over the key range finds the bucket in which the cut falls. While it holds more than ``ranked`` rows, as when a few
+    keys lie far off, its own range is cut into buckets again: at most four times for 64-bit keys. Only the rows of
+    the last bucket are sorted, the table itself is just filtered, and a few numbers reach the driver.
     """
-    keys = df.select(key)
-    lowest, highest = keys.agg(F.min(key)), keys.agg(F.max(key))
-    width = (highest.scalar() - lowest.scalar() + 1) / F.lit(float(1 << 16))
-    placed = keys.withColumn("_b", F.floor((F.col(key) - lowest.scalar()) / width))
-    counts = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy("_b")))  # at most 65,536 rows
-    edge = counts.filter((F.col("_upto") >= n) & (F.col("_upto") - F.col("_n") < n)).select(
-        "_b", (F.lit(n) - F.col("_upto") + F.col("_n")).alias("_need"))
-    last = (
-        placed.join(F.broadcast(edge), "_b")  # one row
-        .withColumn("_rank", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
-        .filter("_rank = _need").agg(F.min(key))
-    )
-    return df.filter(F.col(key) <= F.coalesce(last.scalar(), highest.scalar()))
+    name = "`" + key.replace("`", "``") + "`"
+    keys = df.select(F.col(name).cast("bigint").alias("k"))
+    low, high = keys.agg(F.min("k"), F.max("k")).first()
+    if low is None or n <= 0:
+        return df.filter(F.lit(False))
+    cut, need = high, n
+    while low < high:
+        width = (high - low) // BUCKETS + 1
+        bucket = F.expr(f"(CAST(k AS DECIMAL(20,0)) - CAST('{low}' AS DECIMAL(20,0))) div {width}")
+        inside = keys.filter(F.col("k").between(low, high))
+        counts = inside.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("rows"))
+        counts = counts.withColumn("upto", F.sum("rows").over(Window.orderBy("b")))  # at most 65,536 rows
+        edge = counts.filter((F.col("upto") >= need) & (F.col("upto") - F.col("rows") < need)).first()
+        if edge is None:  # fewer rows than asked for
+            break
+        need -= edge["upto"] - edge["rows"]
+        low, high = low + edge["b"] * width, min(high, low + (edge["b"] + 1) * width - 1)
+        cut = high
+        if need < edge["rows"] <= ranked:
+            cut = inside.filter(F.col("k").between(low, high)).orderBy("k").limit(need).agg(F.max("k")).first()[0]
+        if need == edge["rows"] or edge["rows"] <= ranked:
+            break
+    return df.filter(F.col(name) <= cut)
 
 
 def read_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

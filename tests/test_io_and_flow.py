@@ -247,3 +247,13 @@ def test_annotated_lines(spark, tmp_path):
     (tmp_path / "posts.jsonl").write_text("\n".join(lines))
     got = {r["post_id"]: r["post_tokens"] for r in readers.read_annotated_lines(spark, str(tmp_path)).collect()}
     assert got == {"p1": ["a", "b"], "p2": ["c"], "p3": []}
+
+
+def test_first_rows_far_keys(spark):
+    """Keys that lie far off do not bring all other rows into one bucket; both ends of the 64-bit range are keys like others."""
+    ids = [*range(5000), -(2**63), 2**63 - 1, 2**40]
+    df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "row_id long")
+    for n in (0, 1, 2, 700, 5000, 5001, 5002, 5003, 9000):
+        got = sorted(r[0] for r in readers.first_rows(df, n, ranked=50).collect())
+        assert got == sorted(ids)[:n], n
+    assert readers.first_rows(df.limit(0), 3).count() == 0
