@@ -1,7 +1,8 @@
 """Personal data by rules: patterns propose spans, checksums confirm them, context words adjust a score.
 
 Everything is column expressions: for each kind, ``split`` gives the stretches between the matches of a pattern and
-``regexp_extract_all`` the matches; their lengths in code points add up to the offsets. No shuffle, no Python.
+``regexp_extract_all`` the matches; their lengths in code points add up to the offsets. Running sums go in two levels, over about
+the square root of n groups, so that a text of many matches is not copied for each of them. No shuffle, no Python.
 """
 
 from __future__ import annotations
@@ -68,22 +69,47 @@ BASE = ("email", "ip", "card", "phone")
 FOUND = "array<struct<kind:string,start:bigint,end:bigint,value:string,score:double>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running_sums(numbers: Column) -> Column:
+    """The sums of an array of longs up to and with each element."""
+    none = F.array().cast("array<bigint>")
+
+    def add_up(part: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), none.alias("sums"))
+        return F.aggregate(part, first, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["sums"], F.array(a["at"] + x)).alias("sums")), lambda a: a["sums"])
+
+    def in_groups(every: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(every))).cast("int")
+        groups = F.transform(F.sequence(F.lit(1), F.size(every), width), lambda at: F.slice(every, at, width))
+        zero = F.lit(0).cast("long")
+        totals = lambda parts: add_up(F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, x: a + x)), zero)
+        return _let(groups, lambda parts: _let(totals(parts), lambda ends: F.flatten(
+            F.transform(parts, lambda p, i: add_up(p, F.coalesce(F.get(ends, i - F.lit(1)), zero))))))
+
+    return _let(numbers, lambda every: F.when(F.size(every) > 0, in_groups(every)).otherwise(none))
+
+
 def spans_of(text: Column, kind: Kind) -> Column:
     """Confirmed spans of one kind, in order; offsets in code points, end exclusive."""
     gaps, hits = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(FOUND).alias("found"))
 
-    def step(acc, pair):
-        begin = acc["at"] + F.char_length(pair["gap"])
-        end = begin + F.char_length(pair["hit"])
+    def span(pair, end):
+        hit = pair["hit"]
         near = F.right(pair["gap"], F.lit(24)).rlike(f"(?i)(?:{kind.context})")
         score = F.lit(kind.score) + F.when(near, kind.bonus).otherwise(0.0)
-        span = F.struct(F.lit(kind.name).alias("kind"), begin.alias("start"), end.alias("end"), pair["hit"].alias("value"), score.alias("score"))
-        keep = kind.valid(pair["hit"]) & (score >= kind.least)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["found"], F.array(span).cast(FOUND))).otherwise(acc["found"]).alias("found"))
+        made = F.struct(F.lit(kind.name).alias("kind"), (end - F.char_length(hit)).alias("start"), end.alias("end"), hit.alias("value"), score.alias("score"))
+        return F.when(kind.valid(hit) & (score >= kind.least), made)
+
+    def spans(pairs):
+        lengths = F.transform(pairs, lambda p: (F.char_length(p["gap"]) + F.char_length(p["hit"])).cast("long"))
+        return _let(running_sums(lengths), lambda ends: F.array_compact(F.zip_with(pairs, ends, span)))
 
     pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda p: p["hit"].isNotNull())
-    found = F.aggregate(pairs, start, step, lambda acc: acc["found"])
+    found = F.when(F.size(hits) > 0, _let(pairs, spans)).otherwise(F.array()).cast(FOUND)
     return F.when(F.contains(text, F.lit(kind.needs)), found).otherwise(F.array().cast(FOUND)) if kind.needs else found
 
 
@@ -100,7 +126,10 @@ def find_pii(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] =
 
 
 def redact(docs: DataFrame, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``docs`` of :func:`find_pii` with each span replaced by ``[KIND]``; of overlapping spans the first stays."""
+    """``docs`` of :func:`find_pii` with each span replaced by ``[KIND]``; of overlapping spans the first stays.
+
+    Null texts stay null, texts without spans as they are; all columns stay. No rows: no rows.
+    """
     ordered = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"], s["end"], s["kind"])))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -108,6 +137,5 @@ def redact(docs: DataFrame, text_col: str = "text", id_cols: tuple[str, ...] = (
         add = F.concat(acc["out"], F.substring(F.col(text_col), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
         return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), add.alias("out"))).otherwise(acc)
 
-    done = F.aggregate(ordered, start, step)
-    return docs.withColumn("_done", done).withColumn(
-        text_col, F.concat(F.col("_done.out"), F.substring(F.col(text_col), F.col("_done.at").cast("int") + 1, F.lit(2**31 - 1)))).drop("_done")
+    done = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"].cast("int") + 1, F.lit(2**31 - 1))))
+    return docs.withColumn(text_col, done)

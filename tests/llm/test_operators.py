@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -354,6 +355,20 @@ PII_TEXTS = ["", "mail a.b@c.de, x@y, q@r.s-t%u@v.w and 1.2.3.4 or 001.2.3.0255
              "9" * 30000, "a" * 60000 + "@", "1.2" * 5000]
 
 
+def test_pii_many_matches(spark):
+    """Time does not grow with the square of the matches in one text; offsets are those of each address."""
+    texts = {n: " ".join(f"u{i}@ex{i % 7}.org" for i in range(n)) for n in (1, 2, 3, 10, 1000, 32000)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("_done", F.lit("kept"))
+    started = time.perf_counter()
+    got = {r["doc_id"]: r for r in pii.find_pii(df).collect()}
+    assert time.perf_counter() - started < 40
+    for n, text in texts.items():
+        spans = [s for s in got[n]["pii"] if s["kind"] == "email"]
+        assert len(spans) == n and all(text[s["start"] : s["end"]] == s["value"] == f"u{i}@ex{i % 7}.org" for i, s in enumerate(spans))
+    clean = pii.redact(pii.find_pii(df.where("doc_id = 3"))).first()
+    assert (clean["text"], clean["_done"]) == ("[EMAIL] [EMAIL] [EMAIL]", "kept")
+
+
 def test_pii(spark):
     rng = random.Random(4)
     texts = PII_TEXTS + ["".join(rng.choice("ab1 2.+-@(4)") for _ in range(rng.randint(1, 60))) for _ in range(600)]
