@@ -3,6 +3,8 @@
 Common words (articles, prepositions) stand in running text but hardly in menus and notices. Each common word that comes right
 before a content word is an anchor; with the chain of content words that follows it makes a signature. A document's fingerprint
 is the set of its signatures, as sorted hashes. Two documents are as alike as the Jaccard coefficient of their sets.
+``similar_documents`` finds all groups of like documents: sets are partitioned by their length and meet only within a partition or
+in two that follow each other; rare signatures come first, and lengths and places bound the overlap before a pair is made.
 
 All columns are built-in functions. The anchors are learnt from the corpus: words that make up at least ``1 / ANCHOR_SHARE`` of
 all words, so there are never more than ``ANCHOR_SHARE`` of them, whatever the corpus.
@@ -16,11 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmill.llm.common import materialize, whole
+from labelmill.llm.graph import components
 
 ANCHOR_SHARE = 1000
 CHAIN = 2      # content words of a signature
 DISTANCE = 1   # content words from one of them to the next
 BUCKET_BYTES = 16 << 20  # text of neighbouring documents that one task sorts
+LIST_ROWS = 2000  # a longer list of sets that share a signature is dealt into blocks, which meet two by two
 
 
 def words(text: Column) -> Column:
@@ -130,3 +134,88 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     made = made.withColumn("edited_sigs", sigs(F.col("edited")))
     return made.select("id", "n_chars", "edited", F.col("sigs").alias("fingerprint"), F.col("edited_sigs").alias("edited_fingerprint"),
                        likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
+
+
+def length_parts(largest: int, percent: int) -> list[int]:
+    """The least set size of each partition, up to ``largest``: two sets whose likeness is ``percent`` or more are in one partition or
+    in two that follow each other."""
+    starts = [1]
+    while starts[-1] <= largest:
+        starts.append(starts[-1] * 100 // percent + 1)
+    return starts
+
+
+def _ordered(sets: DataFrame) -> DataFrame:
+    """``sets (k, sigs)`` with ``n`` and ``sigs`` in the order of how many sets hold them, the rarest first."""
+    each = sets.select("k", F.explode("sigs").alias("sig"))
+    often = each.groupBy("sig").agg(F.count("*").alias("f"))
+    row = F.struct("f", "sig")
+    ordered = each.join(often, "sig").groupBy("k").agg(F.sort_array(F.collect_list(row)).alias("row"))
+    return ordered.select("k", F.size("row").alias("n"), F.transform("row", lambda r: r["sig"]).alias("sigs"))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose full sets are alike enough."""
+    one = sets.select(F.col("k").alias("a"), F.col("sigs").alias("x"))
+    two = sets.select(F.col("k").alias("b"), F.col("sigs").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(one, "a").join(two, "b").where(both * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def similar_sets(sets: DataFrame, percent: int = 80, list_rows: int = LIST_ROWS) -> DataFrame:
+    """``(k, root)`` for each of the distinct ``sets (k, sigs)`` linked with another: the smallest ``k`` reachable over links.
+
+    Sets are linked if the Jaccard coefficient is ``percent`` or more. Of sets that alike share one of their rarest ``n - ceil(n * percent
+    / 100) + 1`` signatures. The sets of a signature and partition first meet the smallest of them; sets linked to the same one need no
+    further links among themselves. All others meet each other, in blocks where a list is long, if lengths and the places of the shared signature leave room for enough overlap.
+    """
+    sets = materialize(_ordered(sets), "spot-sets")
+    largest = sets.agg(F.max("n")).first()[0] or 0
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    posted = sets.select("k", "n", _bucket(F.col("n"), length_parts(largest, percent)).alias("part"), F.posexplode(F.slice("sigs", F.lit(1), prefix)).alias("at", "sig"))
+    posted = materialize(posted, "spot-posted")
+    heads = posted.groupBy("sig", "part").agg(F.min(F.struct("k", "n")).alias("head"))
+    near_head = posted.join(heads, ["sig", "part"]).where((F.col("k") != F.col("head.k")) & (F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * percent))
+    stars = materialize(_linked(near_head.select(F.col("head.k").alias("a"), F.col("k").alias("b")).distinct(), sets, percent), "spot-stars")
+    settled = stars.groupBy(F.col("b").alias("k")).agg(F.min("a").alias("star"))
+    heads_of = posted.join(settled, "k", "left").withColumn("star", F.coalesce("star", "k"))
+    # A set also goes to the partition before its own, where the shorter ones are.
+    to = F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("above")), F.struct((F.col("part") - 1).alias("part"), F.lit(1).alias("above")))
+    sent = heads_of.withColumn("to", F.explode(to)).select("k", "n", "star", "at", "sig", "to.part", "to.above")
+    lists = sent.groupBy("sig", "part").agg(F.count("*").alias("rows"), F.max(F.col("above") == 0).alias("own")).where("own AND rows > 1")
+    dealt = sent.join(lists.select("sig", "part", F.ceil(F.col("rows") / list_rows).cast("int").alias("blocks")), ["sig", "part"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = dealt.where("above = 0").select("sig", "part", F.col("block").alias("i"), other.alias("j"), *[F.col(c).alias("x_" + c) for c in ("k", "n", "star", "at")])
+    y = dealt.select("sig", "part", other.alias("i"), F.col("block").alias("j"), "above", *[F.col(c).alias("y_" + c) for c in ("k", "n", "star", "at")])
+    n_x, n_y = F.col("x_n"), F.col("y_n")
+    room = 1 + F.least(n_x - F.col("x_at"), n_y - F.col("y_at")) - 1  # the shared signature and what may follow it in both
+    fits = ((F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (room * (100 + percent) >= (n_x + n_y) * percent)
+            & (F.col("x_star") != F.col("y_star")) & ((F.col("above") == 1) | (F.col("x_k") < F.col("y_k"))))
+    met = x.join(y, ["sig", "part", "i", "j"]).where(fits)
+    links = _linked(met.select(F.least("x_k", "y_k").alias("a"), F.greatest("x_k", "y_k").alias("b")).distinct(), sets, percent)
+    return components(stars.unionByName(links)).select(F.col("id").alias("k"), F.col("label").alias("root"))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, share: int = ANCHOR_SHARE,
+                      chain: int = CHAIN, distance: int = DISTANCE, list_rows: int = LIST_ROWS) -> DataFrame:
+    """``(id, set_id, group_id)`` for each row: the smallest id with the same fingerprint, and the smallest id reachable over fingerprints
+    whose likeness is ``percent`` (of 100) or more.
+
+    Null and empty texts and texts without words have an empty fingerprint and are linked with nothing: both ids are their own. A row
+    without an id stays one; it counts as larger than all ids, so a group of such rows alone has null ids. Rows that repeat an id are documents
+    of their own. Other columns are not carried, so no name clashes. No rows: no rows.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"))
+    sigs = signatures(F.col("text"), anchors_of(texts, share=share), chain, distance)
+    rows = texts.select("id", sigs.alias("sigs")).withColumn("k", F.when(F.size("sigs") > 0, F.md5(F.array_join(F.transform("sigs", lambda s: s.cast("string")), ","))))
+    rows = materialize(rows, "spot-prints")
+    filled = rows.where(F.col("k").isNotNull())
+    sets = filled.groupBy("k").agg(F.min("id").alias("set_id"))
+    distinct = filled.groupBy("k").agg(F.first("sigs").alias("sigs"))
+    roots = materialize(similar_sets(distinct, percent, list_rows), "spot-roots")
+    rooted = sets.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
+    groups = rooted.groupBy("root").agg(F.min("set_id").alias("group_id"))
+    named = rooted.join(groups, "root").select("k", "set_id", "group_id")
+    alone = rows.where(F.col("k").isNull()).select("id", F.col("id").alias("set_id"), F.col("id").alias("group_id"))
+    return filled.select("id", "k").join(named, "k").select("id", "set_id", "group_id").unionByName(alone)

@@ -142,6 +142,67 @@ def test_fingerprints(spark, bucket_bytes):
             assert same.setdefault(text, prints) == prints
 
 
+def reachable(sets, percent):
+    """The root of each set by brute force over all pairs."""
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and sets[j] and 100 * len(x & sets[j]) >= percent * len(x | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(sets))]
+
+
+def test_partitions_by_length_hold_all_links():
+    for percent in (50, 70, 75, 80, 90, 100):
+        starts = spotsigs.length_parts(400, percent)
+        part = [sum(s <= n for s in starts) for n in range(401)]
+        assert all(part[m] - part[n] in (0, 1) for n in range(1, 401) for m in range(n, 401) if 100 * n >= percent * m)
+
+
+@pytest.mark.parametrize("percent, list_rows", [(80, 7), (60, 2000)])
+def test_similar_documents(spark, percent, list_rows):
+    rng = random.Random(percent)
+    some = ["the", "of", "and"] * 15 + [f"c{i}" for i in range(60)]
+    plain = [" ".join(rng.choice(some) for _ in range(rng.randint(1, 90))) for _ in range(60)]
+    base = " ".join(rng.choice(some) for _ in range(300)).split()
+    family = []
+    for i in range(90):  # a chain of near copies, in which far ones are linked over others only
+        base = list(base)
+        for _ in range(rng.randint(0, 3)):
+            base[rng.randrange(len(base))] = f"w{rng.randrange(30)}"
+        family.append(" ".join(base))
+    texts = plain + family + [plain[3], plain[3], family[5], None, "", None, "...", "zz zz", "zz zz"]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    ids = [None if i == 17 else i // 2 if i < 20 else i for i in ids]  # some ids repeat
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in zip(ids, texts)], "doc_id long, text string, k string, sigs string").repartition(5)
+    prints = df.select("doc_id", "text", spotsigs.signatures(F.coalesce("text", F.lit("")), spotsigs.anchors_of(df, share=12)).alias("s")).collect()
+    sets, least = [frozenset(r.s) for r in prints], lambda found: min((i for i in found if i is not None), default=None)
+    roots = reachable(sets, percent)
+    want = collections.Counter()
+    for i, r in enumerate(prints):
+        own = [p.doc_id for p, s in zip(prints, sets) if s == sets[i]] if sets[i] else [r.doc_id]
+        group = [p.doc_id for p, root in zip(prints, roots) if root == roots[i]] if sets[i] else [r.doc_id]
+        want[r.doc_id, least(own), least(group)] += 1
+    got = spotsigs.similar_documents(df, percent=percent, share=12, list_rows=list_rows)
+    assert collections.Counter(map(tuple, got.collect())) == want
+    assert len(set(roots)) < len(set(sets)) - 20  # there are links between different sets
+
+
+def test_similar_documents_without_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert spotsigs.similar_documents(none).collect() == []
+    blank = spark.createDataFrame([(1, None), (2, ""), (None, "- -")], "doc_id long, text string")
+    assert sorted(map(str, spotsigs.similar_documents(blank).collect())) == [
+        "Row(id=1, set_id=1, group_id=1)", "Row(id=2, set_id=2, group_id=2)", "Row(id=None, set_id=None, group_id=None)"]
+
+
 def test_anchors_are_bounded(spark):
     docs = spark.createDataFrame([(1, " ".join(f"w{i % 50}" for i in range(5000)))], "doc_id long, text string")
     assert len(spotsigs.anchors_of(docs, share=50)) == 50 and spotsigs.anchors_of(docs, share=49) == []
