@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from labelmill.config import LABEL_NAMES, LABELS
 from labelmill.functions import labels as lb
+from labelmill.storage import materialize
 
 # ---------------------------------------------------------------- confusion family
 
@@ -117,11 +118,11 @@ def cumulative_counts(scored: DataFrame) -> DataFrame:
     """True and false positives at every distinct score, from the highest down.
 
     Columns ``class, score, pos, neg, tp, fp, all_pos, all_neg``. Approximate quantiles only choose the
-    score ranges, the counts are exact.
+    score ranges, the counts are exact. The input is read once: its distinct scores are written and used from there.
     """
-    points = scored.groupBy("class", "score").agg(
+    points = materialize(scored.groupBy("class", "score").agg(
         F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg")
-    )
+    ), "points")
     steps = F.array(*[F.lit(i / SCORE_RANGES) for i in range(1, SCORE_RANGES)])
     bounds = points.groupBy("class").agg(F.percentile_approx("score", steps, F.lit(4 * SCORE_RANGES)).alias("bounds"))
     # one row per class: small by construction
@@ -174,12 +175,35 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     )
 
 
+def roc_auc_within(scored: DataFrame, bins: int = 1 << 14) -> DataFrame:
+    """``(class, auc, error)`` from one pass: scores from 0 to 1 fold into ``bins`` buckets per class on the map side.
+
+    Rows of one bucket count as ties, so the true area lies within ``error`` of ``auc``: half the share of pairs that share a bucket.
+    """
+    bucket = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1))
+    folded = scored.groupBy("class", bucket.alias("bucket")).agg(F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
+    down = Window.partitionBy("class").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)  # at most ``bins`` rows
+    summed = folded.withColumn("tp", F.sum("pos").over(down))
+    pairs = F.sum("pos") * F.sum("neg").cast("double")
+    return summed.groupBy("class").agg(F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), pairs).alias("auc"),
+                                       F.try_divide(F.sum(F.col("pos") * F.col("neg") / 2), pairs).alias("error"))
+
+
 def roc_auc_macro(scored: DataFrame) -> DataFrame:
     """Plain mean over the classes; 0 if the area is undefined for one of them."""
     auc = roc_auc(scored)
     return auc.agg(F.when(F.count_if(F.col("auc").isNull()) > 0, 0.0).otherwise(F.avg("auc")).alias("roc_auc_macro"))
 
 
+def curve_areas(scored: DataFrame) -> DataFrame:
+    """``(class, auc, average_precision)`` from the same counts, in one pass over the input."""
+    pairs = F.max("all_pos") * F.max("all_neg").cast("double")
+    step = F.try_divide(F.col("pos") * F.col("tp"), F.col("all_pos") * (F.col("tp") + F.col("fp")).cast("double"))
+    return cumulative_counts(scored).groupBy("class").agg(
+        F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), pairs).alias("auc"),
+        F.coalesce(F.sum(step), F.lit(0.0)).alias("average_precision"))
+
+
 def average_precision(scored: DataFrame) -> DataFrame:
     step = F.try_divide(F.col("pos") * F.col("tp"), F.col("all_pos") * (F.col("tp") + F.col("fp")).cast("double"))
     return cumulative_counts(scored).groupBy("class").agg(F.coalesce(F.sum(step), F.lit(0.0)).alias("average_precision"))

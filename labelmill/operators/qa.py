@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.config import LABELS
@@ -26,6 +26,16 @@ def label_check(rejected: DataFrame, subject: str) -> DataFrame:
     return count.select(F.lit("invalid_label").alias("check"), F.lit(subject).alias("subject"), "violations", (F.col("violations") == 0).alias("passed"))
 
 
+def file_checks(spark: SparkSession, path: str) -> DataFrame:
+    """``(check, subject, violations, passed)`` for each written text file: lines that are not valid UTF-8.
+
+    The bytes of the files are looked at, not a decoded column; a line break never falls inside a character.
+    """
+    lines = spark.read.text(path)
+    counts = lines.groupBy(F.col("_metadata.file_path").alias("subject")).agg(F.count_if(~F.is_valid_utf8("value")).alias("violations"))
+    return counts.select(F.lit("invalid_utf8_file").alias("check"), "subject", "violations", (F.col("violations") == 0).alias("passed"))
+
+
 def quality_checks(df: DataFrame, text: str = "text", label: str = "label", split: str = "split",
                    labels=LABELS, splits=SPLITS) -> DataFrame:
     """``(check, subject, violations, passed)`` for every split and every pair of splits."""

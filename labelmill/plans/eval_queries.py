@@ -101,6 +101,22 @@ def roc_auc(spark, d):
     return _rounded(evaluate.roc_auc(_curve(spark, d)), "auc")
 
 
+BINS_SQL = f"""{SCORED_SQL}, b AS (SELECT k AS class, least(floor(prob[k + 1] * 16384), 16383) AS bucket, count(*) FILTER (label = k) AS pos,
+  count(*) FILTER (label <> k) AS neg FROM s, (VALUES (0), (1), (2)) v(k) GROUP BY ALL),
+cum AS (SELECT *, sum(pos) OVER (PARTITION BY class ORDER BY bucket DESC) AS tp FROM b)"""
+
+
+@query(f"""WITH {BINS_SQL} SELECT class, round(sum(neg * (tp - pos / 2.0::DOUBLE)) / (sum(pos)::DOUBLE * sum(neg)), 6) AS auc,
+  round(sum(pos * neg / 2.0::DOUBLE) / (sum(pos)::DOUBLE * sum(neg)), 6) AS error FROM cum GROUP BY class""")
+def roc_auc_within(spark, d):
+    return _rounded(evaluate.roc_auc_within(_curve(spark, d)), "auc", "error")
+
+
+@query(f"""WITH {CURVE_SQL} SELECT class, round({AUC_SQL}, 6) AS auc, round(sum(pos::DOUBLE / p * tp / (tp + fp)), 6) AS average_precision FROM cum GROUP BY class""")
+def curve_areas(spark, d):
+    return _rounded(evaluate.curve_areas(_curve(spark, d)), "auc", "average_precision")
+
+
 @query(f"WITH {CURVE_SQL} SELECT round(avg(auc), 6) AS roc_auc_macro FROM (SELECT {AUC_SQL} AS auc FROM cum GROUP BY class)")
 def roc_auc_macro(spark, d):
     return _rounded(evaluate.roc_auc_macro(_curve(spark, d)), "roc_auc_macro")

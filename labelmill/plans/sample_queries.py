@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from labelmill.operators import merge, neardup, noise, qa, sampling, stats
 from labelmill.functions import labels as lb
 from labelmill.functions import text as tx
 from labelmill.plans.registry import LABELLED_SQL, documents, labelled, query, sql_strip, sql_words, table
-from labelmill.storage import materialize
+from labelmill.sources import readers, writers
+from labelmill.storage import materialize, new_path
 
 CLASS_NAME = "CASE label WHEN 0 THEN 'Safe' WHEN 1 THEN 'Offensive' WHEN 2 THEN 'Hate Speech' ELSE 'Class ' || label END"
 
@@ -117,7 +119,7 @@ def shuffle_order(spark, d):
     return sampling.with_rank(_orders(spark, d).select("row_id"))
 
 
-@query()
+@query(f"WITH {ORDERS_SQL} SELECT row_id, label, o_totalprice FROM o")
 def shuffled_rows(spark, d):
     return sampling.shuffled(_orders(spark, d))
 
@@ -177,6 +179,28 @@ def statistics_document(spark, d):
     return stats.statistics_document(merged, merge.merge_statistics(rows, near), sampling.split_metadata(splits))
 
 
+# ---------------------------------------------------------------- written files
+
+@query(f"""SELECT doc_id AS row_id, md5(text) AS digest, lang, source FROM documents""")
+def csv_round_trip(spark, d):
+    """Documents written as CSV and read back by the reader that finds each file's encoding."""
+    path = new_path(spark, "csv")
+    writers.write_csv(documents(spark, d).select("row_id", "text", "lang", "source"), path)
+    schema = "row_id long, text string, lang string, source string"
+    back = readers.read_csv(spark, path, StructType.fromDDL(schema))
+    return back.select("row_id", F.md5(F.encode("text", "UTF-8")).alias("digest"), "lang", "source")
+
+
+@query("""SELECT source AS split, 0::BIGINT AS violations, true AS passed FROM documents GROUP BY source""")
+def written_files(spark, d):
+    """The bytes of written CSV files, one folder for each source, are valid UTF-8."""
+    path = new_path(spark, "splits-csv")
+    writers.write_splits_csv(documents(spark, d).select("row_id", "text", F.col("source").alias("split")), path)
+    checks = qa.file_checks(spark, path)
+    split = F.regexp_extract("subject", "/split=([^/]+)/", 1)
+    return checks.groupBy(split.alias("split")).agg(F.sum("violations").alias("violations"), F.bool_and("passed").alias("passed"))
+
+
 # ---------------------------------------------------------------- quality gate
 
 QA_SQL = f"""{LABELLED_SQL}, canon AS (SELECT {sql_strip('lower(text)')} AS text, row_id, label, label + (row_id % 50 = 0)::INT AS noisy FROM labelled),

@@ -25,17 +25,28 @@ def file_encodings(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+FILES_SENT = 20_000  # encodings of files, a path of some 100 bytes each, that may be sent to all tasks
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV with quoted line breaks, each file in its own encoding (one small listing reaches the driver)."""
-    options = {"header": True, "multiLine": True, "escape": '"', "enforceSchema": False}
-    by_encoding: dict[str, list[str]] = {}
-    for row in file_encodings(spark, path).collect():
-        by_encoding.setdefault(row["encoding"], []).append(row["path"])
-    charset = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1"}
-    parts = [
-        spark.read.options(**options, encoding=charset[e]).schema(schema).csv(files) for e, files in by_encoding.items()
-    ]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    """CSV with quoted line breaks, each file in its own encoding; column names are ASCII.
+
+    One plan for all files: they are read byte by byte, which keeps quotes, commas and line breaks apart in both encodings, and the
+    texts of files in UTF-8 are decoded in the plan. Encodings are a table joined on the path; no list of files reaches the driver.
+    """
+    encodings = materialize(file_encodings(spark, path), "encodings")
+    few = encodings.limit(FILES_SENT + 1).count() <= FILES_SENT
+    options = {"header": True, "multiLine": True, "escape": '"', "enforceSchema": False, "encoding": "ISO-8859-1"}
+    rows = spark.read.options(**options).schema(schema).csv(path).withColumn("_path", F.col("_metadata.file_path"))
+    known = encodings.select(F.col("path").alias("_path"), F.col("encoding").alias("_encoding"))
+    rows = rows.join(F.broadcast(known) if few else known, "_path")
+
+    def decoded(name: str) -> Column:
+        raw = F.col("`" + name.replace("`", "``") + "`")
+        return F.when(F.col("_encoding") == "utf-8", F.decode(F.encode(raw, "ISO-8859-1"), "UTF-8")).otherwise(raw)
+
+    return rows.select(*[(decoded(f.name) if f.dataType.simpleString() == "string" else F.col("`" + f.name.replace("`", "``") + "`")).alias(f.name)
+                         for f in schema.fields])
 
 
 def explode_posts(documents: DataFrame, json: str = "value", key: str = "post_id") -> DataFrame:

@@ -12,14 +12,18 @@ def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# White space at the ends of a text is part of it; left alone, the sink would cut it off.
+WHOLE = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; quotes inside texts are doubled."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header; quotes inside texts are doubled, white space at the ends stays. An empty text reads back as null; Parquet keeps it."""
+    df.write.mode("overwrite").options(**WHOLE).csv(path)
 
 
 def write_splits_csv(df: DataFrame, path: str, split: str = "split") -> None:
     """One folder per split, named ``split=<name>``."""
-    df.write.mode("overwrite").partitionBy(split).option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").partitionBy(split).options(**WHOLE).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

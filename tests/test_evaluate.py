@@ -71,3 +71,18 @@ def test_report_round_trip(spark, tmp_path):
     got = readers.parse_report(report).first()
     assert got["accuracy"] == round(m["accuracy"], 4) and got["roc_auc_macro"] == 0.9467
     assert {r["name"]: r["support"] for r in readers.parse_report_classes(report).collect()} == {"Safe": 34, "Offensive": 33, "Hate Speech": 33}
+
+
+def test_area_from_buckets_is_within_its_error(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.random() < 0.3 + 0.2 * k, round(rng.random(), 3)) for k in range(3) for _ in range(400)] + [(0, True, 1.0), (0, False, 0.0)]
+    df = spark.createDataFrame(rows, "class int, positive boolean, score double")
+    exact = {r["class"]: r["auc"] for r in evaluate.roc_auc(df).collect()}
+    for bins in (4, 50, 1 << 14):
+        for r in evaluate.roc_auc_within(df, bins).collect():
+            assert abs(r["auc"] - exact[r["class"]]) <= r["error"] + 1e-12
+    areas = {r["class"]: r for r in evaluate.curve_areas(df).collect()}
+    alone = {r["class"]: r["average_precision"] for r in evaluate.average_precision(df).collect()}
+    assert {k: r["auc"] for k, r in areas.items()} == pytest.approx(exact) and {k: r["average_precision"] for k, r in areas.items()} == pytest.approx(alone)
+    one_sided = df.filter("positive AND class = 1")
+    assert [tuple(r) for r in evaluate.roc_auc_within(one_sided).collect()] == [(1, None, None)]

@@ -35,6 +35,36 @@ def test_csv_encodings(spark, tmp_path):
     assert got == {('café, "quoted"\nsecond line', 1), ("naïve", 2), ("NA", 0)}
 
 
+def test_many_files_in_both_encodings(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    want = set()
+    for i in range(200):
+        text = f"é{i} naïve, \"so\"\nline  "
+        quoted = '"' + text.replace('"', '""') + '"'
+        (folder / f"f{i}.csv").write_bytes(f"tweet,class\n{quoted},{i}\n".encode("latin-1" if i % 3 == 0 else "utf-8"))
+        want.add((text, i))
+    df = readers.read_csv(spark, str(folder), schemas.SRC_CODE)
+    assert df.columns == ["tweet", "class"] and {tuple(r) for r in df.collect()} == want
+
+
+def test_csv_without_files_of_rows(spark, tmp_path):
+    (tmp_path / "none.csv").write_text("tweet,class\n")
+    assert readers.read_csv(spark, str(tmp_path), schemas.SRC_CODE).collect() == []
+
+
+def test_written_files_are_checked_as_bytes(spark, tmp_path):
+    texts = [" ends with space ", "quote \" and, comma", "two\nlines", "é漢😀", None, ""]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], schemas.SRC_CODE)
+    writers.write_csv(df.repartition(3), str(tmp_path / "csv"))
+    back = readers.read_csv(spark, str(tmp_path / "csv"), schemas.SRC_CODE)
+    assert {tuple(r) for r in back.collect()} == {(t or None, i) for i, t in enumerate(texts)}
+    assert all(r["passed"] for r in qa.file_checks(spark, str(tmp_path / "csv")).collect())
+    (tmp_path / "csv" / "bad.csv").write_bytes(b"tweet,class\nna\xefve,2\nplain,1\n")
+    failed = qa.file_checks(spark, str(tmp_path / "csv")).filter("NOT passed").collect()
+    assert [(r["subject"][-7:], r["violations"]) for r in failed] == [("bad.csv", 1)]
+
+
 def test_nested_json(spark, tmp_path):
     posts = {"p1": {"post_tokens": ["a", "b"], "annotators": [{"label": "normal"}]}, "p2": {"post_tokens": [], "annotators": []}}
     (tmp_path / "posts.json").write_text(json.dumps(posts, indent=1))
