@@ -167,11 +167,13 @@ def merge_statistics(df: DataFrame, near_duplicates: DataFrame, text: str = "tex
     """One row with the rows each merge stage removed.
 
     ``df`` is the united corpus, ``near_duplicates`` the rows dropped as near copies. Rows are folded
-    per canonical text before they are counted, so the shuffle carries digests only.
+    per canonical text before they are counted, so the shuffle carries digests only. Rows that carry the flags of ``flag_noise``
+    already are not looked at again.
     """
     from labelmill.operators.noise import RULES, flag_noise
 
-    flagged = flag_noise(df, text, min_length).withColumn("_key", tx.fingerprint(tx.canonical(F.col(text))))
+    flagged = df if {"is_noise", *RULES} <= set(df.columns) else flag_noise(df, text, min_length)
+    flagged = flagged.withColumn("_key", tx.fingerprint(tx.canonical(F.col(text))))
     usable_label = F.when(~F.col("is_noise"), F.col(label))
     folded = flagged.groupBy("_key").agg(
         F.count(F.lit(1)).alias("_n"),

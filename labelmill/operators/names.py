@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.functions import text as tx
@@ -45,3 +45,32 @@ def mask_names(text: Column, names=GIVEN_NAMES) -> Column:
         return F.array_join(F.slice(pairs, 1, F.size(tokens)), " ")
 
     return tx.bind(word_tokens(text), sentence)
+
+
+NAMES_SENT = 20_000  # names that may become part of the plan
+
+
+def mask_names_by(df: DataFrame, lexicon: DataFrame, text: str = "text", id_col: str = "row_id", name: str = "name",
+                  sent: int = NAMES_SENT) -> DataFrame:
+    """``mask_names`` with the names of a table; null names name nobody. ``id_col`` is unique.
+
+    A lexicon of up to ``sent`` names goes into the plan, which then needs no shuffle. With a larger one the distinct words of each
+    text meet it by a join, and only the names found come back to the row.
+    """
+    known = lexicon.select(F.col(name).alias("_name")).filter(F.col("_name").isNotNull()).distinct()
+    head = known.limit(sent + 1).collect()  # at most one more than may be sent
+    if len(head) <= sent:
+        return df.withColumn(text, mask_names(F.col(text), [r["_name"] for r in head]))
+    each = df.select(id_col, F.explode(F.array_distinct(word_tokens(F.col(text)))).alias("_name"))
+    found = each.join(known, "_name").groupBy(id_col).agg(F.collect_set("_name").alias("_found"))
+    rows = df.join(found, id_col, "left").withColumn("_found", F.coalesce("_found", F.array().cast("array<string>")))
+    listed = lambda token: F.array_contains("_found", token)
+
+    def masked(token, before):
+        return F.when(listed(token) | (listed(before) & is_title(token)), MASK).otherwise(token)
+
+    def sentence(tokens):
+        pairs = F.zip_with(tokens, F.concat(F.array(F.lit("")), tokens), lambda t, b: F.when(t.isNotNull(), masked(t, b)))
+        return F.array_join(F.slice(pairs, 1, F.size(tokens)), " ")
+
+    return rows.withColumn(text, tx.bind(word_tokens(F.col(text)), sentence)).select(*df.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from labelmill.functions import text as tx
@@ -39,6 +39,17 @@ def flag_noise(df: DataFrame, text: str = "text", min_length: int = 5, unicode:
     return df.withColumn("is_noise", F.col(text).isNull() | broken)
 
 
+def watched(flagged: DataFrame, seen: Observation, among: Column | None = None) -> DataFrame:
+    """``flag_noise``'s table, whose rows per rule are counted by the job that writes it; ``seen`` has them after that.
+
+    ``among``: only these rows count. With no rows all counts are 0.
+    """
+    within = F.lit(True) if among is None else among
+    counts = {r: F.count_if(within & F.col(r)) for r in RULES}
+    return flagged.observe(seen, F.count_if(within).alias("rows"), *[c.alias(k) for k, c in counts.items()],
+                           F.count_if(within & F.col("is_noise")).alias("total_removed"))
+
+
 def remove_noise(df: DataFrame, text: str = "text", min_length: int = 5, unicode: bool = False) -> DataFrame:
     return flag_noise(df, text, min_length, unicode).filter(~F.col("is_noise")).drop("is_noise", *RULES)
 

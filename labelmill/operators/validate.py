@@ -79,6 +79,22 @@ def validation_summary(
     return summary.join(ids.withColumnRenamed(source, "_source"), F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
 
 
+def source_report(df: DataFrame, text: str, labels: list[str], source: str = "source", encodings: DataFrame | None = None,
+                  id_col: str | None = None) -> DataFrame:
+    """``validation_summary`` that reports what is wrong with a source instead of raising.
+
+    ``missing_columns`` lists required columns the table lacks; they count as null in every row. ``encodings (path, encoding)``, as
+    ``readers.file_encodings`` gives them, adds the encoding of sources that are files; others have null.
+    """
+    absent = missing_columns(df, text, labels)
+    full = df.withColumns({c: F.lit(None).cast("string") for c in absent})
+    report = validation_summary(full, text, labels, source, id_col).withColumn("missing_columns", F.array(*[F.lit(c) for c in absent]).cast("array<string>"))
+    if encodings is None:
+        return report.withColumn("encoding", F.lit(None).cast("string"))
+    known = encodings.select(F.col("path").alias("_path"), "encoding")
+    return report.join(known, F.col(source) == F.col("_path"), "left").drop("_path")
+
+
 def nested_reason(tokens: str = "post_tokens", annotators: str = "annotators"):
     """Why an annotated record is unusable, in the order of the checks; null for good ones."""
     toks, anns = F.col(tokens), F.col(annotators)

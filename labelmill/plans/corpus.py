@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from labelmill.config import NEAR_COPY, SHORTEST, SOURCE_ORDER, Split
@@ -72,9 +72,13 @@ def build_corpus(unified: DataFrame, out: str, steps: tuple[clean.Step, ...] = c
     ``conflicts``: ``majority_vote``, ``severity_priority`` or ``remove``. Merged rows with a label outside the domain are written
     to ``rejected`` and fail the gate; they never vanish unseen.
     """
-    tagged = write_stage(clean.tag_cleaned(unified, "text", steps, language), f"{out}/cleaned")
+    # Cleaning and noise flags are one pass, and the job that writes them counts them.
+    seen = Observation("corpus-noise")
+    flagged = noise.flag_noise(clean.tag_cleaned(unified, "text", steps, language), "text", shortest)
+    tagged = write_stage(noise.watched(flagged, seen, F.col("drop_reason").isNull()), f"{out}/cleaned")
     united = clean.kept(tagged)
-    usable = noise.remove_noise(united, "text", shortest)
+    usable = united.filter(~F.col("is_noise")).drop("is_noise", *noise.RULES)
+    noise_counts = unified.sparkSession.createDataFrame([seen.get])
     keyed = usable.withColumn("canonical_text", tx.canonical(F.col("text")))
     resolved = write_stage(merge.resolve_and_dedup(keyed, conflicts), f"{out}/resolved")
     near = write_stage(neardup.removed_by(resolved, threshold=near_copy), f"{out}/near_duplicates")
@@ -95,6 +99,7 @@ def build_corpus(unified: DataFrame, out: str, steps: tuple[clean.Step, ...] = c
     return {
         "cleaned": tagged,
         "cleaning_stats": clean.cleaning_stats(tagged),
+        "noise_stats": noise_counts,
         "conflicts": merge.conflict_audit(keyed, conflicts),
         "near_duplicates": near,
         "merged": merged,

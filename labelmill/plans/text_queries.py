@@ -331,6 +331,28 @@ def mask_names(spark, d):
     return _step(spark, d, lambda c: names.mask_names(c, STAND_IN_NAMES))
 
 
+# Title-case words that open a turn of a conversation stand in for a lexicon: a table that grows with the data.
+LEXICON_SQL = f"""WITH lex AS MATERIALIZED (SELECT list(DISTINCT regexp_extract(text, '^[A-Z][a-z]+')) AS names FROM conversations),
+t AS MATERIALIZED (SELECT doc_id, {sql_words("regexp_replace(text, '([^\\p{L}\\p{N}_\\s''])', ' \\1 ', 'g')")} AS k FROM documents)
+SELECT doc_id, array_to_string(list_transform(k, lambda w, i: CASE WHEN w <> '' AND list_contains(names, w) THEN 'someone'
+  WHEN i > 1 AND list_contains(names, k[i - 1]) AND regexp_matches(w, '^\\p{{Lu}}\\p{{Ll}}+$') THEN 'someone' ELSE w END), ' ') AS text FROM t, lex"""
+
+
+def _lexicon(spark, d):
+    return table(spark, d, "conversations").select(F.nullif(F.regexp_extract("text", "^[A-Z][a-z]+", 0), F.lit("")).alias("name"))
+
+
+@query(LEXICON_SQL)
+def mask_names_by_table(spark, d):
+    return names.mask_names_by(table(spark, d, "documents").select("doc_id", "text"), _lexicon(spark, d), id_col="doc_id")
+
+
+@query(LEXICON_SQL)
+def mask_names_by_join(spark, d):
+    """The form for lexicons too large to be sent."""
+    return names.mask_names_by(table(spark, d, "documents").select("doc_id", "text"), _lexicon(spark, d), id_col="doc_id", sent=0)
+
+
 NOISE_SQL = f"""noise AS (
   SELECT *, length(text) < 5 AS too_short, n < 2 AS too_few_words,
     regexp_matches(text, '^\\d+$') AS only_numbers, regexp_matches(text, '^[^a-zA-Z0-9]+$') AS only_symbols,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from labelmill import schemas
 from labelmill.config import Split
-from labelmill.operators import history, model, qa, sampling
+from labelmill.operators import history, model, names, noise, qa, sampling, validate
 from labelmill.plans import corpus
 from labelmill.sources import readers, writers
 from labelmill.storage import clear_work, deal_out, materialize, new_path, shared_dir, work_dir
@@ -65,6 +65,33 @@ def test_written_files_are_checked_as_bytes(spark, tmp_path):
     assert [(r["subject"][-7:], r["violations"]) for r in failed] == [("bad.csv", 1)]
 
 
+def test_source_report(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("tweet,class\nplain,1\nplain,\ncafé,2\n".encode("utf-8"))
+    (tmp_path / "b.csv").write_bytes("tweet,class\nna\xefve,2\n,0\n".encode("latin-1"))
+    rows = readers.read_csv(spark, str(tmp_path), schemas.SRC_CODE)
+    folder = readers.file_encodings(spark, str(tmp_path))
+    named = rows.withColumn("source", F.when(F.col("tweet").contains("ï") | F.col("tweet").isNull(), "b.csv").otherwise("a.csv"))
+    encodings = folder.withColumn("path", F.element_at(F.split("path", "/"), -1))
+    got = {r["source"]: r for r in validate.source_report(named, "tweet", ["class", "votes"], encodings=encodings).collect()}
+    assert (got["a.csv"]["encoding"], got["b.csv"]["encoding"]) == ("utf-8", "latin-1")
+    assert all(r["missing_columns"] == ["votes"] and r["missing_votes"] == r["total_raw_rows"] and r["total_clean_rows"] == 0 for r in got.values())
+    assert (got["a.csv"]["missing_class"], got["a.csv"]["duplicate_texts"], got["b.csv"]["null_text_samples"]) == (1, 1, 1)
+    whole = {r["source"]: r for r in validate.source_report(named, "tweet", ["class"]).collect()}
+    assert whole["a.csv"]["missing_columns"] == [] and whole["a.csv"]["encoding"] is None and whole["a.csv"]["total_clean_rows"] == 2
+    assert validate.source_report(named.limit(0), "tweet", ["class", "votes"]).collect() == []
+
+
+@pytest.mark.parametrize("sent", [20_000, 1, 0])
+def test_names_of_a_table(spark, sent):
+    texts = ["Yesterday Mary Smith met john, Peter.", "Peter Peter Pan pan", "", None, "nobody here", "Mary"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id int, text string")
+    lexicon = spark.createDataFrame([("Mary",), ("Peter",), ("Peter",), (None,)], "name string")
+    got = {r["row_id"]: r["text"] for r in names.mask_names_by(df, lexicon, sent=sent).collect()}
+    assert got == {0: "Yesterday someone someone met john , someone .", 1: "someone someone someone pan", 2: "", 3: None, 4: "nobody here", 5: "someone"}
+    none = {r["row_id"]: r["text"] for r in names.mask_names_by(df, lexicon.limit(0), sent=sent).collect()}
+    assert none[0] == "Yesterday Mary Smith met john , Peter ." and none[3] is None
+
+
 def test_nested_json(spark, tmp_path):
     posts = {"p1": {"post_tokens": ["a", "b"], "annotators": [{"label": "normal"}]}, "p2": {"post_tokens": [], "annotators": []}}
     (tmp_path / "posts.json").write_text(json.dumps(posts, indent=1))
@@ -141,6 +168,9 @@ def test_bad_label_fails_the_gate(spark, tmp_path):
 def test_corpus_flow(spark, built):
     tables, out = built
     stat = tables["merge_statistics"].first()
+    counted = noise.noise_stats(tables["cleaned"].filter("drop_reason IS NULL").drop("is_noise", *noise.RULES)).first().asDict()
+    seen = tables["noise_stats"].first().asDict()
+    assert seen.pop("rows") == stat["total_merged_input"] and seen == counted and seen["only_numbers"] == 1
     assert stat["conflicts_detected"] == 1 and stat["only_numbers"] == 1 and stat["total_output_rows"] == tables["merged"].count()
     resolved = tables["merged"].filter("text = 'same text for both sides here'").collect()
     assert [(r["label"], r["source"]) for r in resolved] == [(1, "davidson|olid")]
