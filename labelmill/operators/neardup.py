@@ -1,16 +1,15 @@
 """Near-duplicate removal: exact word-set Jaccard with a greedy keep-first rule.
 
 Rows are taken in id order; a row goes when an earlier *kept* row has word-set similarity of at
-least ``threshold``. Candidates come from a prefix-filtered equi-join, so no pair is missed and
-nothing is estimated. Three measures keep the work linear in the presence of hot groups:
+least ``threshold``. Candidates come from an equi-join on parts of the sets (:func:`part_entries`), so no pair is missed and
+nothing is estimated. A part holds about ``(1+t)/(2(1-t))`` words, all of which must agree, so that the groups hardly grow with the
+corpus; each row makes its parts from its own words alone. Three measures keep the work linear in the presence of hot groups:
 
 * rows with equal word sets fold to their first row before any pairing;
-* a prefix word shared by more than ``group_limit`` rows is replaced by ordered word *pairs*, then
-  triples, of a suitably longer prefix (two similar rows share those too), which splits the group;
-* in groups that are still large, rows with the same smallest word hash are likely copies: the first row of
+* in large groups, rows with the same smallest word hash are likely copies: the first row of
   each such family (a leader) is compared with all members of its groups, which settles clusters of near copies;
 * large groups of what is left are dealt into blocks and joined block against block. The join condition
-  holds the sizes, the places of the shared word and a bitmap bound, so that hardly a dissimilar pair becomes a row.
+  holds the sizes and a bitmap bound, so that hardly a dissimilar pair becomes a row.
 
 Words are told apart by 64-bit hashes. A set's bitmap has one bit for each of 128 hash classes: whether an odd number of its words
 falls into it. Two sets differ in at least as many words as their bitmaps do in bits.
@@ -18,6 +17,7 @@ falls into it. Two sets differ in at least as many words as their bitmaps do in
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -30,7 +30,9 @@ from labelmill.operators.dedup import keep_first
 from labelmill.storage import materialize
 
 EPS = 1e-9
-SALT = 16
+SALT, PARTNERS = 16, 1000  # copies of a word set at most; partners that are worth one more
+SLICE = 500_000            # words whose parts are made at once
+BROADCAST_ROWS = 1_000_000
 COMMON_WORDS = 4096
 LEADER_ROUNDS = 3
 FAMILY = 8           # rows of a large group with one smallest hash that are worth a leader
@@ -94,53 +96,76 @@ def rare_prefix(sets: DataFrame, threshold: float, extra: int = 0, min_df: int =
     )
 
 
-def _entries(prefixes: DataFrame, threshold: float) -> DataFrame:
-    """One row per prefix word: ``key``, the place of the word in its set, and the prefix for later splitting."""
-    own = F.greatest(prefix_length(F.col("n"), threshold) - F.col("skipped"), F.lit(0))
-    return prefixes.select(
-        "id", "n", "skipped", "prefix", F.posexplode(F.slice("prefix", 1, own)).alias("at", "key")
-    ).withColumn("pos", F.col("skipped") + F.col("at")).withColumn("key", F.col("key").cast("string"))
-
-
-def _split_hot(entries: DataFrame, threshold: float, level: int, group_limit: int) -> DataFrame:
-    """Extend the keys of large groups by one more, later prefix word.
-
-    Similar rows that share ``level + 1`` words share them within the first ``n - ceil(t*n) + 1 + level``
-    words. Rows that may share fewer keep the old key as well.
+def size_classes(largest: int, threshold: float) -> np.ndarray:
+    """Upper ends of classes of set sizes, from 1 to the one after ``largest``; similar sets fall into one class or into neighbouring ones."""
+    ends = [math.floor(1 / threshold + EPS)]
+    while len(ends) < 2 or ends[-2] < largest:
+        ends.append(math.floor((ends[-1] + 1) / threshold + EPS))
+    return np.array(ends, np.int64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def _keys(words: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, key)`` for all parts of the sets of sizes ``n`` that lie one behind the other in ``words``."""
+    ends = size_classes(int(n.max(initial=1)), threshold)
+    own = np.searchsorted(ends, n)
+    apart = 2 * (1 - threshold) / (1 + threshold)
+    hashes = _mixed(words.view(np.uint64))
+    rows, keys = [], []
+    for step in (0, 1):
+        parts = np.floor(ends[own + step] * apart + EPS).astype(np.int64) + 1
+        start = np.concatenate([[0], np.cumsum(parts)])
+        row = np.repeat(np.arange(len(n)), parts)
+        part = np.arange(start[-1]) - start[row]
+        of = np.repeat(np.arange(len(n)), n)
+        place = start[of] + ((hashes >> np.uint64(32)) % parts[of].astype(np.uint64)).astype(np.int64)
+        sums = np.zeros(start[-1], np.uint64)
+        np.add.at(sums, place, hashes)
+        salt = _mixed((part.astype(np.uint64) << np.uint64(32)) + (own[row] + step).astype(np.uint64) + np.uint64(1))
+        rows.append(row)
+        keys.append(_mixed(sums + salt))
+    return np.concatenate(rows), np.concatenate(keys).view(np.int64)
+
+
+def _in_parts(threshold: float):
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32())])
+
+    def run(batches):
+        for batch in batches:
+            ids, lists = batch.column("id").to_numpy(), batch.column("words")
+            n, flat = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
+            place = np.concatenate([[0], np.cumsum(n)])
+            cuts = np.unique(np.concatenate([[0], np.searchsorted(place[1:], np.arange(SLICE, place[-1], SLICE)) + 1, [len(n)]]))
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                row, key = _keys(flat[place[x]:place[y]], n[x:y], threshold)
+                yield pa.record_batch([pa.array(key), pa.array(ids[x:y][row]), pa.array(n[x:y][row].astype(np.int32))], schema=schema)
+
+    return run
+
+
+def part_entries(sets: DataFrame, threshold: float) -> DataFrame:
+    """``(key, id, n)``: one row for each part of each set. Similar sets have equal words in some part and so share a key.
+
+    Similar sets of at most ``u`` words differ in at most ``2u(1-t)/(1+t)`` words. Dealt by a hash into one part more than that,
+    all words of both fall so that some part holds none of those. ``u`` is the end of a size class; each set is dealt for its own class and the next.
     """
-    hot = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > group_limit)
-    marked = entries.join(hot.select("key", F.lit(True).alias("hot")), "key", "left")
-    reach = prefix_length(F.col("n"), threshold) + level - F.col("skipped")
-    later = F.sequence(F.col("at") + 1, reach - 1)
-    may_share_fewer = min_overlap(F.col("n"), threshold) <= level
-    cold = marked.filter(F.col("hot").isNull() | may_share_fewer).drop("hot")
-    longer = (
-        marked.filter(F.col("hot") & (reach - 1 >= F.col("at") + 1))
-        .withColumn("at", F.explode(later))
-        .withColumn("word", F.get("prefix", F.col("at")))
-        .filter(F.col("word").isNotNull())
-        .withColumn("key", F.concat_ws(" ", "key", "word"))
-        .drop("hot", "word")
-    )
-    return cold.unionByName(longer)
+    return sets.select("id", "words").mapInArrow(_in_parts(threshold), "key long, id long, n int")
 
 
-def _largest_group(entries: DataFrame) -> int:
-    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-    return sizes.agg(F.max("members")).first()[0] or 0
+def _shared(entries: DataFrame) -> DataFrame:
+    """Entries whose key others have as well, with the number of ``members``."""
+    held = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    return entries.drop("members").join(held, "key")
 
 
-def candidate_entries(sets: DataFrame, threshold: float, group_limit: int, levels: int = 2) -> tuple[DataFrame, int]:
-    """Entries with large groups split as far as ``levels`` allows, and the size of the largest group left."""
-    prefixes = rare_prefix(sets, threshold, extra=levels, min_df=2)
-    entries = materialize(_entries(prefixes, threshold), "entries")
-    largest = _largest_group(entries)
-    for level in range(1, levels + 1):
-        if largest <= group_limit:
-            break
-        entries = materialize(_split_hot(entries, threshold, level, group_limit), "entries")
-        largest = _largest_group(entries)
-    return entries.select("key", "id", "n", "pos"), largest
+def _hinted(df: DataFrame) -> DataFrame:
+    """A small table is sent to all tasks."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def bitmap(hashes: Column) -> list[Column]:
@@ -158,13 +183,12 @@ def _bit(h: Column) -> Column:
 
 def _dealt(entries: DataFrame, group_limit: int) -> DataFrame:
     """Entries with ``task``: one for each group; in a large group one for each pair of its blocks that holds the entry."""
-    large = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > group_limit)
-    marked = entries.join(large.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "key", "left")
+    marked = entries.withColumn("blocks", F.when(F.col("members") > group_limit, F.ceil(F.col("members") / BLOCK).cast("int")))
     block = F.pmod(F.xxhash64(F.lit(3), "id"), "blocks").cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(block, i).alias("x"), F.greatest(block, i).alias("y")))
     alone = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
     return (marked.withColumn("task", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(pairs)))
-            .withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(block)).drop("blocks"))
+            .withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(block)).drop("blocks", "members"))
 
 
 def _similar(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: float, on: Column) -> DataFrame:
@@ -173,22 +197,21 @@ def _similar(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: floa
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     total = F.col("x.n") + F.col("y.n")
     needed = F.ceil(total * t / (t + 1) - EPS)
-    # words before the shared one, itself, and words after it
-    reachable = F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1)
     apart = reduce(Column.__add__, [F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in BITMAP])
     candidates = (
-        left.alias("x").join(right.alias("y"), on & (small >= large * t - EPS) & (reachable >= needed) & (apart <= total - 2 * needed))
+        left.alias("x").join(right.alias("y"), on & (small >= large * t - EPS) & (apart <= total - 2 * needed))
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .distinct()
     )
     candidates = materialize(candidates, "candidates")
-    # a row may meet many partners: its word set is copied and the pairs are salted
-    salted = candidates.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)).cast("int"))
-    leaders = sets.join(candidates.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(
-        F.col("id").alias("a"), F.col("words").alias("words_a"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"),
-    )
-    members = sets.select(F.col("id").alias("b"), F.col("words").alias("words_b"))
+    # a row may meet many partners: then its word set is copied and the pairs are salted
+    copies = candidates.groupBy("a").agg(F.least(F.ceil(F.count(F.lit(1)) / PARTNERS), F.lit(SALT)).cast("int").alias("copies"))
+    some = sets.select("id", "words").join(_hinted(materialize(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "met")), "id")
+    some = materialize(some, "met_sets")
+    salted = candidates.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"))
+    leaders = some.join(copies.withColumnRenamed("a", "id"), "id").select(
+        F.col("id").alias("a"), F.col("words").alias("words_a"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    members = some.select(F.col("id").alias("b"), F.col("words").alias("words_b"))
     shared = F.size(F.array_intersect("words_a", "words_b"))
     similarity = shared / (F.size("words_a") + F.size("words_b") - shared)
     return (
@@ -198,16 +221,12 @@ def _similar(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: floa
     )
 
 
-def _with_bitmaps(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    return materialize(entries.join(sets.select("id", *BITMAP), "id"), "entries")
-
-
 def _leaders(entries: DataFrame, sets: DataFrame, group_limit: int) -> DataFrame:
     """The first row of each large group, and of each family in it: ``(id)``."""
-    large = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > group_limit)
     least = sets.select("id", F.get("words", F.lit(0)).alias("least"))  # word hashes are sorted
-    families = entries.join(large, "key", "left_semi").join(least, "id").groupBy("key", "least").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
-    first = entries.join(large, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
+    large = entries.filter(F.col("members") > group_limit).select("key", "id")
+    families = large.join(least, "id").groupBy("key", "least").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    first = large.groupBy("key").agg(F.min("id").alias("id"))
     return families.filter(F.col("n") >= FAMILY).select("id").unionByName(first.select("id")).distinct()
 
 
@@ -328,17 +347,23 @@ def removed_by(df: DataFrame, text: str = "text", id_col: str = "row_id", thresh
     hashed = df.select(F.col(id_col).alias("id"), words.alias("text_words")).filter(F.size("text_words") > 0).select(
         "id", F.array_sort(F.array_distinct(F.transform("text_words", lambda w: F.xxhash64(w)))).alias("words"),
         tx.fingerprint(F.array_join("text_words", " ")).alias("digest"))
-    sets_all = materialize(hashed.select("id", "words", "digest", *bitmap(F.col("words"))), "sets")
-    first = materialize(keep_first(sets_all, F.col("digest"), "id"), "first_sets")
-    sets = first.select("id", "words", *BITMAP)
-    entries, largest = candidate_entries(sets, threshold, group_limit)
-    entries = _with_bitmaps(entries, sets)
+    sets_all = materialize(hashed.select("id", "words", "digest"), "sets")
+    named = sets_all.select("id", "digest")
+    first = materialize(keep_first(named, F.col("digest"), "id"), "first")
+    known = first.select(F.col("id").alias("first"), F.col("digest").alias("known"))
+    alike = F.col("id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("known"))
+    copied = _hinted(materialize(named.join(known, alike, "left_anti").distinct(), "copied").withColumnsRenamed({"id": "first", "digest": "known"}))
+    sets = sets_all.join(copied, alike, "left_anti").filter("id IS NOT NULL").select("id", "words")
+    entries = materialize(_shared(part_entries(sets, threshold)), "entries")
+    met = _hinted(materialize(entries.select("id").distinct(), "met"))
+    bits = materialize(sets.join(met, "id").select("id", *bitmap(F.col("words"))), "bits")
+    entries = materialize(entries.join(bits, "id"), "entries")
 
     removed = []
-    if largest > group_limit:
+    if not entries.filter(F.col("members") > group_limit).isEmpty():
         gone, settled = _settle_clusters(entries, sets, threshold, group_limit)
         removed.append(gone)
-        entries = materialize(entries.join(settled, "id", "left_anti"), "entries")
+        entries = materialize(_shared(entries.join(settled, "id", "left_anti")), "entries")
     dealt = _dealt(entries, group_limit)
     one, two = dealt.filter(F.col("block") == F.col("task.x")), dealt.filter(F.col("block") == F.col("task.y"))
     # of two blocks the one row is on the left, the other on the right; within a block the earlier row is on the left
@@ -348,12 +373,12 @@ def removed_by(df: DataFrame, text: str = "text", id_col: str = "row_id", thresh
 
     # later rows with the very same word set share the fate of the first one or repeat it
     copies = (
-        sets_all.select("id", "digest").join(first.select("id"), "id", "left_anti")
+        named.join(first.select("id"), "id", "left_anti")
         .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
     )
     fate = (
         first.select(F.col("id").alias("first"), "digest")
-        .join(sets_all.select("digest").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "digest")
+        .join(named.select("digest").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "digest")
         .join(dropped.withColumnRenamed("id", "first"), "first", "left")
         .select(
             "digest", F.coalesce("kept", "first").alias("kept"),

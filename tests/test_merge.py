@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +224,32 @@ def test_bitmaps_bound_the_difference(spark):
     df = spark.createDataFrame(rows, "x array<long>, y array<long>").select("x", "y", F.array(*neardup.bitmap(F.col("x"))).alias("p"), F.array(*neardup.bitmap(F.col("y"))).alias("q"))
     for r in df.collect():
         assert sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(r["p"], r["q"])) <= len(set(r["x"]) ^ set(r["y"]))
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.9, 1.0])
+def test_similar_sets_share_a_part(threshold):
+    rng = np.random.default_rng(5)
+    for size in (1, 2, 5, 9, 10, 11, 19, 20, 21, 60, 200):
+        for _ in range(20):
+            one = rng.integers(-2**63, 2**63 - 1, size)
+            gone = rng.integers(0, size + 1)
+            extra = rng.integers(-2**63, 2**63 - 1, rng.integers(0, size + 1))
+            two = np.concatenate([one[gone:], extra])
+            if len(two) and (size - gone) / (size + len(extra)) >= threshold:
+                row, key = neardup._keys(np.concatenate([np.sort(one), np.sort(two)]), np.array([size, len(two)]), threshold)
+                assert set(key[row == 0]) & set(key[row == 1])
+
+
+def test_common_words_bring_no_flood_of_entries(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{w}" for w in rng.sample(range(150), 60))) for i in range(500)]
+    written, real = [], neardup.materialize
+
+    def counted(df, name):
+        out = real(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", counted)
+    assert neardup.removed_by(spark.createDataFrame(rows, "row_id long, text string")).count() == 0
+    assert max(written) <= 2 * len(rows)
