@@ -317,3 +317,15 @@ def test_first_rows_far_keys(spark):
         got = sorted(r[0] for r in readers.first_rows(df, n, ranked=50).collect())
         assert got == sorted(ids)[:n], n
     assert readers.first_rows(df.limit(0), 3).count() == 0
+
+
+def test_sent_names_enter_the_plan_once(spark, monkeypatch):
+    texts = ["O'Neil Smith met Mary Stone.", "back\\slash Mary", "Lone", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
+    known = ["Mary", "O'Neil", "Lone"] + [f"Name{i}" for i in range(300)]
+    made, column = [], type(F.col("x"))
+    real = column.isin
+    monkeypatch.setattr(column, "isin", lambda self, *xs: made.extend(xs) or real(self, *xs))
+    got = {r["row_id"]: r["text"] for r in names.mask_names_by(df, spark.createDataFrame([(n,) for n in known], "name string")).collect()}
+    assert got == {0: "someone someone met someone someone .", 1: "back \\ slash someone", 2: "someone", 3: None, 4: ""}
+    assert len(made) < 50
