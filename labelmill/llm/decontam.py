@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 from labelmill.llm.common import ascii_lower, materialize, small, whole, Carried
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
+BREAK_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
 BROADCAST_ROWS = 1_000_000  # of (hash) or (id, hashes) rows; more are joined by shuffle
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(text), BREAK, -1), lambda w: w != "")
+    return _split(ascii_lower(text), BREAK)
+
+
+def _split(text: Column, breaks: str) -> Column:
+    return F.filter(F.split(text, breaks, -1), lambda w: w != "")
 
 
 def kgrams(words: Column, k: int) -> Column:
@@ -69,7 +73,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
         found = _extend(docs, materialize(met, "bench-met"), windows.where(F.size("words") == n), key, id_col, text_col, n, size)
         hits = found if hits is None else hits.unionByName(found)
     base = docs.select(*rest.cols, F.col(id_col).alias("_own"), F.xxhash64(whole(text_col)).alias("_version"),
-                       F.regexp_count(whole(text_col), F.lit(WORD)).cast("long").alias("n_words"))
+                       F.size(_split(whole(text_col), BREAK_ANY_CASE)).cast("long").alias("n_words"))
     if hits is None:
         judged = base.select(*rest.back(), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     else:
