@@ -36,3 +36,23 @@ def test_nothing_learnt(spark):
     assert profiles.langs == [] and language.detect_language(none, profiles).count() == 0
     rows = spark.createDataFrame([(1, "some text"), (2, "мир")], "row_id long, text string")
     assert {r["row_id"]: r["detected"] for r in language.detect_language(rows, profiles).collect()} == {1: "unknown", 2: "cyrillic"}
+
+
+def test_common_words_bring_the_sums_of_their_trigrams(spark, monkeypatch):
+    """Words that are not among the common ones are spelled out; both ways give the same sums."""
+    teach = spark.createDataFrame([("the house of the river the stone", "en"), ("la maison de la rivière", "fr"), ("der stein im haus", "de")], "text string, lang string")
+    monkeypatch.setattr(language, "COMMON_WORDS", 2)
+    profiles = language.learn_profiles(teach)
+    words = {r["word"]: r for r in profiles.words.collect()}
+    assert set(words) == {"the", "la"} and words["the"]["known"] == 3
+    weights = {r["gram"]: r["w1"] for r in profiles.table.collect()}
+    assert words["the"]["w1"] == sum(weights[g] for g in ("_th", "the", "he_"))
+    rows = spark.createDataFrame(list(enumerate(["the river", "la pierre", "xyz 12", "", None, "the", "der la the", "haus haus"])), "row_id long, text string")
+    told = [sorted(map(tuple, language.detect_language(rows, p).collect())) for p in (profiles, language.GramProfiles(profiles.table, profiles.langs))]
+    assert told[0] == told[1] and len(told[0]) == 8
+
+
+def test_scripts_are_looked_for_behind_ascii(one):
+    texts = ("plain", "é à", "Привет, мир! ok", "ab Жz", "ЖЖ zz", "", None, "\U0001f600 x")
+    assert one(language.foreign_script, *texts) == [None, None, "cyrillic", None, None, None, None, None]
+    assert "regexp_replace" in str(language.foreign_script(F.col("t")))
