@@ -135,3 +135,22 @@ def test_emoji_sequences(one):
     assert one(un.name_emojis, *texts) == [
         " flag de  flag fr ", "press  keycap 1  or  keycap # ", "ok thumbs up sign emoji modifier fitzpatrick type-4  thumbs up sign ", " man woman girl !",
         " regional indicator symbol letter d  x", "a heavy black heart b", "plain 1 # *", None]
+
+
+def test_few_texts_are_python_objects_at_one_time():
+    import pyarrow as pa
+
+    seen, most = [], []
+    texts = pa.array(["a", None, "b"] * un.SLICE)
+    out = un._sliced(lambda t: seen.append(t) or t.upper())(texts)
+    assert out.to_pylist() == ["A", None, "B"] * un.SLICE and len(seen) == 2 * un.SLICE
+    assert un._sliced(str.upper)(texts.slice(0, 0)).to_pylist() == []
+    # the longest list made of the batch is a slice
+    class Batch:
+        def __len__(self):
+            return len(texts)
+
+        def slice(self, i, n):
+            most.append(n)
+            return texts.slice(i, n)
+    assert un._sliced(str.upper)(Batch()).to_pylist() == out.to_pylist() and max(most) == un.SLICE
