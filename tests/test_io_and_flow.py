@@ -329,3 +329,13 @@ def test_sent_names_enter_the_plan_once(spark, monkeypatch):
     got = {r["row_id"]: r["text"] for r in names.mask_names_by(df, spark.createDataFrame([(n,) for n in known], "name string")).collect()}
     assert got == {0: "someone someone met someone someone .", 1: "back \\ slash someone", 2: "someone", 3: None, 4: ""}
     assert len(made) < 50
+
+
+def test_names_found_are_marked_by_a_set(spark):
+    texts = ["Mary Mary Smith Jones", "x  Mary's Mary's\tMary\nÉlan Bo", "\x00 Mary \x01 Ann", "Mary", " ", None, "Peter-Paul Ann", "MARY Ann"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id int, text string")
+    lexicon = spark.createDataFrame([("Mary",), ("Peter",), ("two words",), ("x",), ("",)], "name string")
+    sent, joined = ({r["row_id"]: r["text"] for r in names.mask_names_by(df, lexicon.where("name <> ''"), sent=n).collect()} for n in (100, 0))
+    assert joined == sent and joined[0] == "someone someone someone Jones" and joined[1] == "someone Mary's Mary's someone someone Bo"
+    plan = names.mask_names_by(df, lexicon, sent=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan
