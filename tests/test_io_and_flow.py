@@ -339,3 +339,15 @@ def test_names_found_are_marked_by_a_set(spark):
     assert joined == sent and joined[0] == "someone someone someone Jones" and joined[1] == "someone Mary's Mary's someone someone Bo"
     plan = names.mask_names_by(df, lexicon, sent=0)._jdf.queryExecution().optimizedPlan().toString()
     assert "array_contains" not in plan
+
+
+def test_training_writes_the_counts_of_words_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, ("good day", "bad night", "evil word")[i % 3], i % 3) for i in range(30)], "row_id long, text string, label int")
+    made, real = [], model.materialize
+    monkeypatch.setattr(model, "materialize", lambda df, name: made.append(df.columns) or real(df, name))
+    ready = materialize(model.prepare_for_scoring(rows), "ready")
+    fitted = model.train(ready, model.Hyperparameters(max_iter=5, buckets=256))
+    assert made == [["label", "counts", "weight"]] and len(fitted.stages) == 4
+    assert model.score(ready, fitted, prepared=True).filter("label = predicted_label").count() == 30
+    parts = [sorted(map(tuple, model.token_importance(df, fitted, prepared=p).collect())) for df, p in ((rows, False), (ready, True))]
+    assert parts[0] == parts[1] and len(parts[0]) == 60

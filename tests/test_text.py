@@ -137,6 +137,33 @@ def test_emoji_sequences(one):
         " regional indicator symbol letter d  x", "a heavy black heart b", "plain 1 # *", None]
 
 
+def test_rules_keep_their_boundaries(one):
+    """Letters are looked for before the boundary: same texts, fewer boundary tests."""
+    texts = ("A$S as$ class", "passer", "xass a$$x éass assé aſs ass", "B!TCH f*ck H4te", "", None)
+    rules = tx.LEGACY_OBFUSCATIONS
+
+    def plainly(c):
+        for pattern, word in rules:
+            c = F.regexp_replace(c, "(?iU)" + pattern, word)
+        return c
+
+    got = one(lambda c: tx.expand_obfuscations(c, rules), *texts)
+    assert got == one(plainly, *texts) and got[1] == "passer" and got[3] == "bitch fuck hate"
+    assert one(lambda c: tx.expand_obfuscations(c, ((r"\bx?y\b", "z"), (r"\ba|b\b", "c"))), "xy y", "a b", "q") == ["z z", "c c", "q"]
+    assert "(?=a[s" in str(tx.expand_obfuscations(F.col("t"), rules))
+
+
+def test_tags_are_looked_for_where_a_bracket_is(one):
+    assert one(lambda c: tx.strip_tags(c, always=True), "a > b", "<b>a</b> < c", "<!-- x -->y", None) == ["a > b", "a < c", "y", None]
+    assert "contains" in str(tx.strip_tags(F.col("t"), always=True))
+
+
+def test_names_are_looked_for_before_tokens_are_paired(one):
+    assert one(names.mask_names, "Mary Smith met Bo , x", "No one Here", "", None) == ["someone someone met Bo , x", "No one Here", "", None]
+    assert "exists" in str(names.mask_names(F.col("t")))
+    assert one(lambda c: names.mask_names(c, ("", "Bo")), "Ann Bo x") == "someone someone x"
+
+
 def test_few_texts_are_python_objects_at_one_time():
     import pyarrow as pa
 
