@@ -7,7 +7,8 @@
    common shingles: they go to the end of the order, rarest first, and are met only by sets that have too few other values.
 3. Lists that many sets keep in their prefixes are families. The sets of a family, and two groups with many candidates between them, are dealt into
    blocks and compared block against block in one task each, which returns only links that join groups: rows grow with the blocks, not
-   with the pairs. Everywhere else, pairs of different groups that share two values or more are filtered by the union sketch, far below the similarity asked for. By the
+   with the pairs. Other pairs of different groups that share two values or more meet over a list that few sets keep, or, if they share only lists
+   that many keep, in blocks of sketches, and are filtered by the union sketch, far below the similarity asked for. By the
    prefix argument no similar pair shares fewer: sets whose partners have no more than ``K`` values certainly, larger ones but for a
    chance below ``CHANCE``. In hash order that is so from ``prefix`` values on (:func:`bounds`). Where common values were moved back, the sketches of a pair
    that passes the filter share ``least`` values, so at most ``K - least`` others stand before the second shared one: ``K - least + 2`` values.
@@ -35,7 +36,8 @@ HEADS, ROUNDS = 4, 2
 FAMILY = 64      # sets that keep a value in their prefixes and so are compared in blocks
 FAMILIES = 3     # of these values, how many a set is dealt by
 BLOCK_SETS, BLOCK_VALUES = 512, 500_000
-PAIR_ROWS = 64   # candidates between two groups that are listed one by one; more are compared in blocks
+WIDE_SETS = 4096  # sketches in a block
+PAIR_ROWS = 64   # candidates between two groups that are compared one by one; more are compared in blocks
 BROADCAST_ROWS = 2_000_000
 
 
@@ -100,12 +102,12 @@ def estimate(x: Column, y: Column, k: int) -> Column:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs (a, b)`` whose sizes and union sketch allow the similarity."""
+    """Those of ``pairs (a, b, ...)`` whose sizes and union sketch allow the similarity."""
     one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     joined = pairs.join(one, "a").join(two, "b")
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return joined.where(fits & (estimate(F.col("sa"), F.col("sb"), K) >= bounds(percent)[1] / K)).select("a", "b")
+    return joined.where(fits & (estimate(F.col("sa"), F.col("sb"), K) >= bounds(percent)[1] / K)).select(*pairs.columns)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -155,16 +157,16 @@ def _stars(lists: DataFrame, sets: DataFrame, texts: DataFrame, width: int, perc
     return tested, links
 
 
-def _parts(sized: DataFrame, by: list[str]) -> DataFrame:
+def _parts(sized: DataFrame, by: list[str], most: int) -> DataFrame:
     """``sized (*by, id, n)`` with ``part`` and ``parts``: each group dealt into blocks of a bounded number of sets and values."""
-    count = sized.groupBy(*by).agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_VALUES)).cast("int").alias("parts"))
+    count = sized.groupBy(*by).agg(F.ceil(F.greatest(F.count("*") / most, F.sum("n") / BLOCK_VALUES)).cast("int").alias("parts"))
     return sized.join(count, by).withColumn("part", F.pmod(F.xxhash64(F.lit(7), "id"), "parts").cast("int"))
 
 
-def _in_families(family: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
+def _in_families(family: DataFrame, sets: DataFrame, groups: DataFrame, most: int) -> DataFrame:
     """``(task, right, id, g)``: each block of a family on the left of a task with itself and with each later block on the right."""
     members = family.select("id", F.explode("family").alias("f")).join(sets.select("id", "n"), "id").join(groups, "id", "left").select("f", "id", "n", F.coalesce("g", "id").alias("g"))
-    dealt = _parts(members, ["f"])
+    dealt = _parts(members, ["f"], most)
     upto = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(
         F.least("part", i).alias("x"), F.greatest("part", i).alias("y"), (i < F.col("part")).cast("int").alias("right")))
     return dealt.withColumn("t", F.explode(upto)).select(F.struct(F.col("f").alias("k1"), F.lit(-1).cast("long").alias("k2"), "t.x", "t.y").alias("task"), "t.right", "id", "g")
@@ -172,7 +174,7 @@ def _in_families(family: DataFrame, sets: DataFrame, groups: DataFrame) -> DataF
 
 def _between_groups(marked: DataFrame, sets: DataFrame) -> DataFrame:
     """``(task, right, id, g)``: blocks of the one group's candidates against blocks of the other's."""
-    dealt = _parts(marked.select("g", "h", "right", "id").join(sets.select("id", "n"), "id"), ["g", "h", "right"])
+    dealt = _parts(marked.select("g", "h", "right", "id").join(sets.select("id", "n"), "id"), ["g", "h", "right"], BLOCK_SETS)
     other = dealt.select("g", "h", (1 - F.col("right")).alias("right"), F.col("parts").alias("others")).distinct()
     each = dealt.join(other, ["g", "h", "right"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     left = F.col("right") == 0
@@ -180,6 +182,34 @@ def _between_groups(marked: DataFrame, sets: DataFrame) -> DataFrame:
                                 F.when(left, F.col("i")).otherwise(F.col("part")).alias("y")).alias("task"), "right", "id", F.when(left, F.col("g")).otherwise(F.col("h")).alias("g"))
 
 
+def _narrow_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)``, and their groups, of different groups and families in ``entries (id, g, v, n, family, wide)`` that share a value, and a second or a wide one.
+
+    A value has fewer than ``FAMILY`` entries here, so the pairs grow with the entries, whatever the groups.
+    """
+    x, y = entries.alias("x"), entries.alias("y")
+    fits = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    met = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.g") != F.col("y.g")) & fits & ~F.arrays_overlap("x.family", "y.family"))
+    both = F.size(F.array_intersect("x.wide", "y.wide"))
+    pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.g").alias("g"), F.col("y.g").alias("h"), both.alias("both"))
+    shared = pairs.groupBy("a", "b", "g", "h").agg((F.count("*") + F.max("both")).alias("shared"))
+    return materialize(shared.where("shared >= 2").select("a", "b", "g", "h"), "near-narrow")
+
+
+def _wide_pairs(family: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)``, and their groups, of different groups and families that share two wide values and may be similar by their sketches.
+
+    Sets that share two of them share one that is not the most held of either, so each is dealt by all but that. Sketches are compared block against block.
+    """
+    dealt = family.where(F.size("wide") > 1).select("id", F.slice("wide", 2, K).alias("family"))
+    tasks = materialize(_in_families(dealt, sets.select("id", F.least("n", F.lit(K)).alias("n")), groups, WIDE_SETS), "near-wide")
+    told = tasks.join(sets.select("id", "n", "sketch"), "id").join(family.select("id", "family"), "id")
+    cols = ("task", "id", "g", "n", "sketch", "family")
+    right = told.where("right = 1").select(*[F.col(c).alias(f"{c}_") for c in cols])
+    made = told.where("right = 0").select(*cols).groupBy("task").cogroup(right.groupBy("task_")).applyInArrow(_near_sketches(percent), "a long, b long, g long, h long")
+    return materialize(made.distinct(), "near-wide")
+
+
 def _values(width: int):
     schema = pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))])
 
@@ -190,17 +220,53 @@ def _values(width: int):
     return run
 
 
+def _overlaps(lists: pa.ListArray):
+    """A function that tells how many of some distinct values each of ``lists`` holds."""
+    flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    known, codes = np.unique(flat, return_inverse=True)
+    by = np.argsort(codes, kind="stable")
+    start = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(known)))])
+    owner = np.repeat(np.arange(len(lists)), np.diff(ends))[by]
+
+    def count(values: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(known, values)
+        at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == values)]
+        return np.bincount(np.concatenate([owner[start[j]: start[j + 1]] for j in at]), minlength=len(lists)) if len(at) else np.zeros(len(lists), np.int64)
+
+    return count
+
+
+def _near_sketches(percent: int):
+    """Pairs of two blocks' sets whose sizes, and values that both sketches hold, allow the similarity."""
+    least = bounds(percent)[1]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        alone = not right.num_rows  # a block against itself
+        right = left if alone else right.rename_columns(left.column_names)
+        lists = right.column("sketch").combine_chunks()
+        held, size = _overlaps(lists), lists.value_lengths().to_numpy()
+        ids, labels, n = (right.column(c).to_numpy() for c in ("id", "g", "n"))
+        families = [set(f) for f in right.column("family").to_pylist()]
+        found = []
+        for a, g, m, values, family in zip(*[left.column(c).to_pylist() for c in ("id", "g", "n")], left.column("sketch"), left.column("family").to_pylist()):
+            values = values.values.to_numpy()
+            both = held(values)
+            near = (K * both >= least * np.minimum(K, len(values) + size - both)) & (labels != g) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            for j in np.flatnonzero(near & (ids > a) if alone else near):
+                if families[j].isdisjoint(family):
+                    found.append((a, int(ids[j]), g, int(labels[j])) if a < ids[j] else (int(ids[j]), a, int(labels[j]), g))
+        return pa.table([pa.array([row[i] for row in found], pa.int64()) for i in range(4)], names=["a", "b", "g", "h"])
+
+    return run
+
+
 def _joining_links(percent: int):
     """Links between the sets of two blocks that join groups not joined yet in this task."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.rename_columns(["task", "id", "g", "set"]) if right.num_rows else left  # without right sets a block against itself
         lists = right.column("set").combine_chunks()
-        flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        known, codes = np.unique(flat, return_inverse=True)
-        by = np.argsort(codes, kind="stable")
-        start = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(known)))])
-        owner = np.repeat(np.arange(right.num_rows), np.diff(ends))[by]
-        size, ids, labels = np.diff(ends), right.column("id").to_numpy(), right.column("g").to_numpy()
+        held = _overlaps(lists)
+        size, ids, labels = lists.value_lengths().to_numpy().astype(np.int64), right.column("id").to_numpy(), right.column("g").to_numpy()
         root = {}
 
         def top(x):
@@ -211,9 +277,7 @@ def _joining_links(percent: int):
         found = []
         for i, (a, g, values) in enumerate(zip(left.column("id").to_pylist(), left.column("g").to_pylist(), left.column("set"))):
             values = values.values.to_numpy()
-            at = np.searchsorted(known, values)
-            at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == values)]
-            both = np.bincount(np.concatenate([owner[start[j]: start[j + 1]] for j in at]), minlength=len(ids)) if len(at) else np.zeros(len(ids), np.int64)
+            both = held(values)
             near = (100 * both >= percent * (len(values) + size - both)) & (labels != g)
             for j in np.flatnonzero(near):
                 x, y = top(g), top(int(labels[j]))
@@ -276,32 +340,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exact = F.floor(F.col("n") * (100 - percent) / 100) + 2
     moved = (F.size("hot") > 0) & (100 * F.col("n") > K * percent)  # and partners may have more values than are retained
     reach = F.when(moved, F.lit(K - least + 2)).otherwise(F.least(exact, F.lit(prefix)))
-    short = (per_set.withColumn("hot", hot).select("id", "g", F.explode(F.filter(ranked, lambda r: r["rank"] < reach)).alias("r"))
-             .select("id", "g", F.col("r.v").alias("v")))
+    short = (per_set.withColumn("hot", hot).select("id", "g", "n", F.explode(F.filter(ranked, lambda r: r["rank"] < reach)).alias("r"))
+             .select("id", "g", "n", F.col("r.v").alias("v")))
     short = materialize(short, "near-short")
-    # A set meets the groups of its values; a pair of sets is a candidate when each shares two values with the other's group.
-    # Pairs of one family are compared in blocks, so they don't meet here.
+    # Values that many sets keep deal them into families, which are compared in blocks; pairs of one family don't meet here.
     wide = short.groupBy("v").agg(F.count("*").alias("held")).where(F.col("held") >= FAMILY)
-    family = short.join(wide, "v").groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("held", "v")), asc=False), 1, FAMILIES)["v"].alias("family"))
-    family = materialize(family, "near-family")
-    short = materialize(short.join(family, "id", "left").select("id", "g", "v", F.coalesce("family", F.array().cast("array<long>")).alias("family")), "near-short")
-    held = short.select(F.col("v").alias("w"), F.col("g").alias("h"), F.col("family").alias("others")).distinct()
-    side = (short.join(held, (F.col("v") == F.col("w")) & (F.col("g") != F.col("h")) & ~F.arrays_overlap("family", "others"))
-            .groupBy("id", "g", "h").agg(F.count_distinct("v").alias("shared")).where("shared >= 2").select("id", "g", "h"))
-    side = materialize(side, "near-sides")
-    ways = side.groupBy(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).agg(
-        F.count_if(F.col("g") < F.col("h")).alias("xs"), F.count_if(F.col("g") > F.col("h")).alias("ys"))
-    ways = ways.withColumn("many", F.col("xs") * F.col("ys") > PAIR_ROWS)
-    marked = (side.select("id", F.col("g").alias("own"), F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).join(ways, ["g", "h"])
-              .where("xs > 0 AND ys > 0").withColumn("right", (F.col("own") == F.col("h")).cast("int")))
-    marked = materialize(marked, "near-marked")
-    few = marked.where("NOT many")
-    cross = (few.where("right = 0").select(F.col("id").alias("x"), "g", "h").join(few.where("right = 1").select(F.col("id").alias("y"), "g", "h"), ["g", "h"])
-             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    cross = materialize(_similar(cross, reps, percent).join(tested, ["a", "b"], "left_anti"), "near-cross")
-    tasks = _between_groups(marked.where("many"), reps).union(_in_families(family, reps, groups))
+    in_wide = short.join(wide, "v").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("held", "v")), asc=False)["v"].alias("wide"))
+    family = materialize(in_wide.select("id", F.slice("wide", 1, FAMILIES).alias("family"), "wide"), "near-family")
+    none = F.array().cast("array<long>")
+    short = materialize(short.join(family, "id", "left").select("id", "g", "v", "n", F.coalesce("family", none).alias("family"), F.coalesce("wide", none).alias("wide")), "near-short")
+    narrow = _narrow_pairs(short.where(~F.array_contains("wide", F.col("v"))), percent)
+    pairs = narrow.union(_wide_pairs(family, reps, groups, percent)).distinct()
+    cross = materialize(_similar(pairs, reps, percent).join(tested, ["a", "b"], "left_anti"), "near-cross")
+    low = F.col("g") < F.col("h")
+    cross = cross.select("a", "b", F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h"), F.when(low, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("y"))
+    many = materialize(cross.groupBy("g", "h").agg(F.count("*").alias("n")).where(F.col("n") > PAIR_ROWS).select("g", "h"), "near-many")
+    few = cross.join(many, ["g", "h"], "left_anti").select("a", "b")
+    marked = cross.join(many, ["g", "h"], "left_semi").select("g", "h", F.explode(F.array(*[F.struct(F.lit(i).alias("right"), F.col(c).alias("id")) for i, c in enumerate("xy")])).alias("e"))
+    marked = marked.select("g", "h", "e.right", "e.id").distinct()
+    tasks = _between_groups(marked, reps).union(_in_families(family, reps, groups, BLOCK_SETS))
     dense = _blocks_compared(tasks, texts, width, percent)
-    links = star_links.union(_verified(cross, texts, width, percent)).union(dense)
+    links = star_links.union(_verified(few, texts, width, percent)).union(dense)
     labels = components(links)
     folded = (filled.select("id", "d1", "d2").distinct().join(first, ["d1", "d2"]).groupBy("id").agg(F.min("rep").alias("rep")))
     named = folded.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("component"))
