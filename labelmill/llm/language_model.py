@@ -287,6 +287,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sums = known.select("block", "ids", "lengths", "words", "counts").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_state_sums(least, *model), SUMS)
     fail = (sums.groupBy("w").agg(F.sum("on_arcs").alias("on_arcs"), F.sum("singles").alias("singles"))
             .select("w", F.log10((1 - F.col("on_arcs")) / (1 - F.col("singles"))).alias("adds")))
+    fail = materialize(fail, "lm-fail")  # so that the blocks' first shuffle goes before their second
     # A block gets one row for each of its words with a failure arc, and one for each range of its pairs.
     of_words = counted.select("block", "place", "w").join(fail, "w").select("block", "place", "adds")
     answers = of_words.unionByName(told, allowMissingColumns=True)
