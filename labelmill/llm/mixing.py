@@ -179,11 +179,14 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """
     plan = draws(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
     turns = F.filter(F.array(F.struct(F.col("t1").alias("n"), F.col("shard1").alias("shard")), F.struct(F.col("t2").alias("n"), F.col("shard2").alias("shard"))), lambda t: t["n"] > 0)
-    # One key for the first of equal rows and for the join, so that texts are shuffled once; nulls within a struct are equal.
-    plan = plan.select(F.struct(F.col("source").alias("s"), F.col("order").alias("o")).alias("_drawn"), F.col("size").alias("_size"), F.col("target").alias("_target"),
+    # One key of one type for the first of equal rows and for the join, so that texts are shuffled once; nulls within a struct are equal.
+    # Without the cast the fields differ in whether they may be null, and the join would cast them and shuffle again.
+    kind = f"struct<s:{docs.select(source_col).schema[0].dataType.simpleString()},o:bigint>"
+    key = lambda source, order: F.struct(source.alias("s"), order.alias("o")).cast(kind)
+    plan = plan.select(key(F.col("source"), F.col("order")).alias("_drawn"), F.col("size").alias("_size"), F.col("target").alias("_target"),
                        F.explode(turns).alias("_turn"))
     rest = Carried(docs, "shard", "position", "size", "target", "taken", text_col)
-    mine = F.struct(F.col(source_col).alias("s"), F.xxhash64(F.lit(seed), F.col(id_col), whole(text_col)).alias("o"))
+    mine = key(F.col(source_col), F.xxhash64(F.lit(seed), F.col(id_col), whole(text_col)))
     held = docs.select(*rest.cols, F.col(text_col).alias("_text"), mine.alias("_mine"))
     joined = held.dropDuplicates(["_mine"]).join(plan, F.col("_mine") == F.col("_drawn"))
     cut = F.array_join(F.slice(F.split("_text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("_turn.n").cast("int")), "")
