@@ -8,7 +8,8 @@
 3. Lists that many sets keep in their prefixes are families. The sets of a family, and two groups with many candidates between them, are dealt into
    blocks and compared block against block in one task each, which returns only links that join groups: rows grow with the blocks, not
    with the pairs. Other pairs of different groups that share two values or more meet over a list that few sets keep, or, if they share only lists
-   that many keep, in blocks of sketches, and are filtered by the union sketch, far below the similarity asked for. By the
+   that many keep, in blocks of sketches, and are filtered by the union sketch, far below the similarity asked for. A block pair lists
+   its candidates, each at one shared value only, while they are no more than its sets; beyond that it names the sets, whose full values are then compared in blocks. By the
    prefix argument no similar pair shares fewer: sets whose partners have no more than ``K`` values certainly, larger ones but for a
    chance below ``CHANCE``. In hash order that is so from ``prefix`` values on (:func:`bounds`). Where common values were moved back, the sketches of a pair
    that passes the filter share ``least`` values, so at most ``K - least`` others stand before the second shared one: ``K - least + 2`` values.
@@ -172,14 +173,14 @@ def _in_families(family: DataFrame, sets: DataFrame, groups: DataFrame, most: in
     return dealt.withColumn("t", F.explode(upto)).select(F.struct(F.col("f").alias("k1"), F.lit(-1).cast("long").alias("k2"), "t.x", "t.y").alias("task"), "t.right", "id", "g")
 
 
-def _between_groups(marked: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(task, right, id, g)``: blocks of the one group's candidates against blocks of the other's."""
-    dealt = _parts(marked.select("g", "h", "right", "id").join(sets.select("id", "n"), "id"), ["g", "h", "right"], BLOCK_SETS)
-    other = dealt.select("g", "h", (1 - F.col("right")).alias("right"), F.col("parts").alias("others")).distinct()
-    each = dealt.join(other, ["g", "h", "right"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+def _between_sides(marked: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(task, right, id, g)``: blocks of the left sets of ``marked (k1, k2, right, id, g)`` against blocks of the right sets of the same keys."""
+    dealt = _parts(marked.select("k1", "k2", "right", "id", "g").join(sets.select("id", "n"), "id"), ["k1", "k2", "right"], BLOCK_SETS)
+    other = dealt.select("k1", "k2", (1 - F.col("right")).alias("right"), F.col("parts").alias("others")).distinct()
+    each = dealt.join(other, ["k1", "k2", "right"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     left = F.col("right") == 0
-    return each.select(F.struct(F.col("g").alias("k1"), F.col("h").alias("k2"), F.when(left, F.col("part")).otherwise(F.col("i")).alias("x"),
-                                F.when(left, F.col("i")).otherwise(F.col("part")).alias("y")).alias("task"), "right", "id", F.when(left, F.col("g")).otherwise(F.col("h")).alias("g"))
+    return each.select(F.struct("k1", "k2", F.when(left, F.col("part")).otherwise(F.col("i")).alias("x"),
+                                F.when(left, F.col("i")).otherwise(F.col("part")).alias("y")).alias("task"), "right", "id", "g")
 
 
 def _narrow_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -196,18 +197,20 @@ def _narrow_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return materialize(shared.where("shared >= 2").select("a", "b", "g", "h"), "near-narrow")
 
 
-def _wide_pairs(family: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)``, and their groups, of different groups and families that share two wide values and may be similar by their sketches.
+def _wide_pairs(family: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)``, and their groups, of different groups and families that share two wide values and may be similar by their sketches; and sets
+    ``(k1, k2, right, id, g)`` of which those on the left may be similar to those on the right, where pairs would be more than sets.
 
     Sets that share two of them share one that is not the most held of either, so each is dealt by all but that. Sketches are compared block against block.
     """
     dealt = family.where(F.size("wide") > 1).select("id", F.slice("wide", 2, K).alias("family"))
     tasks = materialize(_in_families(dealt, sets.select("id", F.least("n", F.lit(K)).alias("n")), groups, WIDE_SETS), "near-wide")
-    told = tasks.join(sets.select("id", "n", "sketch"), "id").join(family.select("id", "family"), "id")
-    cols = ("task", "id", "g", "n", "sketch", "family")
+    told = tasks.join(sets.select("id", "n", "sketch"), "id").join(family.select("id", "family", F.slice("wide", 2, K).alias("wide")), "id")
+    cols = ("task", "id", "g", "n", "sketch", "family", "wide")
     right = told.where("right = 1").select(*[F.col(c).alias(f"{c}_") for c in cols])
-    made = told.where("right = 0").select(*cols).groupBy("task").cogroup(right.groupBy("task_")).applyInArrow(_near_sketches(percent), "a long, b long, g long, h long")
-    return materialize(made.distinct(), "near-wide")
+    made = told.where("right = 0").select(*cols).groupBy("task").cogroup(right.groupBy("task_")).applyInArrow(_near_sketches(percent), NEAR)
+    made = materialize(made, "near-wide")
+    return made.where("right IS NULL").select("a", "b", "g", "h"), made.where("right IS NOT NULL").select("k1", "k2", "right", F.col("a").alias("id"), "g")
 
 
 def _values(width: int):
@@ -236,26 +239,43 @@ def _overlaps(lists: pa.ListArray):
     return count
 
 
+NEAR = "a long, b long, g long, h long, right int, k1 long, k2 long"
+
+
 def _near_sketches(percent: int):
-    """Pairs of two blocks' sets whose sizes, and values that both sketches hold, allow the similarity."""
+    """Pairs of two blocks' sets whose sizes, and values that both sketches hold, allow the similarity; or, if they outnumber the sets, the sets that have such pairs.
+
+    Only the task of the least of the shared values that both are dealt by tells of a pair.
+    """
     least = bounds(percent)[1]
+    names = [part.split(" ")[0] for part in NEAR.split(", ")]
+    schema = pa.schema([(name, pa.int32() if name == "right" else pa.int64()) for name in names])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table([[]] * len(names), schema=schema)
+        task = left.column("task")[0].as_py()
         alone = not right.num_rows  # a block against itself
         right = left if alone else right.rename_columns(left.column_names)
         lists = right.column("sketch").combine_chunks()
         held, size = _overlaps(lists), lists.value_lengths().to_numpy()
         ids, labels, n = (right.column(c).to_numpy() for c in ("id", "g", "n"))
-        families = [set(f) for f in right.column("family").to_pylist()]
-        found = []
-        for a, g, m, values, family in zip(*[left.column(c).to_pylist() for c in ("id", "g", "n")], left.column("sketch"), left.column("family").to_pylist()):
-            values = values.values.to_numpy()
+        families, wides = ([set(f) for f in right.column(c).to_pylist()] for c in ("family", "wide"))
+        most = left.num_rows if alone else left.num_rows + right.num_rows
+        pairs, sides, count = [], ({}, {}), 0
+        for a, g, m, values, family, wide in zip(*[left.column(c).to_pylist() for c in ("id", "g", "n")], left.column("sketch"), *[left.column(c).to_pylist() for c in ("family", "wide")]):
+            values, wide = values.values.to_numpy(), set(wide)
             both = held(values)
             near = (K * both >= least * np.minimum(K, len(values) + size - both)) & (labels != g) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
             for j in np.flatnonzero(near & (ids > a) if alone else near):
-                if families[j].isdisjoint(family):
-                    found.append((a, int(ids[j]), g, int(labels[j])) if a < ids[j] else (int(ids[j]), a, int(labels[j]), g))
-        return pa.table([pa.array([row[i] for row in found], pa.int64()) for i in range(4)], names=["a", "b", "g", "h"])
+                if families[j].isdisjoint(family) and min(wides[j] & wide) == task["k1"]:
+                    b, h = int(ids[j]), int(labels[j])
+                    sides[0][a], sides[1][b], count = g, h, count + 1
+                    if count <= most:
+                        pairs.append((a, b, g, h, None, None, None) if a < b else (b, a, h, g, None, None, None))
+        if count > most:  # k2: this pair of blocks, as no group has it
+            pairs = [(x, None, g, None, side, task["k1"], -2 - (task["x"] << 20) - task["y"]) for side in (0, 1) for x, g in sides[side].items()]
+        return pa.table([pa.array([row[i] for row in pairs], kind) for i, kind in enumerate(schema.types)], schema=schema)
 
     return run
 
@@ -350,15 +370,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     none = F.array().cast("array<long>")
     short = materialize(short.join(family, "id", "left").select("id", "g", "v", "n", F.coalesce("family", none).alias("family"), F.coalesce("wide", none).alias("wide")), "near-short")
     narrow = _narrow_pairs(short.where(~F.array_contains("wide", F.col("v"))), percent)
-    pairs = narrow.union(_wide_pairs(family, reps, groups, percent)).distinct()
+    broad, crowded = _wide_pairs(family, reps, groups, percent)
+    pairs = narrow.union(broad).distinct()
     cross = materialize(_similar(pairs, reps, percent).join(tested, ["a", "b"], "left_anti"), "near-cross")
     low = F.col("g") < F.col("h")
     cross = cross.select("a", "b", F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h"), F.when(low, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("y"))
     many = materialize(cross.groupBy("g", "h").agg(F.count("*").alias("n")).where(F.col("n") > PAIR_ROWS).select("g", "h"), "near-many")
     few = cross.join(many, ["g", "h"], "left_anti").select("a", "b")
     marked = cross.join(many, ["g", "h"], "left_semi").select("g", "h", F.explode(F.array(*[F.struct(F.lit(i).alias("right"), F.col(c).alias("id")) for i, c in enumerate("xy")])).alias("e"))
-    marked = marked.select("g", "h", "e.right", "e.id").distinct()
-    tasks = _between_groups(marked, reps).union(_in_families(family, reps, groups, BLOCK_SETS))
+    marked = marked.select(F.col("g").alias("k1"), F.col("h").alias("k2"), "e.right", "e.id", F.when(F.col("e.right") == 0, F.col("g")).otherwise(F.col("h")).alias("g")).distinct()
+    tasks = _between_sides(marked.unionByName(crowded), reps).union(_in_families(family, reps, groups, BLOCK_SETS))
     dense = _blocks_compared(tasks, texts, width, percent)
     links = star_links.union(_verified(few, texts, width, percent)).union(dense)
     labels = components(links)
