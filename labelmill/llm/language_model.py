@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmill.llm.bytesops import hash_words
-from labelmill.llm.common import materialize, whole
+from labelmill.llm.common import discard, materialize, whole
 
 BLOCK_TOKENS = 2_000_000
 ARC_COUNT = 2        # training occurrences from which a pair is an arc
@@ -279,6 +279,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = (blocks.groupBy("block").cogroup(counted.select("block", "place", "c").groupBy("block"))
              .applyInArrow(_single_words(total, distinct), COUNTED))
     known = materialize(known, "lm-counted")
+    discard(blocks)  # the counted blocks hold all that is still needed of them
     tokens = known.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     parts = max(1, -(-tokens // range_tokens))
     model = (total, distinct, parts, discount)
