@@ -12,6 +12,17 @@ import numpy as np
 _PACK = 7
 
 
+def _sorted_keys(high: np.ndarray, low: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs of numbers of ``bits`` bits, and their keys in it; if key and place fit into one number, plain numbers are sorted."""
+    if 3 * bits > 64:
+        key = (high << bits) + low
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    key = (high.astype(np.uint64) << np.uint64(2 * bits)) | (low.astype(np.uint64) << np.uint64(bits)) | np.arange(len(high), dtype=np.uint64)
+    key.sort()
+    return (key & np.uint64((1 << bits) - 1)).astype(np.int64), (key >> np.uint64(bits)).astype(np.int64)
+
+
 def _firsts(values: np.ndarray) -> np.ndarray:
     """For each place in a sorted array the first place with the same value."""
     starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
@@ -67,9 +78,8 @@ class RunLengthIndex:
                 half, shift = rank.copy(), self.span - depth
             if not len(open_):
                 break
-            key = rank[open_] * (n + 1) + rank[open_ + depth]  # open suffixes are longer than ``depth``
-            by_key = np.argsort(key)
-            open_, key = open_[by_key], key[by_key]
+            by_key, key = _sorted_keys(rank[open_], rank[open_ + depth], n.bit_length())  # open suffixes are longer than ``depth``
+            open_ = open_[by_key]
             old = rank[open_]
             first = _firsts(key)
             rank[open_] = old + first - _firsts(old)
@@ -94,18 +104,19 @@ class RunLengthIndex:
         before = np.empty(len(heads), np.int64)
         before[by_char] = np.cumsum(lengths[by_char]) - lengths[by_char]
         self.heads, self.targets, self.chars = heads, before, chars
+        self.run = np.repeat(np.arange(len(heads)), lengths)  # a chunk is small enough to know each row's run without a search
         self.samples = order[heads + lengths - 1]  # text positions at run ends
 
     def step(self, rows: np.ndarray) -> np.ndarray:
         """Rows of the suffixes that begin one character earlier."""
-        run = np.searchsorted(self.heads, rows, side="right") - 1
+        run = self.run[rows]
         return self.targets[run] + rows - self.heads[run]
 
     def locate(self, row: int) -> int:
         """Text position of a row, from the nearest sampled run end."""
         walked, ends = 0, np.append(self.heads[1:], self.size) - 1
         while True:
-            run = int(np.searchsorted(self.heads, row, side="right")) - 1
+            run = int(self.run[row])
             if row == ends[run]:
                 return int(self.samples[run]) + walked
             if self.chars[run] == 0:
@@ -118,14 +129,18 @@ class RunLengthIndex:
         ``places`` orders the text positions (separators included). All strings are streamed together from their ends.
         """
         earliest = np.minimum.reduceat(places[self.first_row], self.class_starts)
+        earliest = np.repeat(earliest, np.diff(np.append(self.class_starts, self.size)))
         rows, live = self.rank_of_end.copy(), np.arange(self.count)
         found_string, found_start = [], []
+        shortest = int(self.lengths.min())
         for walked in range(1, int(self.lengths.max()) + 1):
-            rows, live = rows[self.lengths[live] >= walked], live[self.lengths[live] >= walked]
+            if walked > shortest:
+                longer = self.lengths[live] >= walked
+                rows, live = rows[longer], live[longer]
             rows = self.step(rows)
             if walked >= self.span:
                 at = self.ends[live] - walked
-                known = earliest[np.searchsorted(self.class_starts, rows, side="right") - 1] < places[at]
+                known = earliest[rows] < places[at]
                 found_string.append(live[known])
                 found_start.append(self.lengths[live[known]] - walked)
         none = np.zeros(0, np.int64)

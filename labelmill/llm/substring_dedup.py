@@ -24,6 +24,7 @@ from labelmill.llm.runlength_index import RunLengthIndex
 ANCHOR = 24
 CHUNK = 1 << 18
 BOUND = 8192
+REGION_BYTES = 1 << 23  # of regions that are sent on at once
 PIECE = 1 << 18
 BROADCAST_ROWS = 1_000_000
 _PLACE_BITS = np.uint64((1 << 20) - 1)
@@ -56,21 +57,23 @@ def anchor_places(raw: bytes, span: int, k: int) -> tuple[np.ndarray, np.ndarray
         data = np.frombuffer(raw[low:high], np.uint8)
         sums, inverses = prefix_sums(data)
         begin, stop = at - low, min(at + PIECE + span - 1, n) - k + 1 - low  # k-byte strings of windows that start in this piece
-        starts = np.arange(begin, stop)
-        h = stretch_hashes(sums, inverses, starts, starts + k)
+        h = mix64((sums[begin + k : stop + k] - sums[begin:stop]) * inverses[begin:stop] + np.uint64(k))  # stretch_hashes of all places
         key = (h & ~_PLACE_BITS) | np.arange(len(h), dtype=np.uint64)
         padded = np.concatenate([key, np.full((-len(key)) % w, np.uint64(2**64 - 1))]).reshape(-1, w)
         forward = np.minimum.accumulate(padded, axis=1).ravel()
         backward = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
         m = len(key) - w + 1
         least = np.minimum(backward[:m], forward[w - 1 : w - 1 + m])
-        spots = np.unique(least & _PLACE_BITS).astype(np.int64)
+        spots = (least & _PLACE_BITS).astype(np.int64)  # they never go back from one window to the next
+        spots = spots[np.append(True, spots[1:] != spots[:-1])]
         place = spots + begin
         left, right = np.maximum(place - (span - k), 0), np.minimum(place + span, len(data))
         found.append((place + low, h[spots], stretch_hashes(sums, inverses, left, right)))
         at += PIECE
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    if len(found) == 1:
+        return found[0]
     places, index = np.unique(np.concatenate([f[0] for f in found]), return_index=True)
     return places, np.concatenate([f[1] for f in found])[index], np.concatenate([f[2] for f in found])[index]
 
@@ -103,24 +106,37 @@ def _list_anchors(span: int, k: int):
 
 
 def _cut_regions(span: int, k: int):
-    """The regions around given places, with the anchors' hashes made again from the text."""
+    """The regions around given places, with the anchors' hashes made again from the text; those of many texts in one batch of about ``REGION_BYTES``."""
+    powers = power_tables(k)[0][:k]
+    names = ["_id", "_version", "_h", "_at", "_many", "_bytes"]
+
+    def made(rows, many, heads, cut):
+        ids, versions, at = (np.concatenate([np.full(len(r[2]), r[i], np.int64) if i < 2 else r[2] for r in rows]) for i in range(3))
+        data = np.frombuffer(b"".join(heads), np.uint8).reshape(-1, k)
+        h = mix64((_SEED[data] * powers).sum(axis=1, dtype=np.uint64) + np.uint64(k))
+        arrays = [pa.array(ids), pa.array(versions), pa.array(h.view(np.int64)), pa.array(at), pa.array(np.array(many, bool)), pa.array(cut, pa.binary())]
+        return pa.record_batch(arrays, names=names)
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                raw = _raw(batch.column("_text")[i])
-                data = np.frombuffer(raw, np.uint8)
-                for many in (False, True):
-                    at = batch.column("_many" if many else "_few")[i].values
-                    if at is None or not len(at):
+            rows, many, heads, cut = [], [], [], []
+            for i, v, text, *lists in zip(*(batch.column(c) for c in ("_id", "_version", "_text", "_few", "_many"))):
+                raw = None
+                for which, places in enumerate(lists):
+                    if not places.is_valid or not len(places.values):
                         continue
-                    at = at.to_numpy().astype(np.int64)
-                    powers, _ = power_tables(k)
-                    h = mix64((_SEED[data[at[:, None] + np.arange(k)]] * powers[:k]).sum(axis=1, dtype=np.uint64) + np.uint64(k))
-                    cut = [raw[max(0, a - (span - k)) : a + span] for a in at.tolist()]
-                    same = lambda c: pa.array(np.full(len(at), batch.column(c)[i].as_py(), np.int64))  # noqa: E731, B023
-                    yield pa.record_batch([same("_id"), same("_version"), pa.array(h.view(np.int64)), pa.array(at), pa.array(np.full(len(at), many)), pa.array(cut, pa.binary())],
-                                          names=["_id", "_version", "_h", "_at", "_many", "_bytes"])
+                    raw = _raw(text) if raw is None else raw
+                    at = places.values.to_numpy().astype(np.int64)
+                    rows.append((i.as_py(), v.as_py(), at))
+                    for a in at.tolist():
+                        heads.append(raw[a : a + k])
+                        cut.append(raw[max(0, a - (span - k)) : a + span])
+                    many.extend([bool(which)] * len(at))
+                    if len(cut) * 2 * span >= REGION_BYTES:
+                        yield made(rows, many, heads, cut)
+                        rows, many, heads, cut = [], [], [], []
+            if cut:
+                yield made(rows, many, heads, cut)
 
     return run
 
