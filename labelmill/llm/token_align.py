@@ -9,10 +9,14 @@ overlap.
 2. Identity map: the id of ``A`` -> the id of ``B`` with the same bytes. Links between such ids are counted in one vector as
    long as the vocabulary; only the others, from irregular groups, go as pairs through a shuffle, once for each block.
 3. The counts come back to the blocks by joins, and each block sums them up for its documents.
+
+A block travels as rows of ``PIECE_BYTES``: a row of megabytes would cost the JVM several large arrays in a row at each step that
+copies it. Within a Python worker, words are linked ``CHUNK_WORDS`` at a time and kept as 32-bit numbers.
 """
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import hashlib
 import os
@@ -31,16 +35,21 @@ from labelmill.llm.common import materialize
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
 STRETCH = 50_000  # characters tokenized by one call
-RUN_WORDS = 200_000  # words whose links are spread out at a time
+CHUNK_WORDS = 16_384  # distinct words that are tokenized and linked at a time
+RUN_WORDS = 50_000  # words whose links are spread out at a time
 BLOCK_CHARS = 4_000_000  # texts that share one dictionary; a longer text is a block of its own
+PIECE_BYTES = 128 << 10  # of a row that carries a part of a block
+PIECES_READ = 32  # rows in a row group, which Spark's reader unpacks at once
 CUT = re.compile(r"(?<=[^\s\u180e])(?= )")
 
 _LISTS = ("id", "n_a", "n_b", "n_groups", "n_links")
-BLOCK = pa.schema([("block", pa.int64()), *[(c, pa.list_(pa.int64())) for c in _LISTS], ("digest", pa.list_(pa.string())),
-                   ("word_at", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())), ("link_at", pa.list_(pa.int64())), ("links", pa.list_(pa.int32())),
+#: ``piece``: the place of the row in its block; ``same_at``, ``pairs_at``: the place of its first entries among all of the block.
+BLOCK = pa.schema([("block", pa.int64()), ("piece", pa.int32()), ("same_at", pa.int32()), ("pairs_at", pa.int32()),
+                   *[(c, pa.list_(pa.int64())) for c in _LISTS], ("digest", pa.list_(pa.string())),
+                   ("word_count", pa.list_(pa.int32())), ("words", pa.list_(pa.int32())), ("link_count", pa.list_(pa.int32())), ("links", pa.list_(pa.int32())),
                    ("same", pa.list_(pa.int32())), ("same_docs", pa.list_(pa.int32())), ("pairs", pa.list_(pa.int64())), ("pair_docs", pa.list_(pa.int32()))])
-BLOCK_DDL = ("block long, " + ", ".join(f"{c} array<long>" for c in _LISTS) + ", digest array<string>, word_at array<long>, words array<int>, "
-             "link_at array<long>, links array<int>, same array<int>, same_docs array<int>, pairs array<long>, pair_docs array<int>")
+BLOCK_DDL = ("block long, piece int, same_at int, pairs_at int, " + ", ".join(f"{c} array<long>" for c in _LISTS) + ", digest array<string>, word_count array<int>, "
+             "words array<int>, link_count array<int>, links array<int>, same array<int>, same_docs array<int>, pairs array<long>, pair_docs array<int>")
 
 
 class Pair(NamedTuple):
@@ -101,6 +110,14 @@ def _expand(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.repeat(at[rows] - _offsets(counts)[:-1], counts) + np.arange(counts.sum())
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system: a worker lives on, beside others, for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def _distinct(values: np.ndarray) -> np.ndarray:
     values = np.sort(values)
     return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
@@ -174,33 +191,73 @@ class _Words:
         self.said = ["".join(pieces[i:j]) for i, j in zip(at, at[1:])]
 
 
-def _block(ids: list, rows: list[np.ndarray], words: list[str], use: Pair, number: int) -> pa.RecordBatch:
-    w = _Words(words, use)
+class _Linked(NamedTuple):
+    """All distinct words of a block."""
+
+    bad: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    link_a: np.ndarray
+    link_b: np.ndarray
+    said: list[str]
+
+
+def _linked(words: list[str], use: Pair) -> _Linked:
+    """As :class:`_Words`, a chunk at a time: what linking needs is several times what is kept."""
+    chunks: list[tuple] = []
+    said: list[str] = []
+    for first in range(0, len(words), CHUNK_WORDS) or [0]:
+        w = _Words(words[first: first + CHUNK_WORDS], use)
+        chunks.append((w.bad, *(x.astype(np.int32) for x in (w.n_a, w.n_b, w.n_groups, w.n_links, w.link_a, w.link_b))))
+        said += w.said
+    return _Linked(*(np.concatenate(x) for x in zip(*chunks)), said)
+
+
+def _entries(w: _Linked, use: Pair) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(same, pairs, links)``: ids linked with their equal, all other pairs, and the entry of each link, the former first."""
+    identity = use.same[w.link_a] == w.link_b
+    same, of_same = np.unique(w.link_a[identity], return_inverse=True)
+    apart = ~identity
+    pairs, of_pair = np.unique((w.link_a[apart].astype(np.int64) << 32) | w.link_b[apart], return_inverse=True)
+    links = np.empty(len(identity), np.int32)
+    links[identity], links[apart] = of_same, of_pair + len(same)
+    return same, pairs, links
+
+
+def _pieces(number: int, columns: dict[str, pa.Array]):
+    """The rows of a block: each has an equal share of every column."""
+    rows = max(1, -(-sum(c.nbytes for c in columns.values()) // PIECE_BYTES))
+    for piece in range(rows):
+        at = {name: len(c) * piece // rows for name, c in columns.items()}
+        parts = {name: c.slice(at[name], len(c) * (piece + 1) // rows - at[name]) for name, c in columns.items()}
+        lists = {name: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for name, c in parts.items()}
+        first = {"block": number, "piece": piece, "same_at": at["same"], "pairs_at": len(columns["same"]) + at["pairs"]}
+        yield pa.record_batch([lists[f.name] if f.name in lists else pa.array([first[f.name]], f.type) for f in BLOCK], schema=BLOCK)
+
+
+def _block(ids: list, rows: list[np.ndarray], words: list[str], use: Pair, number: int):
+    w = _linked(words, use)
     rows = [r if not w.bad[r].any() else r[:0] for r in rows]
-    word_at, flat = _offsets([len(r) for r in rows]), np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(rows)), np.diff(word_at))
+    word_at, flat = _offsets([len(r) for r in rows]), np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(word_at))
     total = lambda per_word: np.bincount(doc, per_word[flat], len(rows)).astype(np.int64)
     digest = [hashlib.sha256("".join([w.said[i] for i in r.tolist()])[:-1].encode()).hexdigest() if len(r) else "" for r in rows]
-    # Entries: ids linked with their equal first, all other pairs after them.
-    identity = use.same[w.link_a] == w.link_b
-    same, of_same = np.unique(w.link_a[identity], return_inverse=True)
-    pairs, of_pair = np.unique((w.link_a[~identity] << 32) | w.link_b[~identity], return_inverse=True)
-    links = np.empty(len(identity), np.int64)
-    links[identity], links[~identity] = of_same, of_pair + len(same)
-    link_at = _offsets(w.n_links)
+    sums = {"n_a": total(w.n_a), "n_b": total(w.n_b), "n_groups": total(w.n_groups), "n_links": total(w.n_links)}
+    same, pairs, links = _entries(w, use)
+    n_links, link_at = w.n_links, _offsets(w.n_links)
+    del w
     size = np.int64(len(same) + len(pairs) + 1)
     in_docs = np.zeros(size, np.int64)
     for some in _runs(word_at):  # each word of a document once, then each of its entries once
-        held = _distinct(doc[some] * np.int64(len(words) + 1) + flat[some])
+        held = _distinct(doc[some].astype(np.int64) * (len(words) + 1) + flat[some])
         held_doc, held_word = held // (len(words) + 1), held % (len(words) + 1)
         entry = links[_expand(link_at, held_word)]
-        in_docs += np.bincount(_distinct(np.repeat(held_doc, w.n_links[held_word]) * size + entry) % size, minlength=size)
-    one = lambda values, kind: pa.array([values], pa.list_(kind))
-    return pa.record_batch([
-        pa.array([number], pa.int64()), one(ids, pa.int64()), *[one(total(n), pa.int64()) for n in (w.n_a, w.n_b, w.n_groups, w.n_links)], one(digest, pa.string()),
-        one(word_at, pa.int64()), one(flat.astype(np.int32), pa.int32()), one(link_at, pa.int64()), one(links.astype(np.int32), pa.int32()),
-        one(same.astype(np.int32), pa.int32()), one(in_docs[: len(same)].astype(np.int32), pa.int32()),
-        one(pairs, pa.int64()), one(in_docs[len(same): -1].astype(np.int32), pa.int32())], schema=BLOCK)
+        in_docs += np.bincount(_distinct(np.repeat(held_doc, n_links[held_word]) * size + entry) % size, minlength=size)
+    columns = {"id": ids, **sums, "digest": digest, "word_count": np.diff(word_at).astype(np.int32), "words": flat, "link_count": n_links, "links": links,
+               "same": same, "same_docs": in_docs[: len(same)].astype(np.int32), "pairs": pairs, "pair_docs": in_docs[len(same): -1].astype(np.int32)}
+    yield from _pieces(number, {name: pa.array(values, BLOCK.field(name).type.value_type) for name, values in columns.items()})
 
 
 def _blocks(a_file: str, b_file: str, block_chars: int):
@@ -213,33 +270,41 @@ def _blocks(a_file: str, b_file: str, block_chars: int):
             for i, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py()
                 ids.append(i.as_py())
-                rows.append(np.fromiter(map(seen.__getitem__, CUT.split(" " + text)), np.int64) if text else np.zeros(0, np.int64))
+                rows.append(np.fromiter(map(seen.__getitem__, CUT.split(" " + text)), np.int32) if text else np.zeros(0, np.int32))
                 chars += len(text or "")
                 if chars >= block_chars:
-                    yield _block(ids, rows, list(seen), use, number())
+                    yield from _block(ids, rows, list(seen), use, number())
                     made += 1
                     ids, rows, chars = [], [], 0
                     seen.clear()
+                    _give_back()
         if ids:
-            yield _block(ids, rows, list(seen), use, number())
+            yield from _block(ids, rows, list(seen), use, number())
+            ids, rows = [], []
+            seen.clear()
+        _give_back()
 
     return run
 
 
-def _sums(blocks: pa.Table, found: pa.Table) -> pa.Table:
+def _sums(block: pa.Table, found: pa.Table) -> pa.Table:
     """One row for each document of a block, with the counts that came back for the block's entries."""
-    parts = []
-    for row in range(blocks.num_rows):
-        column = lambda name: blocks.column(name)[row].values.to_numpy(zero_copy_only=False)
-        word_at, words, link_at, links = (column(c) for c in ("word_at", "words", "link_at", "links"))
-        count, top = np.zeros(found.num_rows, np.int64), np.zeros(found.num_rows, bool)
-        place = found.column("place").to_numpy()
-        count[place], top[place] = found.column("docs").to_numpy(), found.column("top").to_numpy(zero_copy_only=False)
-        upto = lambda per_link: (lambda c: c[link_at[1:]] - c[link_at[:-1]])(_offsets(per_link[links]))
-        per_doc = lambda per_word: (lambda c: c[word_at[1:]] - c[word_at[:-1]])(_offsets(per_word[words]))
-        parts.append(pa.table({**{c: blocks.column(c)[row].values for c in _LISTS}, "n_best": per_doc(upto(top)), "count_sum": per_doc(upto(count)),
-                               "groups_sha256": blocks.column("digest")[row].values}))
-    return pa.concat_tables(parts)
+    order = np.argsort(block.column("piece").to_numpy())
+
+    def column(name: str) -> pa.Array:
+        lists = block.column(name).combine_chunks()
+        return pa.concat_arrays([lists[i].values for i in order.tolist()])
+
+    word_at, words, link_at, links = (column(c).to_numpy(zero_copy_only=False) for c in ("word_count", "words", "link_count", "links"))
+    word_at, link_at = _offsets(word_at), _offsets(link_at)
+    count, top = np.zeros(found.num_rows, np.int64), np.zeros(found.num_rows, bool)
+    place = found.column("place").to_numpy()
+    count[place], top[place] = found.column("docs").to_numpy(), found.column("top").to_numpy(zero_copy_only=False)
+    upto = lambda per_link: (lambda c: c[link_at[1:]] - c[link_at[:-1]])(_offsets(per_link[links]))
+    per_doc = lambda per_word: (lambda c: c[word_at[1:]] - c[word_at[:-1]])(_offsets(per_word[words]))
+    summed = pa.table({**{c: column(c) for c in _LISTS}, "n_best": per_doc(upto(top)), "count_sum": per_doc(upto(count)), "groups_sha256": column("digest")})
+    _give_back()
+    return summed
 
 
 RESULT = "id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -257,7 +322,7 @@ def _counts(blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _read(docs: DataFrame, id_col: str, text_col: str, a_file: str, b_file: str, block_chars: int) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return materialize(texts.mapInArrow(_blocks(a_file, b_file, block_chars), BLOCK_DDL), "align-blocks")
+    return materialize(texts.mapInArrow(_blocks(a_file, b_file, block_chars), BLOCK_DDL), "align-blocks", PIECES_READ)
 
 
 def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_file: str = A_FILE, b_file: str = B_FILE,
@@ -274,10 +339,11 @@ def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Both have a row for each id of A at most: bounded by the vocabulary.
     best = F.broadcast(most)
     same = F.broadcast(same.join(best, "a").select("a", "docs", (F.col("docs") == F.col("most")).alias("top")))
-    known = blocks.select("block", F.posexplode("same").alias("place", "a")).join(same, "a").select("block", "place", "docs", "top")
+    known = (blocks.select("block", "same_at", F.posexplode("same").alias("at", "a")).join(same, "a")
+             .select("block", (F.col("same_at") + F.col("at")).alias("place"), "docs", "top"))
     judged = pairs.withColumn("a", F.shiftright("pair", 32).cast("int")).join(best, "a").select("pair", "docs", (F.col("docs") == F.col("most")).alias("top"))
-    other = (blocks.select("block", F.size("same").alias("first"), F.posexplode("pairs").alias("at", "pair")).join(judged, "pair")
-             .select("block", (F.col("first") + F.col("at")).alias("place"), "docs", "top"))
+    other = (blocks.select("block", "pairs_at", F.posexplode("pairs").alias("at", "pair")).join(judged, "pair")
+             .select("block", (F.col("pairs_at") + F.col("at")).alias("place"), "docs", "top"))
     found = known.union(other).withColumnRenamed("block", "of")
     return blocks.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(_sums, RESULT)
 
